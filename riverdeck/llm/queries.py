@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import decontaminate, licenses, packing, pii, quality, sentencepieces, simhash, toolcalls, toxicity
+from . import decontaminate, hpylm, licenses, packing, pii, quality, sentencepieces, simhash, toolcalls, toxicity
 from .common import table
 
 
@@ -43,6 +43,11 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(names, 256).alias("items_sha256"), "contaminated")
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", (remainder(7) == 2).alias("held_out"))
+    return hpylm.fit_and_score(docs)
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -68,7 +73,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_packing, op3_sentencepiece, op4_pii, op5_decontamination, op7_simhash, op8_quality, op9_licenses, op10_tool_calls, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_packing, op3_sentencepiece, op4_pii, op5_decontamination, op6_lm_scoring, op7_simhash, op8_quality, op9_licenses, op10_tool_calls, pipeline)}
 
 _OP5 = r"""
 with words as (
