@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from .plans import evaluation, learning, scenario, streams, trajectory  # noqa: F401  (they register their queries)
+from .plans.registry import ORACLES, QUERIES
+
 FLAGSHIP = "prj_situation"
+
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]
