@@ -27,6 +27,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
@@ -36,7 +37,7 @@ SKETCH = 1 << 20
 HOT = 1 << 19
 EXACT = 48
 #: Tokens of a block, pairs of a bucket and words of a bucket, about.
-BLOCK, PAIRS, WORDS = 1 << 22, 1 << 21, 1 << 20
+BLOCK, PAIRS, WORDS = 1 << 21, 1 << 21, 1 << 20
 
 
 @dataclass(frozen=True)
@@ -48,12 +49,13 @@ class HpyParams:
     parent_discount: float = 0.6
     parent_strength: float = 10.0
     burn_in: int = 2
-    samples: int = 4
+    samples: int = 3
     seed: int = 7
 
 
 def _hash(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    """48 bits that name each word."""
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words)) >> np.uint64(16)
 
 
 @lru_cache(maxsize=8)
@@ -107,27 +109,36 @@ def _pairs(seq: np.ndarray, counts: np.ndarray, words: int) -> tuple[np.ndarray,
 
 
 def _dealt(keys: np.ndarray, hashes: np.ndarray, sketch: np.ndarray, buckets: int):
-    """Order by bucket, context and word, for the distinct pairs of a block: (order, bucket, context hash, word hash in 48 bits)."""
+    """Order by bucket, context and word, for the distinct pairs of a block: (order, bucket, context, word)."""
     u, w = hashes[keys // len(hashes)], hashes[keys % len(hashes)]
-    parts = np.maximum(1, -(-sketch[(u % np.uint64(SKETCH)).astype(np.int64)] // HOT)).astype(np.uint64)
-    bucket = mix64(u + np.uint64(1) + mix64(w) % parts) % np.uint64(buckets)
-    short = w >> np.uint64(16)
-    order = np.lexsort((short, u, bucket))
-    return order, bucket[order].astype(np.int64), u[order], short[order], parts[order]
+    bucket = (mix64(u + np.uint64(1) + mix64(w) % _parts(u, sketch)) % np.uint64(buckets)).astype(np.int64)
+    order = np.lexsort((w, u, bucket))
+    return order, bucket[order], u[order], w[order]
 
 
-def _six(x: np.ndarray) -> bytes:
-    return x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+def _parts(names: np.ndarray, sketch: np.ndarray) -> np.ndarray:
+    """Into how many buckets the restaurants of contexts are dealt."""
+    return np.maximum(1, -(-sketch[_slot(names)] // HOT)).astype(np.uint64)
 
 
-def _from_six(x: bytes) -> np.ndarray:
-    out = np.zeros((len(x) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(x, np.uint8).reshape(-1, 6)
-    return out.view("<u8").ravel()
+def _pack(x: np.ndarray) -> bytes:
+    """Whole numbers of at least 0 as compressed planes of their bytes; the high planes of small numbers take no room."""
+    flat = np.ascontiguousarray(x.ravel(), "<u8").view(np.uint8).reshape(-1, 8)
+    return zstandard.compress(flat.T.tobytes(), 3)
+
+
+def _unpack(x: bytes, kind=np.int64) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(x), np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(planes.T).view("<u8").ravel().astype(kind)
+
+
+def _slot(names: np.ndarray) -> np.ndarray:
+    """Slots of words in the sketch, from the 48 bits that name them."""
+    return (names % np.uint64(SKETCH)).astype(np.int64)
 
 
 def blocks(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Documents as word numbers: block, doc_ids, held_out, counts, seq (32 bit), vocabulary (blank-joined; the end token is empty and first)."""
+    """Documents as word numbers: block, doc_ids, held_out, counts, seq, vocabulary (blank-joined; the end token is empty and first)."""
 
     def run(batches):
         part = TaskContext.get().partitionId()
@@ -142,10 +153,10 @@ def blocks(docs: DataFrame, text: str = "text") -> DataFrame:
         size = 0
 
         def row():
-            seq = np.concatenate(seqs).astype("<i4")
+            seq = np.concatenate(seqs)
             names = b" ".join(seen)
             return pa.RecordBatch.from_arrays(
-                [pa.array([(part << 32) + number]), pa.array([ids], pa.list_(pa.int64())), pa.array([held], pa.list_(pa.bool_())), pa.array([counts], pa.list_(pa.int32())), pa.array([seq.tobytes()], pa.binary()), pa.array([names], pa.binary()), pa.array([len(seq)]), pa.array([len(seen)])],
+                [pa.array([(part << 32) + number]), pa.array([ids], pa.list_(pa.int64())), pa.array([held], pa.list_(pa.bool_())), pa.array([counts], pa.list_(pa.int32())), pa.array([_pack(seq)], pa.binary()), pa.array([zstandard.compress(names, 3)], pa.binary()), pa.array([len(seq)]), pa.array([len(seen)])],
                 names=["block", "doc_ids", "held_out", "counts", "seq", "vocabulary", "n_tokens", "n_words"],
             )
 
@@ -176,8 +187,8 @@ class _Block:
         self.id = row["block"]
         self.doc_ids, self.held = list(row["doc_ids"]), np.array(row["held_out"], bool)
         self.counts = np.array(row["counts"], np.int64)
-        self.seq = np.frombuffer(row["seq"], "<i4").astype(np.int64)
-        self.words = bytes(row["vocabulary"]).split(b" ")
+        self.seq = _unpack(row["seq"])
+        self.words = zstandard.decompress(row["vocabulary"]).split(b" ")
         self.hashes = _hash(self.words)
         self.train = np.repeat(~self.held, self.counts)
 
@@ -203,7 +214,7 @@ def fit_and_score(docs: DataFrame, params: HpyParams = HpyParams()) -> DataFrame
 
     def slots(batches):
         for b in _over_blocks(batches):
-            n = np.bincount((b.hashes % np.uint64(SKETCH)).astype(np.int64), b.word_counts(), minlength=SKETCH).astype(np.int64)
+            n = np.bincount(_slot(b.hashes), b.word_counts(), minlength=SKETCH).astype(np.int64)
             at = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], names=["slot", "n"])
 
@@ -216,39 +227,32 @@ def fit_and_score(docs: DataFrame, params: HpyParams = HpyParams()) -> DataFrame
         for b in _over_blocks(batches):
             keys, at = _pairs(b.seq, b.counts, len(b.words))
             n = np.bincount(at[b.train], minlength=len(keys))
-            order, bucket, u, w, parts = _dealt(keys, b.hashes, shared.value, pair_buckets)
+            order, bucket, u, w = _dealt(keys, b.hashes, shared.value, pair_buckets)
             n = n[order]
-            base = shared.value[(b.hashes[keys[order] % len(b.words)] % np.uint64(SKETCH)).astype(np.int64)]
             cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]])
-            rows = [[], [], [], [], [], [], [], []]
+            rows = [[], [], [], [], [], []]
             for s, e in zip(cuts[:-1], cuts[1:]):
-                if s == e:
-                    continue
                 heads = np.concatenate([[0], np.flatnonzero(np.diff(u[s:e])) + 1])
                 run = np.diff(np.append(heads, e - s))
-                # Sizes of the parent's counts as powers of 2^(1/8): one byte each.
-                size = np.round(8 * np.log2(base[s:e] + 1.0)).astype(np.uint8)
-                values = (int(bucket[s]), b.id, u[s:e][heads].astype("<u8").tobytes(), run.astype("<i4").tobytes(), parts[s:e][heads].astype("<i4").tobytes(), _six(w[s:e]), n[s:e].astype("<i4").tobytes(), size.tobytes())
-                for column, v in zip(rows, values):
+                # Contexts ascend, so their differences are kept.
+                for column, v in zip(rows, (int(bucket[s]), b.id, _pack(np.diff(u[s:e][heads], prepend=np.uint64(0))), _pack(run), _pack(w[s:e]), _pack(n[s:e]))):
                     column.append(v)
-            kinds = [pa.int64(), pa.int64(), *[pa.binary()] * 6]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds)], names=["bucket", "block", "u", "run", "parts", "w", "n", "size"])
+            kinds = [pa.int64(), pa.int64(), *[pa.binary()] * 4]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds)], names=["bucket", "block", "u", "run", "w", "n"])
 
     train_total = float(max(1, sketch.sum()))
 
     def seat(pdf: pd.DataFrame) -> pd.DataFrame:
         """One bucket: merged counts, sampled tables; rows for the blocks (pairs) and for the word buckets (tables)."""
         pdf = pdf.sort_values("block")
-        us, ws, ns, parts_, sizes_, cuts = [], [], [], [], [], [0]
+        us, ws, ns, cuts = [], [], [], [0]
         for r in pdf.itertuples():
-            run = np.frombuffer(r.run, "<i4")
-            us.append(np.repeat(np.frombuffer(r.u, "<u8"), run))
-            parts_.append(np.repeat(np.frombuffer(r.parts, "<i4"), run))
-            ws.append(_from_six(r.w))
-            ns.append(np.frombuffer(r.n, "<i4"))
-            sizes_.append(np.frombuffer(r.size, np.uint8))
+            us.append(np.repeat(np.cumsum(_unpack(r.u, np.uint64)), _unpack(r.run)))
+            ws.append(_unpack(r.w, np.uint64))
+            ns.append(_unpack(r.n))
             cuts.append(cuts[-1] + len(ws[-1]))
-        u, w, n, parts, size = map(np.concatenate, (us, ws, ns, parts_, sizes_))
+        u, w, n = map(np.concatenate, (us, ws, ns))
+        del us, ws, ns
         order = np.lexsort((w, u))
         new = np.ones(len(u), bool)
         new[1:] = (u[order][1:] != u[order][:-1]) | (w[order][1:] != w[order][:-1])
@@ -256,29 +260,31 @@ def fit_and_score(docs: DataFrame, params: HpyParams = HpyParams()) -> DataFrame
         slot[order] = np.cumsum(new) - 1
         c = np.bincount(slot, n).astype(np.int64)
         first = order[new]
-        u, w, parts, base = u[first], w[first], parts[first], (np.exp2(size[first] / 8.0)) / (train_total + 1)
+        u, w = u[first], w[first]
+        base = (shared.value[_slot(w)] + 1.0) / (train_total + 1)
         start = np.ones(len(u), bool)
         start[1:] = u[1:] != u[:-1]
         group = np.cumsum(start) - 1
         heads = np.flatnonzero(start)
+        parts = _parts(u[heads], shared.value).astype(np.int64)
         rng = np.random.default_rng([p.seed, int(pdf["bucket"].iloc[0])])
         t = np.minimum(c, 1)
         many = np.flatnonzero(c > 1)
         kept = []
         for sweep in range(p.burn_in + S):
-            tables = np.bincount(group, t, minlength=len(heads)) * parts[heads]
+            tables = np.bincount(group, t, minlength=len(heads)) * parts
             t[many] = draw_tables(rng, c[many], np.maximum(0, tables[group[many]] - t[many]), base[many], p.discount, p.strength)
             if sweep >= p.burn_in:
                 kept.append(t.copy())
-        mean = np.mean(kept, 0).astype("<f4")
+        tables = np.sum(kept, 0)  # over all samples
         out = []
         for block, a, b in zip(pdf["block"], cuts[:-1], cuts[1:]):
             at = slot[a:b]
-            out.append((0, int(block), int(pdf["bucket"].iloc[0]), c[at].astype("<i4").tobytes(), mean[at].tobytes()))
-        # Tables by context and by dish, for the buckets of words; both are named by 48 bits of the word's hash.
-        names = np.concatenate([u[heads] >> np.uint64(16), w])
+            out.append((0, int(block), int(pdf["bucket"].iloc[0]), _pack(c[at]), _pack(tables[at])))
+        # Tables by context and by dish, for the buckets of words.
+        names = np.concatenate([u[heads], w])
         who, at = np.unique(names, return_inverse=True)
-        sums = np.zeros((len(who), 2 * S), "<i4")
+        sums = np.zeros((len(who), 2 * S), np.int64)
         for s, t in enumerate(kept):
             sums[:, s] = np.bincount(at[: len(heads)], np.bincount(group, t, minlength=len(heads)), minlength=len(who))
             sums[:, S + s] = np.bincount(at[len(heads) :], t, minlength=len(who))
@@ -290,19 +296,19 @@ def fit_and_score(docs: DataFrame, params: HpyParams = HpyParams()) -> DataFrame
         for a, b in zip(edges[:-1], edges[1:]):
             if a < b:
                 i = order[a:b]
-                out.append((1, 0, int(bucket[i[0]]), _six(who[i]), sums[i].tobytes()))
+                out.append((1, 0, int(bucket[i[0]]), _pack(np.diff(who[i], prepend=np.uint64(0))), _pack(sums[i].T)))
         return pd.DataFrame(out, columns=["kind", "block", "bucket", "x", "y"])
 
     value_schema = "kind int, block long, bucket long, x binary, y binary"
-    seated = cut(table.mapInArrow(deal_pairs, "bucket long, block long, u binary, run binary, parts binary, w binary, n binary, size binary").groupBy("bucket").applyInPandas(seat, value_schema), "seated")
+    seated = cut(table.mapInArrow(deal_pairs, "bucket long, block long, u binary, run binary, w binary, n binary").groupBy("bucket").applyInPandas(seat, value_schema), "seated")
 
     def deal_words(batches):
         for b in _over_blocks(batches):
             n = b.word_counts()
-            bucket = (mix64(b.hashes >> np.uint64(16)) % np.uint64(word_buckets)).astype(np.int64)
+            bucket = (mix64(b.hashes) % np.uint64(word_buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             edges = np.concatenate([[0], np.flatnonzero(np.diff(bucket[order])) + 1, [len(order)]])
-            rows = [(2, b.id, int(bucket[order[s]]), b" ".join([b.words[i] for i in order[s:e]]), n[order[s:e]].astype("<i4").tobytes()) for s, e in zip(edges[:-1], edges[1:]) if s < e]
+            rows = [(2, b.id, int(bucket[order[s]]), zstandard.compress(b" ".join([b.words[i] for i in order[s:e]]), 3), _pack(n[order[s:e]])) for s, e in zip(edges[:-1], edges[1:]) if s < e]
             yield pa.RecordBatch.from_pandas(pd.DataFrame(rows, columns=["kind", "block", "bucket", "x", "y"]).astype({"kind": "int32"}), preserve_index=False)
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -311,20 +317,20 @@ def fit_and_score(docs: DataFrame, params: HpyParams = HpyParams()) -> DataFrame
         ids, ns = [], []
         words = pdf[pdf["kind"] == 2].sort_values("block")
         for r in words.itertuples():
-            ids.append(np.fromiter(map(seen.__getitem__, bytes(r.x).split(b" ")), np.int64))
-            ns.append(np.frombuffer(r.y, "<i4"))
+            ids.append(np.fromiter(map(seen.__getitem__, zstandard.decompress(r.x).split(b" ")), np.int64))
+            ns.append(_unpack(r.y))
         if not ids:
             return pd.DataFrame([], columns=["kind", "block", "bucket", "x", "y"])
         c = np.zeros(len(seen), np.int64)
         for i, n in zip(ids, ns):
             c[i] += n
-        names = _hash(list(seen)) >> np.uint64(16)
+        names = _hash(list(seen))
         order = np.argsort(names, kind="stable")
         ranked = names[order]
         sums = np.zeros((len(seen), 2 * S), np.int64)
         for r in pdf[pdf["kind"] == 1].itertuples():
-            who = _from_six(r.x)
-            sums[order[np.searchsorted(ranked, who)]] += np.frombuffer(r.y, "<i4").reshape(-1, 2 * S)
+            who = np.cumsum(_unpack(r.x, np.uint64))
+            sums[order[np.searchsorted(ranked, who)]] += _unpack(r.y).reshape(2 * S, -1).T
         bucket = int(pdf["bucket"].iloc[0])
         by_name = np.argsort(names, kind="stable")
         rng = np.random.default_rng([p.seed, bucket, 1])
@@ -332,8 +338,8 @@ def fit_and_score(docs: DataFrame, params: HpyParams = HpyParams()) -> DataFrame
         for s in range(S):
             # The base is uniform over about as many words as there are tables, so a new table weighs about the discount.
             root[by_name, s] = draw_tables(rng, sums[by_name, S + s], np.full(len(seen), 10**9), np.full(len(seen), 1e-9), p.parent_discount, 0.0)
-        every = np.concatenate([c[:, None], sums, root], 1).astype("<i4")
-        out = [(2, int(b), bucket, every[i].tobytes(), b"") for b, i in zip(words["block"], ids)]
+        every = np.concatenate([c[:, None], sums, root], 1)
+        out = [(2, int(b), bucket, _pack(every[i].T), b"") for b, i in zip(words["block"], ids)]
         totals = np.concatenate([[c.sum(), (c > 0).sum()], sums[:, S:].sum(0), root.sum(0)]).astype("<i8")
         out.append((3, 0, bucket, totals.tobytes(), b""))
         return pd.DataFrame(out, columns=["kind", "block", "bucket", "x", "y"])
@@ -353,9 +359,9 @@ def fit_and_score(docs: DataFrame, params: HpyParams = HpyParams()) -> DataFrame
             pairs_ = {r.bucket: r for r in right[right["kind"] == 0].itertuples()}
             words_ = {r.bucket: r for r in right[right["kind"] == 2].itertuples()}
             every = np.zeros((len(b.words), 1 + 3 * S), np.int64)
-            bucket = (mix64(b.hashes >> np.uint64(16)) % np.uint64(word_buckets)).astype(np.int64)
+            bucket = (mix64(b.hashes) % np.uint64(word_buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
-            every[order] = np.concatenate([np.frombuffer(words_[k].x, "<i4") for k in sorted(words_)]).reshape(-1, 1 + 3 * S)
+            every[order] = np.concatenate([_unpack(words_[k].x).reshape(1 + 3 * S, -1).T for k in sorted(words_)])
             c = every[:, 0]
             by_context, dishes, root = every[:, 1 : 1 + S], every[:, 1 + S : 1 + 2 * S], every[:, 1 + 2 * S :]
             unknown = 1.0 / (n_types + 1)
@@ -363,8 +369,8 @@ def fit_and_score(docs: DataFrame, params: HpyParams = HpyParams()) -> DataFrame
             keys, at = _pairs(b.seq, b.counts, len(b.words))
             order, bucket, *_ = _dealt(keys, b.hashes, shared.value, pair_buckets)
             n, t = np.zeros(len(keys)), np.zeros(len(keys))
-            n[order] = np.concatenate([np.frombuffer(pairs_[k].x, "<i4") for k in sorted(pairs_)])
-            t[order] = np.concatenate([np.frombuffer(pairs_[k].y, "<f4") for k in sorted(pairs_)])
+            n[order] = np.concatenate([_unpack(pairs_[k].x) for k in sorted(pairs_)])
+            t[order] = np.concatenate([_unpack(pairs_[k].y) for k in sorted(pairs_)]) / S
             u, w = keys // len(b.words), keys % len(b.words)
             whole = np.zeros(len(keys))
             for s in range(S):

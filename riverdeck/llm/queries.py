@@ -77,7 +77,7 @@ QUERIES = {f.__name__: f for f in (op1_toxicity, op2_packing, op3_sentencepiece,
 
 _OP5 = r"""
 with words as (
-  select doc_id, list_transform(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), x -> x) as w
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
   from documents
 ), item_words as (
   select item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
@@ -90,7 +90,7 @@ with words as (
   select doc_id, i, n, array_to_string(w[i : i + n - 1], ' ') as k
   from (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) as i from words, sizes where len(w) >= n)
 ), hits as (select p.doc_id, p.i, p.n, item_id from places p join windows using (n, k)
-), hit_words as (select doc_id, count(distinct at) as n_hit from (select doc_id, unnest(range(i, i + n)) as at from (select distinct doc_id, i, n from hits)) group by 1
+), hit_words as (select doc_id, count(distinct place) as n_hit from (select doc_id, unnest(range(i, i + n)) as place from (select distinct doc_id, i, n from hits)) group by 1
 ), items as (select doc_id, count(distinct item_id) as n_items, string_agg(distinct cast(item_id as varchar), ',' order by cast(item_id as varchar)) as s from hits group by 1)
 select doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(s, '')) as items_sha256,
   coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
