@@ -146,26 +146,25 @@ def action_line(label: Column) -> Column:
     )
 
 
-def _before_last(text: Column, line: str) -> Column:
-    """What stands before the last line that matches, without blanks at its end; null if no line does."""
+def _upto_last(text: Column, line: str, with_it: int) -> Column:
+    """What stands before the last line that matches (``with_it`` 1: with that line), without white space at its end; null if no line does."""
     rows = F.split(text, "\n")
-    flags = F.transform(rows, lambda r: F.rlike(r, F.lit(line)))
-    back = F.array_position(F.reverse(flags), True).cast("int")
-    kept = F.rtrim(F.array_join(F.slice(rows, 1, F.greatest(F.size(rows) - back, F.lit(0))), "\n"))
-    return F.when(back > 0, kept)
+    back = F.array_position(F.reverse(F.transform(rows, lambda r: F.rlike(r, F.lit(line)))), True).cast("int")
+    kept = F.array_join(F.slice(rows, 1, F.greatest(F.size(rows) - back + with_it, F.lit(0))), "\n")
+    return F.when(back > 0, F.regexp_replace(kept, r"\s+$", ""))
 
 
 def enforce_decision(text: Column, gold: Column) -> Column:
     """All that follows the last ``Decision:`` line, and that line, replaced by the gold decision; or one added."""
     body = F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+$", "")
-    return F.concat(F.coalesce(_before_last(body, r"(?i)^\s*decision\s*:.*$"), body), F.lit("\nDecision: "), F.trim(gold))
+    return F.concat(F.coalesce(_upto_last(body, r"(?i)^\s*decision\s*:.*$", 0), body), F.lit("\nDecision: "), F.trim(gold))
 
 
 def enforce_structured(text: Column, gold: Column) -> Column:
     """The same for the block under the last ``### Action`` header."""
     body = F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+$", "")
-    head = _before_last(body, r"(?i)^\s*#{2,4}\s*action\s*$")
-    return F.concat(F.coalesce(F.concat(head, F.when(head != "", "\n\n").otherwise(""), F.lit("### Action")), F.concat(body, F.lit("\n\n### Action"))), F.lit("\n"), action_line(gold))
+    head = _upto_last(body, r"(?i)^\s*#{2,4}\s*action\s*$", 1)
+    return F.concat(F.coalesce(head, F.concat(body, F.lit("\n\n### Action"))), F.lit("\n"), action_line(gold))
 
 
 def messages(system: Column, user: Column, assistant: Column) -> Column:

@@ -6,9 +6,17 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
-PREFLOP = T.StructType.fromDDL("prev_line string, hero_pos string, hero_holding string, correct_decision string, num_players int, num_bets int, available_moves string, pot_size double, hero_stack_bb double")
-POSTFLOP = T.StructType.fromDDL("hero_pos string, hero_holding string, hero_stack_bb double, num_players int, pot_size double, street string, board string, prev_line string, available_moves string, correct_decision string")
-PAIRS = T.StructType.fromDDL("instruction string, output string")
+_KINDS = {"string": T.StringType(), "int": T.IntegerType(), "double": T.DoubleType()}
+
+
+def _schema(text: str) -> T.StructType:
+    """Fields given as ``name kind``, without need of a session."""
+    return T.StructType([T.StructField(name, _KINDS[kind]) for name, kind in (f.split() for f in text.split(", "))])
+
+
+PREFLOP = _schema("prev_line string, hero_pos string, hero_holding string, correct_decision string, num_players int, num_bets int, available_moves string, pot_size double, hero_stack_bb double")
+POSTFLOP = _schema("hero_pos string, hero_holding string, hero_stack_bb double, num_players int, pot_size double, street string, board string, prev_line string, available_moves string, correct_decision string")
+PAIRS = _schema("instruction string, output string")
 STREETS = ("flop", "turn", "river")
 
 
