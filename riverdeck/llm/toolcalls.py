@@ -1,8 +1,8 @@
 """Chat formatting: tool calls are linked to their results, put in topological order, validated and serialised.
 
 Only DataFrame functions are used.  Calls and results are joined by identifier (a shuffled hash join; of several results of a call the
-earliest counts).  The level of a call is the length of the longest chain of calls it depends on; levels are found in rounds of
-one join each, so their number is that of the longest chain.  Arguments are parsed as JSON objects and checked
+earliest counts).  The level of a call is the length of the longest chain of calls it depends on; levels are found by pointer doubling, in
+about log2 of the longest chain's length of rounds.  Arguments are parsed as JSON objects and checked
 against a table of schemas (field, type, required); records are canonical JSON: keys sorted, no blanks.
 
 Defined cases: calls without result have a null result; results without call are left out; a call whose arguments are no
@@ -54,23 +54,41 @@ def messages_to_results(messages: DataFrame) -> DataFrame:
     return plain.unionByName(tool)
 
 
-def levels(calls: DataFrame, max_depth: int = 1000) -> DataFrame:
-    """(call_id, level): 0 without dependencies, else one more than the highest among them; null on or behind a cycle."""
-    ids = calls.where("call_id is not null").groupBy("call_id").agg(F.array_distinct(F.flatten(F.collect_set("depends_on"))).alias("needs"))
-    nodes = cut(ids, "calls")
-    known = nodes.select(F.col("call_id").alias("need"))
-    edges = cut(nodes.select("call_id", F.explode("needs").alias("need")).where("need is not null").join(known, "need"), "needs")
-    waits = edges.groupBy("call_id").agg(F.count("*").alias("open"))
-    state = nodes.select("call_id").join(waits, "call_id", "left").select("call_id", F.coalesce("open", F.lit(0)).alias("open"), F.when(F.col("open").isNull(), 0).alias("level"))
+def levels(calls: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+    """(call_id, level): 0 without dependencies, else one more than the highest among them; null on or behind a cycle.
+
+    A call with one dependency points to it; each round it takes over its target's pointer, so the pointers of a chain double their
+    reach and a chain of n calls is done in about log2(n) rounds.  A call with several waits until all have levels.  As long as anything outside cycles is
+    open, every round settles some call; the first round that settles none is the last.
+    """
+    known = calls.where("call_id is not null")
+    needs = known.select("call_id", F.explode("depends_on").alias("need")).where("need is not null").distinct()
+    nodes = cut(known.select("call_id").distinct(), "calls")
+    edges = cut(needs.join(nodes.withColumnRenamed("call_id", "need"), "need").select("call_id", "need"), "needs")
+    # How many there are, and the only one if there is one.
+    waits = edges.groupBy("call_id").agg(F.count("*").alias("n"), F.min("need").alias("need"))
+    state = nodes.join(waits, "call_id", "left").select("call_id", F.when(F.col("n").isNull(), 0).alias("level"), F.when(F.col("n") == 1, F.col("need")).alias("to"), F.when(F.col("n") == 1, 1).alias("off"), F.coalesce("n", F.lit(0)).alias("n"))
     state = cut(state, "levels")
-    for depth in range(max_depth):
-        done = state.where(F.col("level") == depth).select(F.col("call_id").alias("need"))
-        ready = edges.join(done, "need").groupBy("call_id").agg(F.count("*").alias("met"))
-        if ready.isEmpty():
+    several = cut(edges.join(state.where("n > 1").select("call_id", "n"), "call_id"), "several")
+    any_several = not several.isEmpty()
+    open_ = state.where("level is null").count()
+    for _ in range(max_rounds):
+        if not open_:
+            break
+        target = state.select(F.col("call_id").alias("to"), F.col("level").alias("l"), F.col("to").alias("next"), F.col("off").alias("more"))
+        # Settled calls need no join; they point nowhere any more.
+        joined = state.where("level is null").join(target, "to", "left")
+        settled = F.when(F.col("l").isNotNull(), F.col("l") + F.col("off"))
+        jump = F.col("next").isNotNull() & F.col("l").isNull()
+        new = joined.select("call_id", settled.alias("level"), F.when(settled.isNull(), F.when(jump, F.col("next")).otherwise(F.col("to"))).alias("to"), (F.col("off") + F.when(jump, F.col("more")).otherwise(0)).alias("off"), "n")
+        if any_several:
+            met = several.join(state.where("level is not null").select(F.col("call_id").alias("need"), "level"), "need").groupBy("call_id", "n").agg(F.count("*").alias("k"), F.max("level").alias("top")).where("k = n").select("call_id", (F.col("top") + 1).alias("done"))
+            new = new.join(met, "call_id", "left").select("call_id", F.coalesce("level", "done").alias("level"), "to", "off", "n")
+        state = cut(state.where("level is not null").unionByName(new), "levels")
+        left = state.where("level is null").count()
+        if left == open_:
             break
-        left = F.col("open") - F.coalesce("met", F.lit(0))
-        level = F.coalesce("level", F.when((left == 0) & F.col("met").isNotNull(), depth + 1))
-        state = cut(state.join(ready, "call_id", "left").select("call_id", left.alias("open"), level.alias("level")), "levels")
+        open_ = left
     return state.select("call_id", "level")
 
 
