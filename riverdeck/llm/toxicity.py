@@ -1,9 +1,9 @@
 """Toxicity: maximum-scoring segments of token log-odds, aggregated by extreme-value statistics.
 
-Tokens are words (A-Z lower-cased; letters, digits, non-ASCII) and, as further features, their first four and five characters.
+Tokens are words (A-Z lower-cased; letters, digits, non-ASCII) and, as further features, their beginnings of four to eight characters.
 The log-odds of a feature between toxic and clean training documents has a Dirichlet prior in proportion to its
-frequency in both; features whose z-score passes ``z_min`` score their log-odds, every other token scores
-``background``.  In each document all maximal scoring segments are found in one linear scan.  With
+frequency in both; features whose z-score passes ``z_min`` and whose log-odds pass ``odds_min`` score their log-odds, every other token, and
+a word's repeats in the same document, score ``background``.  In each document all maximal scoring segments are found in one linear scan.  With
 the Karlin-Altschul constants lambda and K of the clean training tokens a segment of score S in n tokens has
 the expected count E = K n exp(-lambda S); segments with E below ``e_max`` are significant, and the evidence of a document is their
 summed normalised score less ln(K n).  A logistic curve of the evidence, fitted on the training sample, is the score.
@@ -44,6 +44,7 @@ class ToxicityParams:
     max_features: int = 100_000
     min_docs: int = 4
     z_min: float = 3.0
+    odds_min: float = 2.0
     prior: float = 200.0
     background: float = -0.7
     cap: float = 8.0
@@ -61,9 +62,9 @@ class ToxicityModel:
 
 
 def features_of(word: bytes) -> list[bytes]:
-    """The word, and its first four and five characters if it is longer, marked by a sign that no word has."""
+    """The word, and its beginnings of four to eight characters if it is longer, marked by a sign that no word has."""
     text = word.decode("utf-8", "replace")
-    return [word, *(f"{text[:k]}*".encode() for k in (4, 5) if len(text) > k)]
+    return [word, *(f"{text[:k]}*".encode() for k in range(4, min(9, len(text))))]
 
 
 def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
@@ -104,6 +105,11 @@ def _measure(model: ToxicityModel, cache: _Scores, text: bytes) -> tuple[int, fl
     if not n:
         return 0, 0.0, -size, []
     scores = np.fromiter(map(cache.__getitem__, words), np.float64, n)
+    seen = set()
+    for i in np.flatnonzero(scores > 0).tolist():
+        if words[i] in seen:
+            scores[i] = model.params.background
+        seen.add(words[i])
     found = segments(scores)
     limit = (size - math.log(model.params.e_max)) / model.lam
     good = [(a, b, s) for a, b, s in found if s >= limit]
@@ -116,7 +122,7 @@ def _select(counts: list, n1: float, n0: float, p: ToxicityParams) -> dict[bytes
         a = p.prior * (y1 + y0) / (n1 + n0)
         odds = math.log((y1 + a) / (n1 + p.prior - y1 - a)) - math.log((y0 + a) / (n0 + p.prior - y0 - a))
         z = odds / math.sqrt(1 / (y1 + a) + 1 / (y0 + a))
-        if z >= p.z_min and odds > 0:
+        if z >= p.z_min and odds >= p.odds_min:
             kept.append((z, bytes(feature), min(odds, p.cap), y0 + a))
     kept.sort(key=lambda x: (-x[0], x[1]))
     return {f: (s, y) for _, f, s, y in kept[: p.max_features]}
@@ -168,7 +174,7 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, train: Column |
                     found.update(f)
                 (toxic if label == 1 else clean).update(found)
                 docs_[label == 1] += 1
-            if len(parts) > 1 << 20:
+            if len(parts) > 1 << 19:
                 parts.clear()
         keys = [*toxic.keys(), *(x for x in clean if x not in toxic)]
         # Two rows without feature: the numbers of documents.
@@ -208,7 +214,7 @@ def score(docs: DataFrame, model: ToxicityModel, text: str = "text") -> DataFram
         state = [_Scores(m)]
 
         def work(batch):
-            if len(state[0]) > 1 << 20:
+            if len(state[0]) > 1 << 19:
                 state[0] = _Scores(m)
             rows = [_measure(m, state[0], t) for t in texts(batch, text)]
             cols = [list(x) for x in zip(*rows)]
