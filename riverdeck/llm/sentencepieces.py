@@ -121,7 +121,7 @@ class SuffixArray:
 class Encoder:
     """Encodes texts of one task; segments once encoded are kept until there are ``keep`` of them."""
 
-    def __init__(self, table: Pieces, keep: int = 1 << 20):
+    def __init__(self, table: Pieces, keep: int = 1 << 19):
         self.table, self.keep = table, keep
         used = [table.pieces[i] for i in table.usable]
         self.sizes = np.array([len(x) for x in used])
