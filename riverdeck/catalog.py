@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import evaluation, learning, records, scenario, streams, trajectory  # noqa: F401  (they register their queries)
+from .plans import evaluation, learning, pieces, records, scenario, streams, trajectory  # noqa: F401  (they register their queries)
 from .plans.registry import ORACLES, QUERIES
 
 FLAGSHIP = "prj_situation"

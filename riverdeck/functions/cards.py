@@ -145,7 +145,7 @@ def _count(a: Column, of: Column) -> Column:
     return F.size(F.filter(a, lambda x: x == of))
 
 
-def _runs(values: Column) -> Column:
+def longest_run(values: Column) -> Column:
     """Longest run of consecutive ranks, for an array of distinct ranks."""
     step = F.transform(values, lambda v: F.aggregate(F.sequence(F.lit(0), F.lit(12)), F.struct(F.lit(0).alias("n"), F.lit(True).alias("on")), lambda s, i: F.struct((s["n"] + F.when(s["on"] & F.array_contains(values, v + i), 1).otherwise(0)).alias("n"), (s["on"] & F.array_contains(values, v + i)).alias("on")), lambda s: s["n"]))
     return F.coalesce(F.array_max(step), F.lit(0))
@@ -162,7 +162,7 @@ def board_texture(board: Column) -> dict[str, Column]:
     most_rank = F.array_max(F.transform(ranks, lambda r: _count(ranks, r)))
     suits = F.transform(board, suit)
     most_suit = F.array_max(F.transform(suits, lambda s: _count(suits, s)))
-    run = _runs(distinct)
+    run = longest_run(distinct)
     hi, lo = F.array_max(ranks), F.array_min(ranks)
     wheel = F.array_contains(ranks, 14) & F.array_contains(ranks, 2) & F.array_contains(ranks, 3)
     values = [
@@ -173,7 +173,7 @@ def board_texture(board: Column) -> dict[str, Column]:
     return {k: F.when(n == 0, 0.0).otherwise(v.cast("double")) for k, v in zip(BOARD_FEATURES, values)}
 
 
-def _straight(values: Column) -> Column:
+def straight_high(values: Column) -> Column:
     """Top rank of five in a row, the ace also low; null if there is none."""
 
     def have(h: Column, d: int) -> Column:
@@ -193,7 +193,7 @@ def with_score(df: DataFrame, cards: str, to: str = "score") -> DataFrame:
     suited = F.get(F.filter(F.array(*[F.lit(s) for s in SUITS]), lambda s: _count(F.col("_suits"), s) >= 5), F.lit(0))
     # Ranks by how often they occur, then by size.
     groups = F.sort_array(F.transform(F.array_distinct("_ranks"), lambda r: F.struct(_count(F.col("_ranks"), r).alias("n"), r.alias("r"))), asc=False)
-    df = df.withColumns({"_flush": suited, "_groups": groups, "_run": _straight(F.col("_ranks"))})
+    df = df.withColumns({"_flush": suited, "_groups": groups, "_run": straight_high(F.col("_ranks"))})
     same = F.when(F.col("_flush").isNotNull(), F.sort_array(F.transform(F.filter(c, lambda x: suit(x) == F.col("_flush")), rank), asc=False))
     df = df.withColumn("_same", same)
     for i in range(2):
@@ -201,7 +201,7 @@ def with_score(df: DataFrame, cards: str, to: str = "score") -> DataFrame:
         df = df.withColumns({f"_n{i}": F.coalesce(g["n"], F.lit(0)), f"_r{i}": g["r"]})
     rest = lambda *used: F.sort_array(F.filter(F.array_distinct("_ranks"), lambda r: ~r.isin(*[F.col(u) for u in used])), asc=False)
     full = F.array_max(F.transform(F.filter("_groups", lambda g: (g["n"] >= 2) & (g["r"] != F.col("_r0"))), lambda g: g["r"]))
-    df = df.withColumns({"_full": full, "_flush_run": F.when(F.col("_flush").isNotNull(), _straight(F.col("_same")))})
+    df = df.withColumns({"_full": full, "_flush_run": F.when(F.col("_flush").isNotNull(), straight_high(F.col("_same")))})
 
     def hand(n: int, *parts) -> Column:
         """Strings name single ranks, Columns are arrays of them."""

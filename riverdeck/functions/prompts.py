@@ -167,6 +167,17 @@ def enforce_structured(text: Column, gold: Column) -> Column:
     return F.concat(F.coalesce(head, F.concat(body, F.lit("\n\n### Action"))), F.lit("\n"), action_line(gold))
 
 
+def labeler_prompt(instruction: Column, gold: Column) -> Column:
+    """What a labeler is asked: the situation, the solver's action, and how to end."""
+    g = F.trim(gold)
+    return F.concat(F.lit("Situation:\n"), F.trim(instruction), F.lit("\n\nGold action (from the solver): "), g, F.lit("\n\nWrite the reasoning trace, ending with 'Decision: "), g, F.lit("'."))
+
+
+def student_content(reasoning: Column, action: Column, structured: bool = False) -> Column:
+    """The assistant's text: a structured one as it is, a concise one with its decision line."""
+    return reasoning if structured else F.concat(F.trim(reasoning), F.lit("\nDecision: "), F.trim(action))
+
+
 def messages(system: Column, user: Column, assistant: Column) -> Column:
     """array<struct<role, content>> of the three, blanks at the ends cut off."""
     one = lambda role, text: F.struct(F.lit(role).alias("role"), F.trim(text).alias("content"))

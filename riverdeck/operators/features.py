@@ -179,3 +179,84 @@ def legacy_pot(pot: Column, call: Column) -> dict[str, Column]:
 def overwrite_merge(df: DataFrame, new: dict[str, Column]) -> DataFrame:
     """New columns beside the old ones; one of the same name takes the old one's place."""
     return df.withColumns(new)
+
+
+def legacy_position(position: Column, players: Column) -> dict[str, Column]:
+    """The older position features; an unknown position has index -1."""
+    i = F.coalesce(lines.position_index(position), F.lit(-1))
+    flag = lambda *p: position.isin(*p).cast("int")
+    return {
+        "position_idx": i,
+        "is_early_position": flag("UTG", "HJ"),
+        "is_middle_position": flag("CO"),
+        "is_late_position": flag("BTN"),
+        "is_blind": flag("SB", "BB"),
+        "position_strength": (i + 1) / 6,
+        "relative_position": F.when(players > 0, i / F.when(players > 0, players)).otherwise(0.0),
+    }
+
+
+#: Action names of the older encoding, by index (fixed values).
+LEGACY_ACTIONS = ("fold", "check", "call", "bet", "raise", "allin")
+
+
+def legacy_actions(seq: Column, amounts: Column) -> dict[str, Column]:
+    """The older encoding of an array of action names and their amounts: counts, aggression capped at 10, the last action's index (-1 without one) and amount."""
+    kinds = ("fold", "call", "bet", "raise", "allin")
+    # The first of the kinds that a name holds counts.
+    of = lambda a: F.coalesce(*[F.when(F.contains(F.lower(a), F.lit(k)), k) for k in kinds])
+    counted = lambda k: F.size(F.filter(seq, lambda a: of(a) == k))
+    n = {k: counted(k) for k in kinds}
+    aggressive = n["bet"] + n["raise"] + n["allin"]
+    factor = F.when(n["call"] > 0, aggressive / F.when(n["call"] > 0, n["call"])).otherwise(aggressive.cast("double"))
+    last = F.array_position(F.array(*[F.lit(a) for a in LEGACY_ACTIONS]), F.lower(F.try_element_at(seq, F.lit(-1))))
+    return {
+        "action_count": F.size(seq),
+        "fold_count": n["fold"],
+        "call_count": n["call"],
+        "raise_count": n["bet"] + n["raise"],
+        "allin_count": n["allin"],
+        "aggression_factor": F.least(factor, F.lit(10.0)),
+        "last_action_type": F.coalesce(F.when(last > 0, last - 1), F.lit(-1)).cast("int"),
+        "last_action_amount": F.coalesce(F.try_element_at(amounts, F.lit(-1)), F.lit(0.0)),
+    }
+
+
+def legacy_counts(seq: Column) -> dict[str, Column]:
+    """Per kind, the actions whose name holds it (a name may count for several)."""
+    holding = lambda k: F.size(F.filter(seq, lambda a: F.contains(F.lower(a), F.lit(k))))
+    return {"num_actions": F.size(seq), **{f"num_{k}": holding(k) for k in ("fold", "call", "bet", "raise", "allin")}}
+
+
+def legacy_pot_features(pot: Column, stack: Column, bet: Column) -> dict[str, Column]:
+    spr = F.when(pot > 0, stack / F.when(pot > 0, pot)).otherwise(999.0)
+    part = lambda a, b: F.when(b > 0, a / F.when(b > 0, b)).otherwise(0.0)
+    return {
+        "spr": F.least(spr, F.lit(50.0)),
+        "pot_to_stack_ratio": part(pot, stack),
+        "is_low_spr": (spr < 3).cast("int"),
+        "is_medium_spr": spr.between(3, 8).cast("int"),
+        "is_high_spr": (spr > 8).cast("int"),
+        "last_bet_to_pot": part(bet, pot),
+        "pot_odds": F.when(bet > 0, pot / F.when(bet > 0, pot + bet)).otherwise(0.0),
+    }
+
+
+def legacy_cards(hand: Column) -> dict[str, Column]:
+    """Ranks and suits of a hand of four characters; ``?`` where it has others."""
+    part = lambda i: F.when(F.length(hand) == 4, F.substring(hand, i, 1)).otherwise("?")
+    return {"card1_rank": part(1), "card1_suit": part(2), "card2_rank": part(3), "card2_suit": part(4)}
+
+
+def numeric_columns(df: DataFrame, targets: tuple[str, ...] = ("label", "villain_fold", "y")) -> list[str]:
+    """Columns of a numeric type that are no targets."""
+    from pyspark.sql import types as T
+
+    return [f.name for f in df.schema if isinstance(f.dataType, T.NumericType) and f.name not in targets]
+
+
+def made_hand(score: Column, hole: Column) -> Column:
+    """0 nothing, 1 a pair with one hole card or on the board, 2 a pocket pair or two pair, 3 better; from a score of hand and board."""
+    kind, paired = F.get(score, F.lit(0)), F.get(score, F.lit(1))
+    pocket = (cards.high(hole) == paired) & (cards.low(hole) == paired)
+    return F.when(kind >= 3, 3).when(kind == 2, 2).when(kind == 1, F.when(pocket, 2).otherwise(1)).otherwise(0)
