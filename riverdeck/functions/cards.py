@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from . import let
+
 RANKS = "23456789TJQKA"
 SUITS = "shdc"
 
@@ -156,13 +158,10 @@ BOARD_FEATURES = ("board_high_card board_low_card board_spread board_is_paired b
 
 def board_texture(board: Column) -> dict[str, Column]:
     """The 14 board features of an array of cards; all 0 for an empty board."""
-    ranks = F.transform(board, rank)
-    n = F.size(board)
-    distinct = F.array_distinct(ranks)
-    most_rank = F.array_max(F.transform(ranks, lambda r: _count(ranks, r)))
-    suits = F.transform(board, suit)
-    most_suit = F.array_max(F.transform(suits, lambda s: _count(suits, s)))
-    run = longest_run(distinct)
+    ranks, suits = F.transform(board, rank), F.transform(board, suit)
+    most = lambda a: let(a, lambda v: F.array_max(F.transform(v, lambda x: _count(v, x))))
+    n, most_rank, most_suit = F.size(board), most(ranks), most(suits)
+    run = let(F.array_distinct(ranks), longest_run)
     hi, lo = F.array_max(ranks), F.array_min(ranks)
     wheel = F.array_contains(ranks, 14) & F.array_contains(ranks, 2) & F.array_contains(ranks, 3)
     values = [

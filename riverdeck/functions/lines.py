@@ -6,6 +6,8 @@ from itertools import product
 
 from pyspark.sql import Column, functions as F
 
+from . import let
+
 POSITIONS = ("UTG", "HJ", "CO", "BTN", "SB", "BB")
 #: Words of a line and the action they stand for (fixed values).
 VERBS = {"fold": "fold", "check": "check", "call": "call", "allin": "allin", "raise": "raise", "bet": "raise", "post": "post"}
@@ -36,19 +38,22 @@ def events(line: Column) -> Column:
 
     Positions and verbs have no word in common, so each token can be judged by itself and the next two.
     """
-    t = tokens(line)
     verb = F.create_map(*[F.lit(x) for kv in VERBS.items() for x in kv])
 
-    def at(i: Column) -> Column:
-        here, a, b = F.get(t, i), F.get(t, i + 1), F.get(t, i + 2)
-        size, word = _amount(a), F.try_element_at(verb, F.lower(a))
-        action = F.when(size.isNotNull(), F.lit("raise")).otherwise(word)
-        amount = F.when(size.isNotNull(), size).when(word == "allin", _amount(b))
-        return F.struct(here.alias("position"), F.when(here.isin(*POSITIONS), action).alias("action"), amount.alias("amount_bb"))
+    def judged(t: Column) -> Column:
+        def at(here: Column, i: Column) -> Column:
+            return let(F.get(t, i + 1), lambda a: let(_amount(a), lambda size: event(here, i, a, size)))
+
+        def event(here: Column, i: Column, a: Column, size: Column) -> Column:
+            word = F.try_element_at(verb, F.lower(a))
+            action = F.when(size.isNotNull(), F.lit("raise")).otherwise(word)
+            amount = F.when(size.isNotNull(), size).when(word == "allin", _amount(F.get(t, i + 2)))
+            return F.struct(here.alias("position"), action.alias("action"), amount.alias("amount_bb"))
 
-    n = F.size(t)
-    found = F.filter(F.transform(F.sequence(F.lit(0), F.greatest(n - 2, F.lit(0))), at), lambda e: e["action"].isNotNull())
-    return F.when(n >= 2, found).otherwise(F.array().cast(f"array<{EVENT}>"))
+        # Only what stands at a position is looked at further.
+        return F.filter(F.transform(t, lambda here, i: F.when(here.isin(*POSITIONS), at(here, i))), lambda e: e["action"].isNotNull())
+
+    return let(tokens(line), judged)
 
 
 def count_of(ev: Column, *actions: str) -> Column:
@@ -93,18 +98,24 @@ def decision_type(ev: Column) -> Column:
 
 def villain_fold(ev: Column) -> Column:
     """1 if the first fold, call, raise or all-in after the last aggression is a fold, else 0; -1 if nothing follows or nobody was aggressive."""
-    turned = F.array_position(F.reverse(F.transform(ev, lambda e: e["action"].isin(*AGGRESSIVE))), True)
-    after = F.slice(ev, F.size(ev) - turned.cast("int") + 2, F.greatest(turned.cast("int") - 1, F.lit(0)))
-    answer = F.get(F.filter(after, lambda e: e["action"].isin("fold", "call", *AGGRESSIVE)), F.lit(0))["action"]
-    return F.when((turned == 0) | answer.isNull(), -1).when(answer == "fold", 1).otherwise(0)
+
+    def answered(turned: Column) -> Column:
+        after = F.slice(ev, F.size(ev) - turned + 2, F.greatest(turned - 1, F.lit(0)))
+        answer = F.get(F.filter(after, lambda e: e["action"].isin("fold", "call", *AGGRESSIVE)), F.lit(0))["action"]
+        return let(answer, lambda a: F.when((turned == 0) | a.isNull(), -1).when(a == "fold", 1).otherwise(0))
+
+    return let(F.array_position(F.reverse(F.transform(ev, lambda e: e["action"].isin(*AGGRESSIVE))), True).cast("int"), answered)
 
 
 def active_opponents(ev: Column, hero: Column) -> Column:
-    """Positions other than the hero's whose last event isn't a fold."""
-    others = F.filter(ev, lambda e: e["position"] != hero)
-    who = F.array_distinct(F.transform(others, lambda e: e["position"]))
-    last = lambda p: F.try_element_at(F.filter(others, lambda e: e["position"] == p), F.lit(-1))["action"]
-    return F.size(F.filter(who, lambda p: last(p) != "fold"))
+    """Positions other than the hero's whose last event isn't a fold: one pass that keeps a bit for each position."""
+    bits = F.create_map(*[F.lit(x) for i, p in enumerate(POSITIONS) for x in (p, 1 << i)])
+
+    def step(mask: Column, e: Column) -> Column:
+        bit = F.coalesce(F.try_element_at(bits, e["position"]), F.lit(0))
+        return F.when(e["position"] == hero, mask).when(e["action"] == "fold", mask.bitwiseAND(F.bitwise_not(bit))).otherwise(mask.bitwiseOR(bit))
+
+    return F.bit_count(F.aggregate(ev, F.lit(0), step))
 
 
 def format_g(x: Column) -> Column:
@@ -122,11 +133,9 @@ def event_token(e: Column) -> Column:
 
 def legacy_actions(line: Column) -> Column:
     """The older reading: tokens by twos, position then action; the first sized one is a bet, later ones raises; others as they stand."""
-    t = tokens(line)
-    n = F.size(t)
-    raw = F.when(n >= 2, F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1)), F.lit(2)), lambda i: F.get(t, i))).otherwise(F.array().cast("array<string>"))
+    raw = F.filter(tokens(line), lambda x, i: i % 2 == 1)
     sized = lambda x: F.contains(F.lower(x), F.lit("bb"))
-    return F.transform(raw, lambda x, i: F.when(~sized(x), x).when(F.exists(F.slice(raw, 1, i), sized), "raise").otherwise("bet"))
+    return let(raw, lambda r: F.transform(r, lambda x, i: F.when(~sized(x), x).when(F.exists(F.slice(r, 1, i), sized), "raise").otherwise("bet")))
 
 
 def pattern_dimension(spark):

@@ -39,8 +39,9 @@ select o_orderkey, o_custkey, {_seat('o_orderkey')} as hero_pos,
 from orders
 """
 
+#: Both sides are as large as the orders, so neither is broadcast; the lines are already dealt by order.
 SCENARIOS = f"""
-select split, o_orderkey as source_index, hero_pos, concat({_CARD.format(c='c1')}, {_CARD.format(c='c2')}) as hero_holding,
+select /*+ merge(l) */ split, o_orderkey as source_index, hero_pos, concat({_CARD.format(c='c1')}, {_CARD.format(c='c2')}) as hero_holding,
   prev_line, cast(2 + o_orderkey % 5 as int) as num_players, cast(o_orderkey % 4 as int) as num_bets,
   (3 + o_orderkey % 40) * 0.5E0 as pot_size,
   case cast(o_orderkey % 3 as int) when 0 then cast(null as double) when 1 then 0.0E0 else 20.0E0 + o_orderkey % 100 end as hero_stack_bb,
