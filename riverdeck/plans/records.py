@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import labels, lines, prompts, reasoning
 from ..operators import features, promptdb, rewards
 from ..sources import bridge, readers, sinks
-from . import duck
+from . import duck, scenario
 from .registry import query
 
 
@@ -46,7 +46,12 @@ def fn_template_reasoning(spark, sf):
     return bridge.scenarios(spark, sf).select("source_index", reasoning.concise(F.col("instruction"), F.lit("x")).alias("text"))
 
 
-@query("fn_template_structured")
+_STRUCTURED = duck.RAW.join(["with ", ""]) + """select source_index, concat('### Strategic Analysis', chr(10), 'Hero is in BTN.', chr(10), 'The pot is un-opened relative to hero, so we lean on our opening range.', chr(10), chr(10), '### Mathematical Calculations', chr(10),
+  '* Pot size: ', cast(pot_size as varchar), ' BB', chr(10), '* Bet to call: 4 BB', chr(10), '* Required equity: ', printf('%.1f', 4 / (pot_size + 4) * 100), '%', chr(10), '* SPR: ', printf('%.2f', 100 / pot_size), chr(10), '* Effective stack: 100 BB', chr(10), chr(10), '### Action', chr(10),
+  case source_index % 13 when 0 then 'FOLD' when 1 then 'CALL' when 2 then '3.0BB' when 3 then 'RAISE 13.1 BB' when 4 then 'ALLIN' when 5 then 'CHECK' when 6 then 'BET 24 BB' when 7 then 'FOLD' when 8 then 'ALLIN' when 9 then 'WTF' when 10 then 'RAISE 7.5 BB' when 11 then 'CHECK' else 'GOING ALL-IN' end) as text from raw"""
+
+
+@query("fn_template_structured", _STRUCTURED)
 def fn_template_structured(spark, sf):
     text = F.concat(F.lit("position: BTN, stack 100 bb, pot "), F.col("pot_size").cast("string"), F.lit(" bb, villain bets 4 BB"))
     return bridge.scenarios(spark, sf).select("source_index", reasoning.structured(text, F.coalesce("correct_decision", F.lit(""))).alias("text"))
@@ -214,7 +219,7 @@ def set_active_minus_folded(spark, sf):
     return s.select("source_index", lines.active_opponents(F.col("events"), F.col("hero_pos")).cast("long").alias("n_active"))
 
 
-@query("fn_action_pattern_hash")
+@query("fn_action_pattern_hash", duck.with_(duck.RAW, duck.EVENTS, scenario.PATTERN) + "select source_index, pattern_hash as action_pattern_hash from pat")
 def fn_action_pattern_hash(spark, sf):
     s = features.samples(bridge.scenarios(spark, sf)).select("source_index", lines.pattern(F.col("events")).alias("pattern"))
     return s.join(F.broadcast(lines.pattern_dimension(spark)), "pattern").select("source_index", "action_pattern_hash")

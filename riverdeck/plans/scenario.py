@@ -156,7 +156,33 @@ def win_last_aggressor(spark, sf):
     return _light(spark, sf).select("source_index", lines.last_aggressor(F.col("events")).alias("aggressor"), lines.last_aggressor(F.col("events"), F.col("hero_pos")).alias("other"))
 
 
-@query("prj_feature_row")
+_P1, _P2, _P5, _M = 11400714785074694791, 14029467366897019727, 2870177450012600261, 1 << 64
+_STEP = f"(a + c * {_P2}::uhugeint) % {_M}::uhugeint"
+#: The interpreter's hash of a tuple of small integers in 64-bit arithmetic, then modulo 1000 as a signed number.
+PATTERN = f"""
+codes as (select split, source_index, list((case action when 'post' then 0 when 'fold' then 1 when 'call' then 2 when 'raise' then 3 when 'allin' then 4 else 5 end)::uhugeint order by seq) filter (where seq < 6) as l from ev group by 1, 2),
+lists6 as (select split, source_index, coalesce(l, []) as l from raw left join codes using (split, source_index)),
+mixed as (select split, source_index, len(l) as n, list_reduce(l, lambda a, c: ((({_STEP}) * {1 << 31}::uhugeint % {_M}::uhugeint + ({_STEP}) // {1 << 33}::uhugeint) * {_P1}::uhugeint) % {_M}::uhugeint, {_P5}::uhugeint) as acc from lists6),
+added as (select split, source_index, (acc + (case n {' '.join(f'when {n} then {n ^ (_P5 ^ 3527539)}::uhugeint' for n in range(7))} end)) % {_M}::uhugeint as h from mixed),
+pat as (select split, source_index, cast(case when h >= {1 << 63}::uhugeint then (h % 1000 + {1000 - (1 << 64) % 1000}) % 1000 else h % 1000 end as int) as pattern_hash from added)
+"""
+_F = lambda c: f"cast(({c})::int as double)"
+_RAISES = "coalesce(n_raise + n_allin, 0)"
+_POS = "case {} when 'UTG' then 0 when 'HJ' then 1 when 'CO' then 2 when 'BTN' then 3 when 'SB' then 4 when 'BB' then 5 end"
+FEATURE_ROW = duck.with_(duck.RAW, duck.EVENTS, duck.COUNTS, duck.HANDS, PATTERN) + f""", x as (
+  select raw.*, hand_class, class_index, hi, lo, suited, gap, chen, n, n_raise, n_allin, n_call, n_fold, last_bet, aggressor, coalesce(max_bet, 0) as b, coalesce(nullif(raw.hero_stack_bb, 0), 100) as s, pot_size as p, {_EQUITY} as eq, {_POS.format('raw.hero_pos')} as i, pattern_hash
+  from raw join chen using (split, source_index) left join cnt using (split, source_index) left join pat using (split, source_index) left join {_EQ} using (hand_class))
+select split, source_index, {_F('class_index')} as hand_class_idx, {_F('hi')} as high_rank, {_F('lo')} as low_rank, {_F('hi = lo')} as is_pair, {_F('suited')} as is_suited, {_F('gap = 0 and hi <> lo')} as is_connector, {_F('lo >= 10')} as is_broadway, {_F('gap')} as gap, chen as chen_strength,
+  eq as equity_vs_random, eq * {_FACTOR} as equity_vs_range, {_F('i')} as pos_idx, {_F('i >= 4')} as pos_is_blind, {_F('i = 3')} as pos_is_btn, {_F('i <= 1')} as pos_is_early, {_F('case when i < num_players then num_players - 1 - i else 0 end')} as seats_to_act_after, {_F('num_players')} as num_players, {_F('(9 - i) % 6')} as position_relative,
+  {_F('coalesce(n, 0)')} as num_events, {_F(_RAISES)} as num_raises, {_F('coalesce(n_call, 0)')} as num_callers, {_F('coalesce(n_fold, 0)')} as num_folds, {_F('coalesce(n_allin, 0)')} as num_allins, coalesce(last_bet, 0) as last_bet_bb, b as max_bet_bb, {_F(f"coalesce({_POS.format('aggressor')}, -1)")} as aggressor_pos_idx,
+  {_F(f'{_RAISES} = 0')} as is_open_pot, {_F(f'{_RAISES} >= 2')} as is_3bet_pot, {_F(f'{_RAISES} >= 3')} as is_4bet_pot, {_F(f'{_RAISES} >= 2 and n_call >= 1')} as is_squeeze, {_F('pattern_hash')} as action_pattern_hash,
+  s as hero_stack_bb, p as pot_bb, b as facing_bet_bb, case when b + p > 0 then b / (b + p) else 0 end as pot_odds, case when p > 0 then s / p else 0 end as spr_proxy, {_F('s <= 25')} as allin_threshold, {_F('s >= 100')} as deep_stack, case when s + p > 0 then b / (s + p) else 0 end as pot_commitment, least(s, p + b) as effective_stack_bb,
+  {_F('source_index % 5 = 1')} as can_check, {_F('source_index % 5 in (0, 1, 4)')} as can_fold, {_F('source_index % 5 = 0')} as can_call, {duck.canonical('correct_decision')} as label,
+  case when a is null then -1 when a = 'fold' then 1 else 0 end as villain_fold
+from x left join (select ev.split, ev.source_index, arg_min(action, seq) as a from ev join cnt using (split, source_index) where seq > last_seq and action in ('fold', 'call', 'raise', 'allin') group by 1, 2) answer using (split, source_index)"""
+
+
+@query("prj_feature_row", FEATURE_ROW)
 def prj_feature_row(spark, sf):
     return features.features(features.samples(_raw(spark, sf)))
 

@@ -137,7 +137,16 @@ def fn_hand_score_7(spark, sf):
     return cards.with_score(hands, "cards").select("o_orderkey", cards.category(F.col("score")).alias("category"))
 
 
-@query("sim_player_heuristic")
+_RULE = duck.with_(duck.RAW, duck.EVENTS, duck.COUNTS, duck.HANDS) + """, x as (
+  select chen.source_index, chen.hero_pos, chen.chen as s, pot_size as pot, coalesce(max_bet, 0) as b, greatest(coalesce(max_bet, 0) - 0.5e0, 0) as owed, chen.hero_pos in ('BTN', 'CO', 'HJ') as late, chen.hero_pos in ('SB', 'BB') as blind
+  from chen join raw using (split, source_index) left join cnt using (split, source_index)),
+y as (select *, owed <= 1e-9 as can_check, 100.5e0 > b + 1e-9 as can_raise, case when owed > 1e-9 then least(owed, 100.0e0) else 0 end as to_call from x),
+z as (select *, case when s >= 9 and can_raise then 'strong' when s >= 9 and to_call > pot * 2 then 'allin' when s >= 6 and can_raise and (late or to_call <= 1) then 'open' when s >= 6 and not can_check and to_call <= 5 then 'call'
+  when s >= 4 and can_check then 'check' when s >= 4 and not can_check and to_call <= 2 and (blind or late) then 'call' when can_check then 'check' else 'fold' end as k from y)
+select source_index, case when k in ('strong', 'open') then 'raise' else k end as kind, case when k = 'strong' then round(least(100.5e0, greatest(least(b + 1.0e0, 100.5e0), pot * 3.0e0)), 2) when k = 'open' then round(least(100.5e0, greatest(least(b + 1.0e0, 100.5e0), pot * 2.5e0)), 2) end as amount_bb from z"""
+
+
+@query("sim_player_heuristic", _RULE)
 def sim_player_heuristic(spark, sf):
     raw = bridge.scenarios(spark, sf)
     legal = rewards.legal_actions(lines.facing_bet(lines.events(F.col("prev_line"))), F.lit(0.5), F.lit(100.0), F.lit(1.0), F.lit(1.0))
