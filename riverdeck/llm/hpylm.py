@@ -36,13 +36,14 @@ from .common import Numbering, cut, mix64, slices, texts
 SKETCH = 1 << 20
 HOT = 1 << 19
 EXACT = 48
-#: Tokens of a block, pairs of a bucket and words of a bucket, about.
-BLOCK, PAIRS, WORDS = 1 << 21, 1 << 21, 1 << 20
-
 
 @dataclass(frozen=True)
 class HpyParams:
-    """discount and strength of the context restaurants, and of the parent; sweeps before the first sample; samples averaged."""
+    """discount and strength of the context restaurants, and of the parent; sweeps before the first sample; samples averaged.
+
+    block, pairs, words: about how many tokens a block, word pairs a bucket and words a bucket of words have.  They follow the memory of a task (some 100 bytes for
+    each); with larger ones on a larger cluster, fewer and larger pieces are exchanged: blocks times buckets at most.
+    """
 
     discount: float = 0.8
     strength: float = 8.0
@@ -51,6 +52,9 @@ class HpyParams:
     burn_in: int = 2
     samples: int = 3
     seed: int = 7
+    block: int = 1 << 21
+    pairs: int = 1 << 21
+    words: int = 1 << 20
 
 
 def _hash(words: list[bytes]) -> np.ndarray:
@@ -137,7 +141,7 @@ def _slot(names: np.ndarray) -> np.ndarray:
     return (names % np.uint64(SKETCH)).astype(np.int64)
 
 
-def blocks(docs: DataFrame, text: str = "text") -> DataFrame:
+def blocks(docs: DataFrame, block: int, text: str = "text") -> DataFrame:
     """Documents as word numbers: block, doc_ids, held_out, counts, seq, vocabulary (blank-joined; the end token is empty and first)."""
 
     def run(batches):
@@ -168,7 +172,7 @@ def blocks(docs: DataFrame, text: str = "text") -> DataFrame:
                     ids.append(doc), held.append(bool(out)), counts.append(len(w))
                     seqs.append(np.fromiter(map(seen.__getitem__, w), np.int32, len(w)))
                     size += len(w)
-                    if size >= BLOCK:
+                    if size >= block:
                         yield row()
                         number += 1
                         ids, held, counts, seqs, seen = fresh()
@@ -207,10 +211,10 @@ def fit_and_score(docs: DataFrame, params: HpyParams = HpyParams()) -> DataFrame
     spark = docs.sparkSession
     p, S = params, params.samples
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    table = cut(blocks(docs), "blocks")
+    table = cut(blocks(docs, p.block), "blocks")
     total = table.agg(F.sum("n_tokens"), F.sum("n_words")).first()
-    pair_buckets = max(least, math.ceil((total[0] or 0) / PAIRS))
-    word_buckets = max(least, math.ceil((total[1] or 0) / WORDS))
+    pair_buckets = max(least, math.ceil((total[0] or 0) / p.pairs))
+    word_buckets = max(least, math.ceil((total[1] or 0) / p.words))
 
     def slots(batches):
         for b in _over_blocks(batches):
