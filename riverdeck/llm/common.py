@@ -19,7 +19,7 @@ ALNUM = bytes(
 )
 
 #: Text handled at once inside a task, in bytes.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -113,14 +113,14 @@ def labelled_sample(spark: SparkSession, labels: DataFrame, column: str, limit:
     if where is not None:
         rows = rows.where(where)
     rows = rows.groupBy("doc_id").agg(F.max(column).cast("int").alias("label"))
+    # With many more labels than wanted, a share of the hash range keeps nearly as many as wanted, so that the sort below is of a bounded number of rows.
+    n = rows.count()
+    if n > limit:
+        least, span = -(1 << 63), 1 << 64
+        rows = rows.where(F.xxhash64("doc_id") <= F.lit(least + min(span - 1, int(span * 1.1 * limit / n))).cast("long"))
     return rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
 
 
-def bucket_of(words_: list[bytes], start: dict[bytes, int]) -> np.ndarray:
-    """Number words by first occurrence, in the dictionary given (a ``Numbering``)."""
-    return np.fromiter(map(start.__getitem__, words_), np.int64, len(words_))
-
-
 class Numbering(dict):
     """Gives each new key the next number."""
 

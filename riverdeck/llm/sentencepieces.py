@@ -28,7 +28,7 @@ from .common import Numbering, add_columns, texts
 #: The model's sign for a blank.
 BLANK = "▁".encode()
 #: Bytes of distinct segments indexed together.
-CHUNK = 1 << 19
+CHUNK = 1 << 18
 LONG = 256
 _FAR = np.int64(1) << np.int64(62)
 
