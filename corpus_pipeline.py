@@ -1,7 +1,7 @@
 """A corpus cleaned in five stages; each stage's result is written as Parquet and read again as the next one's documents.
 
-quality: documents that the quality rules reject go.  near_dedup: one document of each class of near-duplicates stays, the one with
-the smallest doc_id.  decontamination: contaminated documents go, and hit passages are cut out of the others.
+quality: documents that the quality rules reject go.  near_dedup: one document of each class of near copies (five-word shingles,
+Jaccard similarity of 0.8 or more, checked exactly) stays, the one with the smallest doc_id.  decontamination: contaminated documents go, and hit passages are cut out of the others.
 pii: confirmed personal data is replaced by its kind in brackets.  sentencepiece: the remaining texts are encoded.
 
 Rows without doc_id can't be told apart or deduplicated: near_dedup drops them.
@@ -13,7 +13,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from riverdeck.llm import decontaminate, pii as personal, quality as rules, sentencepieces, simhash
+from riverdeck.llm import decontaminate, jaccard, pii as personal, quality as rules, sentencepieces
 from riverdeck.llm.common import shared_dir, table
 
 #: Learned criteria and hashes of the stages are not expressible in SQL.
@@ -36,8 +36,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    classes = simhash.near_duplicates(docs)
-    stay = classes.where("doc_id = component_id").select("doc_id").distinct()
+    rows = jaccard.tagged(docs)
+    rooted = rows.join(jaccard.classes(rows), "_set", "left").select("doc_id", F.coalesce("root", "_set").alias("root"))
+    stay = rooted.groupBy("root").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
     # Rows that repeat a doc_id are one document: its first text stays.  The join has them sorted by doc_id.
     row = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
     kept = docs.join(stay, "doc_id", "left_semi").withColumn("_row", row).where("_row = 1")
