@@ -1,17 +1,19 @@
 """A corpus cleaned in five stages; each stage's result is written as Parquet and read again as the next one's documents.
 
 quality: documents that the quality rules reject go.  near_dedup: one document of each class of near copies (five-word shingles,
-Jaccard similarity of 0.8 or more, checked exactly) stays, the one with the smallest doc_id.  decontamination: contaminated documents go, and hit passages are cut out of the others.
+Jaccard similarity of 0.8 or more, checked exactly) stays, the one with
+the smallest doc_id.  decontamination: contaminated documents go, and hit passages are cut out of the others.
 pii: confirmed personal data is replaced by its kind in brackets.  sentencepiece: the remaining texts are encoded.
 
-Rows without doc_id can't be told apart or deduplicated: near_dedup drops them.
+near_dedup decides row by row: a row without doc_id is deduplicated by its text like any other and stays if its class has no row with one; rows
+that share a doc_id but not their text are kept both.
 """
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from riverdeck.llm import decontaminate, jaccard, pii as personal, quality as rules, sentencepieces
 from riverdeck.llm.common import shared_dir, table
@@ -37,11 +39,12 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = jaccard.tagged(docs)
-    rooted = rows.join(jaccard.classes(rows), "_set", "left").select("doc_id", F.coalesce("root", "_set").alias("root"))
-    stay = rooted.groupBy("root").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
-    # Rows that repeat a doc_id are one document: its first text stays.  The join has them sorted by doc_id.
-    row = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    kept = docs.join(stay, "doc_id", "left_semi").withColumn("_row", row).where("_row = 1")
+    # Rows of a class in their order: by doc_id, a null last; a null text after any other; then by hashes, so that reruns agree.
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), F.xxhash64("text"), F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]), "_row").alias("order")
+    rooted = rows.select("_set", "_row", order).join(jaccard.classes(rows), "_set", "left").select("_row", "order", F.coalesce("root", "_set").alias("root"))
+    first = rooted.groupBy("root").agg(F.min("order").alias("first"))
+    go = rooted.join(first, "root").where("_row <> first._row").select("_row")
+    kept = rows.join(go, "_row", "left_anti")
     return _like(kept, docs)
 
 

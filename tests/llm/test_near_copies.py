@@ -59,3 +59,28 @@ def test_near_copies_of_nothing(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert jaccard.classes(jaccard.tagged(docs)).count() == 0
     assert corpus_pipeline.near_dedup(spark, docs, None).count() == 0
+
+
+def test_rows_stay_whatever_their_doc_id(spark):
+    long = " ".join(f"a{i}" for i in range(60))
+    near = long.replace("a30", "changed") + " end"  # 51 of 61 shingles and more in common
+    rows = [
+        (None, "no id and no copy of it anywhere"),
+        (None, "a copy of seven which has an id"),
+        (7, "a copy of seven which has an id"),
+        (None, "twice the same text without an id"),
+        (None, "twice the same text without an id"),
+        (8, long),
+        (9, near),
+        (9, "nine also names a text of its own"),
+        (9, None),
+        (10, "ten repeated as a whole row here"),
+        (10, "ten repeated as a whole row here"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = corpus_pipeline.near_dedup(spark, docs, None)
+    assert kept.columns == docs.columns
+    want = [rows[0], rows[2], rows[3], rows[5], rows[7], rows[8], rows[9]]
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted(want, key=str)
+    blank = spark.createDataFrame([(4, None), (4, ""), (None, " ")], "doc_id long, text string")
+    assert [tuple(r) for r in corpus_pipeline.near_dedup(spark, blank, None).collect()] == [(4, "")]
