@@ -2,11 +2,11 @@
 
 Tokens are words (A-Z lower-cased; letters, digits, non-ASCII) and, as further features, their beginnings of four to eight characters.
 The log-odds of a feature between toxic and clean training documents has a Dirichlet prior in proportion to its
-frequency in both; features whose z-score passes ``z_min`` and whose log-odds pass ``odds_min`` score their log-odds, every other token, and
-a word's repeats in the same document, score ``background``.  In each document all maximal scoring segments are found in one linear scan.  With
+frequency in both; features whose z-score passes ``z_min`` and whose log-odds pass ``odds_min`` score their log-odds, every other token scores
+``background``.  In each document all maximal scoring segments are found in one linear scan.  With
 the Karlin-Altschul constants lambda and K of the clean training tokens a segment of score S in n tokens has
 the expected count E = K n exp(-lambda S); segments with E below ``e_max`` are significant, and the evidence of a document is their
-summed normalised score less ln(K n).  A logistic curve of the evidence, fitted on the training sample, is the score.
+summed normalised score less ln(K n), in which a toxic word counts once a document.  A logistic curve of the evidence, fitted on the training sample, is the score.
 
 Learning uses at most ``sample`` labelled documents (the first by a hash of the id), exact copies once.  Every document is scored whole.
 
@@ -105,15 +105,18 @@ def _measure(model: ToxicityModel, cache: _Scores, text: bytes) -> tuple[int, fl
     if not n:
         return 0, 0.0, -size, []
     scores = np.fromiter(map(cache.__getitem__, words), np.float64, n)
-    seen = set()
-    for i in np.flatnonzero(scores > 0).tolist():
-        if words[i] in seen:
-            scores[i] = model.params.background
-        seen.add(words[i])
     found = segments(scores)
     limit = (size - math.log(model.params.e_max)) / model.lam
     good = [(a, b, s) for a, b, s in found if s >= limit]
-    return n, max((s for *_, s in found), default=0.0), model.lam * sum(s for *_, s in good) - size, [x for a, b, _ in good for x in (a, b)]
+    # Repeats make segments but no further evidence: a toxic word counts where it first stands in a significant segment.
+    seen, total = set(), 0.0
+    for a, b, s in good:
+        for i in (a + np.flatnonzero(scores[a:b] > 0)).tolist():
+            if words[i] in seen:
+                s -= scores[i]
+            seen.add(words[i])
+        total += max(0.0, float(s))
+    return n, max((s for *_, s in found), default=0.0), model.lam * total - size, [x for a, b, _ in good for x in (a, b)]
 
 
 def _select(counts: list, n1: float, n0: float, p: ToxicityParams) -> dict[bytes, float]:

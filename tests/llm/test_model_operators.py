@@ -169,6 +169,16 @@ def test_toxicity_on_held_out_rows(spark):
     assert right[0, False] >= 0.99 * (right[0, True] + right[0, False])
 
 
+def test_toxic_passages_of_words_seen_before_are_segments():
+    model = toxicity.ToxicityModel(toxicity.ToxicityParams(), {b"bad": 4.0, b"vile": 4.0, b"foul": 4.0})
+    measure = lambda text: toxicity._measure(model, toxicity._Scores(model), text.encode())
+    far = " calm" * 40 + " "
+    assert measure("bad" + far + "vile" + far + "foul" + far + "bad vile foul bad")[3] == [123, 127]
+    once, twice = measure("bad vile foul" + far), measure("bad vile foul" + far + "bad vile foul")
+    assert once[3] == [0, 3] and twice[3] == [0, 3, 43, 46]
+    assert twice[2] <= once[2]  # repeats add no evidence
+
+
 def test_toxicity_takes_anything(spark):
     model = toxicity.fit(spark, awkward(spark), labels(spark))
     out = toxicity.score(awkward(spark), model)
