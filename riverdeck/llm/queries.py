@@ -59,7 +59,8 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text", "expressions")
+    found = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.drop("text").withColumn("expressions", F.array_join("expressions", "; "))
 
 
 def op10_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -338,24 +338,66 @@ def test_license_places(spark, texts):
         assert 0 <= r["score"] <= 1 and set(filter(None, r["base_labels"].split(","))) <= set(r["labels"].split(","))
 
 
+def slow_terms(line):
+    """By recursive descent over a whole well-formed expression: (level, identifiers)."""
+    parts = re.findall(r"[()]|[^\s()]+", line.lower())
+
+    def either(level=0):
+        if level == 2:
+            if parts[0] == "(":
+                parts.pop(0)
+                got = either()
+                assert parts.pop(0) == ")"
+                return got
+            name = parts.pop(0)
+            at = licenses.listed(name)
+            at = 4 if at is None else at
+            if parts and parts[0] == "with":
+                parts.pop(0)
+                with_ = parts.pop(0)
+                return (max(0, at - 1) if at < 4 and with_ in licenses.EXCEPTIONS else at), {f"{name} with {with_}"}
+            return at, {name}
+        got = either(level + 1)
+        while parts and parts[0] == ("or", "and")[level]:
+            parts.pop(0)
+            more = either(level + 1)
+            got = (min, max)[level](got[0], more[0]), got[1] | more[1]
+        return got
+
+    got = either()
+    assert not parts
+    return got
+
+
+_ids = st.sampled_from(["MIT", "GPL-2.0-only", "GPL-2.0-only WITH Classpath-exception-2.0", "MPL-2.0+", "Foo-1", "CC-BY-NC-4.0", "GPL-3.0 WITH Foo"])
+_expressions = st.recursive(_ids, lambda x: st.tuples(x, st.sampled_from(["OR", "and"]), x).map(lambda t: f"({t[0]} {t[1]} {t[2]})") | st.tuples(x, st.sampled_from(["OR", "AND"]), x).map(" ".join), max_leaves=12)
+
+
+@settings(max_examples=300, deadline=None)
+@given(_expressions)
+def test_expressions_equal_recursive_descent(line):
+    level, names = licenses.evaluate(licenses.postfix(line))
+    assert (level, set(names)) == slow_terms(line)
+
+
 @pytest.mark.parametrize(
-    "expression, want",
+    "line, whole, start",
     [
-        ("MIT", {frozenset({"mit"})}),
-        ("MIT OR Apache-2.0 AND BSD-3-Clause", {frozenset({"mit"}), frozenset({"apache-2.0", "bsd-3-clause"})}),
-        ("(MIT OR Apache-2.0) AND ISC", {frozenset({"mit", "isc"}), frozenset({"apache-2.0", "isc"})}),
-        ("GPL-2.0-only WITH Classpath-exception-2.0 OR MIT", {frozenset({"gpl-2.0-only with classpath-exception-2.0"}), frozenset({"mit"})}),
-        ("MIT OR", None), ("(MIT", None), ("MIT Apache", None), ("AND", None), ("", None), ("MIT)", None), ("(MIT OR ISC) WITH x", None),
+        ("MIT", "mit", "mit"), ("MIT OR Apache-2.0 AND BSD-3-Clause", "mit apache-2.0 bsd-3-clause and or", "mit apache-2.0 bsd-3-clause and or"),
+        ("MIT OR", None, "mit"), ("(MIT", None, None), ("MIT see LICENSE", None, "mit"), ("MIT, see", None, "mit"), ("MIT.", None, "mit"), ("AND", None, None), ("", None, None), ("MIT)", None, "mit"),
+        ("(MIT OR ISC) WITH x", None, "mit isc or"), ("MIT */", None, "mit"), ("(MIT AND (ISC OR", None, None),
     ],
 )
-def test_expressions(expression, want):
-    assert licenses.choices(expression) == want
+def test_longest_expression(line, whole, start):
+    for want, got in ((whole, licenses.postfix(line)), (start, licenses.postfix(line, whole=False))):
+        assert got == (want.split() if want else None)
 
 
 def test_spdx_tags(spark):
-    docs = spark.createDataFrame([(1, "// SPDX-License-Identifier: MIT OR Apache-2.0\ncode"), (2, "SPDX-License-Identifier: MIT OR")], "doc_id long, text string")
-    got = {r["doc_id"]: r["labels"] for r in licenses.scan(docs).collect()}
-    assert got == {1: "apache-2.0,mit", 2: "unparsed"}
+    wide = " AND ".join(f"(A{i} OR MIT)" for i in range(40))  # 2 ** 40 choices
+    lines = ["// SPDX-License-Identifier: MIT OR GPL-2.0-only\ncode", "SPDX-License-Identifier: MIT AND GPL-2.0-only\rx", "SPDX-License-Identifier: or", f"ü spdx-license-identifier:{wide}", "SPDX-License-Identifier: MIT, see LICENSE\n# SPDX-License-Identifier: MPL-2.0"]
+    got = {r["doc_id"]: (r["labels"], r["terms"]) for r in licenses.scan(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).collect()}
+    assert got == {0: ("gpl-2.0-only,mit", "permissive"), 1: ("gpl-2.0-only,mit", "copyleft"), 2: ("unparsed", None), 3: ("mit,unlisted", "permissive"), 4: ("mit,mpl-2.0", "weak-copyleft")}
 
 
 def test_licenses_take_anything(spark):
