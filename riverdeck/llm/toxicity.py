@@ -4,11 +4,13 @@ Tokens are words (A-Z lower-cased; letters, digits, non-ASCII) and, as further f
 The log-odds of a feature between toxic and clean training documents has a Dirichlet prior in proportion to its
 frequency in both; features whose z-score passes ``z_min`` and whose log-odds pass ``odds_min`` score their log-odds, every other token scores
 ``background``.  In each document all maximal scoring segments are found in one linear scan.  With
-the Karlin-Altschul constants lambda and K of the clean training tokens a segment of score S in n tokens has
+the constants lambda and K of the extreme-value distribution that the best segments of clean training documents follow, a segment of score S in n tokens has
 the expected count E = K n exp(-lambda S); segments with E below ``e_max`` are significant, and the evidence of a document is their
 summed normalised score less ln(K n), in which a toxic word counts once a document.  A logistic curve of the evidence, fitted on the training sample, is the score.
 
-Learning uses at most ``sample`` labelled documents (the first by a hash of the id), exact copies once.  Every document is scored whole.
+Learning uses at most ``sample`` labelled documents (the first by a hash of the id), exact copies once; every feature of theirs that passes both
+thresholds is kept.  A z-score of 3 takes some nine toxic documents, so there are at most a ninth as many features as different words in all toxic documents
+of the sample.  Every document is scored whole.
 
 Defined cases: a null or empty text has no tokens and gets the score of no evidence; repeated rows are scored alike; without
 toxic or clean training documents the score is 0 throughout; an empty table gives an empty result; extra columns are carried and never
@@ -25,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from .common import add_columns, alnum_words, labelled_sample, texts
+from .common import add_columns, alnum_words, cut, labelled_sample, texts
 
 FIELDS = [
     T.StructField("n_tokens", T.LongType()),
@@ -38,16 +40,13 @@ FIELDS = [
 
 @dataclass(frozen=True)
 class ToxicityParams:
-    """sample: most labelled documents learnt from.  max_features: most features kept, by z-score (bounds what is broadcast)."""
+    """sample: most labelled documents learnt from (bounds what is broadcast)."""
 
     sample: int = 32768
-    max_features: int = 100_000
-    min_docs: int = 4
     z_min: float = 3.0
     odds_min: float = 2.0
     prior: float = 200.0
     background: float = -0.7
-    cap: float = 8.0
     e_max: float = 0.05
 
 
@@ -119,28 +118,34 @@ def _measure(model: ToxicityModel, cache: _Scores, text: bytes) -> tuple[int, fl
     return n, max((s for *_, s in found), default=0.0), model.lam * total - size, [x for a, b, _ in good for x in (a, b)]
 
 
-def _select(counts: list, n1: float, n0: float, p: ToxicityParams) -> dict[bytes, float]:
-    kept = []
-    for feature, y1, y0 in counts:
-        a = p.prior * (y1 + y0) / (n1 + n0)
-        odds = math.log((y1 + a) / (n1 + p.prior - y1 - a)) - math.log((y0 + a) / (n0 + p.prior - y0 - a))
-        z = odds / math.sqrt(1 / (y1 + a) + 1 / (y0 + a))
-        if z >= p.z_min and odds >= p.odds_min:
-            kept.append((z, bytes(feature), min(odds, p.cap), y0 + a))
-    kept.sort(key=lambda x: (-x[0], x[1]))
-    return {f: (s, y) for _, f, s, y in kept[: p.max_features]}
-
-
-def _lambda(values: np.ndarray, shares: np.ndarray) -> float:
-    """The positive root of sum(share * exp(lambda * value)) = 1."""
-    lo, hi = 1e-6, 1.0
-    f = lambda x: float((shares * np.exp(np.minimum(x * values, 700))).sum()) - 1
-    while f(hi) < 0 and hi < 100:
-        hi *= 2
-    for _ in range(80):
-        mid = (lo + hi) / 2
-        lo, hi = (mid, hi) if f(mid) < 0 else (lo, mid)
-    return (lo + hi) / 2
+def _select(counts: DataFrame, n1: float, n0: float, p: ToxicityParams) -> DataFrame:
+    """(feature, odds) of the features whose log-odds and z-score under the Dirichlet prior pass the thresholds."""
+    y1, y0 = F.col("y1"), F.col("y0")
+    a = F.lit(p.prior) * (y1 + y0) / F.lit(n1 + n0)
+    ratio = lambda y, n: F.log(F.try_divide(y + a, F.lit(n + p.prior) - y - a))
+    odds = ratio(y1, n1) - ratio(y0, n0)
+    z = F.col("odds") / F.sqrt(1 / (y1 + a) + 1 / (y0 + a))
+    # A feature of every document tells nothing: its odds are null, and it goes.
+    return counts.where("feature is not null").withColumn("odds", odds).where((F.col("odds") >= p.odds_min) & (z >= p.z_min)).select("feature", "odds")
+
+
+def extreme_value(n: np.ndarray, best: np.ndarray, least: float) -> tuple[float, float]:
+    """lambda and K by maximum likelihood, if the best segment of n tokens is below x with the chance exp(-K n exp(-lambda x)).
+
+    A best score below ``least``, the smallest that a segment can have, says only that there is none.  For each lambda the best K is known in closed
+    form; lambda is found on a grid between 0.02 and 20, finer than one percent.
+    """
+    if not len(n):
+        return 1.0, 0.1
+    there = best >= least
+    at = np.where(there, best, least)
+    found, total = max(1, int(there.sum())), float(best[there].sum())
+    likely = []
+    for lam in np.exp(np.linspace(math.log(0.02), math.log(20), 800)):
+        k = found / float((n * np.exp(-lam * at)).sum())
+        likely.append((found * math.log(k * lam) - lam * total, lam, k))
+    _, lam, k = max(likely)
+    return float(lam), float(min(1.0, max(k, 1e-9)))
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -162,7 +167,9 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, train: Column | None = None, params: ToxicityParams = ToxicityParams()) -> ToxicityModel:
     """Learn from labelled documents where ``train`` (a condition on doc_id) holds."""
     sample = F.broadcast(labelled_sample(spark, labels, "toxic", params.sample, train))
-    rows = docs.select("doc_id", "text").join(sample, "doc_id").select("text", "label").dropDuplicates()
+    found = docs.select("doc_id", "text").join(sample, "doc_id").select("text", "label", F.monotonically_increasing_id().alias("row"), F.xxhash64("text").alias("same"))
+    found = cut(found, "toxicity-sample")
+    rows = found.join(found.groupBy("same", "label").agg(F.min("row").alias("row")).select("row"), "row", "left_semi").select("text", "label")
 
     def count(batches):
         toxic, clean, docs_, tokens = Counter(), Counter(), [0, 0], 0
@@ -184,25 +191,16 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, train: Column |
         yield pa.RecordBatch.from_arrays([pa.array([None, *keys], pa.binary()), pa.array([docs_[1], *(toxic[x] for x in keys)], pa.int64()), pa.array([docs_[0], *(clean[x] for x in keys)], pa.int64())], names=["feature", "toxic", "clean"])
 
     counts = rows.mapInArrow(count, "feature binary, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("y1"), F.sum("clean").alias("y0"))
-    # The features most over-represented among toxic documents; the bound holds however many documents there are.
-    top = counts.where(f"feature is null or y1 >= {params.min_docs}").orderBy(F.col("feature").isNull().desc(), F.expr("y1 * y1 / (y1 + 4 * y0)").desc(), "feature").limit(4 * params.max_features + 1).collect()
-    sizes = [x for x in top if x[0] is None]
-    n1, n0 = (float(sizes[0][1]), float(sizes[0][2])) if sizes else (0.0, 0.0)
+    counts = cut(counts, "toxicity-counts")
+    sizes = counts.where("feature is null").first()
+    n1, n0 = (float(sizes[1]), float(sizes[2])) if sizes else (0.0, 0.0)
     if not n1 or not n0:
         return ToxicityModel(params, {})
-    chosen = _select([x for x in top if x[0] is not None], n1, n0, params)
-    model = ToxicityModel(params, {f: s for f, (s, _) in chosen.items()})
-    # Karlin-Altschul: how scores are spread in clean text, per document of about 300 different words.
-    values = np.array([s for s, _ in chosen.values()] + [params.background])
-    shares = np.array([y / (n0 + params.prior) / 300 for _, y in chosen.values()])
-    shares = np.append(shares, max(1e-9, 1 - shares.sum()))
-    model = ToxicityModel(params, model.features, _lambda(values, shares), 0.1)
-    measured = score(rows, model).select("label", "n_tokens", "max_segment", "evidence").collect()  # ``sample`` rows at most
-    label, n, top_score = (np.array([x[i] for x in measured], float) for i in range(3))
-    clean = label == 0
-    s0 = 1.0
-    k = (np.sum(top_score[clean] >= s0) + 1) / max(1.0, n[clean].sum()) * math.exp(model.lam * s0)
-    model = ToxicityModel(params, model.features, model.lam, float(min(1.0, max(k, 1e-6))))
+    model = ToxicityModel(params, {bytes(f): x for f, x in _select(counts, n1, n0, params).sort("feature").toLocalIterator()})
+
+    best = score(rows, model).select("label", "n_tokens", "max_segment").where("label = 0 and n_tokens > 0").collect()  # ``sample`` rows at most
+    lam, k = extreme_value(np.array([x[1] for x in best], float), np.array([x[2] for x in best], float), min(model.features.values(), default=params.odds_min))
+    model = ToxicityModel(params, model.features, lam, k)
     measured = score(rows, model).select("label", "evidence").collect()
     slope, bias = _logistic(np.array([x[1] for x in measured]), np.array([x[0] for x in measured], float))
     return ToxicityModel(params, model.features, model.lam, model.k, slope, bias)
@@ -210,7 +208,7 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, train: Column |
 
 def score(docs: DataFrame, model: ToxicityModel, text: str = "text") -> DataFrame:
     """``docs`` with the tokens, best segment, evidence, significant segments (start and end token, in turns) and score of every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # max_features entries at most
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the labelled sample, see above
 
     def make():
         m = shared.value

@@ -11,6 +11,7 @@ from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from riverdeck.llm import hpylm, packing, sentencepieces, toolcalls, toxicity
+from riverdeck.llm.common import alnum_words
 from tests.llm.helpers import LONG, awkward, empty, labels
 from tests.oracle import duck_rows, spark_rows
 
@@ -179,6 +180,82 @@ def test_toxic_passages_of_words_seen_before_are_segments():
     assert twice[2] <= once[2]  # repeats add no evidence
 
 
+def test_extreme_value_constants_are_found_again():
+    rng = np.random.default_rng(4)
+    n = rng.integers(50, 2000, 20000).astype(float)
+    best = np.log(0.02 * n / rng.exponential(size=len(n))) / 1.7  # P(best < x) = exp(-K n exp(-lambda x))
+    lam, k = toxicity.extreme_value(n, np.where(best < 2, 0, best), 2.0)
+    assert lam == pytest.approx(1.7, rel=0.03) and k == pytest.approx(0.02, rel=0.1)
+    assert all(np.isfinite(toxicity.extreme_value(n, np.zeros(len(n)), 2.0)))
+
+
+def slow_toxicity(train, docs, p):
+    """The model and the scores by the definitions, in plain loops."""
+    train = list({(t or "", y) for t, y in train})
+    size = [sum(y == k for _, y in train) for k in (0, 1)]
+    sets = [(set(f for w in alnum_words(t.encode()) for f in toxicity.features_of(w)), y) for t, y in train]
+    odds = {}
+    for f in set().union(*(s for s, _ in sets)):
+        y = [sum(f in s for s, k in sets if k == j) for j in (0, 1)]
+        a = p.prior * sum(y) / sum(size)
+        parts = [(y[j] + a) / (size[j] + p.prior - y[j] - a) if size[j] + p.prior > y[j] + a else None for j in (0, 1)]
+        if None not in parts and (o := math.log(parts[1]) - math.log(parts[0])) >= p.odds_min and o / math.sqrt(1 / (y[1] + a) + 1 / (y[0] + a)) >= p.z_min:
+            odds[f] = o
+
+    def points(words):
+        return [max((odds[f] for f in toxicity.features_of(w) if f in odds), default=p.background) for w in words]
+
+    def maximal(scores, a, b):
+        """The best segment, the shortest and first of equals, then the same on either side."""
+        best = max(((round(sum(scores[i:j]), 9), i - j, -i, i, j) for i in range(a, b) for j in range(i + 1, b + 1)), default=(0,))
+        return [] if best[0] <= 0 else [*maximal(scores, a, best[3]), (best[3], best[4], sum(scores[best[3] : best[4]])), *maximal(scores, best[4], b)]
+
+    def found(t):
+        words = alnum_words((t or "").encode())
+        scores = points(words)
+        return words, scores, maximal(scores, 0, len(words))
+
+    clean = [found(t) for t, y in train if not y]
+    clean = [(len(w), max((s for *_, s in x), default=0.0)) for w, _, x in clean if w]
+    lam, k = toxicity.extreme_value(*map(np.array, zip(*[(float(a), b) for a, b in clean])), min(odds.values()))
+
+    def evidence(t):
+        words, scores, segments = found(t)
+        base = math.log(max(k * max(1, len(words)), 1e-9))
+        seen, total = set(), 0.0
+        for a, b, s in segments:
+            if k * len(words) * math.exp(-lam * s) <= p.e_max * (1 + 1e-12):
+                for i in range(a, b):
+                    if scores[i] > 0:
+                        s -= scores[i] if words[i] in seen else 0
+                        seen.add(words[i])
+                total += max(0.0, s)
+        return lam * total - base
+
+    x, y = np.array([evidence(t) for t, _ in train]), np.array([k for _, k in train], float)
+    slope, bias = toxicity._logistic(x, y)
+    return [1 / (1 + math.exp(-slope * evidence(t) - bias)) for t in docs]
+
+
+def test_toxicity_scores_equal_brute_force(spark):
+    rng = random.Random(11)
+    calm, bad = [f"calm{i}" for i in range(80)], ["vile", "foul", "rotten", "nasty"]
+    rows = []
+    for i in range(160):
+        words = rng.choices(calm, k=rng.randrange(1, 40))
+        for _ in range(rng.randrange(3, 9) if i % 4 == 0 else rng.random() < 0.04):
+            words.insert(rng.randrange(len(words)) if rng.random() < 0.2 else len(words) // 2, rng.choice(bad))
+        rows.append((i, " ".join(words), int(i % 4 == 0)))
+    rows += [(200, rows[0][1], 1), (201, "", 0), (202, None, 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, y int")
+    params = toxicity.ToxicityParams(prior=5.0, odds_min=1.0)
+    model = toxicity.fit(spark, docs.drop("y"), docs.select("doc_id", F.col("y").alias("toxic")), params=params)
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(docs, model).collect()}
+    want = slow_toxicity([(t, y) for _, t, y in rows], [t for _, t, _ in rows], params)
+    assert max(got.values()) > 0.6 and min(got.values()) < 0.2
+    assert [got[d] for d, _, _ in rows] == pytest.approx(want, abs=1e-6)
+
+
 def test_toxicity_takes_anything(spark):
     model = toxicity.fit(spark, awkward(spark), labels(spark))
     out = toxicity.score(awkward(spark), model)
