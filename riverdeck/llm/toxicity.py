@@ -167,7 +167,7 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, train: Column | None = None, params: ToxicityParams = ToxicityParams()) -> ToxicityModel:
     """Learn from labelled documents where ``train`` (a condition on doc_id) holds."""
     sample = F.broadcast(labelled_sample(spark, labels, "toxic", params.sample, train))
-    found = docs.select("doc_id", "text").join(sample, "doc_id").select("text", "label", F.monotonically_increasing_id().alias("row"), F.xxhash64("text").alias("same"))
+    found = docs.select("doc_id", "text").join(sample, "doc_id").select("text", "label", F.monotonically_increasing_id().alias("row"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("same"))
     found = cut(found, "toxicity-sample")
     rows = found.join(found.groupBy("same", "label").agg(F.min("row").alias("row")).select("row"), "row", "left_semi").select("text", "label")
 
