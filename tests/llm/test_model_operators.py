@@ -300,30 +300,154 @@ def test_lm_probabilities_sum_to_one(spark):
     assert start.sum() + p(99) == pytest.approx(1, abs=1e-4)
 
 
-def test_stirling_and_tables():
-    s = hpylm._stirling(0.5)
-    # Small cases by hand: S(2, 1) = 1 - d, S(3, 1) = (1 - d)(2 - d), S(3, 2) = 3 (1 - d).
-    assert np.exp(s[2, 1]) == pytest.approx(0.5) and np.exp(s[3, 1]) == pytest.approx(0.75) and np.exp(s[3, 2]) == pytest.approx(1.5)
-    rng = np.random.default_rng(1)
-    c = np.array([0, 1, 2, 5, 48, 49, 1000, 100000])
-    t = hpylm.draw_tables(rng, c, np.full(8, 10), np.full(8, 0.01), 0.8, 5.0)
-    assert (t <= c).all() and (t[1:] >= 1).all() and t[0] == 0
-    # Two customers: one table or two, in the odds (1 - d) : (strength + d (rest + 1)) base.
-    many = hpylm.draw_tables(rng, np.full(20000, 2), np.full(20000, 10), np.full(20000, 0.02), 0.8, 5.0)
-    odds = 0.02 * (5 + 0.8 * 11) / 0.2
-    assert (many == 2).mean() == pytest.approx(odds / (1 + odds), abs=0.02)
+def table_chances(c, open_, d):
+    """The chances of 1 to c tables with weights S(c, t) open_^t, by the recursion of the generalised Stirling numbers."""
+    s = np.full((c + 1, c + 1), -np.inf)
+    s[0, 0] = 0
+    for n in range(1, c + 1):
+        for t in range(1, n + 1):
+            stay = s[n - 1, t] + math.log(n - 1 - d * t) if n - 1 >= t else -np.inf
+            s[n, t] = np.logaddexp(s[n - 1, t - 1], stay)
+    p = s[c, 1:] + np.arange(1, c + 1) * math.log(open_)
+    p = np.exp(p - p.max())
+    return p / p.sum()
+
+
+def test_tables_follow_their_conditional():
+    # Two customers, by hand: S(2, 1) = 1 - d and S(2, 2) = 1.
+    assert table_chances(2, 0.3, 0.8)[1] == pytest.approx(0.3 / (0.3 + 0.2))
+    keys = hpylm._key(1, 2, 3, np.arange(20000, dtype=np.uint64))
+    for d in (0.6, 0.8):
+        for c in (2, 3, 7, 20, 60, 150):
+            for open_ in (0.001, 0.05, 0.5, 2, 20):
+                p, k = table_chances(c, open_, d), np.arange(1, c + 1)
+                mean = (p * k).sum()
+                t = hpylm.draw_tables(keys, np.full(20000, c), np.full(20000, float(open_)), d)
+                assert (t >= 1).all() and (t <= c).all()
+                assert abs(t.mean() - mean) < 0.1 * mean + 0.02
+                assert abs(t.std() - math.sqrt((p * k * k).sum() - mean**2)) < 0.15 * mean
+    assert (hpylm.draw_tables(keys[:2], np.array([0, 1]), np.array([1.0, 1.0]), 0.8) == [0, 1]).all()
+
+
+def test_keyed_random_numbers():
+    keys = hpylm._key(1, 2, 3, np.arange(40000, dtype=np.uint64))
+    for shape in (0.2, 0.8, 1.0, 3.5, 200.0):
+        g = hpylm.draw_gamma(keys, np.full(40000, shape))
+        assert g.mean() == pytest.approx(shape, rel=0.03) and g.var() == pytest.approx(shape, rel=0.06)
+    for mean in (0.1, 5.0, 50.0):
+        x = hpylm._poisson(keys, 0, np.full(40000, mean))
+        assert x.mean() == pytest.approx(mean, rel=0.03) and x.var() == pytest.approx(mean, rel=0.06)
 
 
 def test_packed_numbers():
-    for x in (np.array([], np.int64), np.array([0, 1, 255, 256, 2**47]), np.arange(1000)):
-        assert (hpylm._unpack(hpylm._pack(x)) == x).all()
+    for arrays in ([np.array([], np.int64)], [np.array([0, 1, 255, 256, 2**47]), np.zeros(5, np.int64)], [np.arange(1000), np.arange(3)]):
+        assert all((x == y).all() for x, y in zip(hpylm._unpack(hpylm._pack(*arrays)), arrays, strict=True))
 
 
-def test_hot_contexts_are_dealt_out(spark, monkeypatch):
-    rows = [(i, "a " + "x y z w v u".split()[i % 6] + " a b", i % 7 == 2) for i in range(60)]
-    whole = _lm(spark, rows)
-    assert len(whole) == 60
-    assert all(np.isfinite(r["score"]) and r["score"] < 0 for r in whole.values())
+def _corpus(seed=2, n=90):
+    """Texts from a small chain of words, so that some contexts and words are far more frequent than others."""
+    rng = random.Random(seed)
+    words = [f"w{i}" for i in range(25)]
+    follow = {w: rng.choices(words, k=6, weights=[1 / (1 + j) for j in range(25)]) for w in words}
+    rows = []
+    for i in range(n):
+        w = [rng.choice(words[:3])]
+        for _ in range(rng.randrange(2, 15)):
+            w.append(rng.choice(follow[w[-1]]) if rng.random() < 0.9 else rng.choice(words))
+        rows.append((i, " ".join(w), i % 7 == 2))
+    return rows
+
+
+def restaurants(rows, p, burn_in, samples, seed=5):
+    """log10 probabilities of the texts by a plain simulation: each customer of every restaurant gets up and is seated again, table by table."""
+    rng = random.Random(seed)
+    texts_ = {i: [*t.split(), ""] for i, t, _ in rows}
+    train = [(u, w) for i, t, held in rows if not held for u, w in zip(["", *texts_[i]], texts_[i])]
+    types = len({w for _, w in train})
+    child, parent = {}, {}  # (context, word) -> sizes of its tables; word -> sizes of its tables
+    customers, tables, above, above_tables = Counter(), Counter(), 0, 0
+
+    def base(w):
+        own = parent.get(w, [])
+        return (sum(own) - p.parent_discount * len(own) + (p.parent_strength + p.parent_discount * above_tables) / (types + 1)) / (p.parent_strength + above)
+
+    def seat(sizes, d, new):
+        """Join a table or open one; True if opened."""
+        x = rng.random() * (sum(sizes) - d * len(sizes) + new)
+        for i, n in enumerate(sizes):
+            x -= n - d
+            if x < 0:
+                sizes[i] += 1
+                return False
+        sizes.append(1)
+        return True
+
+    def leave(sizes):
+        """A random customer gets up; True if the table goes."""
+        i = rng.choices(range(len(sizes)), sizes)[0]
+        sizes[i] -= 1
+        if not sizes[i]:
+            del sizes[i]
+            return True
+        return False
+
+    def add(u, w):
+        nonlocal above, above_tables
+        opened = seat(child.setdefault((u, w), []), p.discount, (p.strength + p.discount * tables[u]) * base(w))
+        customers[u] += 1
+        if opened:
+            tables[u] += 1
+            above_tables += seat(parent.setdefault(w, []), p.parent_discount, (p.parent_strength + p.parent_discount * above_tables) / (types + 1))
+            above += 1
+
+    def remove(u, w):
+        nonlocal above, above_tables
+        customers[u] -= 1
+        if leave(child[u, w]):
+            tables[u] -= 1
+            above -= 1
+            above_tables -= leave(parent[w])
+
+    for u, w in train:
+        add(u, w)
+    total = {}
+    for sweep in range(burn_in + samples):
+        for u, w in train:
+            remove(u, w)
+            add(u, w)
+        if sweep >= burn_in:
+            for u, w in {x for t in texts_.values() for x in zip(["", *t], t)}:
+                own = child.get((u, w), [])
+                chance = (sum(own) - p.discount * len(own) + (p.strength + p.discount * tables[u]) * base(w)) / (p.strength + customers[u])
+                total[u, w] = total.get((u, w), 0) + chance / samples
+    return {i: sum(math.log10(total[x]) for x in zip(["", *t], t)) for i, t in texts_.items()}
+
+
+def test_lm_agrees_with_a_plain_simulation(spark):
+    rows = _corpus()
+    params = hpylm.HpyParams(burn_in=4, samples=12)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, held_out boolean")
+    got = {r["doc_id"]: r["score"] for r in hpylm.fit_and_score(docs, params).collect()}
+    want = restaurants(rows, params, 40, 200)
+    assert all(abs(got[i] - want[i]) < 0.02 * abs(want[i]) for i in want)
+    assert abs(sum(got.values()) - sum(want.values())) < 0.005 * abs(sum(want.values()))
+
+
+def test_scores_are_the_same_however_they_are_spread(spark):
+    """Other numbers of partitions, blocks and buckets, and contexts dealt into several buckets: the same scores."""
+    docs = spark.createDataFrame(_corpus(), "doc_id long, text string, held_out boolean")
+    default = hpylm.fit_and_score(docs.coalesce(1)).collect()
+    small = hpylm.HpyParams(block=64, pairs=50, words=20, hot=16)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "9")
+        table = hpylm.cut(hpylm.blocks(docs, 64), "blocks")
+        names, parts = hpylm._hot(table, small)
+        assert len(names) >= 5 and (parts > 1).all() and hpylm._hash([b""])[0] in names
+        spread = hpylm.fit_and_score(docs.repartition(5), small).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert sorted(map(tuple, default)) == sorted(map(tuple, spread)) and len(default) == 90
 
 
 def test_lm_takes_anything(spark):
