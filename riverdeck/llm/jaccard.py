@@ -1,10 +1,14 @@
-"""Near copies by Jaccard similarity of word shingles: MinHash bands name candidates, each candidate pair is checked exactly.
+"""Near copies by SimHash trees and the exact Jaccard similarity of word shingles.
 
 A text's set holds the hashes of its shingles of ``SIZE`` words (bytes lower-cased, split at ASCII white space; a text of fewer words is one
 shingle).  Two texts are near copies if the Jaccard similarity of their sets is at least ``AT_LEAST``; classes are the connected components.
-Texts that agree in one of ``BANDS`` bands of ``ROWS`` smallest hashes are candidates: at a similarity of 0.8 a pair is missed with a chance
-of (1 - 0.8**5)**32, about 3 in a million, and no pair below the similarity is linked.  First each member of a band is checked against
-the band's smallest; then all pairs of a band that are still in different classes are.
+
+At that similarity SimHash fingerprints differ by some ten bits, which is too many for shards named by parts of the fingerprint; here shards are named by
+``BANDS`` bands of ``ROWS`` smallest hashes, one of which near copies share but for a chance of (1 - 0.8**5)**32, about 3 in a million.  Within a shard a BK-tree of the
+fingerprints is searched for others within ``RADIUS`` bits; the pairs found must also have sizes that allow the similarity, and an estimated similarity (one byte of each of the
+160 smallest hashes) of at least ``MAYBE``.  What is left is checked exactly by joining the sets.  First only edges of an estimate of ``LIKELY`` are tried that
+span each shard's groups; then all pairs found whose texts are still in different classes.  No pair below the similarity is linked; one exactly at it is missed
+with a chance of some 1 in 1,000.
 
 Equal sets share a 64-bit name and need no check.  Defined cases: null, empty and blank texts have the empty set and are equal to each other;
 repeated rows are equal; an empty table gives an empty result.
@@ -15,6 +19,7 @@ from __future__ import annotations
 from itertools import repeat
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
@@ -27,7 +32,13 @@ AT_LEAST = (4, 5)
 BANDS = 32
 ROWS = 5
 SEED = 43
-FIELDS = [T.StructField("_set", T.LongType()), T.StructField("_bands", T.ArrayType(T.LongType()))]
+#: SimHash bits by which candidates may differ (mean 9.7, deviation 2.9 at the least similarity); estimates that are tried first, and at all (deviation 0.032).
+RADIUS = 20
+LIKELY = 0.87
+MAYBE = 0.69
+#: Rows of a shard in one task; a larger shard is split, and each two parts meet.
+MOST = 4096
+FIELDS = [T.StructField("_set", T.LongType()), T.StructField("_bands", T.ArrayType(T.LongType())), T.StructField("_fp", T.LongType()), T.StructField("_size", T.IntegerType()), T.StructField("_sketch", T.BinaryType())]
 
 
 def shingles(text: bytes, size: int = SIZE) -> np.ndarray:
@@ -40,20 +51,22 @@ def shingles(text: bytes, size: int = SIZE) -> np.ndarray:
     return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, parts, repeat(SEED)), np.uint64, n))
 
 
-def bands(sets: list[np.ndarray]) -> np.ndarray:
-    """For each set, none of them empty, a hash of each band's smallest hashes; bands never share a value by their place."""
+def bands(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """For each set, none of them empty, a hash of each band's smallest hashes, and one byte of each; bands never share a value by their place."""
     if not sets:
-        return np.zeros((0, BANDS), np.uint64)
+        return np.zeros((0, BANDS), np.uint64), np.zeros((0, BANDS * ROWS), np.uint8)
     flat = np.concatenate(sets)
     starts = np.cumsum([0, *map(len, sets[:-1])])
     turns = mix64(np.arange(1, 2 * BANDS * ROWS + 1, dtype=np.uint64)).reshape(BANDS, ROWS, 2)
-    out = np.empty((len(sets), BANDS), np.uint64)
+    out, sketch = np.empty((len(sets), BANDS), np.uint64), np.empty((len(sets), BANDS, ROWS), np.uint8)
     for b in range(BANDS):
         key = np.full(len(sets), b + 1, np.uint64)
-        for flip, factor in turns[b]:
-            key = mix64(key ^ np.minimum.reduceat((flat ^ flip) * (factor | np.uint64(1)), starts))
+        for r, (flip, factor) in enumerate(turns[b]):
+            least = mix64(np.minimum.reduceat((flat ^ flip) * (factor | np.uint64(1)), starts))
+            sketch[:, b, r] = least & np.uint64(255)
+            key = mix64(key ^ least)
         out[:, b] = key
-    return out
+    return out, sketch.reshape(len(sets), -1)
 
 
 def tagged(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -61,14 +74,16 @@ def tagged(docs: DataFrame, text: str = "text") -> DataFrame:
 
     def make():
         def work(batch):
-            sets = [shingles(t) for t in texts(batch, text)]
+            raw = texts(batch, text)
+            sets = [shingles(t) for t in raw]
             full = [i for i, s in enumerate(sets) if len(s)]
             names = np.zeros(len(sets), np.uint64)
             names[full] = [xxhash.xxh64_intdigest(sets[i].tobytes(), SEED) for i in full]
-            made = [[]] * len(sets)
-            for i, row in zip(full, bands([sets[i] for i in full]).view(np.int64)):
-                made[i] = row
-            return [names.view(np.int64), made]
+            made, sketches = [[]] * len(sets), [b""] * len(sets)
+            keys, bytes_ = bands([sets[i] for i in full])
+            for i, row, sketch in zip(full, keys.view(np.int64), bytes_):
+                made[i], sketches[i] = row, sketch.tobytes()
+            return [names.view(np.int64), made, simhash.fingerprints(raw, SIZE).view(np.int64), list(map(len, sets)), sketches]
 
         return work
 
@@ -83,24 +98,67 @@ def _checked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return cut(counted.where(F.lit(under) * F.col("both") >= F.lit(over) * (F.col("sum") - F.col("both"))).select("a", "b"), "similar")
 
 
+def _candidates(members: DataFrame, spanning: bool) -> DataFrame:
+    """Pairs (a, b) of a shard's members (band, _set, _fp, _size, _sketch, root) that may be similar and are in different classes.
+
+    With ``spanning``, only pairs that are likely similar, and of those only as many as join the shard's groups.
+    """
+    over, under = AT_LEAST
+
+    def run(batches):
+        def done(key, cols):
+            _, lo, hi = key
+            part, names, fps, sizes, sketches, roots = cols
+            n = len(names)
+            sketches = np.frombuffer(b"".join(sketches), np.uint8).reshape(n, -1)
+            sizes = sizes.astype(np.int64)
+            forest = simhash.Forest(n)
+            found = []
+
+            def visit(i, near):
+                near = near[near > i] if not spanning else near[near != i]
+                near = near[(roots[near] != roots[i]) & (under * np.minimum(sizes[near], sizes[i]) >= over * np.maximum(sizes[near], sizes[i]))]
+                if lo != hi:
+                    near = near[part[near] != part[i]]
+                if len(near):
+                    near = near[(sketches[near] == sketches[i]).mean(1) >= (LIKELY if spanning else MAYBE)]
+                if spanning and len(near):
+                    own = forest.find(near)
+                    _, first = np.unique(own, return_index=True)
+                    first = first[own[first] != forest.find(np.array([i]))]
+                    forest.join(np.append(near, i))
+                    near = near[first]
+                if len(near):
+                    found.append((np.full(len(near), i), near))
+
+            simhash.BKTree(fps.view(np.uint64)).search(fps.view(np.uint64), RADIUS, visit)
+            if found:
+                a, b = (names[np.concatenate(x)] for x in zip(*found))
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+        yield from simhash.shards(batches, 3, done)
+
+    return simhash.dealt(members, ["band"], "_set", MOST).select("band", "lo", "hi", "part", "_set", "_fp", "_size", "_sketch", "root").mapInArrow(run, "a long, b long").distinct()
+
+
 def classes(rows: DataFrame, text: str = "text") -> DataFrame:
     """(_set, root) for the sets of ``tagged`` rows that have a near copy; any other set is its own class."""
-    keyed = rows.select("_set", F.explode("_bands").alias("band"))
-    shared = keyed.groupBy("band").agg(F.min("_set").alias("lo"), F.max("_set").alias("hi")).where("lo <> hi").select("band", "lo")
-    members = cut(keyed.join(shared, "band").distinct(), "members")
-    one = rows.groupBy("_set").agg(F.min("_row").alias("_row")).join(members.select("_set").distinct(), "_set").select("_row")
+    one = cut(rows.groupBy("_set").agg(F.min("_row").alias("_row")).select("_row"), "one")
+    distinct = rows.join(one, "_row", "left_semi")
+    keyed = distinct.select("_set", F.explode("_bands").alias("band"))
+    shared = keyed.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
+    info = distinct.select("_set", "_fp", "_size", "_sketch")
+    members = cut(simhash.spread_join(keyed, shared.withColumn("known", F.lit(True)), "band", "_set").where("known").drop("known").join(info, "_set"), "members")
+    near = members.select("_set").distinct()
 
     def make():
         return lambda batch: [[shingles(t).view(np.int64) for t in texts(batch, text)]]
 
-    chosen = rows.select("_row", "_set", text).join(one, "_row", "left_semi")
+    chosen = distinct.select("_set", text).join(near, "_set", "left_semi")
     sets = cut(add_columns(chosen, make, [T.StructField("_shingles", T.ArrayType(T.LongType()))], text).select("_set", "_shingles"), "sets")
-    tried = cut(members.where("_set <> lo").select(F.col("lo").alias("a"), F.col("_set").alias("b")).distinct(), "tried")
+    tried = cut(_candidates(members.withColumn("root", F.col("_set")), True), "tried")
     links = _checked(tried, sets)
-    known = members.join(simhash.classes(links).withColumnRenamed("fp", "_set"), "_set", "left").select("band", "_set", F.coalesce("root", "_set").alias("root"))
-    split = known.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("band")
-    known = cut(known.join(split, "band"), "split")
-    other = known.select("band", F.col("_set").alias("b"), F.col("root").alias("root_b"))
-    open_ = known.withColumnRenamed("_set", "a").join(other, "band").where("a < b and root <> root_b").select("a", "b").distinct()
-    links = links.union(_checked(open_.join(tried, ["a", "b"], "left_anti"), sets))
+    known = simhash.spread_join(members, simhash.classes(links).withColumnRenamed("fp", "_set"), "_set", "band").withColumn("root", F.coalesce("root", "_set"))
+    open_ = _candidates(known, False).join(tried, ["a", "b"], "left_anti")
+    links = links.union(_checked(open_, sets))
     return simhash.classes(links).withColumnRenamed("fp", "_set")

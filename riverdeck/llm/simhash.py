@@ -1,10 +1,10 @@
-"""SimHash near-duplicates: 64-bit fingerprints, BK-trees within pigeonhole shards, connected classes.
+"""SimHash near-duplicates: 64-bit fingerprints, BK-trees within shards, connected classes.
 
-Fingerprints within ``radius`` bits agree on at least one of the keys that a shard is named by
-(``blocks`` parts of the 64 bits, any ``blocks - radius`` of them together), so every link lies inside
-a shard.  A shard's fingerprints form a BK-tree: children are keyed by their Hamming distance
-to the parent, and a search follows only the edges within the radius.  Shards hold each distinct fingerprint
-once; one over ``shard_rows`` is split, and each two of its parts meet in one task, so no task holds an unbounded group.  A shard sends on
+Fingerprints within ``radius`` bits agree on at least one of several keys (``blocks`` parts of the 64 bits, any ``blocks - radius`` of them together);
+keys are hashed to shards of about ``shard_rows``, so every link lies inside a shard.  A shard's fingerprints form a BK-tree: children are keyed by their integer Hamming distance
+to the parent, and a search follows only the edges within the radius.  Trees are built and searched in the tasks that hold the shards: broadcasting them would
+pass the fingerprints of all documents through the driver.  Shards hold each distinct fingerprint
+once; one over ``most`` is split, and each two of its parts meet in one task, so no task holds an unbounded group.  A shard sends on
 only links that join its own classes, at most one a fingerprint, and never all pairs.
 
 Defined cases: a null or empty text has fingerprint zero and is linked like any other; repeated rows and exact copies share a
@@ -77,80 +77,121 @@ def with_fingerprint(docs: DataFrame, column: str = "_fp", text: str = "text", s
 
 
 class BKTree:
-    """A BK-tree over distinct fingerprints; nodes below ``leaf`` fingerprints keep them in a list.
+    """A BK-tree: one fingerprint a node, children keyed by their integer Hamming distance to the parent.
 
-    Each inner node is [pivot, {distance: child}]; a child under key k holds exactly the fingerprints at distance k from the pivot.
+    A child under key k and all below it are exactly at distance k from the parent, so a search within a radius follows only the edges whose key
+    differs from the distance to the parent by at most the radius.
     """
 
-    def __init__(self, values: np.ndarray, leaf: int = 64):
+    def __init__(self, values: np.ndarray):
         self.values = values
-        self.root = self._grow(np.arange(len(values)), leaf)
-
-    def _grow(self, members, leaf):
-        if len(members) <= leaf:
-            return members
-        pivot, rest = members[0], members[1:]
-        d = np.bitwise_count(self.values[rest] ^ self.values[pivot])
-        order = np.argsort(d, kind="stable")
-        rest, d = rest[order], d[order]
-        cuts = np.flatnonzero(np.diff(d)) + 1
-        parts = np.split(rest, cuts)
-        keys = d[np.concatenate([[0], cuts])]
-        return pivot, {int(k): self._grow(p, leaf) for k, p in zip(keys, parts)}
-
-    def search(self, queries: np.ndarray, radius: int, visit) -> None:
-        """``visit(which, members, near)`` for each node reached: near[i, j] says that query which[i] and members[j] are within the radius."""
-        todo = [(self.root, np.arange(len(queries)))]
+        self.pivot: list[int] = []
+        self.children: list[list[tuple[int, int]]] = []  # (distance, node)
+        todo = [(np.arange(len(values)), -1, 0)] if len(values) else []
+        while todo:
+            members, parent, key = todo.pop()
+            node = len(self.pivot)
+            self.pivot.append(int(members[0]))
+            self.children.append([])
+            if parent >= 0:
+                self.children[parent].append((key, node))
+            rest = members[1:]
+            if len(rest) == 1:
+                todo.append((rest, node, int(np.bitwise_count(values[rest[0]] ^ values[members[0]]))))
+            elif len(rest):
+                d = np.bitwise_count(values[rest] ^ values[members[0]])
+                order = np.argsort(d, kind="stable")
+                rest, d = rest[order], d[order]
+                cuts = np.flatnonzero(np.diff(d)) + 1
+                for part, k in zip(np.split(rest, cuts), d[np.concatenate([[0], cuts])].tolist()):
+                    todo.append((part, node, k))
+
+    def search(self, queries: np.ndarray, radius: int, visit) -> int:
+        """``visit(i, near)`` for each node reached: queries[near] are within the radius of values[i].  Returns how many distances were measured."""
+        todo = [(0, np.arange(len(queries)))] if self.pivot and len(queries) else []
+        measured = 0
         while todo:
             node, which = todo.pop()
-            if not len(which):
-                continue
-            if isinstance(node, np.ndarray):
-                for a in range(0, len(which), 4096):
-                    w = which[a : a + 4096]
-                    visit(w, node, np.bitwise_count(queries[w][:, None] ^ self.values[node][None, :]) <= radius)
-                continue
-            pivot, children = node
-            d = np.bitwise_count(queries[which] ^ self.values[pivot]).astype(np.int64)
-            visit(which, np.array([pivot]), (d <= radius)[:, None])
-            for k, child in children.items():
-                todo.append((child, which[np.abs(d - k) <= radius]))
+            pivot = self.pivot[node]
+            d = np.bitwise_count(queries[which] ^ self.values[pivot]).astype(np.int16)
+            measured += len(which)
+            near = which[d <= radius]
+            if len(near):
+                visit(pivot, near)
+            for key, child in self.children[node]:
+                go = which[np.abs(d - key) <= radius]
+                if len(go):
+                    todo.append((child, go))
+        return measured
+
+
+class Forest:
+    """Disjoint sets of 0 to n - 1, named by their least member."""
+
+    def __init__(self, n: int):
+        self.up = np.arange(n)
+
+    def find(self, x: np.ndarray) -> np.ndarray:
+        root = self.up[x]
+        while True:
+            higher = self.up[root]
+            if (higher == root).all():
+                break
+            root = higher
+        self.up[x] = root
+        return root
+
+    def join(self, x: np.ndarray) -> None:
+        root = self.find(x)
+        self.up[root] = root.min()
 
 
 def links(values: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """A star for each class of two or more: (fingerprint, the class's smallest), over one shard."""
-    n = len(values)
-    if n < 2:
-        return values[:0], values[:0]
-    tree = BKTree(values)
-    lonely = np.ones(n, bool)
-
-    def look(which, members, near):
-        near = near & (which[:, None] != members[None, :])
-        lonely[which[near.any(1)]] = False
-
-    tree.search(values, radius, look)
-    root = np.arange(n)
-    new = ~lonely
-    for start in np.flatnonzero(~lonely):
-        if not new[start]:
-            continue
-        new[start] = False
-        front = np.array([start])
-        while len(front):
-            reached = np.zeros(n, bool)
-
-            def mark(which, members, near, reached=reached):
-                reached[members[near.any(0)]] = True
-
-            tree.search(values[front], radius, mark)
-            front = np.flatnonzero(reached & new)
-            new[front] = False
-            root[front] = start
-    kept = root != np.arange(n)
+    """A star for each class of two or more: (fingerprint, the class's smallest), over one shard's ascending fingerprints."""
+    forest = Forest(len(values))
+    # The pivot is among the queries, so it is in ``near``.
+    BKTree(values).search(values, radius, lambda _, near: forest.join(near) if len(near) > 1 else None)
+    every = np.arange(len(values))
+    root = forest.find(every)
+    kept = root != every
     return values[kept], values[root[kept]]
 
 
+def shards(batches, keys: int, done):
+    """Rows of record batches sorted by their first ``keys`` columns: ``done`` gets the columns (key values, then arrays) of each group when its last row is in."""
+    open_, key = [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(batch.num_columns)]
+        change = np.zeros(batch.num_rows, bool)
+        for c in cols[:keys]:
+            change[1:] |= c[1:] != c[:-1]
+        cuts = [0, *np.flatnonzero(change).tolist(), batch.num_rows]
+        for s, e in zip(cuts, cuts[1:]):
+            this = tuple(c[s] for c in cols[:keys])
+            if this != key and open_:
+                yield from done(key, [np.concatenate(x) for x in zip(*open_)])
+                open_ = []
+            key = this
+            open_.append([c[s:e] for c in cols[keys:]])
+    if open_:
+        yield from done(key, [np.concatenate(x) for x in zip(*open_)])
+
+
+def dealt(keyed: DataFrame, keys: list[str], member: str, most: int) -> DataFrame:
+    """Groups of ``keyed`` by ``keys``, each in one task: a group over ``most`` rows is cut into parts, and each two parts meet.
+
+    Adds ``part`` (of the row), ``lo`` and ``hi`` (the two parts that meet); groups of one row go.
+    """
+    sizes = keyed.groupBy(*keys).agg(F.count("*").alias("size")).where(F.col("size") > 1)
+    keyed = keyed.join(sizes, keys).withColumn("parts", F.ceil(F.col("size") / most).cast("int"))
+    keyed = keyed.withColumn("part", F.pmod(F.xxhash64(member), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    keyed = keyed.withColumn("lo", F.least("part", "other")).withColumn("hi", F.greatest("part", "other")).drop("size", "parts", "other")
+    names = [*keys, "lo", "hi"]
+    return keyed.repartition(*names).sortWithinPartitions(*names, member).select(*names, *[c for c in keyed.columns if c not in names])
+
+
 def _shard_keys(radius: int, blocks: int) -> list[int]:
     """Masks of 64 bits: one for each choice of the blocks that must agree."""
     edges = [round(64 * i / blocks) for i in range(blocks + 1)]
@@ -159,47 +200,35 @@ def _shard_keys(radius: int, blocks: int) -> list[int]:
     return [m - (1 << 64) if m >= 1 << 63 else m for m in masks]
 
 
-def link_edges(nodes: DataFrame, radius: int = 4, shard_rows: int = 8192) -> DataFrame:
-    """Links (a, b) between distinct fingerprints ``fp`` that join all classes of the radius."""
+def sharded(nodes: DataFrame, radius: int, shard_rows: int) -> DataFrame:
+    """(k, shard, fp): each fingerprint in one shard for each key; two within the radius share a shard."""
     n = nodes.count()
     blocks = radius + (1 if n < 1 << 23 else 2 if n < 1 << 31 else 3)  # more of the bits in a key as the shards would grow
-    keyed = nodes.select("fp", F.explode(F.array(*[F.struct(F.lit(i).alias("k"), F.lit(m).cast("long").bitwiseAND(F.col("fp")).alias("v")) for i, m in enumerate(_shard_keys(radius, blocks))])).alias("s")).select("fp", "s.k", "s.v")
-    sizes = keyed.groupBy("k", "v").agg(F.count("*").alias("n")).where(F.col("n") > 1)
-    keyed = keyed.join(sizes, ["k", "v"]).withColumn("parts", F.ceil(F.col("n") / shard_rows).cast("int"))
-    # Each two of a shard's parts meet: part p goes to the pairs (p, q) for all q.
-    part = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    keyed = keyed.withColumn("p", part).withColumn("q", other).select("k", "v", F.least("p", "q").alias("lo"), F.greatest("p", "q").alias("hi"), "fp")
-    dealt = keyed.repartition("k", "v", "lo", "hi").sortWithinPartitions("k", "v", "lo", "hi", "fp")
+    many = max(1, -(-n // shard_rows))
+    value = lambda m: F.lit(m).cast("long").bitwiseAND(F.col("fp"))
+    places = [F.struct(F.lit(i).alias("k"), F.pmod(F.xxhash64(F.lit(i), value(m)), F.lit(many)).alias("shard")) for i, m in enumerate(_shard_keys(radius, blocks))]
+    return nodes.select("fp", F.explode(F.array(*places)).alias("s")).select("s.k", "s.shard", "fp")
 
-    def run(batches):
-        """Shards come one after another; one is searched when its last row is in."""
 
-        def done(values):
-            a, b = links(np.unique(np.concatenate(values)).view(np.uint64), radius)
+def link_edges(nodes: DataFrame, radius: int = 4, shard_rows: int = 1024, most: int = 8192) -> DataFrame:
+    """Links (a, b) between distinct fingerprints ``fp`` that join all classes of the radius; a tree holds about ``shard_rows``, 2 * ``most`` at most."""
+
+    def run(batches):
+        def done(_, cols):
+            a, b = links(np.unique(cols[0]).view(np.uint64), radius)
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
 
-        open_, key = [], None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
-            change = np.zeros(batch.num_rows, bool)
-            for c in cols[:4]:
-                change[1:] |= c[1:] != c[:-1]
-            cuts = [0, *np.flatnonzero(change).tolist(), batch.num_rows]
-            for s, e in zip(cuts, cuts[1:]):
-                this = tuple(c[s] for c in cols[:4])
-                if this != key and open_:
-                    yield from done(open_)
-                    open_ = []
-                key = this
-                open_.append(cols[4][s:e])
-        if open_:
-            yield from done(open_)
-
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+        yield from shards(batches, 4, done)
+
+    return dealt(sharded(nodes, radius, shard_rows), ["k", "shard"], "fp", most).drop("part").mapInArrow(run, "a long, b long").distinct()
+
+
+def spread_join(rows: DataFrame, other: DataFrame, key: str, by: str, ways: int = 64) -> DataFrame:
+    """Left join by ``key``, which a large share of ``rows`` may have in common: rows are dealt to ``ways`` groups by ``by``, each of which asks once for a key."""
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(ways)))
+    answers = salted.select("_salt", key).distinct().join(other, key)
+    return salted.join(answers, ["_salt", key], "left").drop("_salt")
 
 
 def classes(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
@@ -215,8 +244,9 @@ def classes(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
         seen = state.join(near, state.fp == near.a).select("fp", "root", "r")
         offers = seen.select("fp", F.least("root", "r").alias("r")).union(seen.select(F.col("root").alias("fp"), F.least("root", "r").alias("r")))
         best = offers.groupBy("fp").agg(F.min("r").alias("root"))
-        jump = best.select(F.col("fp").alias("root"), F.col("root").alias("up"))
-        new = best.join(jump, "root", "left").select("fp", F.least("root", F.coalesce("up", "root")).alias("root"))
+        best = cut(best, "offers")
+        jump = best.select(F.col("fp").alias("root"), F.col("root").alias("up")).where("root <> up")
+        new = spread_join(best, jump, "root", "fp").select("fp", F.least("root", F.coalesce("up", "root")).alias("root"))
         new = cut(new, "roots")
         old = state.select("fp", F.col("root").alias("was"))
         if new.join(old, "fp").where("root <> was").isEmpty():
@@ -230,7 +260,7 @@ def near_duplicates(docs: DataFrame, radius: int = 4, text: str = "text") -> Dat
     fps = cut(with_fingerprint(docs.select("doc_id", text), "fp", text).select("doc_id", "fp"), "fingerprints")
     nodes = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "nodes")
     roots = classes(link_edges(nodes, radius))
-    named = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    named = cut(nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "named")
     ids = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    of = named.select("fp", "root").join(ids, "root").select("fp", "component_id")
-    return fps.join(of, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    of = spread_join(named.select("fp", "root"), ids, "root", "fp").select("fp", "component_id")
+    return spread_join(fps, of, "fp", "doc_id").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

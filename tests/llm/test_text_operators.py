@@ -153,9 +153,30 @@ def clustered(seed, n=1500):
 def test_tree_finds_what_brute_force_finds():
     values = np.array(clustered(1), np.uint64)
     found = set()
-    simhash.BKTree(values, leaf=4).search(values, 4, lambda w, m, near: found.update((int(w[i]), int(m[j])) for i, j in zip(*near.nonzero())))
+    tree = simhash.BKTree(values)
+    measured = tree.search(values, 4, lambda i, near: found.update((int(j), i) for j in near))
     near = np.bitwise_count(values[:, None] ^ values[None, :]) <= 4
     assert found == {(int(i), int(j)) for i, j in zip(*near.nonzero())}
+    assert measured < len(values) ** 2 / 2
+    for node, children in enumerate(tree.children):  # a child lies at the distance that its key says
+        for key, child in children:
+            assert (values[tree.pivot[node]] ^ values[tree.pivot[child]]).bit_count() == key
+
+
+def test_shards_of_real_texts_are_searched_through_inner_nodes(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    nodes = simhash.with_fingerprint(docs.select("doc_id", "text"), "fp").select("fp").distinct()
+    shards = {}
+    for k, shard, fp in simhash.sharded(simhash.cut(nodes, "nodes"), 4, 1024).collect():
+        shards.setdefault((k, shard), []).append(fp)
+    assert len(shards) >= 30 and min(map(len, shards.values())) > 400
+    for fps in list(shards.values())[:5]:
+        values = np.sort(np.array(fps, np.int64).view(np.uint64))
+        tree, reached = simhash.BKTree(values), []
+        measured = tree.search(values, 4, lambda i, near: reached.append(i))
+        inner = [i for i, c in enumerate(tree.children) if c]
+        assert len(tree.pivot) == len(values) and len(inner) > 100 and max(len(c) for c in tree.children) > 10
+        assert sorted(reached) == list(range(len(values))) and measured < 0.6 * len(values) ** 2
 
 
 def test_links_and_classes(spark):
@@ -163,8 +184,8 @@ def test_links_and_classes(spark):
     want = slow_components(values)
     signed = lambda v: v - (1 << 64) if v >> 63 else v
     nodes = spark.createDataFrame([(signed(v),) for v in values], "fp long")
-    for shard_rows in (8192, 50):  # the second splits the large shards
-        got = {r["fp"]: r["root"] for r in simhash.classes(simhash.link_edges(nodes, 4, shard_rows)).collect()}
+    for shard_rows, most in ((1024, 8192), (100, 8192), (1024, 50)):  # one shard, many shards, large shards split
+        got = {r["fp"]: r["root"] for r in simhash.classes(simhash.link_edges(nodes, 4, shard_rows, most)).collect()}
         groups = {}
         for v in values:
             groups.setdefault(want[v], set()).add(got.get(signed(v), signed(v)))
