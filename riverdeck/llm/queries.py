@@ -65,7 +65,7 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     messages = table(spark, sf_dir, "conversations")
-    return toolcalls.link(toolcalls.messages_to_calls(messages), toolcalls.messages_to_results(messages), [toolcalls.REPLY])
+    return toolcalls.link(toolcalls.messages_to_calls(messages), toolcalls.messages_to_results(messages), [toolcalls.REPLY], toolcalls.messages_to_schemas(messages))
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:

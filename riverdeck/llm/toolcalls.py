@@ -1,13 +1,16 @@
 """Chat formatting: tool calls are linked to their results, put in topological order, validated and serialised.
 
-Only DataFrame functions are used.  Calls and results are joined by identifier (a shuffled hash join; of several results of a call the
-earliest counts).  The level of a call is the length of the longest chain of calls it depends on; levels are found by pointer doubling, in
-about log2 of the longest chain's length of rounds.  Arguments are parsed as JSON objects and checked
-against a table of schemas (field, type, required); records are canonical JSON: keys sorted, no blanks.
+Only DataFrame functions are used.  Calls and results are joined by conversation and identifier (a shuffled hash join; of several results of a call the
+earliest counts).  The level of a call is the length of the longest chain of calls it depends on.  Levels are found by policy iteration: each call picks one of the
+calls it needs, the chains so formed are measured by pointer doubling in about log2 of their length of rounds, and calls whose pick isn't the deepest
+of their needs pick again, until none does.  The first pick is the need of the latest turn, which is mostly right.
+Arguments are parsed as JSON objects and checked against schemas (field, type, required), those given and those that a conversation declares; records are canonical
+JSON: keys sorted, no blanks.
 
 Defined cases: calls without result have a null result; results without call are left out; a call whose arguments are no
-JSON object, or whose name has no schema, is invalid; a dependency on an unknown call is ignored; calls on or behind a cycle have a null level;
-repeated calls each keep their row; a null identifier links to nothing; empty tables give an empty result; extra columns are ignored.
+JSON object, or whose name has no schema, is invalid; a dependency on an unknown call of the conversation is ignored; calls on or behind a cycle have a null level;
+repeated calls each keep their row; identifiers count within their conversation, and a null identifier or conversation links to nothing and has a null level; empty tables
+give an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -48,42 +51,40 @@ def messages_to_calls(messages: DataFrame) -> DataFrame:
 
 
 def messages_to_results(messages: DataFrame) -> DataFrame:
-    """(call_id, result_turn, result): tool messages by their tool_call_id, and an assistant turn for the user turn just before it."""
-    tool = messages.where("role = 'tool'").select(F.get_json_object("text", "$.tool_call_id").alias("call_id"), F.col("turn").alias("result_turn"), F.get_json_object("text", "$.content").alias("result"))
-    plain = messages.where("role = 'assistant' and conv_id is not null and turn is not null").select(F.concat_ws(":", F.col("conv_id").cast("string"), (F.col("turn") - 1).cast("string")).alias("call_id"), F.col("turn").alias("result_turn"), F.coalesce("text", F.lit("")).alias("result"))
+    """(conv_id, call_id, result_turn, result): tool messages by their tool_call_id, and an assistant turn for the user turn just before it."""
+    tool = messages.where("role = 'tool'").select("conv_id", F.get_json_object("text", "$.tool_call_id").alias("call_id"), F.col("turn").alias("result_turn"), F.get_json_object("text", "$.content").alias("result"))
+    plain = messages.where("role = 'assistant' and conv_id is not null and turn is not null").select("conv_id", F.concat_ws(":", F.col("conv_id").cast("string"), (F.col("turn") - 1).cast("string")).alias("call_id"), F.col("turn").alias("result_turn"), F.coalesce("text", F.lit("")).alias("result"))
     return plain.unionByName(tool)
 
 
-def levels(calls: DataFrame, max_rounds: int = 10_000) -> DataFrame:
-    """(call_id, level): 0 without dependencies, else one more than the highest among them; null on or behind a cycle.
+def messages_to_schemas(messages: DataFrame) -> DataFrame:
+    """(conv_id, name, types, required): the functions that a conversation's system messages declare ({"tools": [{"function": {name, parameters}}]}).
 
-    A call with one dependency points to it; each round it takes over its target's pointer, so the pointers of a chain double their
-    reach and a chain of n calls is done in about log2(n) rounds.  A call with several waits until all have levels.  As long as anything outside cycles is
-    open, every round settles some call; the first round that settles none is the last.
+    types: field -> JSON schema type.  Of several declarations of a name the earliest counts.
     """
-    known = calls.where("call_id is not null")
-    needs = known.select("call_id", F.explode("depends_on").alias("need")).where("need is not null").distinct()
-    nodes = cut(known.select("call_id").distinct(), "calls")
-    edges = cut(needs.join(nodes.withColumnRenamed("call_id", "need"), "need").select("call_id", "need"), "needs")
-    # How many there are, and the only one if there is one.
-    waits = edges.groupBy("call_id").agg(F.count("*").alias("n"), F.min("need").alias("need"))
-    state = nodes.join(waits, "call_id", "left").select("call_id", F.when(F.col("n").isNull(), 0).alias("level"), F.when(F.col("n") == 1, F.col("need")).alias("to"), F.when(F.col("n") == 1, 1).alias("off"), F.coalesce("n", F.lit(0)).alias("n"))
-    state = cut(state, "levels")
-    several = cut(edges.join(state.where("n > 1").select("call_id", "n"), "call_id"), "several")
-    any_several = not several.isEmpty()
+    shape = "array<struct<function:struct<name:string,parameters:struct<properties:map<string,struct<type:string>>,required:array<string>>>>>"
+    tools = messages.where("role = 'system' and conv_id is not null and startswith(ltrim(text), '{')").select("conv_id", "turn", F.explode(F.from_json(F.get_json_object("text", "$.tools"), shape)).alias("t"))
+    f = F.col("t.function")
+    types = F.to_json(F.transform_values(f["parameters"]["properties"], lambda _, v: v["type"]))  # maps have no order to take the least by
+    one = tools.select("conv_id", f["name"].alias("name"), F.struct("turn", types.alias("types"), f["parameters"]["required"].alias("required")).alias("d")).where("name is not null").groupBy("conv_id", "name").agg(F.min("d").alias("d"))
+    return one.select("conv_id", "name", F.coalesce(F.from_json("d.types", "map<string,string>"), F.create_map().cast("map<string,string>")).alias("types"), F.coalesce("d.required", F.array().cast("array<string>")).alias("required"))
+
+
+def _measured(policy: DataFrame) -> DataFrame:
+    """(call_id, level) along the picks (call_id, to): 0 without one; null on or behind a cycle of picks.
+
+    Each round a call takes over its target's pointer, so pointers double their reach.  As long as a call outside cycles is open, some
+    pointer rests on a settled call, and every round settles some; the first round that settles none is the last.
+    """
+    state = cut(policy.select("call_id", F.when(F.col("to").isNull(), 0).alias("level"), "to", F.when(F.col("to").isNotNull(), 1).alias("off")), "levels")
     open_ = state.where("level is null").count()
-    for _ in range(max_rounds):
-        if not open_:
-            break
+    while open_:
         target = state.select(F.col("call_id").alias("to"), F.col("level").alias("l"), F.col("to").alias("next"), F.col("off").alias("more"))
         # Settled calls need no join; they point nowhere any more.
         joined = state.where("level is null").join(target, "to", "left")
         settled = F.when(F.col("l").isNotNull(), F.col("l") + F.col("off"))
         jump = F.col("next").isNotNull() & F.col("l").isNull()
-        new = joined.select("call_id", settled.alias("level"), F.when(settled.isNull(), F.when(jump, F.col("next")).otherwise(F.col("to"))).alias("to"), (F.col("off") + F.when(jump, F.col("more")).otherwise(0)).alias("off"), "n")
-        if any_several:
-            met = several.join(state.where("level is not null").select(F.col("call_id").alias("need"), "level"), "need").groupBy("call_id", "n").agg(F.count("*").alias("k"), F.max("level").alias("top")).where("k = n").select("call_id", (F.col("top") + 1).alias("done"))
-            new = new.join(met, "call_id", "left").select("call_id", F.coalesce("level", "done").alias("level"), "to", "off", "n")
+        new = joined.select("call_id", settled.alias("level"), F.when(settled.isNull(), F.when(jump, F.col("next")).otherwise(F.col("to"))).alias("to"), (F.col("off") + F.when(jump, F.col("more")).otherwise(0)).alias("off"))
         state = cut(state.where("level is not null").unionByName(new), "levels")
         left = state.where("level is null").count()
         if left == open_:
@@ -92,25 +93,68 @@ def levels(calls: DataFrame, max_rounds: int = 10_000) -> DataFrame:
     return state.select("call_id", "level")
 
 
-def validated(calls: DataFrame, schemas: list[tuple[str, list[tuple[str, list[str], bool]]]]) -> DataFrame:
-    """``calls`` with ``valid``: the arguments are an object, each required field is there, and each known field has one of its types."""
-    value = F.try_parse_json(F.col("arguments"))
+def levels(calls: DataFrame) -> DataFrame:
+    """(call_id, level): 0 without dependencies, else one more than the highest among them; null on or behind a cycle.
+
+    calls: call_id, depends_on and, if there is one, turn.  A pick is only changed for a strictly deeper need (a cycle counts as deepest), so levels along the picks never fall and
+    the rounds end; without several needs a call there is one round.
+    """
+    known = calls.where("call_id is not null").withColumn("turn", F.col("turn") if "turn" in calls.columns else F.lit(0))
+    nodes = cut(known.groupBy("call_id").agg(F.max("turn").alias("turn")), "calls")
+    needs = known.select("call_id", F.explode("depends_on").alias("need")).where("need is not null").distinct()
+    edges = cut(needs.join(nodes.withColumnRenamed("call_id", "need"), "need").select("call_id", "need", "turn"), "needs")
+    # Calls with one need have no choice.
+    waits = edges.groupBy("call_id").agg(F.count("*").alias("n"), F.max(F.struct("turn", "need"))["need"].alias("to"))
+    policy = cut(nodes.select("call_id").join(waits, "call_id", "left"), "picks")
+    several = cut(edges.join(policy.where("n > 1").select("call_id"), "call_id").select("call_id", "need"), "several")
+    any_several = not several.isEmpty()
+    while True:
+        found = cut(_measured(policy), "measured") if any_several else _measured(policy)
+        if not any_several:
+            return found
+        depth = F.coalesce("level", F.lit(1 << 30))
+        best = several.join(found.select(F.col("call_id").alias("need"), depth.alias("depth")), "need").groupBy("call_id").agg(F.max(F.struct("depth", "need")).alias("best"))
+        picked = best.join(policy.select("call_id", "to"), "call_id").join(found.select(F.col("call_id").alias("to"), depth.alias("own")), "to")
+        change = cut(picked.where("best.depth > own").select("call_id", F.col("best.need").alias("new")), "changes")
+        if change.isEmpty():
+            return found
+        policy = cut(policy.join(change, "call_id", "left").select("call_id", "n", F.coalesce("new", "to").alias("to")), "picks")
+
+
+#: JSON schema types and the beginnings of the names that values of them have.
+KINDS = {"integer": "BIGINT", "number": "BIGINT|DECIMAL|DOUBLE", "string": "STRING", "boolean": "BOOLEAN", "object": "OBJECT", "array": "ARRAY", "null": "VOID"}
+
+
+def validated(calls: DataFrame, schemas: list[tuple[str, list[tuple[str, list[str], bool]]]], declared: DataFrame | None = None) -> DataFrame:
+    """``calls`` with ``valid``: the arguments are an object, each required field is there, and each known field has one of its types.
+
+    A given schema goes before one that the conversation declares.
+    """
+    kinds = F.transform_values(F.from_json("arguments", "map<string,variant>"), lambda _, v: F.schema_of_variant(v))
+    df = calls.withColumn("_kinds", F.when(F.schema_of_variant(F.try_parse_json("arguments")).startswith("OBJECT"), kinds))
     ok = F.lit(False)
+    if declared is not None:
+        df = df.join(declared.withColumnsRenamed({"types": "_types", "required": "_required"}), ["conv_id", "name"], "left")
+        known = F.create_map(*[F.lit(x) for kv in KINDS.items() for x in kv])
+        right = lambda field, type_: F.try_element_at("_kinds", field).isNull() | F.coalesce(F.rlike(F.try_element_at("_kinds", field), F.concat(F.lit("^("), F.try_element_at(known, type_), F.lit(")"))), F.lit(True))
+        ok = F.forall("_required", lambda f: F.map_contains_key("_kinds", f)) & F.forall(F.map_entries("_types"), lambda e: right(e["key"], e["value"]))
     for name, fields in schemas:
-        checks = F.schema_of_variant(value).startswith("OBJECT")
+        checks = F.col("_kinds").isNotNull()
         for field, types_, required in fields:
-            kind = F.schema_of_variant(F.try_variant_get(value, f"$.{field}", "variant"))
-            right = kind.isin(types_)
-            checks = checks & (F.coalesce(right, F.lit(False)) if required else (kind.isNull() | right))
-        ok = F.when(F.col("name") == name, F.coalesce(checks, F.lit(False))).otherwise(ok)
-    return calls.withColumn("valid", ok)
+            kind = F.try_element_at("_kinds", F.lit(field))
+            checks = checks & (F.coalesce(kind.isin(types_), F.lit(False)) if required else (kind.isNull() | kind.isin(types_)))
+        ok = F.when(F.col("name") == name, checks).otherwise(ok)
+    return df.withColumn("valid", F.coalesce(ok, F.lit(False))).drop("_kinds", "_types", "_required")
 
 
-def link(calls: DataFrame, results: DataFrame, schemas) -> DataFrame:
+def link(calls: DataFrame, results: DataFrame, schemas, declared: DataFrame | None = None) -> DataFrame:
     """One row a call: conv_id, turn, call_id, name, level, valid, linked, result_turn, record."""
-    one = results.where("call_id is not null").groupBy("call_id").agg(F.min(F.struct("result_turn", "result")).alias("r"))
-    ordered = levels(calls)
-    joined = validated(calls, schemas).join(one.hint("shuffle_hash"), "call_id", "left").join(ordered, "call_id", "left")
+    both = ["conv_id", "call_id"]
+    one = results.where("call_id is not null and conv_id is not null").groupBy(*both).agg(F.min(F.struct("result_turn", "result")).alias("r"))
+    name = lambda call: F.concat(F.col("conv_id").cast("string"), F.lit("\u001f"), call)
+    named = calls.withColumn("_call", name(F.col("call_id")))
+    ordered = levels(named.select(F.col("_call").alias("call_id"), F.transform("depends_on", name).alias("depends_on"), "turn")).withColumnRenamed("call_id", "_call")
+    joined = validated(named, schemas, declared).join(one.hint("shuffle_hash"), both, "left").join(ordered, "_call", "left")
     record = F.struct(
         F.coalesce(canonical(F.col("arguments")), F.to_json(F.struct(F.col("arguments").alias("raw")))).alias("arguments"),
         F.col("call_id"),

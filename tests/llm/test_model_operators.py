@@ -502,9 +502,65 @@ def test_a_long_chain_of_calls(spark):
     assert got == {f"k{i}": i for i in range(300)}
 
 
+def slow_levels(needs):
+    """Levels by walking; None on or behind a cycle."""
+    known = {}
+
+    def level(c, path):
+        if c not in known:
+            if c in path:
+                return None
+            below = [level(n, path | {c}) for n in needs[c] if n in needs]
+            if None in below:
+                return None
+            known[c] = 1 + max(below, default=-1)
+        return known[c]
+
+    return {c: level(c, frozenset()) for c in needs}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_levels_of_random_graphs(spark, seed):
+    rng = random.Random(seed)
+    needs = {f"c{i}": [f"c{j}" for j in rng.sample(range(i), min(i, rng.randrange(4)))] for i in range(60)}
+    for i in range(0, 60, 20) if seed == 2 else ():  # cycles
+        needs[f"c{i}"].append(f"c{min(59, i + rng.randrange(1, 9))}")
+    needs["c5"].append("nobody")
+    calls = spark.createDataFrame([(c, n, rng.randrange(60)) for c, n in needs.items()], "call_id string, depends_on array<string>, turn int")
+    assert {r["call_id"]: r["level"] for r in toolcalls.levels(calls).collect()} == slow_levels(needs)
+
+
+def test_a_deep_chain_with_two_needs_each_takes_few_tables(spark, monkeypatch):
+    tables = []
+    monkeypatch.setattr(toolcalls, "cut", lambda df, label, cut=toolcalls.cut: tables.append(label) or cut(df, label))
+    k = lambda i: F.concat(F.lit("k"), F.lpad(i.cast("string"), 4, "0"))
+    calls = spark.range(1000).select(k(F.col("id")).alias("call_id"), F.array(k(F.col("id") - 1), k(F.col("id") - 2)).alias("depends_on"), F.col("id").alias("turn"))
+    got = {r["call_id"]: r["level"] for r in toolcalls.levels(calls).collect()}
+    assert got == {f"k{i:04d}": i for i in range(1000)}
+    assert len(tables) < 25
+
+
+def test_identifiers_count_within_their_conversation(spark):
+    messages = []
+    for conv in (1, 2):
+        messages += [(conv, 0, "assistant", _asked(("call_0", "add", {"a": conv}, []), ("call_1", "add", {"a": 1}, ["call_0"] if conv == 1 else []))), (conv, 1 + conv, "tool", json.dumps({"tool_call_id": "call_0", "content": f"r{conv}"}))]
+    messages.append((None, 0, "assistant", _asked(("call_0", "add", {"a": 9}, []))))
+    got = {(r["conv_id"], r["call_id"]): (r["level"], r["result_turn"], json.loads(r["record"]).get("result")) for r in _link(spark, messages).collect()}
+    assert got == {(1, "call_0"): (0, 2, "r1"), (1, "call_1"): (1, None, None), (2, "call_0"): (0, 3, "r2"), (2, "call_1"): (0, None, None), (None, "call_0"): (None, None, None)}
+
+
+def test_declared_schemas(spark):
+    tools = {"tools": [{"type": "function", "function": {"name": "find", "parameters": {"type": "object", "properties": {"q": {"type": "string"}, "n": {"type": "integer"}, "x": {"type": "number"}}, "required": ["q"]}}}]}
+    asked = [("1", {"q": "a", "n": 2, "x": 1.5}), ("2", {"n": 2}), ("3", {"q": 1}), ("4", {"q": "a", "n": "b"}), ("5", {"q": "a", "other": []}), ("6", ["q"])]
+    rows = [(1, 0, "system", json.dumps(tools)), (1, 1, "assistant", _asked(*[(i, "find", a, []) for i, a in asked])), (2, 0, "assistant", _asked(("7", "find", {"q": "a"}, [])))]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    out = toolcalls.link(toolcalls.messages_to_calls(df), toolcalls.messages_to_results(df), CALL_SCHEMAS, toolcalls.messages_to_schemas(df))
+    assert {r["call_id"]: r["valid"] for r in out.collect()} == {"1": True, "2": False, "3": False, "4": False, "5": True, "6": False, "7": False}
+
+
 def test_tool_calls_take_anything_and_stay_native(spark):
     df = spark.createDataFrame([(1, 0, "user", None), (1, 0, "user", None), (1, 1, "assistant", None), (2, None, "user", "x"), (None, 1, "user", "y"), (3, 0, None, "z")], "conv_id long, turn long, role string, text string")
-    out = toolcalls.link(toolcalls.messages_to_calls(df), toolcalls.messages_to_results(df), [toolcalls.REPLY])
+    out = toolcalls.link(toolcalls.messages_to_calls(df), toolcalls.messages_to_results(df), [toolcalls.REPLY], toolcalls.messages_to_schemas(df))
     assert out.count() == 4 and out.where("linked").count() == 2
     none = df.limit(0)
     assert toolcalls.link(toolcalls.messages_to_calls(none), toolcalls.messages_to_results(none), [toolcalls.REPLY]).count() == 0
