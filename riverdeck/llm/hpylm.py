@@ -334,10 +334,10 @@ def _frame(rows: list) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=_FRAME)
 
 
-def _bucketed(df: DataFrame, buckets: int, label: str) -> DataFrame:
-    """``df`` written to the shared folder as a table bucketed by ``at``; joins and groups by ``at`` read it in place."""
+def _bucketed(df: DataFrame, buckets: int, label: str, by: str = "at") -> DataFrame:
+    """``df`` written to the shared folder as a table bucketed by a column; joins and groups by that column read it in place."""
     spark, name = df.sparkSession, f"riverdeck_{label}_{uuid.uuid4().hex}"
-    df.write.bucketBy(min(buckets, 100_000), "at").sortBy("at").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+    df.write.bucketBy(min(buckets, 100_000), by).sortBy(by).option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
     return spark.table(name)
 
 
@@ -346,10 +346,10 @@ def fit_and_score(docs: DataFrame, params: HpyParams = HpyParams()) -> DataFrame
     spark = docs.sparkSession
     p, S = params, params.samples
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    table = cut(blocks(docs, p.block), "blocks")
-    total = table.agg(F.sum("n_tokens"), F.sum("n_words")).first()
-    pair_buckets = max(least, math.ceil((total[0] or 0) / p.pairs))
-    word_buckets = max(least, math.ceil((total[1] or 0) / p.words))
+    table = _bucketed(blocks(docs, p.block), least, "lm_blocks", "block")
+    tokens, words = (x or 0 for x in table.agg(F.sum("n_tokens"), F.sum("n_words")).first())
+    # By size alone; small inputs are cut finer, into up to 8 buckets.
+    pair_buckets, word_buckets = (max(1, math.ceil(n / size), min(8, 16 * n // size)) for n, size in ((tokens, p.pairs), (words, p.words)))
     names, parts = _hot(table, p)
     shared = spark.sparkContext.broadcast(_Deal(pair_buckets, word_buckets, names, parts))
 
