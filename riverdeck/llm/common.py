@@ -27,14 +27,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share; a local one only where the session names none."""
+    """The folder that the driver and all executors share: ``spark.checkpoint.dir``.
+
+    Where the session names none, a temporary folder serves a local master (driver and tasks are one process there); on a cluster that is an error.
+    """
     place = spark.conf.get("spark.checkpoint.dir", None)
     if not place:
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         place = tempfile.mkdtemp(prefix="riverdeck-")
         spark.conf.set("spark.checkpoint.dir", place)
     return place
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores before it as make it differ from every column of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def cut(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: its lineage ends there and survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"

@@ -5,7 +5,7 @@ documents are put, longest first, each into the row with the least free room tha
 found in a segment tree whose leaves are free capacities.  A task packs its own documents in blocks of ``block`` ids, so
 nothing is shuffled, no task holds more than a block (or one document), and the waste of a block is at most a part of its last rows.
 
-A packed row: ``ids`` (little-endian 16 bit, filled up with the end token to ``width``), ``cu_seqlens`` (cumulative segment lengths, from
+A packed row: ``ids`` (little-endian, 16 bit if the vocabulary and the end token fit, else 32; filled up with the end token to ``width``), ``cu_seqlens`` (cumulative segment lengths, from
 0), ``reset_at`` (where the position starts again from 0), ``doc_ids`` and ``chunks`` (which part of which document each segment is), ``n_tokens``, ``doc_ends`` (whether
 the segment ends its document).
 
@@ -92,11 +92,18 @@ def _encoding(path: str):
     return tiktoken.Encoding("pieces", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def pack(docs: DataFrame, vocabulary: str, end: int = 50256, width: int = 2048, block: int = 1 << 21, text: str = "text") -> DataFrame:
-    """Packed rows of all documents; ``vocabulary`` is a file of byte-pair ranks that every worker can read."""
+def id_type(ids: int) -> str:
+    """The numpy type of ids below ``ids``."""
+    return "<u2" if ids <= 1 << 16 else "<u4"
+
+
+def pack(docs: DataFrame, vocabulary: str, end: int | None = None, width: int = 2048, block: int = 1 << 21, text: str = "text") -> DataFrame:
+    """Packed rows of all documents; ``vocabulary`` is a file of byte-pair ranks that every worker can read; ``end`` is the id after its last one unless given."""
 
     def run(batches):
         encoding = _encoding(vocabulary)
+        end_ = encoding.n_vocab if end is None else end
+        kind = id_type(max(encoding.n_vocab, end_ + 1))
         held, size = [], 0  # (doc_id, ids)
 
         def flush():
@@ -105,7 +112,7 @@ def pack(docs: DataFrame, vocabulary: str, end: int = 50256, width: int = 2048,
             for row in best_fit([len(p[2]) for p in parts], width):
                 inside = [parts[i] for i in row]
                 ends = np.cumsum([len(p[2]) for p in inside]).tolist()
-                flat = np.full(width, end, "<u2")
+                flat = np.full(width, end_, kind)
                 flat[: ends[-1]] = np.concatenate([p[2] for p in inside])
                 for column, value in zip(made, (ends[-1], flat.tobytes(), [0, *ends], [0, *ends[:-1]], [p[0] for p in inside], [p[1] for p in inside], [p[3] for p in inside])):
                     column.append(value)
@@ -118,7 +125,7 @@ def pack(docs: DataFrame, vocabulary: str, end: int = 50256, width: int = 2048,
                 for doc, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                     if x is None:
                         continue
-                    ids = np.append(np.array(encoding.encode_ordinary(x), np.uint16), np.uint16(end))
+                    ids = np.append(np.array(encoding.encode_ordinary(x), kind), np.array([end_], kind))
                     held.append((doc, ids))
                     size += len(ids)
                     if size >= block:
@@ -130,14 +137,14 @@ def pack(docs: DataFrame, vocabulary: str, end: int = 50256, width: int = 2048,
     return docs.select("doc_id", F.col(text)).mapInArrow(run, SCHEMA)
 
 
-def unpack(packed: DataFrame) -> DataFrame:
-    """The segments again: doc_id, chunk, doc_end and ids (array<int>); those of a document in order of chunk are its ids."""
+def unpack(packed: DataFrame, width: int = 2048) -> DataFrame:
+    """The segments of rows of ``width`` ids again: doc_id, chunk, doc_end and ids (array<int>); those of a document in order of chunk are its ids."""
 
     def run(batches):
         for batch in batches:
             out = [[], [], [], []]
             for ids, cuts, docs, chunks, ends in zip(*[batch.column(i).to_pylist() for i in range(5)]):
-                flat = np.frombuffer(ids, "<u2")
+                flat = np.frombuffer(ids, "<u2" if len(ids) == 2 * width else "<u4")
                 for a, b, doc, chunk, e in zip(cuts, cuts[1:], docs, chunks, ends):
                     for column, value in zip(out, (doc, chunk, e, flat[a:b].tolist())):
                         column.append(value)

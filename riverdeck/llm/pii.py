@@ -16,9 +16,17 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .common import fresh
+
 KINDS = ("email", "ip", "card", "phone", "iban")
 BASE = KINDS[:4]
 
+#: Length of an IBAN and the countries that have it (fixed values of the public registry).
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH CR HR LI LV", 22: "BG BH DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+    28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC", 33: "RU",
+}
 _LOCAL = r"[A-Za-z0-9._%+-]"
 PATTERNS = {
     "email": rf"(?:\G|(?<!{_LOCAL})){_LOCAL}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
@@ -26,7 +34,8 @@ PATTERNS = {
     # A whole run of digits with single blanks or hyphens between, if it has 12 to 19 digits; others can't pass.
     "card": r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){11,18}+(?![ -]?[0-9])",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}+(?![A-Za-z0-9])",
+    # A country's letters, and as many characters as its account numbers have, with single blanks between.
+    "iban": r"(?<![A-Za-z0-9])(?:" + "|".join(rf"(?:{c.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]){{{n - 4}}}" for n, c in IBAN_LENGTHS.items()) + r")(?![A-Za-z0-9])",
 }
 #: A text without this can hold no match.
 HINTS = {"email": "@", "phone": "+"}
@@ -65,7 +74,7 @@ def valid(kind: str, span: Column) -> Column:
     if kind == "phone":
         return F.length(_digits(span)).between(9, 15)
     if kind == "iban":
-        return F.length(F.regexp_replace(span, " ", "")).between(15, 34) & (_mod97(span) == 1)
+        return _mod97(span) == 1
     return F.lit(True)
 
 
@@ -92,13 +101,14 @@ def spans_of(kind: str, text: Column) -> Column:
     return F.when(_hinted(kind, text), found).otherwise(none)
 
 
-def find(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with ``pii``: array<struct<start, order, kind, end, score>> of the confirmed spans, by start, then kind as listed."""
+def find(docs: DataFrame, text: str = "text", to: str = "pii") -> DataFrame:
+    """``docs`` with ``to``: array<struct<start, order, kind, end, score>> of the confirmed spans, by start, then kind as listed."""
     t = F.coalesce(F.col(text), F.lit(""))
-    df = docs.withColumns({f"_{k}": spans_of(k, t) for k in KINDS})
+    held = {k: fresh(docs, f"_{k}") for k in KINDS}
+    df = docs.withColumns({held[k]: spans_of(k, t) for k in KINDS})
 
     def confirmed(i: int, kind: str) -> Column:
-        ok = F.filter(F.col(f"_{kind}"), lambda x: x["ok"])
+        ok = F.filter(F.col(held[kind]), lambda x: x["ok"])
 
         def shaped(x: Column) -> Column:
             a = F.greatest(x["start"] - NEAR, F.lit(0))
@@ -109,9 +119,9 @@ def find(docs: DataFrame, text: str = "text") -> DataFrame:
         return F.transform(ok, shaped)
 
     every = F.array_sort(F.concat(*[confirmed(i, k) for i, k in enumerate(KINDS)]))
-    any_found = sum((F.size(f"_{k}") for k in KINDS), F.lit(0)) > 0
+    any_found = sum((F.size(held[k]) for k in KINDS), F.lit(0)) > 0
     none = F.from_json(F.lit("[]"), "array<struct<start:int,order:int,kind:string,end:int,score:double>>")
-    return df.withColumn("pii", F.when(any_found, every).otherwise(none)).drop(*[f"_{k}" for k in KINDS])
+    return df.withColumn(to, F.when(any_found, every).otherwise(none)).drop(*held.values())
 
 
 def listed(spans: Column) -> Column:
@@ -120,7 +130,7 @@ def listed(spans: Column) -> Column:
 
 
 def report(docs: DataFrame, text: str = "text") -> DataFrame:
-    found = find(docs, text)
+    found = find(docs.select("doc_id", text), text)
     base = F.filter("pii", lambda x: x["order"] < len(BASE))
     count = lambda i: F.size(F.filter("pii", lambda x: x["order"] == i)).cast("long")
     return found.select(
@@ -137,7 +147,8 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
 
     A null text stays null.
     """
-    found = find(docs, text)
+    pii = fresh(docs, "_pii")
+    found = find(docs, text, pii)
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(s: Column, x: Column) -> Column:
@@ -145,5 +156,5 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
         piece = F.concat(s["out"], F.substring(F.col(text), s["at"] + 1, x["start"] - s["at"]), F.lit("["), F.upper(x["kind"]), F.lit("]"))
         return F.struct(F.greatest(s["at"], x["end"]).alias("at"), F.when(covered, s["out"]).otherwise(piece).alias("out"))
 
-    clean = F.aggregate("pii", start, step, lambda s: F.concat(s["out"], F.substring(F.col(text), s["at"] + 1, F.length(text))))
-    return found.withColumn(text, F.when(F.size("pii") > 0, clean).otherwise(F.col(text))).drop("pii")
+    clean = F.aggregate(pii, start, step, lambda s: F.concat(s["out"], F.substring(F.col(text), s["at"] + 1, F.length(text))))
+    return found.withColumn(text, F.when(F.size(pii) > 0, clean).otherwise(F.col(text))).drop(pii)

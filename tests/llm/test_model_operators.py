@@ -128,13 +128,29 @@ def test_packing_is_lossless(spark, texts):
         assert r["reset_at"] == r["cu_seqlens"][:-1] and len(r["doc_ids"]) == len(r["chunks"]) == len(r["reset_at"])
     encoding = packing._encoding(path)
     got = {}
-    for r in packing.unpack(packed).orderBy("doc_id", "chunk").collect():
+    for r in packing.unpack(packed, 512).orderBy("doc_id", "chunk").collect():
         got.setdefault(r["doc_id"], []).extend(r["ids"])
     assert {d: encoding.decode(x[:-1]) for d, x in got.items()} == {d: t for d, t in rows if t is not None}
     assert all(x[-1] == 50256 for x in got.values())
     assert packing.pack(empty(spark), path).count() == 0 and packing.pack(awkward(spark), path).count() > 0
 
 
+def test_packing_with_a_large_vocabulary(spark, tmp_path):
+    """70,000 pieces: the 256 bytes and pairs, triples of them; the end token follows the vocabulary, and ids take 32 bits."""
+    import base64
+
+    pieces = [bytes([i]) for i in range(256)] + [bytes([a, b]) for a in range(256) for b in range(256)] + [b"abc" + bytes([i]) for i in range(256)]
+    path = tmp_path / "pieces"
+    path.write_bytes(b"\n".join(base64.b64encode(p) + b" %d" % i for i, p in enumerate([*pieces, *[b"abcd" * 2 + b"%d" % i for i in range(5000)]])))
+    docs = spark.createDataFrame([(1, "abcd words here"), (2, "")], "doc_id long, text string")
+    packed = packing.pack(docs, str(path), width=64)
+    got = {r["doc_id"]: r["ids"] for r in packing.unpack(packed, 64).collect()}
+    n = len(pieces) + 5000
+    assert n > 1 << 16 and all(x[-1] == n for x in got.values()) and got[2] == [n]
+    assert packing._encoding(str(path)).decode(got[1][:-1]) == "abcd words here"
+    assert all(len(r["ids"]) == 256 for r in packed.collect())
+
+
 # Toxicity
 
 

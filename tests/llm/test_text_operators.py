@@ -324,6 +324,10 @@ def test_iban_and_context(spark):
     docs = spark.createDataFrame([(1, "my bank account GB82 WEST 1234 5698 7654 32 ok"), (2, "GB82WEST12345698765433"), (3, "x 4111111111111111"), (4, "credit card 4111111111111111")], "doc_id long, text string")
     got = {r["doc_id"]: r for r in pii.report(docs).collect()}
     assert got[1]["n_iban"] == 1 and got[2]["n_iban"] == 0
+    rows = ["IBAN DE89 3704 0044 0532 0130 00 BIC COBADEFF", "DE89370400440532013000 NOW", "xDE89370400440532013000", "DE893704004405320130001", "NO93 8601 1117 947, FR14 2004 1010 0505 0001 3M02 606 ZZ11"]
+    spans = {r["doc_id"]: r["spans"] for r in pii.report(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    found = {d: [rows[d][int(a) : int(b)] for k, a, b in (x.split(":") for x in s.split(",") if x) if k == "iban"] for d, s in spans.items()}
+    assert found == {0: ["DE89 3704 0044 0532 0130 00"], 1: ["DE89370400440532013000"], 2: [], 3: [], 4: ["NO93 8601 1117 947", "FR14 2004 1010 0505 0001 3M02 606"]}
     assert got[3]["score"] == pii.PLAIN and got[4]["score"] == got[1]["score"] == pii.WITH_CONTEXT
 
 
@@ -331,6 +335,9 @@ def test_redaction(spark):
     docs = spark.createDataFrame([(1, "write a@b.com or +1 (988) 555-2485."), (2, None), (3, "é 1.2.3.4 é"), (4, "plain")], "doc_id long, text string")
     got = {r["doc_id"]: r["text"] for r in pii.redact(docs).collect()}
     assert got == {1: "write [EMAIL] or [PHONE].", 2: None, 3: "é [IP] é", 4: "plain"}
+    clash = spark.createDataFrame([("a@b.com", "p", "e", "i", "q")], "text string, pii string, _email string, _iban string, _pii string")
+    assert pii.redact(clash).collect() == [("[EMAIL]", "p", "e", "i", "q")]
+    assert [s["kind"] for s in pii.find(clash).first()["pii"]] == ["email"]
 
 
 def test_pii_stays_native(spark):
