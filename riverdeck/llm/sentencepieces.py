@@ -6,10 +6,13 @@ is searched for in the suffix array by bisection, and its range gives the places
 by place and relaxed: for a unigram model by the best path, for a BPE model by merging, again and again, the
 best-scored edge that spans two neighbouring pieces.  Characters in no edge fall back to byte pieces.
 
-The vocabulary file is a parameter; it is read on the driver and its table is broadcast (a fixed size).
+The vocabulary file is a parameter; it is read on the driver, its kind (unigram or BPE) and its blank before the text with it, and its table is broadcast (a fixed size).
+Models that change the text otherwise (by rules of normalisation, or by taking blanks away) are refused.
+
+Memory: a task keeps encoded segments up to ``keep`` bytes and indexes ``CHUNK`` bytes at once; a single longer segment takes some 200 bytes for each of its characters.
 
 Defined cases: a null or empty text has no pieces; repeated rows are encoded alike; texts of any length are encoded whole
-(segments over ``LONG`` characters are relaxed one by one with a heap); an empty table gives an empty result; extra columns are carried
+(segments over ``LONG`` characters are relaxed one by one with a heap); a run of characters in no piece is one unknown piece if the model has no byte pieces; an empty table gives an empty result; extra columns are carried
 and never read, but for those named like a result, which are replaced.  Decoding gives the text back, with U+2581 turned to a blank as the model does.
 """
 
@@ -35,7 +38,9 @@ _FAR = np.int64(1) << np.int64(62)
 
 @dataclass(frozen=True)
 class Pieces:
-    """pieces: the bytes each id decodes to (a blank for U+2581).  usable: ids that may be matched in a text.  bytes_: the 256 byte pieces' ids, or the unknown id."""
+    """pieces: the bytes each id decodes to (a blank for U+2581).  usable: ids that may be matched in a text.  bytes_: the 256 byte pieces' ids, or the unknown id.
+    unigram: best path, else BPE merges.  prefix: a blank is put before the text.  fallback: there are byte pieces.
+    """
 
     pieces: list[bytes] = field(repr=False)
     scores: np.ndarray = field(repr=False)
@@ -43,6 +48,48 @@ class Pieces:
     bytes_: np.ndarray = field(repr=False)
     unigram: bool = False
     prefix: bool = True
+    fallback: bool = True
+
+
+def _fields(data: bytes):
+    """(number, value) of a protocol-buffer message: whole numbers and bytes."""
+    at = 0
+
+    def varint():
+        nonlocal at
+        value = shift = 0
+        while True:
+            byte = data[at]
+            at += 1
+            value |= (byte & 127) << shift
+            shift += 7
+            if byte < 128:
+                return value
+
+    while at < len(data):
+        tag = varint()
+        size = {1: 8, 5: 4}.get(tag & 7)
+        if tag & 7 == 0:
+            yield tag >> 3, varint()
+            continue
+        if size is None:
+            size = varint()
+        yield tag >> 3, data[at : at + size]
+        at += size
+
+
+def _settings(path: str) -> tuple[bool, bool]:
+    """Whether the model is a unigram one, and whether a blank goes before the text."""
+    with open(path, "rb") as f:
+        model = list(_fields(f.read()))
+    trainer = dict(_fields(b"".join(v for k, v in model if k == 2)))
+    normalizer = dict(_fields(b"".join(v for k, v in model if k == 3)))
+    kind = trainer.get(3, 1)  # 1: unigram, 2: BPE, 3: words, 4: characters
+    if kind not in (1, 2):
+        raise ValueError(f"{path}: only unigram and BPE models are encoded")
+    if normalizer.get(2) or normalizer.get(4, 1) or not normalizer.get(5, 1) or trainer.get(24):
+        raise ValueError(f"{path}: the model normalises texts, takes blanks away or puts them behind words")
+    return kind == 1, bool(normalizer.get(3, 1))
 
 
 def load(path: str) -> Pieces:
@@ -61,7 +108,8 @@ def load(path: str) -> Pieces:
             out.append(bytes([int(name[3:5], 16)]))
         else:
             out.append(b"" if special[i] else name.replace("▁", " ").encode())
-    return Pieces(out, np.array([p.get_score(i) for i in range(n)]), np.flatnonzero(~special), bytes_)
+    unigram, prefix = _settings(path)
+    return Pieces(out, np.array([p.get_score(i) for i in range(n)]), np.flatnonzero(~special), bytes_, unigram, prefix, any(map(p.is_byte, range(n))))
 
 
 class SuffixArray:
@@ -119,9 +167,9 @@ class SuffixArray:
 
 
 class Encoder:
-    """Encodes texts of one task; segments once encoded are kept until there are ``keep`` of them."""
+    """Encodes texts of one task; segments once encoded are kept until they take about ``keep`` bytes."""
 
-    def __init__(self, table: Pieces, keep: int = 1 << 19):
+    def __init__(self, table: Pieces, keep: int = 96 << 20):
         self.table, self.keep = table, keep
         used = [table.pieces[i] for i in table.usable]
         self.sizes = np.array([len(x) for x in used])
@@ -148,10 +196,11 @@ class Encoder:
         self.seen = Numbering()
         self.first, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.flat = np.zeros(0, np.int32)
+        self.held = 0
 
     def __call__(self, docs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Offsets (one more than there are texts) and piece ids."""
-        if len(self.seen) > self.keep:
+        if self.held > self.keep:
             self._clear()
         prefix = b" " if self.table.prefix else b""
         parts = [self.cut.findall(prefix + x.replace(BLANK, b" ")) if x else [] for x in docs]
@@ -163,12 +212,19 @@ class Encoder:
         ends = np.cumsum(n)
         out = self.flat[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(self.first[ids] - (ends - n), n)]
         bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
+        if not self.table.fallback:  # a run of unknown characters is one piece
+            unknown = out == self.table.bytes_[0]
+            again = np.append(False, unknown[1:] & unknown[:-1])[: len(out)]
+            again[bounds[:-1][bounds[:-1] < len(out)]] = False
+            bounds = np.concatenate([[0], np.cumsum(~again)])[bounds]
+            out = out[~again]
         return bounds, out
 
     def _learn(self, new: list[bytes]):
         firsts, counts, flats, size = [self.first], [self.count], [self.flat], len(self.flat)
         sizes = np.fromiter(map(len, new), np.int64, len(new)) + 1
         ends = np.cumsum(sizes)
+        self.held += int(sizes.sum()) + 160 * len(new)  # the text, and what a key and its entries take besides
         at = 0
         while at < len(new):
             base = ends[at - 1] if at else 0
@@ -194,9 +250,10 @@ class Encoder:
         ends = np.cumsum(n)
         place = suffixes.array[np.arange(len(which)) + np.repeat(lo[found] - (ends - n), n)]
         # One key holds place, length in characters and piece, so that a plain sort puts the edges in order of place.
-        edges = np.sort((char_at[place] << np.int64(26)) | (self.chars[which] << np.int64(20)) | which)
-        assert len(self.table.usable) < 1 << 20 and self.max_chars < 64
-        spot, length, piece = edges >> 26, (edges >> 20) & 63, edges & ((1 << 20) - 1)
+        low = len(self.table.usable).bit_length()
+        high = low + self.max_chars.bit_length()
+        edges = np.sort((char_at[place] << np.int64(high)) | (self.chars[which] << np.int64(low)) | which)
+        spot, length, piece = edges >> high, (edges >> low) & ((1 << (high - low)) - 1), edges & ((1 << low) - 1)
         grid = np.full((len(lead), self.max_chars + 1), -1, np.int32)
         grid[spot, length] = piece
         sizes = np.fromiter(map(len, segments), np.int64, len(segments)) + 1
@@ -209,6 +266,8 @@ class Encoder:
         ids = token[at]
         known = ids >= 0
         width = np.append(lead[1:], len(text))[at] - lead[at]
+        if not self.table.fallback:
+            width[:] = 1
         n = np.where(known, 1, width)
         ends = np.cumsum(n)
         out = np.empty(int(ends[-1]) if len(ends) else 0, np.int32)

@@ -2,6 +2,7 @@ import itertools
 import json
 import math
 import random
+import struct
 from collections import Counter
 
 import numpy as np
@@ -78,6 +79,57 @@ def test_unigram_takes_the_best_path():
         assert sum(scores[i] for i in got) == pytest.approx(best(b" " + text.encode()))
 
 
+def _message(*fields):
+    """A protocol-buffer message of (number, whole number, float or bytes)."""
+
+    def varint(n):
+        out = b""
+        while n > 127:
+            out, n = out + bytes([n & 127 | 128]), n >> 7
+        return out + bytes([n])
+
+    def one(k, v):
+        if isinstance(v, float):
+            return varint(k << 3 | 5) + struct.pack("<f", v)
+        return varint(k << 3) + varint(v) if isinstance(v, int) else varint(k << 3 | 2) + varint(len(v)) + v
+
+    return b"".join(one(k, v) for k, v in fields)
+
+
+def _model(path, names, kind, fallback, prefix=1, extra=0):
+    """A model file: <unk>, the byte pieces if wanted, and the pieces with scores."""
+    pieces = [("<unk>", 0.0, 2)] + [(f"<0x{i:02X}>", 0.0, 6) for i in range(256) if fallback] + [(n, s, 1) for n, s in names]
+    rows = [(1, _message((1, n.encode()), (2, float(s)), (3, t))) for n, s, t in pieces]
+    path.write_bytes(_message(*rows, (2, _message((3, kind), (35, int(fallback)))), (3, _message((1, b"identity"), (3, prefix), (4, extra), (5, 1)))))
+    return str(path)
+
+
+@pytest.mark.parametrize("kind, fallback, prefix", [(1, True, 1), (1, False, 1), (1, True, 0), (2, True, 1), (2, False, 0)])
+def test_models_of_any_kind_equal_the_library(tmp_path, kind, fallback, prefix):
+    rng = random.Random(kind)
+    names = {"▁", *"abcdef", "▁a", "ab", "abc", "bc", "cab", "▁ab", "▁cab", "de", "fde", "é"} | {"a" * 70}
+    names = [(n, -rng.uniform(1, 9) if kind == 1 else -i) for i, n in enumerate(sorted(names, key=lambda n: (-len(n), n)))]
+    path = _model(tmp_path / "m.model", names, kind, fallback, prefix)
+    table = sentencepieces.load(path)
+    assert (table.unigram, table.prefix, table.fallback) == (kind == 1, bool(prefix), fallback)
+    own = sentencepiece.SentencePieceProcessor(model_file=path)
+    rows = ["".join(rng.choices("abcdef  é日\n", k=rng.randrange(1, 60))) for _ in range(60)] + ["", "b" + "a" * 70 + "é", "日本 日本x"]
+    assert encoded(table, rows) == own.encode(rows)
+
+
+def test_models_that_change_texts_are_refused(tmp_path):
+    for kind, extra in ((1, 1), (3, 0)):
+        with pytest.raises(ValueError):
+            sentencepieces.load(_model(tmp_path / "m.model", [("a", -1.0)], kind, True, extra=extra))
+
+
+def test_segments_kept_are_bounded_by_bytes(pieces):
+    encoder = sentencepieces.Encoder(pieces, keep=20000)
+    for i in range(30):
+        encoder([" ".join(f"w{i}x{j}" + "y" * 300 for j in range(20)).encode()])
+        assert encoder.held < 40000
+
+
 def test_suffix_array_is_sorted_and_finds_all():
     text = np.frombuffer(b"banana\0bandana\0" * 3, np.uint8)
     s = sentencepieces.SuffixArray(text, 16)
