@@ -5,8 +5,9 @@ another; the longest suffix that occurs in some item is tracked, and wherever it
 consecutive item words, or a whole shorter item) the words of that window are hit.  Runs of words whose
 neighbouring pairs occur in no item can't reach a window and are passed over before the automaton is entered.
 
-The automaton is broadcast.  Its size is bounded: items are dealt into shards of at most about ``shard_bytes`` of text
-(a single longer item is a shard of its own), and each shard's pass over the documents adds to the findings of the last.
+Items are dealt into shards of about ``shard_bytes`` of different text (long items in pieces that overlap by a window less a word), a task builds
+each shard's automaton, and it is written to the shared folder as plain arrays.  A pass over the documents broadcasts as many automata as measure ``pass_bytes`` together, one at
+least; each pass adds to the findings of the last.
 
 Defined cases: a null text has no words, and no item is found in it; items that are null, empty or without id have no windows;
 repeated items and documents are each answered; an empty benchmark finds nothing; an empty table gives an empty result;
@@ -15,16 +16,19 @@ extra columns are carried and never read, but for those named like a result, whi
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import math
+import pickle
 import re
 from itertools import repeat
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import add_columns, alnum_words, cut, texts
+from .common import add_columns, alnum_words, cut, fresh, texts
 
 WINDOW = 13
 #: A document is contaminated if hit words are at least this share of its words: 1 in 20.
@@ -35,50 +39,81 @@ _LONGS = T.ArrayType(T.LongType())
 
 
 class SuffixAutomaton:
-    """All runs of words of many items.  A state is a class of runs that end at the same places."""
-
-    def __init__(self, items: list[tuple[int, list[bytes]]], window: int = WINDOW):
-        self.window = window
-        self.vocabulary: dict[bytes, int] = {}
-        self.next: list[dict[int, int]] = [{}]
-        self.link = [-1]
-        self.length = [0]
-        here: dict[int, set[int]] = {}
-        whole: dict[int, list[tuple[int, int]]] = {}
+    """All runs of words of many texts.  A state is a class of runs that end at the same places.
+
+    The arrays, which are all that is kept and shipped: ``keys`` (state * words + word, ascending) and ``to``, ``link`` and ``length`` of each state; texts whose windows
+    end in a state (``here``, ``here_at``), texts shorter than a window that end there (``whole``), ids of each text (``ids``, ``ids_at``).
+    """
+
+    def __init__(self, items: list[tuple[list[int], list[bytes]]], window: int = WINDOW):
+        """items: (ids, words) of each different text."""
+        vocabulary: dict[bytes, int] = {}
+        nxt, link, length = [{}], [-1], [0]
         pairs = set()
-        self.shortest = window
-        for item, words in items:
-            if not words:
-                continue
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words]
-            pairs.update(zip(ids, ids[1:]))
+        shortest = window
+        texts_ = [[vocabulary.setdefault(w, len(vocabulary)) for w in words] for _, words in items]
+        for words in filter(None, texts_):
+            pairs.update(zip(words, words[1:]))
             last = 0
-            for w in ids:
-                last = self._extend(last, w)
-            self.shortest = min(self.shortest, len(ids))
-        # With all runs in, the classes are final: mark where each item's prefixes end.
-        for item, words in items:
+            for w in words:
+                last = self._extend(nxt, link, length, last, w)
+            shortest = min(shortest, len(words))
+        many = max(1, len(vocabulary))
+        keys = np.fromiter((s * many + w for s, t in enumerate(nxt) for w in t), np.int64)
+        to = np.fromiter((x for t in nxt for x in t.values()), np.int32)
+        order = np.argsort(keys)
+        self._set(window, shortest, list(vocabulary), keys[order], to[order], np.array(link, np.int32), np.array(length, np.int32), np.array(sorted(pairs), np.int64).reshape(-1, 2))
+        del nxt
+        # With all runs in, the classes are final: mark where each text's prefixes end.
+        here: dict[int, set[int]] = {}
+        whole = []
+        for text, words in enumerate(texts_):
             state, size = 0, 0
-            for k, w in enumerate(words):
-                state, size = self.step(state, size, self.vocabulary[w])
+            for w in words:
+                state, size = self.step(state, size, w)
                 if size >= window:
-                    here.setdefault(state, set()).add(item)
+                    here.setdefault(state, set()).add(text)
             if 0 < len(words) < window:
-                whole.setdefault(state, []).append((len(words), item))
-        # An item seen in a state is seen in all its suffixes' states; down to those that still hold a window.
-        for state in sorted(range(len(self.length)), key=self.length.__getitem__, reverse=True):
-            up = self.link[state]
-            if state in here and up > 0 and self.length[up] >= window:
+                whole.append((state, len(words), text))
+        # A text seen in a state is seen in all its suffixes' states; down to those that still hold a window.
+        for state in sorted(range(len(length)), key=length.__getitem__, reverse=True):
+            up = link[state]
+            if state in here and up > 0 and length[up] >= window:
                 here.setdefault(up, set()).update(here[state])
-        self.items = here
-        self.whole = whole
+        states = sorted(here)
+        flat = [np.array(sorted(here[s]), np.int32) for s in states]
+        self.here = (np.array(states, np.int64), np.cumsum([0, *map(len, flat)]), np.concatenate(flat) if flat else np.zeros(0, np.int32))
+        self.whole = np.array(sorted(whole), np.int64).reshape(-1, 3)
+        self.ids = (np.cumsum([0, *(len(i) for i, _ in items)]), np.array([x for i, _ in items for x in i], np.int64))
+
+    def _set(self, window, shortest, words, keys, to, link, length, pairs):
+        self.window, self.shortest, self.words, self.keys, self.to, self.link, self.length, self.pair_list = window, shortest, words, keys, to, link, length, pairs
+        self._ready()
+
+    def _ready(self):
+        """What is quickly worked out from the arrays and not shipped."""
+        self.vocabulary = {w: i for i, w in enumerate(self.words)}
+        self.many = max(1, len(self.words))
+        self.view = memoryview(self.keys)
         self.pairs = np.zeros(1 << 20, bool)
-        if pairs:
-            self.pairs[self.pair_slot(*np.array(sorted(pairs), np.int64).T)] = True
+        if len(self.pair_list):
+            self.pairs[self.pair_slot(*self.pair_list.T)] = True
+
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k not in ("vocabulary", "many", "view", "pairs", "words")} | {"text": b" ".join(self.words)}
+
+    def __setstate__(self, state):
+        text = state.pop("text")
+        self.__dict__.update(state, words=text.split(b" ") if text else [])
+        self._ready()
 
-    def _extend(self, last: int, w: int) -> int:
-        nxt, link, length = self.next, self.link, self.length
+    def nbytes(self) -> int:
+        """About what it takes in a worker."""
+        arrays = (self.keys, self.to, self.link, self.length, self.pair_list, *self.here, self.whole, *self.ids, self.pairs)
+        return sum(x.nbytes for x in arrays) + sum(map(len, self.words)) + 150 * len(self.words)
 
+    @staticmethod
+    def _extend(nxt: list[dict], link: list[int], length: list[int], last: int, w: int) -> int:
         def clone(p, q):
             new = len(nxt)
             nxt.append(dict(nxt[q])), link.append(link[q]), length.append(length[p] + 1)
@@ -102,34 +137,47 @@ class SuffixAutomaton:
             link[new] = q if length[q] == length[p] + 1 else clone(p, q)
         return new
 
+    def _next(self, state: int, w: int) -> int:
+        key = state * self.many + w
+        at = bisect.bisect_left(self.view, key)
+        return int(self.to[at]) if at < len(self.view) and self.view[at] == key else -1
+
     def step(self, state: int, size: int, w: int) -> tuple[int, int]:
         """The state and length of the longest suffix after one more word."""
-        while state and w not in self.next[state]:
-            state = self.link[state]
-            size = self.length[state]
-        to = self.next[state].get(w)
-        return (0, 0) if to is None else (to, size + 1)
+        while (to := self._next(state, w)) < 0:
+            if not state:
+                return 0, 0
+            state = int(self.link[state])
+            size = int(self.length[state])
+        return to, size + 1
 
     @staticmethod
     def pair_slot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
             return ((a * np.int64(0x5851F42D4C957F2D) + b * np.int64(0x14057B7EF767814F)) >> np.int64(40)) & ((1 << 20) - 1)
 
-    def ends(self, state: int, size: int) -> list[tuple[int, set[int]]]:
-        """(length, items) of the windows that end where the automaton is in ``state`` with a match of ``size`` words."""
+    def ends(self, state: int, size: int) -> list[tuple[int, np.ndarray]]:
+        """(length, texts) of the windows that end where the automaton is in ``state`` with a match of ``size`` words."""
         found = []
+        states, cuts, texts_ = self.here
         while state > 0:
-            up = self.link[state]
-            for n, item in self.whole.get(state, ()):
+            up = int(self.link[state])
+            for _, n, text in self.whole[np.searchsorted(self.whole[:, 0], state) : np.searchsorted(self.whole[:, 0], state, "right")]:
                 if n <= size:
-                    found.append((n, {item}))
+                    found.append((int(n), np.array([text])))
             if self.length[up] < self.window <= size and self.length[state] >= self.window:
-                found.append((self.window, self.items.get(state, set())))
+                at = np.searchsorted(states, state)
+                found.append((self.window, texts_[cuts[at] : cuts[at + 1]]))
             state = up
         return found
 
+    def owners(self, texts_) -> list[int]:
+        """The ids of texts."""
+        cuts, ids = self.ids
+        return [x for t in texts_ for x in ids[cuts[t] : cuts[t + 1]].tolist()]
+
     def scan(self, docs: list[list[bytes]]) -> tuple[list[list[tuple[int, int]]], list[set[int]]]:
-        """For each document: the spans of hit words (merged, end exclusive), and the items found."""
+        """For each document: the spans of hit words (merged, end exclusive), and the ids of the items found."""
         counts = np.fromiter(map(len, docs), np.int64, len(docs))
         get = self.vocabulary.get
         ids = np.fromiter((i for d in docs for i in map(get, d, repeat(-1))), np.int64, int(counts.sum()))
@@ -152,12 +200,12 @@ class SuffixAutomaton:
                 state, size = self.step(state, size, w)
                 if size >= self.shortest:
                     for n, who in self.ends(state, size):
-                        items[doc] |= who
+                        items[doc].update(who.tolist())
                         if spans[doc] and spans[doc][-1][1] >= at - n:
                             spans[doc][-1] = (min(spans[doc][-1][0], at - n), at)
                         else:
                             spans[doc].append((at - n, at))
-        return [_merged(s) for s in spans], items
+        return [_merged(s) for s in spans], [set(self.owners(t)) for t in items]
 
 
 def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -170,44 +218,84 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _automata(benchmark: DataFrame, window: int, shard_bytes: int):
-    """One automaton for each shard; a shard is collected, built and let go before the next."""
+def automata(benchmark: DataFrame, window: int, shard_bytes: int) -> DataFrame:
+    """(shard, size, automaton): one row for each shard, built in the task that holds it and written to the shared folder."""
     items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = max(1, math.ceil(total / shard_bytes))
-    for k in range(shards):
-        part = items.where(F.pmod(F.xxhash64("text"), F.lit(shards)) == k).select("item_id", F.col("text").cast("binary"))
-        yield SuffixAutomaton([(i, alnum_words(bytes(t))) for i, t in part.collect()], window)
-
-
-def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_bytes: int = 64 << 20, text: str = "text") -> DataFrame:
+    different = items.groupBy("text").agg(F.sort_array(F.collect_set("item_id")).alias("ids"))
+    most = max(4 * window, shard_bytes // 32)  # words of a piece; a word has eight bytes or so
+
+    def pieces(batches):
+        for batch in batches:
+            out = [[], []]
+            for words, ids in zip(map(alnum_words, texts(batch)), batch.column(1).to_pylist()):
+                for a in range(0, max(1, len(words) - window + 1), most):
+                    out[0].append(ids)
+                    out[1].append(b" ".join(words[a : a + most + window - 1]))
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.list_(pa.int64())), pa.array(out[1], pa.binary())], names=["ids", "words"])
+
+    cut_up = cut(different.select("text", "ids").mapInArrow(pieces, "ids array<long>, words binary"), "items")
+    total = cut_up.agg(F.sum(F.octet_length("words"))).first()[0] or 0
+    many = max(1, math.ceil(total / shard_bytes))
+
+    def build(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("words")
+        machine = SuffixAutomaton([(list(i), w.split()) for i, w in zip(pdf["ids"], pdf["words"])], window)
+        return pd.DataFrame({"shard": [int(pdf["shard"].iloc[0])], "size": [machine.nbytes()], "automaton": [pickle.dumps(machine)]})
+
+    sharded = cut_up.withColumn("shard", F.pmod(F.xxhash64("words"), F.lit(many)))
+    return cut(sharded.groupBy("shard").applyInPandas(build, "shard long, size long, automaton binary"), "automata")
+
+
+def _passes(built: DataFrame, pass_bytes: int) -> list[list[int]]:
+    """Shards dealt to passes in order of their number."""
+    passes, size = [[]], 0
+    for shard, n in built.select("shard", "size").sort("shard").collect():  # one short row a shard
+        if passes[-1] and size + n > pass_bytes:
+            passes.append([])
+            size = 0
+        passes[-1].append(shard)
+        size += n
+    return passes
+
+
+def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_bytes: int = 1 << 20, pass_bytes: int = 64 << 20, text: str = "text") -> DataFrame:
     """``docs`` with n_words, n_hit, n_items, items, spans (start and end word, in turns) and contaminated."""
-    fields = [T.StructField("n_words", T.LongType()), T.StructField("_spans", _LONGS), T.StructField("_items", _LONGS)]
-    first = True
-    for automaton in _automata(benchmark, window, shard_bytes):
-        if not first:
-            docs = cut(docs.withColumnsRenamed({"_spans": "_spans_0", "_items": "_items_0"}), "hits")
-        shared = docs.sparkSession.sparkContext.broadcast(automaton)
-
-        def make(shared=shared, first=first):
-            machine = shared.value
-
+    built = automata(benchmark, window, shard_bytes)
+    results = {"n_words", "n_hit", "n_items", "items", "spans", "contaminated"}
+    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in results])
+    found = fresh(docs, "_found")
+    kind = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("spans", _LONGS), T.StructField("items", _LONGS)])
+    for k, chosen in enumerate(_passes(built, pass_bytes)):
+        # At most pass_bytes, or one automaton.
+        machines = [pickle.loads(bytes(r[0])) for r in built.where(F.col("shard").isin(chosen)).sort("shard").select("automaton").toLocalIterator()] if chosen else []
+        before = f"{found}_before"
+        if k:
+            docs = cut(docs.withColumnRenamed(found, before), "hits")
+        shared = docs.sparkSession.sparkContext.broadcast(machines)
+
+        def make(shared=shared, k=k, before=before):
             def work(batch):
                 words = [alnum_words(x) for x in texts(batch, text)]
-                spans, items = machine.scan(words)
-                if not first:
-                    for i, (s, t) in enumerate(zip(batch.column("_spans_0").to_pylist(), batch.column("_items_0").to_pylist())):
-                        spans[i] = _merged(spans[i] + list(zip(s[::2], s[1::2])))
-                        items[i] |= set(t)
-                return [[len(w) for w in words], [[x for y in s for x in y] for s in spans], [sorted(t) for t in items]]
+                spans: list[list] = [[] for _ in words]
+                items: list[set] = [set() for _ in words]
+                if k:
+                    for i, r in enumerate(batch.column(batch.schema.get_field_index(before)).to_pylist()):
+                        spans[i] = list(zip(r["spans"][::2], r["spans"][1::2]))
+                        items[i] = set(r["items"])
+                for machine in shared.value:
+                    for i, (s, t) in enumerate(zip(*machine.scan(words))):
+                        spans[i] += s
+                        items[i] |= t
+                return [[{"n_words": len(w), "spans": [x for y in _merged(s) for x in y], "items": sorted(t)} for w, s, t in zip(words, spans, items)]]
 
             return work
 
-        docs = add_columns(docs, make, fields, text).drop("_spans_0", "_items_0")
-        first = False
-    s = F.col("_spans")
+        docs = add_columns(docs, make, [T.StructField(found, kind)], text).drop(before)
+    f = F.col(found)
+    s = f["spans"]
     hit = F.when(F.size(s) == 0, F.lit(0).cast("long")).otherwise(F.aggregate(F.transform(s, lambda x, i: F.when(i % 2 == 0, -x).otherwise(x)), F.lit(0).cast("long"), lambda a, x: a + x))
-    return docs.withColumns({"n_hit": hit, "n_items": F.size("_items").cast("long")}).withColumn("contaminated", (F.col("n_hit") > 0) & (COVERAGE * F.col("n_hit") >= F.col("n_words"))).withColumnsRenamed({"_spans": "spans", "_items": "items"})
+    out = docs.withColumns({"n_words": f["n_words"], "n_hit": hit, "n_items": F.size(f["items"]).cast("long"), "items": f["items"], "spans": s}).drop(found)
+    return out.withColumn("contaminated", (F.col("n_hit") > 0) & (COVERAGE * F.col("n_hit") >= F.col("n_words")))
 
 
 def digest(items: list[int]) -> str:
@@ -234,4 +322,5 @@ def strip(docs: DataFrame, text: str = "text") -> DataFrame:
 
         return work
 
-    return add_columns(docs, make, [T.StructField("_stripped", T.StringType())], text).withColumn(text, F.col("_stripped")).drop("_stripped")
+    to = fresh(docs, "_stripped")
+    return add_columns(docs, make, [T.StructField(to, T.StringType())], text).withColumn(text, F.col(to)).drop(to)

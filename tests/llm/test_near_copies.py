@@ -2,9 +2,14 @@
 
 import random
 
+import pytest
+
 import corpus_pipeline
 from riverdeck.llm import jaccard
 
+SF = "/root/testdata/sf0.001"
+pytest.importorskip("public_tokenizers")
+
 
 def shingle_set(text):
     w = (text or "").lower().split()
@@ -84,3 +89,42 @@ def test_rows_stay_whatever_their_doc_id(spark):
     assert sorted(map(tuple, kept.collect()), key=str) == sorted(want, key=str)
     blank = spark.createDataFrame([(4, None), (4, ""), (None, " ")], "doc_id long, text string")
     assert [tuple(r) for r in corpus_pipeline.near_dedup(spark, blank, None).collect()] == [(4, "")]
+
+
+CLASHES = "pii _email _pii items spans _found contaminated kept llr n_words _row _text _set _fp _bands _corpus_pipeline_rest root order first".split()
+
+
+@pytest.mark.parametrize("name, stage", corpus_pipeline.STAGES)
+def test_stages_take_anything(spark, name, stage):
+    """Nulls in any column, empty and very long texts, ties, repeated rows, columns named like what operators add, an empty table: rows come out whole."""
+    real = [r[0] for r in spark.read.parquet(f"{SF}/documents.parquet").where("length(text) > 400").orderBy("doc_id").select("text").limit(6).collect()]
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").first()["text"]
+    texts = [None, "", " \n\t ", "ß € 日本 \u0001 x", "word " * 40000, "y" * 30000, real[0], *real, f"{real[1]} a@b.com {item}", f"{real[2]} write to c@d.org " * 3, item]
+    rows = [(i if i % 5 else None, t, "en" if i % 2 else None, None if t is None else len(t)) for i, t in enumerate(texts)]
+    rows += [rows[7], rows[8], (1, None, None, None), (1, "a text of its own under a repeated id", None, None)]
+    docs = spark.createDataFrame([(*r, *(f"{c}{i}" for c in CLASHES)) for i, r in enumerate(rows)], "doc_id long, text string, lang string, n_chars long, " + ", ".join(f"{c} string" for c in CLASHES))
+    out = stage(spark, docs, SF)
+    got = out.collect()
+    if name == "sentencepiece":
+        assert len(got) == len(rows) and all(r["round_trip"] for r in got)
+        return
+    assert out.schema.simpleString() == docs.schema.simpleString()
+    before = {r["pii"]: r for r in docs.collect()}
+    for r in got:
+        own = before[r["pii"]]
+        assert [r[c] for c in ("doc_id", "lang", *CLASHES)] == [own[c] for c in ("doc_id", "lang", *CLASHES)]
+        if name in ("quality", "near_dedup"):
+            assert r == own
+        assert (r["text"] is None) == (own["text"] is None) and r["n_chars"] == (None if r["text"] is None else len(r["text"])) or name in ("quality", "near_dedup")
+    kept = sorted(int(r["pii"][3:]) for r in got)
+    texts = [r[1] for r in rows]
+    if name == "quality":
+        assert 0 < len(kept) < len(rows)
+    if name == "near_dedup":
+        assert {(t or "").strip() for t in texts} == {(texts[i] or "").strip() for i in kept} | {t.strip() for t in texts if t and len(t.split()) > 60}
+        assert len(kept) == len({(texts[i] or "").lower().strip() for i in kept})
+    if name == "decontamination":
+        assert texts.index(item) not in kept and set(range(6)) <= set(kept)
+    if name == "pii":
+        assert len(kept) == len(rows) and any("[EMAIL]" in (r["text"] or "") for r in got) and not any("a@b.com" in (r["text"] or "") for r in got)
+    assert stage(spark, docs.limit(0), SF).count() == 0

@@ -242,13 +242,29 @@ def test_decontamination_matches_brute_force(spark):
     bench = spark.createDataFrame(items, "item_id long, text string")
     rows = spark.createDataFrame(docs, "doc_id long, text string")
     known = [(i, x) for i, x in items if i is not None and x is not None]
-    for shard in (64 << 20, 200):  # the second needs several automata
-        for r in decontaminate.find(rows, bench, shard_bytes=shard).collect():
+    # One automaton; several in a pass, long items in pieces; as many passes.
+    for shard, together in ((1 << 20, 64 << 20), (200, 64 << 20), (200, 1)):
+        built = decontaminate.automata(bench, 13, shard)
+        assert (built.count() > 2) == (shard == 200) and (len(decontaminate._passes(built, together)) > 2) == (together == 1)
+        for r in decontaminate.find(rows, bench, shard_bytes=shard, pass_bytes=together).collect():
             n, hit, found = slow_contamination(r["text"], known)
             assert (r["n_words"], r["n_hit"], set(r["items"]), r["n_items"]) == (n, hit, found, len(found))
             assert r["contaminated"] == (hit > 0 and 20 * hit >= n)
 
 
+def test_automata_are_bounded(spark):
+    """An item far over a shard is cut into pieces that overlap; automata take a small multiple of their shard."""
+    rng = random.Random(1)
+    words = [f"w{rng.randrange(500)}" for _ in range(20000)]
+    bench = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words))], "item_id long, text string")
+    built = decontaminate.automata(bench, 13, 1 << 13)
+    sizes = [r["size"] for r in built.select("size").collect()]
+    assert len(sizes) > 5 and max(sizes) < (2 << 20) + 60 * (1 << 13)
+    docs = spark.createDataFrame([(i, " ".join(words[a : a + 13])) for i, a in enumerate(range(0, 19987, 97))], "doc_id long, text string")
+    got = decontaminate.find(docs, bench, shard_bytes=1 << 13).select("n_hit", "items").collect()
+    assert all(r["n_hit"] == 13 and r["items"] == [1, 2] for r in got)
+
+
 def test_decontamination_equals_sql(spark):
     from riverdeck.llm import queries
 
@@ -274,6 +290,9 @@ def test_decontamination_takes_anything(spark):
     assert out.count() == awkward(spark).count() and out.where("doc_id = 1").first()["n_words"] == 0
     assert decontaminate.find(empty(spark), bench).count() == 0
     assert decontaminate.find(awkward(spark), bench.limit(0)).where("n_hit > 0").count() == 0
+    clash = spark.createDataFrame([("lorem ipsum", "a", "b", "c")], "text string, items string, _found string, _stripped string")
+    out = decontaminate.strip(decontaminate.find(clash, bench))
+    assert out.select("text", "_found", "_stripped", "items").first() == ("", "b", "c", [1])
 
 
 # Personal data
