@@ -5,6 +5,8 @@ Jaccard similarity of 0.8 or more, checked exactly) stays, the one with
 the smallest doc_id.  decontamination: contaminated documents go, and hit passages are cut out of the others.
 pii: confirmed personal data is replaced by its kind in brackets.  sentencepiece: the remaining texts are encoded.
 
+Each stage takes the text apart from all other columns, which travel in one column of a name that no operator uses: a column of any name comes out as it went in.
+
 near_dedup decides row by row: a row without doc_id is deduplicated by its text like any other and stays if its class has no row with one; rows
 that share a doc_id but not their text are kept both.
 """
@@ -15,46 +17,53 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from riverdeck.llm import decontaminate, jaccard, pii as personal, quality as rules, sentencepieces
-from riverdeck.llm.common import shared_dir, table
+from riverdeck.llm import decontaminate, jaccard, pii as personal, quality as rules, sentencepieces, simhash
+from riverdeck.llm.common import cut, shared_dir, table
 
 #: Learned criteria and hashes of the stages are not expressible in SQL.
 ORACLE_SQL = None
 
 
-def _like(df: DataFrame, docs: DataFrame) -> DataFrame:
-    """Only the columns of ``docs``."""
-    return df.select(*[F.col(f"`{c}`") for c in docs.columns])
+#: The rest of a row, while an operator works on its text.
+REST = "_corpus_pipeline_rest"
+
+
+def _apart(docs: DataFrame) -> DataFrame:
+    """The text, and all other columns in one."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    return docs.select("text", F.struct(*(rest or [F.lit(True).alias("none")])).alias(REST))
 
 
-def _recount(df: DataFrame) -> DataFrame:
-    return df.withColumn("n_chars", F.length("text").cast(df.schema["n_chars"].dataType)) if "n_chars" in df.columns else df
+def _together(df: DataFrame, docs: DataFrame, changed: bool = False) -> DataFrame:
+    """The columns of ``docs`` again; where texts were changed, n_chars follows them."""
+    kinds = {f.name: f.dataType for f in docs.schema.fields}
+    column = lambda c: F.length("text").cast(kinds[c]) if changed and c == "n_chars" else F.col("text") if c == "text" else F.col(REST)[c]
+    return df.select(*[column(c).alias(c) for c in docs.columns])
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    model = rules.fit(spark, docs, table(spark, sf_dir, "labels"))
-    kept = rules.score(docs.withColumn("_text", F.col("text")), model, "_text").where("kept")
-    return _like(kept, docs)
+    model = rules.fit(spark, docs.select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return _together(rules.score(_apart(docs), model).where("kept"), docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows = jaccard.tagged(docs)
+    rows = jaccard.tagged(_apart(docs))
     # Rows of a class in their order: by doc_id, a null last; a null text after any other; then by hashes, so that reruns agree.
-    order = F.struct(F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), F.xxhash64("text"), F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]), "_row").alias("order")
-    rooted = rows.select("_set", "_row", order).join(jaccard.classes(rows), "_set", "left").select("_row", "order", F.coalesce("root", "_set").alias("root"))
+    id_, others = F.col(REST)["doc_id"], [F.col(REST)[c] for c in docs.columns if c != "text"]
+    order = F.struct(id_.isNull(), id_, F.col("text").isNull(), F.xxhash64("text"), F.xxhash64(*others), "_row").alias("order")
+    rooted = cut(simhash.spread_join(rows.select("_set", "_row", order), jaccard.classes(rows), "_set", "_row").select("_row", "order", F.coalesce("root", "_set").alias("root")), "rooted")
     first = rooted.groupBy("root").agg(F.min("order").alias("first"))
-    go = rooted.join(first, "root").where("_row <> first._row").select("_row")
-    kept = rows.join(go, "_row", "left_anti")
-    return _like(kept, docs)
+    kept = first.select(F.col("first._row").alias("_row"))
+    return _together(rows.join(kept, "_row", "left_semi"), docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = decontaminate.find(docs, table(spark, sf_dir, "benchmark")).where("not contaminated")
-    return _like(_recount(decontaminate.strip(found)), docs)
+    found = decontaminate.find(_apart(docs), table(spark, sf_dir, "benchmark")).where("not contaminated")
+    return _together(decontaminate.strip(found), docs, changed=True)
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _like(_recount(personal.redact(docs)), docs)
+    return _together(personal.redact(_apart(docs)), docs, changed=True)
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
