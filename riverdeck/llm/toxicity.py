@@ -169,7 +169,10 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, train: Column |
     sample = F.broadcast(labelled_sample(spark, labels, "toxic", params.sample, train))
     found = docs.select("doc_id", "text").join(sample, "doc_id").select("text", "label", F.monotonically_increasing_id().alias("row"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("same"))
     found = cut(found, "toxicity-sample")
-    rows = found.join(found.groupBy("same", "label").agg(F.min("row").alias("row")).select("row"), "row", "left_semi").select("text", "label")
+    keep = cut(found.groupBy("same", "label").agg(F.min("row").alias("row")).select("row"), "toxicity-rows")
+    # One row for a labelled document, unless documents share ids: broadcast if that holds, so that no text is shuffled.
+    keep = F.broadcast(keep) if keep.count() <= params.sample else keep
+    rows = found.join(keep, "row", "left_semi").select("text", "label")
 
     def count(batches):
         toxic, clean, docs_, tokens = Counter(), Counter(), [0, 0], 0
