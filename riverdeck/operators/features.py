@@ -123,12 +123,12 @@ def features(df: DataFrame, single: bool = False) -> DataFrame:
     return wide.select("split", "source_index", *[F.coalesce(made[c], F.lit(0.0)).cast(kind).alias(c) for c in FEATURES], labels.canonical(F.col("correct_decision")).alias("label"), lines.villain_fold(ev).alias("villain_fold"))
 
 
-def population(df: DataFrame, key: str = "source_index") -> DataFrame:
-    """Statistics of each position over hands: only the first action of a position in a hand counts."""
-    one = df.select(key, F.posexplode("events").alias("i", "e")).select(key, "i", F.col("e.position").alias("position"), F.col("e.action").alias("action"))
-    first = one.withColumn("r", F.row_number().over(Window.partitionBy(key, "position").orderBy("i"))).where("r = 1")
+def population(df: DataFrame, key: tuple[str, ...] = ("split", "source_index")) -> DataFrame:
+    """Statistics of each position over hands, which ``key`` tells apart: only the first action of a position in a hand counts."""
+    one = df.select(*key, F.posexplode("events").alias("i", "e")).select(*key, "i", F.col("e.position").alias("position"), F.col("e.action").alias("action"))
+    first = one.withColumn("r", F.row_number().over(Window.partitionBy(*key, "position").orderBy("i"))).where("r = 1")
     raised = F.col("action").isin(*lines.AGGRESSIVE)
-    before = F.coalesce(F.max(raised.cast("int")).over(Window.partitionBy(key).orderBy("i").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    before = F.coalesce(F.max(raised.cast("int")).over(Window.partitionBy(*key).orderBy("i").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     seen = first.withColumn("facing", before)
     n = lambda c: F.sum(c.cast("int"))
     facing = F.col("facing") == 1

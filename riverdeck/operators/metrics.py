@@ -89,33 +89,78 @@ def _by_score(df: DataFrame, score: str, y: str) -> DataFrame:
     return df.groupBy(F.col(score).alias("s")).agg(F.sum(F.col(y)).alias("pos"), F.sum(1 - F.col(y)).alias("neg"))
 
 
+#: Into how many ranges rows are cut by value before they are ranked.
+RANGES = 256
+
+
+def _bounds(value: str) -> Column:
+    """Approximate quantiles of a column: an aggregate."""
+    return F.percentile_approx(value, [i / RANGES for i in range(1, RANGES)], 10_000)
+
+
+def _range(value: Column, bounds: Column) -> Column:
+    """The number of the range that a value lies in, ascending: even between bounds, odd for a bound itself, so that a value that many rows share is a range alone."""
+    return F.size(F.filter(bounds, lambda e: e < value)) * 2 + F.array_contains(bounds, value).cast("int")
+
+
+def _below(df: DataFrame, value: str, amounts: list[str]) -> DataFrame:
+    """Rows of different values with ``below_`` (sum over all smaller values) and ``all_`` of each amount.
+
+    Rows are added up within ranges; the ranges, some 500 at most, are added up in one task.
+    """
+    bounds = df.agg(_bounds(value).alias("_bounds"))
+    ranged = df.crossJoin(F.broadcast(bounds)).withColumn("_b", _range(F.col(value), F.col("_bounds"))).drop("_bounds")
+    sums = ranged.groupBy("_b").agg(*[F.sum(a).alias(f"_{a}") for a in amounts])
+    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select("_b", *[F.coalesce(F.sum(f"_{a}").over(before), F.lit(0)).alias(f"_{a}") for a in amounts], *[F.sum(f"_{a}").over(Window.partitionBy()).alias(f"all_{a}") for a in amounts])
+    inside = Window.partitionBy("_b").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    running = [(F.col(f"_{a}") + F.coalesce(F.sum(a).over(inside), F.lit(0))).alias(f"below_{a}") for a in amounts]
+    return ranged.join(F.broadcast(offsets), "_b").select(*df.columns, *running, *[f"all_{a}" for a in amounts])
+
+
 def roc_auc(df: DataFrame, score: str, y: str) -> DataFrame:
     """Mann-Whitney with ties at one half; null with one class only.  Rows are added up by score first."""
-    w = Window.orderBy("s")
-    below = F.sum("neg").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("neg")
-    parts = _by_score(df, score, y).select("pos", "neg", (F.col("pos") * (below + F.col("neg") / 2)).alias("wins"))
+    parts = _below(_by_score(df, score, y), "s", ["neg"]).select("pos", "neg", (F.col("pos") * (F.col("below_neg") + F.col("neg") / 2)).alias("wins"))
     return parts.agg(F.try_divide(F.sum("wins"), F.sum("pos") * F.sum("neg")).alias("roc_auc"))
 
 
 def average_precision(df: DataFrame, score: str, y: str) -> DataFrame:
     """Sum over score steps of precision times the step in recall."""
-    w = Window.orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, 0)
-    steps = _by_score(df, score, y).select("pos", (F.sum("pos").over(w) / F.sum(F.col("pos") + F.col("neg")).over(w)).alias("precision"))
+    at_least = lambda a: F.col(f"all_{a}") - F.col(f"below_{a}")
+    steps = _below(_by_score(df, score, y), "s", ["pos", "neg"]).select("pos", (at_least("pos") / (at_least("pos") + at_least("neg"))).alias("precision"))
     return steps.agg(F.try_divide(F.sum(F.col("precision") * F.col("pos")), F.sum("pos")).alias("average_precision"))
 
 
+def percentiles(df: DataFrame, column: str, shares: list[float]) -> DataFrame:
+    """One row, ``q``: the exact percentiles, between two values in proportion; nulls without any value."""
+    counted = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).agg(F.count("*").alias("n"))
+    ranked = _below(counted, "v", ["n"])
+    place = lambda q: F.lit(q) * (F.col("all_n") - 1)
+    value = lambda k: F.min(F.when(F.col("below_n") + F.col("n") > k, F.col("v")))
+    found = ranked.agg(F.max("all_n").alias("all_n"), *[value(f(place(q))).alias(f"{name}{i}") for i, q in enumerate(shares) for name, f in (("lo", F.floor), ("hi", F.ceil))])
+
+    def between(i: int, q: float) -> Column:
+        at, lo, hi = place(q), F.col(f"lo{i}").cast("double"), F.col(f"hi{i}").cast("double")
+        return F.when(F.floor(at) == F.ceil(at), lo).otherwise((F.ceil(at) - at) * lo + (at - F.floor(at)) * hi)
+
+    return found.select(F.array(*[between(i, q) for i, q in enumerate(shares)]).alias("q"))
+
+
 def _prefixes(df: DataFrame, score: str, correct: str, key: str) -> DataFrame:
-    """(n, k, hits, s): hits among the k best-scored rows.
+    """(n, k, hits, s): hits among the k best-scored rows, of equal scores those with the smaller key (a number) first.
 
-    Rows are ranked within 1024 ranges of the score; totals of the ranges above are added, so no task ranks all rows.
+    Rows are ranked within ranges of the score, a score that many rows share within ranges of the key; totals of the ranges above are added, so no task ranks all rows.
     """
-    ranged = df.select(F.col(score).alias("s"), F.col(correct).alias("c"), F.col(key).alias("id")).withColumn("b", F.floor(F.col("s") * 1024))
-    sums = ranged.groupBy("b").agg(F.count("*").alias("_n"), F.sum("c").alias("_h"))
-    above = Window.orderBy(F.desc("b")).rowsBetween(Window.unboundedPreceding, -1)
+    rows = df.select(F.col(score).alias("s"), F.col(correct).alias("c"), F.col(key).alias("id"))
+    bounds = rows.agg(_bounds("s").alias("_s"), _bounds("id").alias("_id"))
+    b = _range(F.col("s"), F.col("_s"))
+    ranged = rows.crossJoin(F.broadcast(bounds)).withColumn("b", b).withColumn("d", F.when(F.col("b") % 2 == 1, _range(F.col("id"), F.col("_id"))).otherwise(0)).drop("_s", "_id")
+    sums = ranged.groupBy("b", "d").agg(F.count("*").alias("_n"), F.sum("c").alias("_h"))  # a bounded number of ranges
+    above = Window.orderBy(F.desc("b"), "d").rowsBetween(Window.unboundedPreceding, -1)
     zero = lambda c: F.coalesce(c, F.lit(0))
-    offsets = sums.select("b", zero(F.sum("_n").over(above)).alias("n0"), zero(F.sum("_h").over(above)).alias("h0"), F.sum("_n").over(Window.partitionBy()).alias("n"))
-    inside = Window.partitionBy("b").orderBy(F.desc("s"), "id").rowsBetween(Window.unboundedPreceding, 0)
-    return ranged.join(F.broadcast(offsets), "b").select("n", (F.col("n0") + F.count("*").over(inside)).alias("k"), (F.col("h0") + F.sum("c").over(inside)).alias("hits"), "s")
+    offsets = sums.select("b", "d", zero(F.sum("_n").over(above)).alias("n0"), zero(F.sum("_h").over(above)).alias("h0"), F.sum("_n").over(Window.partitionBy()).alias("n"))
+    inside = Window.partitionBy("b", "d").orderBy(F.desc("s"), "id").rowsBetween(Window.unboundedPreceding, 0)
+    return ranged.join(F.broadcast(offsets), ["b", "d"]).select("n", (F.col("n0") + F.count("*").over(inside)).alias("k"), (F.col("h0") + F.sum("c").over(inside)).alias("hits"), "s")
 
 
 def selective_curve(df: DataFrame, score: str, correct: str, key: str, points: int = 20) -> DataFrame:
@@ -144,20 +189,22 @@ def nearest(curve: DataFrame, targets: DataFrame) -> DataFrame:
 
 def calibration(df: DataFrame, p: str, y: str, bins: int = 10) -> DataFrame:
     """Mean probability and mean outcome in bins between exact quantiles (equal edges make one bin)."""
-    edges = df.agg(F.percentile(p, [i / bins for i in range(1, bins)]).alias("edges"))
+    edges = percentiles(df, p, [i / bins for i in range(1, bins)]).withColumnRenamed("q", "edges")
     binned = df.crossJoin(F.broadcast(edges)).select(F.col(p).alias("p"), F.col(y).alias("y"), F.size(F.filter(F.array_distinct("edges"), lambda e: F.col(p) > e)).alias("bin"))
     return binned.groupBy("bin").agg(F.count("*").alias("n"), F.avg("p").alias("mean_p"), F.avg("y").alias("mean_y"))
 
 
 def describe(df: DataFrame, column: str) -> DataFrame:
     c = F.col(column)
-    ps = F.percentile(c, [0.1, 0.5, 0.9])
-    return df.agg(F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).alias("min"), F.get(ps, F.lit(0)).alias("p10"), F.get(ps, F.lit(1)).alias("p50"), F.get(ps, F.lit(2)).alias("p90"), F.max(c).alias("max"))
+    ps = percentiles(df, column, [0.1, 0.5, 0.9])
+    figures = df.agg(F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).alias("min"), F.max(c).alias("max"))
+    p = lambda i: F.get("q", F.lit(i))
+    return figures.crossJoin(F.broadcast(ps)).select("n", "mean", "std", "min", p(0).alias("p10"), p(1).alias("p50"), p(2).alias("p90"), "max")
 
 
 def clipped_histogram(df: DataFrame, column: str, bins: int = 40, quantile: float = 0.99) -> DataFrame:
     """Counts in bins of equal width from 0 to the quantile; larger values go to the last."""
-    top = df.agg(F.percentile(column, quantile).alias("top"))
+    top = percentiles(df, column, [quantile]).select(F.get("q", F.lit(0)).alias("top"))
     c = F.col(column)
     at = F.least(F.lit(bins - 1), F.floor(F.least(c, F.col("top")) / (F.col("top") / bins)).cast("int"))
     return df.crossJoin(F.broadcast(top)).groupBy(at.alias("bin")).agg(F.count("*").alias("n"))
@@ -172,28 +219,29 @@ def pivot_share(df: DataFrame, row: str, column: str, values: list[str], rows: l
     return n.select(row, *[F.coalesce(F.try_divide(F.coalesce(F.col(v), F.lit(0)), total), F.lit(0.0)).alias(f"share_{v}") for v in values])
 
 
-def stratified_split(df: DataFrame, y: str, key: str, share: float, seed: int = 7) -> DataFrame:
+def stratified_split(df: DataFrame, y: str, key: str | tuple[str, ...], share: float, seed: int = 7) -> DataFrame:
     """``part``: holdout for exactly that share of each class (rounded), by a hash of the key; else train.
 
     Rows are ranked within 256 hash ranges of each class, with the ranges before added, so that a large class is not one task.
     """
-    h = F.xxhash64(F.lit(seed), F.col(key))
+    keys = (key,) if isinstance(key, str) else key
+    h = F.xxhash64(F.lit(seed), *keys)
     df = df.withColumns({"_h": h, "_b": F.pmod(F.shiftrightunsigned(h, 56), F.lit(256))})
     sizes = df.groupBy(y, "_b").agg(F.count("*").alias("_n"))
     w = Window.partitionBy(y).orderBy("_b")
     sizes = sizes.select(y, "_b", F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"), F.sum("_n").over(Window.partitionBy(y)).alias("_all"))
-    row = F.row_number().over(Window.partitionBy(y, "_b").orderBy("_h", key))
+    row = F.row_number().over(Window.partitionBy(y, "_b").orderBy("_h", *keys))
     ranked = df.withColumn("_r", row).join(sizes, [y, "_b"])
     at = F.col("_before") + F.col("_r")
     return ranked.withColumn("part", F.when(at <= F.bround(F.col("_all") * share, 0), "holdout").otherwise("train")).withColumn("place", at).drop("_h", "_b", "_r", "_before", "_all")
 
 
-def folds(df: DataFrame, y: str, key: str, k: int = 5, seed: int = 7) -> DataFrame:
+def folds(df: DataFrame, y: str, key: str | tuple[str, ...], k: int = 5, seed: int = 7) -> DataFrame:
     """``fold`` 0 to k - 1: within each class the rows in hash order take turns."""
     return stratified_split(df, y, key, 0.0, seed).withColumn("fold", ((F.col("place") - 1) % k).cast("int")).drop("part", "place")
 
 
-def class_cap(df: DataFrame, y: str, key: str, total: int, seed: int = 7) -> DataFrame:
+def class_cap(df: DataFrame, y: str, key: str | tuple[str, ...], total: int, seed: int = 7) -> DataFrame:
     """The same number of rows of each class, total over the classes' number, the first by a hash of the key."""
     n = df.select(y).distinct().agg(F.greatest(F.count("*"), F.lit(1)).alias("_classes"))
     return stratified_split(df, y, key, 0.0, seed).crossJoin(F.broadcast(n)).where(F.col("place") <= F.floor(F.lit(total) / F.col("_classes"))).drop("part", "place", "_classes")

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..functions import cards, labels, lines, prompts
 from ..operators import features, metrics, promptdb, rewards
 from ..sources import bridge, readers, sinks
+from ..sources.shared import place as _place
 from . import duck
 from .registry import query
 
@@ -27,10 +26,6 @@ def _pred(spark, sf):
     return metrics.scored(bridge.predictions(spark, sf).withColumn("p", F.array("p0", "p1", "p2")))
 
 
-def _place(spark, name: str) -> str:
-    return f"{spark.conf.get('spark.checkpoint.dir', '/tmp')}/{name}-{uuid.uuid4().hex}"
-
-
 _PRED = duck.PRED + ", s as (select *, case when p0 >= p1 and p0 >= p2 then 0 when p1 >= p2 then 1 else 2 end as pred, greatest(p0, p1, p2) as p_max, case y when 0 then p0 when 1 then p1 else p2 end as p_true from pred)\n"
 
 # Cards.
@@ -47,18 +42,18 @@ def fn_card_features(spark, sf):
 _EQ = "(values " + ", ".join(f"('{k}', cast({v} as double))" for k, v in cards.EQUITY.items()) + ") as q(hand_class, equity)"
 
 
-@query("fn_equity_random", duck.CHEN + f"select source_index, equity from chen join {_EQ} using (hand_class)")
+_ANY = "coalesce(equity, 0.3e0 + greatest(0.0e0, least(1.0e0, (chen + 1.0e0) / 21.0e0)) * 0.4e0)"
+
+
+@query("fn_equity_random", duck.CHEN + f"select source_index, {_ANY} as equity from chen left join {_EQ} using (hand_class)")
 def fn_equity_random(spark, sf):
-    """Equities of the hands in the table."""
-    h = F.col("hero_holding")
-    return _raw(spark, sf).select("source_index", F.try_element_at(cards.lookup(cards.EQUITY), cards.hand_class(h)).alias("equity")).where("equity is not null")
+    """Equities of all hands: from the table, or from the hand's strength."""
+    return _raw(spark, sf).select("source_index", cards.equity_vs_random(F.col("hero_holding")).alias("equity"))
 
 
-@query("fn_equity_range", duck.CHEN + f"select source_index, equity * case hero_pos when 'UTG' then 0.85e0 when 'HJ' then 0.88e0 when 'CO' then 0.92e0 when 'BTN' then 0.95e0 when 'SB' then 0.9e0 else 1.0e0 end as equity from chen join {_EQ} using (hand_class)")
+@query("fn_equity_range", duck.CHEN + f"select source_index, {_ANY} * case hero_pos when 'UTG' then 0.85e0 when 'HJ' then 0.88e0 when 'CO' then 0.92e0 when 'BTN' then 0.95e0 when 'SB' then 0.9e0 else 1.0e0 end as equity from chen left join {_EQ} using (hand_class)")
 def fn_equity_range(spark, sf):
-    h = F.col("hero_holding")
-    known = F.try_element_at(cards.lookup(cards.EQUITY), cards.hand_class(h)).isNotNull()
-    return _raw(spark, sf).where(known).select("source_index", cards.equity_vs_range(h, F.col("hero_pos")).alias("equity"))
+    return _raw(spark, sf).select("source_index", cards.equity_vs_range(F.col("hero_holding"), F.col("hero_pos")).alias("equity"))
 
 
 @query("fn_card_parse", RAW + "select source_index, cast(strpos('23456789TJQKA', substr(hero_holding, 1, 1)) + 1 as int) as rank, substr(hero_holding, 2, 1) as suit from raw")
@@ -85,8 +80,8 @@ def fn_cards_list(spark, sf):
 
 
 _FIVE = f"""with c as (select * from ({bridge.SEVEN}) where i < 5), r as (select o_orderkey, c % 13 + 2 as r, (c - c % 13) // 13 as s from c), g as (select o_orderkey, r, count(*) as n from r group by 1, 2),
-p as (select o_orderkey, string_agg(n, '' order by n desc) as pattern, max(r) as hi, min(r) as lo, count(*) as k, bool_and(r in (14, 2, 3, 4, 5)) as wheel from g group by 1), f as (select o_orderkey, count(distinct s) = 1 as flush from r group by 1)
-select o_orderkey, case when flush and k = 5 and (hi - lo = 4 or wheel) then 'straight_flush' when pattern = '41' then 'quads' when pattern = '32' then 'full_house' when flush then 'flush' when k = 5 and (hi - lo = 4 or wheel) then 'straight' when pattern = '311' then 'trips' when pattern = '221' then 'two_pair' when pattern = '2111' then 'pair' else 'high_card' end as category from p join f using (o_orderkey)"""
+p as (select o_orderkey, string_agg(n, '' order by n desc) as pattern, max(r) as hi, min(r) as lo, count(*) as k, bool_and(r in (14, 2, 3, 4, 5)) as wheel, string_agg(r, ',' order by n desc, r desc) as groups from g group by 1), f as (select o_orderkey, count(distinct s) = 1 as flush, string_agg(r, ',' order by r desc) as down from r group by 1)
+select o_orderkey, case when k = 5 and (hi - lo = 4 or wheel) then case when wheel then '5' else cast(hi as varchar) end when pattern not in ('41', '32') and flush then down else groups end as ranks, case when flush and k = 5 and (hi - lo = 4 or wheel) then 'straight_flush' when pattern = '41' then 'quads' when pattern = '32' then 'full_house' when flush then 'flush' when k = 5 and (hi - lo = 4 or wheel) then 'straight' when pattern = '311' then 'trips' when pattern = '221' then 'two_pair' when pattern = '2111' then 'pair' else 'high_card' end as category from p join f using (o_orderkey)"""
 
 
 @query("fn_hand_score_5", _FIVE)
@@ -94,10 +89,16 @@ def fn_hand_score_5(spark, sf):
     c = bridge.seven_cards(spark, sf).where("i < 5")
     card = F.concat(F.substring(F.lit(cards.RANKS), (F.col("c") % 13 + 1).cast("int"), F.lit(1)), F.substring(F.lit(cards.SUITS), (F.floor(F.col("c") / 13) + 1).cast("int"), F.lit(1)))
     hands = c.groupBy("o_orderkey").agg(F.collect_list(card).alias("cards"))  # five a hand
-    return cards.with_score(hands, "cards").select("o_orderkey", cards.category(F.col("score")).alias("category"))
+    return cards.with_score(hands, "cards").select("o_orderkey", cards.category(F.col("score")).alias("category"), F.array_join(F.slice("score", 2, 5), ",").alias("ranks"))
+
+
+_MADE = duck.CHEN.rstrip() + """, c as (select distinct source_index, card from (select source_index, unnest([substr(hero_holding, 1, 2), substr(hero_holding, 3, 2), substr(board, 1, 2), substr(board, 3, 2), substr(board, 5, 2)]) as card from raw) where length(card) = 2),
+r as (select source_index, strpos('23456789TJQKA', substr(card, 1, 1)) + 1 as r, substr(card, 2, 1) as s from c), g as (select source_index, r, count(*) as n from r group by 1, 2), p as (select source_index, max(n) as m, count(*) filter (where n >= 2) as twos, max(r) filter (where n = 2) as paired, count(*) as k, max(r) - min(r) as span, bool_and(r in (14, 2, 3, 4, 5)) as wheel from g group by 1),
+f as (select source_index, max(n) as same from (select source_index, s, count(*) as n from r group by 1, 2) group by 1)
+select source_index, case when m >= 3 or same >= 5 or (k = 5 and (span = 4 or wheel)) then 3 when twos = 2 then 2 when m = 2 and hi = lo and paired = hi then 2 when m = 2 then 1 else 0 end as made from chen join p using (source_index) join f using (source_index)"""
 
 
-@query("fn_made_hand")
+@query("fn_made_hand", _MADE)
 def fn_made_hand(spark, sf):
     df = _raw(spark, sf).select("source_index", "hero_holding", F.array_distinct(F.concat(cards.cards_of(F.col("hero_holding")), cards.cards_of(F.col("board")))).alias("cards"))
     return cards.with_score(df, "cards").select("source_index", features.made_hand(F.col("score"), F.col("hero_holding")).alias("made"))

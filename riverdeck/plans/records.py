@@ -2,19 +2,16 @@
 
 from __future__ import annotations
 
-import uuid
+import functools
 
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..functions import labels, lines, prompts, reasoning
 from ..operators import features, promptdb, rewards
 from ..sources import bridge, readers, sinks
+from ..sources.shared import place as _place
 from . import duck, scenario
-from .registry import query
-
-
-def _place(spark, name: str) -> str:
-    return f"{spark.conf.get('spark.checkpoint.dir', '/tmp')}/{name}-{uuid.uuid4().hex}"
+from .registry import ORACLES, query
 
 
 @query("fn_render_prev_line", duck.with_(duck.RAW, duck.EVENTS) + """, p as (select source_index, seq, position || '/' || case when action = 'raise' then rtrim(rtrim(printf('%.2f', amount), '0'), '.') || 'bb' else action end as s from ev)
@@ -41,19 +38,27 @@ def fn_render_prompt(spark, sf):
 _CALLER = "case when regexp_matches(lower(instruction), '3[- ]?bet|reraise') then 'Villain has 3-bet, so the pot is inflated and ranges are tighter.' when regexp_matches(lower(instruction), '\\ball[- ]?in\\b|shove') then 'With an all-in on the table this is a pot-odds vs equity decision.' when regexp_matches(lower(instruction), '\\bcall\\b|\\blimp\\b') then 'Because there is already a caller, our value threshold rises.' else 'The pot is un-opened relative to hero, so we lean on our opening range.' end"
 
 
-@query("fn_template_reasoning", duck.RAW.join(["with ", ""]) + f"select source_index, concat('Hero is in UTG. ', {_CALLER}, ' This is the solver-preferred line for the given stack, pot, and range.', chr(10), 'Decision: x') as text from raw")
+_VERDICT = "case lower(string_split_regex(gold, '\\s+')[1]) " + " ".join(f"when '{k}' then '{v.replace(chr(39), chr(39) * 2)}'" for k, v in {**reasoning.VERDICTS, "bet": reasoning.VERDICTS["raise"]}.items()) + f" else '{reasoning.OTHER}' end"
+
+
+@query("fn_template_reasoning", duck.RAW.join(["with ", ""]) + f", g as (select *, trim(coalesce(correct_decision, '')) as gold from raw) select source_index, concat('Hero is in UTG. ', {_CALLER}, ' ', {_VERDICT}, chr(10), 'Decision: ', gold) as text from g")
 def fn_template_reasoning(spark, sf):
-    return bridge.scenarios(spark, sf).select("source_index", reasoning.concise(F.col("instruction"), F.lit("x")).alias("text"))
+    return bridge.scenarios(spark, sf).select("source_index", reasoning.concise(F.col("instruction"), F.coalesce("correct_decision", F.lit(""))).alias("text"))
+
 
+#: What the texts say of the action before, in turns.
+_BEFORE = ("", " after a 3-bet", " after an all-in", " after a limp", " after a re-raise: 3bet")
+_SAID = ("The pot is un-opened relative to hero, so we lean on our opening range.", *[reasoning.SITUATIONS[i][1].replace("'", "''") for i in (0, 1, 2, 0)])
 
-_STRUCTURED = duck.RAW.join(["with ", ""]) + """select source_index, concat('### Strategic Analysis', chr(10), 'Hero is in BTN.', chr(10), 'The pot is un-opened relative to hero, so we lean on our opening range.', chr(10), chr(10), '### Mathematical Calculations', chr(10),
+_STRUCTURED = duck.RAW.join(["with ", ""]) + f"""select source_index, concat('### Strategic Analysis', chr(10), 'Hero is in BTN.', chr(10), [{', '.join(f"'{x}'" for x in _SAID)}][cast(source_index % 5 + 1 as int)], chr(10), chr(10), '### Mathematical Calculations', chr(10),
   '* Pot size: ', cast(pot_size as varchar), ' BB', chr(10), '* Bet to call: 4 BB', chr(10), '* Required equity: ', printf('%.1f', 4 / (pot_size + 4) * 100), '%', chr(10), '* SPR: ', printf('%.2f', 100 / pot_size), chr(10), '* Effective stack: 100 BB', chr(10), chr(10), '### Action', chr(10),
   case source_index % 13 when 0 then 'FOLD' when 1 then 'CALL' when 2 then '3.0BB' when 3 then 'RAISE 13.1 BB' when 4 then 'ALLIN' when 5 then 'CHECK' when 6 then 'BET 24 BB' when 7 then 'FOLD' when 8 then 'ALLIN' when 9 then 'WTF' when 10 then 'RAISE 7.5 BB' when 11 then 'CHECK' else 'GOING ALL-IN' end) as text from raw"""
 
 
 @query("fn_template_structured", _STRUCTURED)
 def fn_template_structured(spark, sf):
-    text = F.concat(F.lit("position: BTN, stack 100 bb, pot "), F.col("pot_size").cast("string"), F.lit(" bb, villain bets 4 BB"))
+    before = F.get(F.array(*[F.lit(x) for x in _BEFORE]), (F.col("source_index") % 5).cast("int"))
+    text = F.concat(F.lit("position: BTN, stack 100 bb, pot "), F.col("pot_size").cast("string"), F.lit(" bb, villain bets 4 BB"), before)
     return bridge.scenarios(spark, sf).select("source_index", reasoning.structured(text, F.coalesce("correct_decision", F.lit(""))).alias("text"))
 
 
@@ -81,14 +86,13 @@ def snk_instruction_json(spark, sf):
     return sinks.instruction_text(bridge.scenarios(spark, sf).where("correct_decision is not null").withColumn("output", F.col("correct_decision")))
 
 
-@query("snk_parquet_mirror", duck.BASE + "select 'situation_actions' as name, count(*) as n from ev union all select 'situations', count(*) from sit")
+@query("snk_parquet_mirror", ORACLES["agg_table_counts"])
 def snk_parquet_mirror(spark, sf):
-    """The six tables are written and read again."""
+    """The six tables are written and read again, and counted."""
     place = _place(spark, "mirror")
     promptdb.write(promptdb.build(bridge.scenarios(spark, sf)), place)
-    back = promptdb.load(spark, place)
-    one = lambda t: back[t].agg(F.count("*").alias("n")).select(F.lit(t).alias("name"), "n")
-    return one("situations").union(one("situation_actions"))
+    parts = [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n") for name, df in promptdb.load(spark, place).items()]
+    return functools.reduce(DataFrame.union, parts)
 
 
 @query("snk_build_db", "select 'situations: split, source_index repeated' as rule, cast(0 as bigint) as n union all select 'prompt_templates: template_hash repeated', 0 union all select 'label_taxonomy: raw_label repeated', 0 union all select 'situation_positions: situation_id, position repeated', 0 union all select 'situation_actions: situation_id, seq_index repeated', 0 union all select 'situation_available_moves: situation_id, move repeated', 0 union all select 'situation_positions: no situation', 0 union all select 'situation_actions: no situation', 0 union all select 'situation_available_moves: no situation', 0")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions import cards, labels, lines, prompts
 from ..operators import features, metrics, promptdb, rewards
-from ..sources import bridge, readers
+from ..sources import bridge, readers, shared
 from . import duck
 from .registry import query
 
@@ -256,15 +256,21 @@ def fn_pot_odds_legacy(spark, sf):
     return _raw(spark, sf).select("source_index", *[c.alias(n) for n, c in features.legacy_pot(F.col("pot_size"), F.col("num_bets").cast("double")).items()])
 
 
-@query("fn_legacy_sequence", duck.with_(duck.RAW, duck.EVENTS) + """, p as (select source_index, i, a, contains(lower(a), 'bb') as sized from toks where i % 2 = 1 and a is not null), q as (select *, sum(cast(sized as int)) over (partition by source_index order by i) as k from p),
-s as (select source_index, string_agg(case when not sized then a when k = 1 then 'bet' else 'raise' end, ',' order by i) as seq from q group by 1) select raw.source_index, coalesce(seq, '') as seq from raw left join s using (source_index)""")
+@query("fn_legacy_sequence", duck.with_(duck.RAW) + """, t as (select source_index, list_filter(string_split(coalesce(prev_line, ''), '/'), lambda x: x <> '') as l from raw),
+a as (select source_index, list_transform(range(1, len(l) // 2 + 1), lambda i: l[2 * i]) as a from t), f as (select source_index, a, list_position(list_transform(a, lambda x: contains(lower(x), 'bb')), true) as f from a)
+select source_index, array_to_string(list_transform(a, lambda x, i: case when not contains(lower(x), 'bb') then x when i = f then 'bet' else 'raise' end), ',') as seq from f""")
 def fn_legacy_sequence(spark, sf):
     return _raw(spark, sf).select("source_index", F.array_join(lines.legacy_actions(F.col("prev_line")), ",").alias("seq"))
 
 
-@query("fil_sample_valid", duck.RAW.join(["with ", ""]) + "select source_index, cast(null as varchar) as reason from raw")
+@query("fil_sample_valid", duck.RAW.join(["with ", ""]) + "select source_index, case source_index % 9 when 1 then 'hole' when 2 then 'hole' when 3 then 'position' when 4 then 'players' when 5 then 'players' when 6 then 'negative' when 7 then 'negative' end as reason from raw")
 def fil_sample_valid(spark, sf):
-    return features.samples(_raw(spark, sf)).select("source_index", features.reject_reason(F.col("hero_pos")).alias("reason"))
+    """Samples, most of them spoilt in one way: a card twice, an unknown card, seat or number of players, negative chips."""
+    spoilt = {1: ("hero_hole", F.lit("AhAh")), 2: ("hero_hole", F.lit("1hKd")), 3: ("hero_pos", F.lit("MP")), 4: ("num_players", F.lit(0)), 5: ("num_players", F.lit(10)), 6: ("pot", F.lit(-1.0)), 7: ("stack", F.lit(-0.5))}
+    df = features.samples(_raw(spark, sf))
+    for k, (column, value) in spoilt.items():
+        df = df.withColumn(column, F.when(F.col("source_index") % 9 == k, value).otherwise(F.col(column)))
+    return df.select("source_index", features.reject_reason(df).alias("reason"))
 
 
 @query("fil_label_known", duck.BASE + "select source_index, canonical_label from sit where canonical_label is not null")
@@ -311,8 +317,11 @@ def agg_avg_raise(spark, sf):
 
 @query("agg_group_concat", duck.BASE + "select situation_id, sit.hero_pos, string_agg(position || '/' || action || coalesce('/' || cast(amount as varchar) || 'bb', ''), ' | ' order by seq) as reconstructed_line, canonical_label from sit join ev using (split, source_index) group by situation_id, sit.hero_pos, canonical_label")
 def agg_group_concat(spark, sf):
-    t = _tables(spark, sf)
-    return spark.sql("select s.situation_id, s.hero_pos, listagg(a.actor_pos || '/' || a.action_type || coalesce('/' || a.size_bb || 'bb', ''), ' | ') within group (order by a.seq_index) as reconstructed_line, s.canonical_label from {s} s join {a} a using (situation_id) group by s.situation_id, s.hero_pos, s.canonical_label", s=t["situations"], a=t["situation_actions"])
+    """The line is put together in the row that has the events; only numbering moves rows."""
+    df = _light(spark, sf)
+    said = F.transform("events", lambda e: F.concat_ws("/", e["position"], e["action"], F.concat(e["amount_bb"].cast("string"), F.lit("bb"))))
+    rows = df.where(promptdb.is_accepted(df)).select("split", "source_index", "hero_pos", F.array_join(said, " | ").alias("reconstructed_line"), "canonical_label")
+    return promptdb.with_situation_id(rows).where("reconstructed_line <> ''").select("situation_id", "hero_pos", "reconstructed_line", "canonical_label")
 
 
 @query("top_labels", duck.BASE + "select lower(raw_label) as raw_label, count(*) as n_occurrences from sit where raw_label is not null group by 1 order by 2 desc, 1 limit 15")
@@ -427,9 +436,7 @@ def agg_build_stats(spark, sf):
 @query("src_zip_csv_json", duck.RAW.join(["with ", ""]) + ", a as (select *, row_number() over (order by source_index) - 1 as i from raw) select i as source_index, hero_pos, hero_holding, prev_line, correct_decision, instruction from a")
 def src_zip_csv_json(spark, sf):
     """Scenario rows written as CSV and as JSON lines, read again and zipped by position."""
-    import uuid
-
-    place = f"{spark.conf.get('spark.checkpoint.dir', '/tmp')}/zip-{uuid.uuid4().hex}"
+    place = shared.place(spark, "zip")
     raw = _raw(spark, sf).orderBy("source_index")
     raw.select("prev_line", "hero_pos", "hero_holding", "correct_decision", "num_players", "num_bets", "available_moves", "pot_size").write.option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(f"{place}/csv")
     raw.select("instruction", F.coalesce("correct_decision", F.lit("")).alias("output")).write.json(f"{place}/json")

@@ -2,29 +2,24 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from .. import streaming
 from ..functions import prompts
 from ..operators import features
 from ..sources import bridge
+from ..sources.shared import place as _place
 from . import duck
 from .registry import query
 from .scenario import _POP
 
 
-def _place(spark, name: str) -> str:
-    return f"{spark.conf.get('spark.checkpoint.dir', '/tmp')}/{name}-{uuid.uuid4().hex}"
-
-
-@query("stm_augment_resume", "select substr(sha1(text), 1, 16) as row_id, min(concat(substr(text, 1, 20), '.')) as output from documents where text is not null group by 1")
+@query("stm_augment_resume", "select substr(sha1(text), 1, 16) as row_id, min(concat(text, '.')) as output from documents where text is not null group by 1")
 def stm_augment_resume(spark, sf):
     """Documents arrive as JSON in two goes; the second go finds the first one's rows done."""
     place = _place(spark, "augment")
     docs = spark.read.parquet(f"{sf}/documents.parquet").where("text is not null").select(prompts.row_id(F.col("text")).alias("row_id"), "text")
-    label = lambda df: df.select("row_id", F.concat(F.substring("text", 1, 20), F.lit(".")).alias("output"))
+    label = lambda df: df.select("row_id", F.concat("text", F.lit(".")).alias("output"))
     for part in (docs.where("pmod(xxhash64(row_id), 2) = 0"), docs):
         part.write.mode("append").json(f"{place}/in")
         streaming.augment(streaming.read_json(spark, f"{place}/in", "row_id string, text string"), label, f"{place}/out", f"{place}/state").awaitTermination()

@@ -123,9 +123,11 @@ top as (select o_orderkey, max(n) filter (where k = 1) as n0, max(n) filter (whe
 fl as (select o_orderkey, s from r group by 1, 2 having count(*) >= 5), low as (select o_orderkey, r from g union select o_orderkey, 1 from g where r = 14),
 run as (select a.o_orderkey, max(a.r) as hi from low a where (select count(*) from low b where b.o_orderkey = a.o_orderkey and b.r between a.r - 4 and a.r) = 5 group by 1),
 fr as (select r.o_orderkey, r.r from r join fl using (o_orderkey, s)), flow as (select * from fr union select o_orderkey, 1 from fr where r = 14),
-frun as (select a.o_orderkey, max(a.r) as hi from flow a where (select count(*) from flow b where b.o_orderkey = a.o_orderkey and b.r between a.r - 4 and a.r) = 5 group by 1)
-select t.o_orderkey, case when frun.hi is not null then 'straight_flush' when n0 >= 4 then 'quads' when n0 = 3 and n1 >= 2 then 'full_house' when fl.s is not null then 'flush' when run.hi is not null then 'straight' when n0 = 3 then 'trips' when n0 = 2 and n1 = 2 then 'two_pair' when n0 = 2 then 'pair' else 'high_card' end as category
-from top t left join fl using (o_orderkey) left join run using (o_orderkey) left join frun using (o_orderkey)"""
+frun as (select a.o_orderkey, max(a.r) as hi from flow a where (select count(*) from flow b where b.o_orderkey = a.o_orderkey and b.r between a.r - 4 and a.r) = 5 group by 1),
+ls as (select o_orderkey, list(r order by r desc) as l, list(r order by r desc) filter (where n >= 2) as twos, max(r) filter (where k = 2) as r1 from o group by 1), fls as (select o_orderkey, list(r order by r desc) as same from fr group by 1)
+select t.o_orderkey, array_to_string(case when frun.hi is not null then [frun.hi] when n0 >= 4 then list_concat([r0], list_filter(l, lambda x: x <> r0)[1:1]) when n0 = 3 and n1 >= 2 then [r0, list_filter(twos, lambda x: x <> r0)[1]] when fl.s is not null then same[1:5] when run.hi is not null then [run.hi]
+  when n0 = 3 then list_concat([r0], list_filter(l, lambda x: x <> r0)[1:2]) when n0 = 2 and n1 = 2 then list_concat([r0, r1], list_filter(l, lambda x: x <> r0 and x <> r1)[1:1]) when n0 = 2 then list_concat([r0], list_filter(l, lambda x: x <> r0)[1:3]) else l[1:5] end, ',') as ranks, case when frun.hi is not null then 'straight_flush' when n0 >= 4 then 'quads' when n0 = 3 and n1 >= 2 then 'full_house' when fl.s is not null then 'flush' when run.hi is not null then 'straight' when n0 = 3 then 'trips' when n0 = 2 and n1 = 2 then 'two_pair' when n0 = 2 then 'pair' else 'high_card' end as category
+from top t join ls using (o_orderkey) left join fl using (o_orderkey) left join fls using (o_orderkey) left join run using (o_orderkey) left join frun using (o_orderkey)"""
 
 
 @query("fn_hand_score_7", _SCORE)
@@ -134,7 +136,7 @@ def fn_hand_score_7(spark, sf):
     c = bridge.seven_cards(spark, sf)
     card = F.concat(F.substring(F.lit(cards.RANKS), (F.col("c") % 13 + 1).cast("int"), F.lit(1)), F.substring(F.lit(cards.SUITS), (F.floor(F.col("c") / 13) + 1).cast("int"), F.lit(1)))
     hands = c.groupBy("o_orderkey").agg(F.collect_list(card).alias("cards"))
-    return cards.with_score(hands, "cards").select("o_orderkey", cards.category(F.col("score")).alias("category"))
+    return cards.with_score(hands, "cards").select("o_orderkey", cards.category(F.col("score")).alias("category"), F.array_join(F.slice("score", 2, 5), ",").alias("ranks"))
 
 
 _RULE = duck.with_(duck.RAW, duck.EVENTS, duck.COUNTS, duck.HANDS) + """, x as (
