@@ -141,20 +141,27 @@ def _candidates(members: DataFrame, spanning: bool) -> DataFrame:
     return simhash.dealt(members, ["band"], "_set", MOST).select("band", "lo", "hi", "part", "_set", "_fp", "_size", "_sketch", "root").mapInArrow(run, "a long, b long").distinct()
 
 
+def small(df: DataFrame, most: int = 1 << 22) -> DataFrame:
+    """``df``, marked for broadcast if it has at most ``most`` rows (of a few numbers each); it must be cheap to count."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def classes(rows: DataFrame, text: str = "text") -> DataFrame:
     """(_set, root) for the sets of ``tagged`` rows that have a near copy; any other set is its own class."""
-    one = cut(rows.groupBy("_set").agg(F.min("_row").alias("_row")).select("_row"), "one")
-    distinct = rows.join(one, "_row", "left_semi")
-    keyed = distinct.select("_set", F.explode("_bands").alias("band"))
-    shared = keyed.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
-    info = distinct.select("_set", "_fp", "_size", "_sketch")
-    members = cut(simhash.spread_join(keyed, shared.withColumn("known", F.lit(True)), "band", "_set").where("known").drop("known").join(info, "_set"), "members")
-    near = members.select("_set").distinct()
+    keyed = rows.select("_set", F.explode("_bands").alias("band"))
+    # Added up before anything is shuffled, so exact copies weigh nothing.
+    shared = keyed.groupBy("band").agg(F.min("_set").alias("lo"), F.max("_set").alias("hi")).where("lo <> hi").select("band")
+    inside = cut(keyed.join(shared, "band", "left_semi").distinct(), "bands")
+    near = cut(inside.select("_set").distinct(), "near")
+    one = rows.select("_set", "_row", "_fp", "_size", "_sketch").join(near, "_set", "left_semi").groupBy("_set").agg(F.min(F.struct("_row", "_fp", "_size", "_sketch")).alias("r")).select("_set", "r.*")
+    one = cut(one, "one")
+    members = cut(inside.join(one.drop("_row"), "_set"), "members")
 
     def make():
         return lambda batch: [[shingles(t).view(np.int64) for t in texts(batch, text)]]
 
-    chosen = distinct.select("_set", text).join(near, "_set", "left_semi")
+    # One row of each set that shares a band; texts are shuffled only if those rows are too many to broadcast.
+    chosen = rows.select("_row", "_set", text).join(small(one.select("_row")), "_row", "left_semi")
     sets = cut(add_columns(chosen, make, [T.StructField("_shingles", T.ArrayType(T.LongType()))], text).select("_set", "_shingles"), "sets")
     tried = cut(_candidates(members.withColumn("root", F.col("_set")), True), "tried")
     links = _checked(tried, sets)
