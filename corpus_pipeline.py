@@ -53,8 +53,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     order = F.struct(id_.isNull(), id_, F.col("text").isNull(), F.xxhash64("text"), F.xxhash64(*others), "_row").alias("order")
     rooted = cut(simhash.spread_join(rows.select("_set", "_row", order), jaccard.classes(rows), "_set", "_row").select("_row", "order", F.coalesce("root", "_set").alias("root")), "rooted")
     first = rooted.groupBy("root").agg(F.min("order").alias("first"))
-    kept = first.select(F.col("first._row").alias("_row"))
-    return _together(rows.join(kept, "_row", "left_semi"), docs)
+    go = cut(simhash.spread_join(rooted.select("_row", "root"), first.select("root", F.col("first._row").alias("kept")), "root", "_row").where("_row <> kept").select("_row"), "go")
+    return _together(rows.join(jaccard.small(go), "_row", "left_anti"), docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
