@@ -45,8 +45,8 @@ def _train(spark, args):
     from . import ml
 
     rows = spark.read.parquet(args.features).withColumnRenamed("_label", "label").where("label is not null")
-    parts = metrics.stratified_split(rows, "label", "source_index", 0.1).drop("place")
-    model = ml.train_action(parts.where("part = 'train'"), ml.CLASSIFIERS[args.algo]())
+    parts = metrics.stratified_split(rows, "label", ml.KEY, 0.1).drop("place")
+    model = ml.train_action(parts.where("part = 'train'"), ml.CLASSIFIERS[args.algo])
     model.write().overwrite().save(args.out)
     print(sinks.render(metrics.summary(ml.probabilities(model, parts.where("part = 'holdout'")))))
 

@@ -12,22 +12,68 @@ from pyspark.sql import DataFrame, functions as F
 from ..operators import metrics
 from ..operators.features import FEATURES
 
-#: The action classifiers by name; each works on the column ``features``.
+#: What a hand is known by.
+KEY = ("split", "source_index")
+#: The action classifiers by name, for a number of classes; each works on the column ``features``.
 CLASSIFIERS = {
-    "random_forest": lambda: RandomForestClassifier(labelCol="y", numTrees=40, maxDepth=10, maxBins=64, seed=7),
-    "logistic": lambda: LogisticRegression(labelCol="y", maxIter=60, standardization=True),
-    "mlp": lambda: MultilayerPerceptronClassifier(labelCol="y", layers=[len(FEATURES), 64, 32, 5], maxIter=60, seed=7),
+    "random_forest": lambda classes: forest(),
+    "logistic": lambda classes: LogisticRegression(labelCol="y", maxIter=60, standardization=True),
+    "mlp": lambda classes: MultilayerPerceptronClassifier(labelCol="y", layers=[len(FEATURES), 64, 32, classes], maxIter=60, seed=7),
 }
 
 
+def forest(trees: int = 40, depth: int = 10, least: int = 5, **more) -> RandomForestClassifier:
+    return RandomForestClassifier(labelCol="y", numTrees=trees, maxDepth=depth, minInstancesPerNode=least, maxBins=64, seed=7, **more)
+
+
 def assemble(df: DataFrame, columns: list[str] = FEATURES, to: str = "features") -> DataFrame:
     return VectorAssembler(inputCols=list(columns), outputCol=to).transform(df)
 
 
-def train_action(df: DataFrame, classifier=None, label: str = "label") -> PipelineModel:
-    """Labels are numbered in alphabetical order; rows without label are left out."""
-    stages = [StringIndexer(inputCol=label, outputCol="y", stringOrderType="alphabetAsc"), VectorAssembler(inputCols=list(FEATURES), outputCol="features"), classifier or CLASSIFIERS["random_forest"]()]
-    return Pipeline(stages=stages).fit(df.where(F.col(label).isNotNull()))
+def train_action(df: DataFrame, make=None, label: str = "label") -> PipelineModel:
+    """Labels are numbered in alphabetical order; rows without label are left out.  ``make``: number of classes -> classifier."""
+    known = df.where(F.col(label).isNotNull())
+    index = StringIndexer(inputCol=label, outputCol="y", stringOrderType="alphabetAsc").fit(known)
+    assembler = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
+    head = (make or CLASSIFIERS["random_forest"])(len(index.labels))
+    return PipelineModel([index, assembler, head.fit(assembler.transform(index.transform(known)))])
+
+
+def classes(model: PipelineModel) -> list[str]:
+    return list(model.stages[0].labels)
+
+
+def predict(model: PipelineModel, df: DataFrame) -> DataFrame:
+    """``df`` with the predicted label, its probability and all of them; no label is read."""
+    names = F.array(*[F.lit(x) for x in classes(model)])
+    scored = PipelineModel(model.stages[1:]).transform(df).withColumn("p", vector_to_array("probability"))
+    at = metrics.argmax(F.col("p"))
+    return scored.select(*df.columns, F.get(names, at).alias("predicted"), F.array_max("p").alias("p_max"), "p")
+
+
+def train_heads(df: DataFrame, make=None) -> dict[str, PipelineModel]:
+    """Action and villain heads by name; the villain's is left out where it can't be learnt."""
+    heads = {"action": train_action(df, make), "villain": train_villain(df)}
+    return {k: m for k, m in heads.items() if m is not None}
+
+
+def save_heads(heads: dict[str, PipelineModel], folder: str) -> None:
+    for name, model in heads.items():
+        model.write().overwrite().save(f"{folder}/{name}")
+
+
+def load_heads(names: list[str], folder: str) -> dict[str, PipelineModel]:
+    return {name: PipelineModel.load(f"{folder}/{name}") for name in names}
+
+
+def evaluate(heads: dict[str, PipelineModel], df: DataFrame) -> DataFrame:
+    """One row: accuracy, top-2 accuracy, log loss and macro F1 of the action head, Brier score of the villain head, and bluff figures where it is known."""
+    scored = metrics.scored(probabilities(heads["action"], df))
+    out = metrics.summary(scored.select("p", "y")).crossJoin(metrics.averages(metrics.per_class(scored)).select("macro_f1"))
+    if "villain" in heads:
+        villain = heads["villain"].transform(df).withColumn("vp", F.get(vector_to_array("probability"), F.lit(1)))
+        out = out.crossJoin(metrics.brier(villain, "vp", "villain_fold").select(F.col("brier").alias("villain_fold_brier"))).crossJoin(metrics.bluff_summary(villain, "vp", "pot_bb", "facing_bet_bb"))
+    return out
 
 
 def probabilities(model: PipelineModel, df: DataFrame, to: str = "p") -> DataFrame:
@@ -54,46 +100,47 @@ def calibrate(df: DataFrame, p: str, y: str, method: str = "isotonic"):
 
 def stack(df: DataFrame, bases: dict, k: int = 5, seed: int = 7) -> tuple[dict, PipelineModel]:
     """Out-of-fold probabilities of the base models, then a logistic model on them; the bases are fitted again on all rows."""
-    rows = metrics.folds(df.where("label is not null"), "label", "source_index", k, seed).persist()
+    rows = metrics.folds(df.where("label is not null"), "label", KEY, k, seed).persist()
     parts = None
     for fold in range(k):
         held, rest = rows.where(F.col("fold") == fold), rows.where(F.col("fold") != fold)
         for name, make in bases.items():
-            held = probabilities(train_action(rest, make()), held, f"p_{name}").drop("y")
+            held = probabilities(train_action(rest, make), held, f"p_{name}").drop("y")
         parts = held if parts is None else parts.unionByName(held)
-    final = {name: train_action(rows, make()) for name, make in bases.items()}
-    meta = _stacked(parts, list(bases))
+    final = {name: train_action(rows, make) for name, make in bases.items()}
+    meta = _stacked(parts, list(bases), max(len(classes(m)) for m in final.values()))
     stages = [StringIndexer(inputCol="label", outputCol="y", stringOrderType="alphabetAsc"), VectorAssembler(inputCols=[c for c in meta.columns if c.startswith("z_")], outputCol="z"), LogisticRegression(featuresCol="z", labelCol="y", maxIter=60)]
     model = Pipeline(stages=stages).fit(meta)
     rows.unpersist()
     return final, model
 
 
-def _stacked(df: DataFrame, names: list[str], classes: int = 5) -> DataFrame:
-    return df.select(*df.columns, *[F.coalesce(F.get(f"p_{n}", F.lit(i)), F.lit(0.0)).alias(f"z_{n}_{i}") for n in names for i in range(classes)])
+def _stacked(df: DataFrame, names: list[str], n: int) -> DataFrame:
+    return df.select(*df.columns, *[F.coalesce(F.get(f"p_{name}", F.lit(i)), F.lit(0.0)).alias(f"z_{name}_{i}") for name in names for i in range(n)])
 
 
 def apply_stack(final: dict, model: PipelineModel, df: DataFrame) -> DataFrame:
     for name, base in final.items():
         df = probabilities(base, df, f"p_{name}").drop("y")
-    out = model.transform(_stacked(df, list(final)))
+    out = model.transform(_stacked(df, list(final), max(len(classes(m)) for m in final.values())))
     return out.select("source_index", F.col("y").cast("int").alias("y"), vector_to_array("probability").alias("p"))
 
 
-def train_success(scored: DataFrame) -> PipelineModel:
+def train_success(scored: DataFrame, trees: int = 400) -> PipelineModel:
     """The chance that a prediction is right, from features, confidence figures and the prediction rows' ``correct``."""
     columns = [*FEATURES, "p_max", "entropy", "margin"]
-    return Pipeline(stages=[VectorAssembler(inputCols=columns, outputCol="meta"), RandomForestClassifier(featuresCol="meta", labelCol="correct", numTrees=40, minInstancesPerNode=5, seed=7)]).fit(scored)
+    return Pipeline(stages=[VectorAssembler(inputCols=columns, outputCol="meta"), RandomForestClassifier(featuresCol="meta", labelCol="correct", numTrees=trees, minInstancesPerNode=5, seed=7)]).fit(scored)
 
 
-def search(train: DataFrame, valid: DataFrame, grid: list[dict]) -> tuple[dict, float]:
-    """The random-forest settings of the least log loss on the validation rows."""
-    best: tuple[dict, float] | None = None
+def search(df: DataFrame, grid: list[dict], k: int = 5, seed: int = 7) -> list[tuple[dict, float]]:
+    """Each setting of a random forest with its mean log loss over k folds, the least first."""
+    rows = metrics.folds(df.where("label is not null"), "label", KEY, k, seed).persist()
+    found = []
     for setting in grid:
-        loss = metrics.summary(probabilities(train_action(train, RandomForestClassifier(labelCol="y", seed=7, maxBins=64, **setting)), valid)).first()["log_loss"]
-        if best is None or loss < best[1]:
-            best = (setting, loss)
-    return best
+        losses = [metrics.summary(probabilities(train_action(rows.where(F.col("fold") != f), lambda n, s=setting: forest(**s)), rows.where(F.col("fold") == f))).first()["log_loss"] for f in range(k)]
+        found.append((setting, sum(losses) / k))
+    rows.unpersist()
+    return sorted(found, key=lambda x: x[1])
 
 
 def importances(model: PipelineModel, most: int = 20) -> list[tuple[str, float]]:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import metrics
 from ..sources import bridge
+from ..sources.shared import place
 from . import duck
 from .registry import query
 
@@ -132,3 +133,14 @@ def agg_model_compare(spark, sf):
 @query("join_meta_features", _SCORED + "select event_id, p0, p1, p2, p_max, round(abs(p_max - (p0 + p1 + p2 - p_max - least(p0, p1, p2))), 6) as margin, pot, bet from c")
 def join_meta_features(spark, sf):
     return metrics.scored(_pred(spark, sf)).select("event_id", "p0", "p1", "p2", "p_max", F.round("margin", 6).alias("margin"), "pot", "bet")
+
+
+@query("snk_llm_metrics", _SCORED + "select count(*) as n, avg(correct) as accuracy, sum(pred) as predicted from c")
+def snk_llm_metrics(spark, sf):
+    """Metrics and predictions written as JSON lines side by side; the metrics file and the sum over the predictions' file."""
+    folder = place(spark, "llm-metrics")
+    s = metrics.scored(_pred(spark, sf))
+    s.select("event_id", "y", "pred", "p_max").write.json(f"{folder}/predictions")
+    metrics.summary(s.select("p", "y")).write.json(f"{folder}/metrics")
+    figures = spark.read.schema("n long, accuracy double").json(f"{folder}/metrics")
+    return figures.crossJoin(spark.read.schema("event_id long, pred int").json(f"{folder}/predictions").agg(F.sum("pred").alias("predicted")))

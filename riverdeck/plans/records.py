@@ -238,3 +238,30 @@ def set_distinct_shells(spark, sf):
 def srt_multi_key(spark, sf):
     s = features.samples(bridge.scenarios(spark, sf)).select("hero_pos", lines.decision_type(F.col("events")).alias("decision_type"))
     return s.groupBy("hero_pos", "decision_type").agg(F.count("*").alias("n")).orderBy("hero_pos", F.desc("n"), "decision_type")
+
+
+@query("src_jsonl_rows", duck.RAW.join(["with ", ""]) + "select substr(sha1(instruction), 1, 16) as row_id, correct_decision as output, cast(source_index as varchar) as meta_index from raw where correct_decision is not null and instruction is not null")
+def src_jsonl_rows(spark, sf):
+    """JSON lines with a key besides the two texts: it comes back as metadata, and rows without output are left out."""
+    place = _place(spark, "jsonl")
+    bridge.scenarios(spark, sf).select("instruction", F.col("correct_decision").alias("output"), "source_index").write.json(place)
+    return readers.read_pairs(spark, place).select("row_id", "output", F.element_at("meta", "source_index").alias("meta_index"))
+
+
+@query("snk_augment_jsonl", ORACLES["prj_augmented"])
+def snk_augment_jsonl(spark, sf):
+    """Chat records written as JSON lines and read again."""
+    place = _place(spark, "augmented")
+    meta = F.when(F.col("source_index") % 2 == 0, F.create_map(F.lit("labeler"), F.lit("mine")))
+    rows = bridge.scenarios(spark, sf).select(F.col("source_index").cast("string").alias("row_id"), "instruction", F.lit("Because.\nDecision: call").alias("reasoning"), F.lit("fold").alias("action"), F.lit("template").alias("labeler"), meta.alias("meta"))
+    sinks.augmented(rows, "s").write.json(place)
+    back = spark.read.schema("messages array<struct<role:string,content:string>>, metadata map<string,string>").json(place)
+    return back.select(F.element_at("metadata", "row_id").cast("long").alias("source_index"), F.element_at("metadata", "labeler").alias("labeler"), F.get("messages", F.lit(2))["content"].alias("content"))
+
+
+@query("snk_query_render", duck.BASE + ", n as (select coalesce(canonical_label, '') as label, count(*) as n from sit group by 1), o as (select row_number() over (order by n desc, label) as i, concat(label, ',', n) as line from n) select i, line from o union all select 0, 'canonical_label,n'")
+def snk_query_render(spark, sf):
+    """A result rendered as CSV, line by line."""
+    counts = scenario._light(spark, sf).groupBy("canonical_label").agg(F.count("*").alias("n"))  # a row a label
+    text = sinks.render(counts.orderBy(F.desc("n"), F.coalesce("canonical_label", F.lit(""))), "csv")
+    return spark.createDataFrame(list(enumerate(text.split("\n"))), "i long, line string")

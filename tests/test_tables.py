@@ -81,6 +81,22 @@ def test_empty_board_and_empty_frames(spark):
 
 def test_action_head_learns(spark):
     rows = features.features(features.samples(bridge.scenarios(spark, SF))).where("label is not null").select("*").limit(400).persist()
-    model = ml.train_action(rows, ml.CLASSIFIERS["logistic"]())
+    model = ml.train_action(rows, ml.CLASSIFIERS["logistic"])
     assert metrics.summary(ml.probabilities(model, rows)).first()["accuracy"] > 0.2
     assert ml.train_villain(rows.limit(20)) is None
+
+
+def test_learning_queries(spark):
+    """Heads saved and loaded predict every row of the holdout; the bundle of metrics and the calibration curves are whole."""
+    from riverdeck import catalog
+    from tests.oracle import SF
+
+    held = catalog.QUERIES["ml_train_classical"](spark, SF).collect()
+    assert 100 < len(held) < 200 and all(r["predicted"] in ("allin", "call", "check", "fold", "raise") and 0.2 <= r["p_max"] <= 1 for r in held)
+    both = catalog.QUERIES["ml_multihead"](spark, SF).collect()
+    assert {(r["split"], r["source_index"]) for r in both} == {(r["split"], r["source_index"]) for r in held}
+    assert all(0 <= r["villain_fold_p"] <= 1 for r in both)
+    figures = catalog.QUERIES["ml_eval"](spark, SF).first().asDict()
+    assert figures["n"] == len(held) and {"accuracy", "top2_accuracy", "log_loss", "macro_f1", "villain_fold_brier", "bluff_ev_mean"} <= set(figures)
+    curves = {r["method"]: r for r in catalog.QUERIES["ml_calibration"](spark, SF).collect()}
+    assert set(curves) == {"none", "isotonic", "sigmoid"} and len({r["n"] for r in curves.values()}) == 1 and all(0 < r["brier"] < 0.5 for r in curves.values())
