@@ -1,6 +1,9 @@
 import hashlib
+import math
 import random
 import re
+import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -74,6 +77,70 @@ def test_quality_keeps_good_and_drops_junk(spark):
     assert len(kept & set(range(150))) >= 147 and not kept & set(range(150, 180))
 
 
+def slow_quality(docs, good, half, p):
+    """llr and verdict of each text in plain loops; good: doc_id -> label, half: doc_id -> 0 (target) or 1 (threshold)."""
+    word = (1 << 64) - 1
+
+    def mix(x):
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & word
+        x = (x ^ x >> 27) * 0x94D049BB133111EB & word
+        return x ^ x >> 31
+
+    def shape(w):
+        out = []
+        for c in w:
+            c = "a" if chr(c).islower() and c < 128 or c >= 128 else "A" if 65 <= c <= 90 else "0" if 48 <= c <= 57 else chr(c)
+            if not out or out[-1] != c:
+                out.append(c)
+        return "".join(out).encode()
+
+    def grams(t):
+        words = (t or "").encode().split()
+        a, s = [mix(zlib.crc32(w.lower())) for w in words], [mix(zlib.crc32(shape(w)) + (1 << 40)) for w in words]
+        k, mask, out = 0x9E3779B97F4A7C15, p.buckets - 1, []
+        for i in range(len(words)):
+            before, shape_before = (a[i - 1], s[i - 1]) if i else (1, 2)
+            out += [a[i] & mask, ((before * k + a[i]) * k & word) >> 40 & mask, ((shape_before * k + s[i]) * k & word) >> 40 & mask]
+        return out
+
+    raw, target = Counter(), Counter()
+    for d, t in docs:
+        raw.update(grams(t))
+        if good.get(d) == 1 and half[d] == 0:
+            target.update(grams(t))
+    all_raw, all_target = sum(raw.values()), sum(target.values())
+
+    def weight(b):
+        p_raw = (raw[b] + 1) / (all_raw + p.buckets)
+        return math.log((target[b] + p.prior * p.buckets * p_raw) / (all_target + p.prior * p.buckets) / p_raw)
+
+    llr = [sum(map(weight, g)) / max(1, len(g)) for g in (grams(t) for _, t in docs)]
+    failed = [(n := slow_base(t)[0]) < p.min_words or 100 * slow_base(t)[4] > p.max_repeat_percent * n for _, t in docs]
+    scores = {k: sorted(x for (d, _), x, f in zip(docs, llr, failed) if not f and half.get(d) == 1 and good.get(d) == k) for k in (0, 1)}
+    low = scores[1][int(p.quantile * len(scores[1]))]
+    high = scores[0][min(len(scores[0]) - 1, int(p.junk_quantile * len(scores[0])))]
+    threshold = (low + high) / 2 if high < low else low
+    return llr, [not f and x >= threshold for x, f in zip(llr, failed)]
+
+
+def test_quality_scores_equal_brute_force(spark):
+    rng = random.Random(8)
+    vocabulary = ["".join(rng.choices("abcdefgh", k=5)) for _ in range(60)]
+    make = lambda bad: " ".join((w.upper() + "!!9" if rng.random() < bad else w.capitalize() if rng.random() < 0.1 else w) for w in rng.choices(vocabulary, k=rng.randrange(40, 90)))
+    rows = [(i, make(0.7 if i % 5 == 0 else 0.05)) for i in range(120)] + [(200, None), (201, "ß Ünï 12a b3"), (3, make(0.3))]
+    good = {i: int(i % 5 > 0) for i in range(0, 120, 2)}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    params = quality.QualityParams(buckets=1 << 12, quantile=0.05)
+    model = quality.fit(spark, docs, labels(spark, [(i, y, 0) for i, y in good.items()]), params)
+    halves = spark.createDataFrame([(i,) for i in good], "doc_id long").select("doc_id", F.pmod(F.xxhash64(F.lit("half"), "doc_id"), F.lit(2)).alias("half"))
+    llr, kept = slow_quality(rows, good, dict(map(tuple, halves.collect())), params)
+    got = sorted((r["doc_id"], r["text"] or "", r["llr"], r["kept"]) for r in quality.score(docs, model).collect())
+    want = sorted((d, t or "", x, k) for (d, t), x, k in zip(rows, llr, kept))
+    assert [g[:2] for g in got] == [w[:2] for w in want] and [g[3] for g in got] == [w[3] for w in want]
+    assert [g[2] for g in got] == pytest.approx([w[2] for w in want], abs=2e-5)
+    assert 20 < sum(kept) < 120
+
+
 def test_quality_takes_anything(spark):
     model = quality.fit(spark, awkward(spark), labels(spark))
     out = quality.score(awkward(spark), model)
