@@ -335,10 +335,15 @@ def _frame(rows: list) -> pd.DataFrame:
 
 
 def _bucketed(df: DataFrame, buckets: int, label: str, by: str = "at") -> DataFrame:
-    """``df`` written to the shared folder as a table bucketed by a column; joins and groups by that column read it in place."""
+    """``df`` written to the shared folder as a table bucketed by a column; joins and groups by that column read it in place.
+
+    Its name leaves the catalog at once; the files stay.
+    """
     spark, name = df.sparkSession, f"riverdeck_{label}_{uuid.uuid4().hex}"
     df.write.bucketBy(min(buckets, 100_000), by).sortBy(by).option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
-    return spark.table(name)
+    table = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    return table
 
 
 def fit_and_score(docs: DataFrame, params: HpyParams = HpyParams()) -> DataFrame:
