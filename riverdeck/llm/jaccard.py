@@ -6,8 +6,8 @@ shingle).  Two texts are near copies if the Jaccard similarity of their sets is
 At that similarity SimHash fingerprints differ by some ten bits, which is too many for shards named by parts of the fingerprint; here shards are named by
 ``BANDS`` bands of ``ROWS`` smallest hashes, one of which near copies share but for a chance of (1 - 0.8**5)**32, about 3 in a million.  Within a shard a BK-tree of the
 fingerprints is searched for others within ``RADIUS`` bits; the pairs found must also have sizes that allow the similarity, and an estimated similarity (one byte of each of the
-160 smallest hashes) of at least ``MAYBE``.  What is left is checked exactly by joining the sets.  First only edges of an estimate of ``LIKELY`` are tried that
-span each shard's groups; then all pairs found whose texts are still in different classes.  No pair below the similarity is linked; one exactly at it is missed
+160 smallest hashes, in the second round of 1,024 others) of at least ``MAYBE`` or ``LONG_MAYBE``.  What is left is checked exactly by joining the sets.  First only as many pairs as there are members, twice at most, are tried: edges of an estimate of ``LIKELY`` that
+span each shard's groups, and stars around hubs, which a family of copies of one text has; then all pairs found whose texts are still in different classes.  No pair below the similarity is linked; one exactly at it is missed
 with a chance of some 1 in 1,000.
 
 Equal sets share a 64-bit name and need no check.  Defined cases: null, empty and blank texts have the empty set and are equal to each other;
@@ -36,6 +36,9 @@ SEED = 43
 RADIUS = 20
 LIKELY = 0.87
 MAYBE = 0.69
+#: Bytes of the longer sketch by which the second round estimates, and its least estimate (deviation 0.0125).
+LONG_SKETCH = 1024
+LONG_MAYBE = 0.755
 #: Rows of a shard in one task; a larger shard is split, and each two parts meet.
 MOST = 4096
 FIELDS = [T.StructField("_set", T.LongType()), T.StructField("_bands", T.ArrayType(T.LongType())), T.StructField("_fp", T.LongType()), T.StructField("_size", T.IntegerType()), T.StructField("_sketch", T.BinaryType())]
@@ -69,6 +72,16 @@ def bands(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return out, sketch.reshape(len(sets), -1)
 
 
+def long_sketch(own: np.ndarray) -> bytes:
+    """One byte of each of LONG_SKETCH smallest hashes of a set that is not empty."""
+    turns = mix64(np.arange(1, 2 * LONG_SKETCH + 1, dtype=np.uint64) ^ np.uint64(SEED << 32)).reshape(-1, 2)
+    least = np.full(LONG_SKETCH, np.iinfo(np.uint64).max, np.uint64)
+    for a in range(0, len(own), 256):
+        part = own[a : a + 256]
+        np.minimum(least, ((part[None, :] ^ turns[:, :1]) * (turns[:, 1:] | np.uint64(1))).min(1), out=least)
+    return (mix64(least) & np.uint64(255)).astype(np.uint8).tobytes()
+
+
 def tagged(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs``, written once, with a key of each row (_row), the name of its set and its bands."""
 
@@ -101,7 +114,8 @@ def _checked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def _candidates(members: DataFrame, spanning: bool) -> DataFrame:
     """Pairs (a, b) of a shard's members (band, _set, _fp, _size, _sketch, root) that may be similar and are in different classes.
 
-    With ``spanning``, only pairs that are likely similar, and of those only as many as join the shard's groups.
+    With ``spanning``, at most two pairs for each member: those that join the shard's groups of likely similar members, and stars around hubs: the member that has
+    the most in common with others, and those near it; the same among the members left; and so on.
     """
     over, under = AT_LEAST
 
@@ -110,10 +124,15 @@ def _candidates(members: DataFrame, spanning: bool) -> DataFrame:
             _, lo, hi = key
             part, names, fps, sizes, sketches, roots = cols
             n = len(names)
+            maybe = MAYBE if spanning else LONG_MAYBE
             sketches = np.frombuffer(b"".join(sketches), np.uint8).reshape(n, -1)
             sizes = sizes.astype(np.int64)
             forest = simhash.Forest(n)
             found = []
+            common = np.zeros(n)
+
+            def like(i, near):
+                return (sketches[near] == sketches[i]).mean(1)
 
             def visit(i, near):
                 near = near[near > i] if not spanning else near[near != i]
@@ -121,7 +140,10 @@ def _candidates(members: DataFrame, spanning: bool) -> DataFrame:
                 if lo != hi:
                     near = near[part[near] != part[i]]
                 if len(near):
-                    near = near[(sketches[near] == sketches[i]).mean(1) >= (LIKELY if spanning else MAYBE)]
+                    estimate = like(i, near)
+                    if spanning:
+                        common[i] = estimate[estimate >= maybe].sum()
+                    near = near[estimate >= (LIKELY if spanning else maybe)]
                 if spanning and len(near):
                     own = forest.find(near)
                     _, first = np.unique(own, return_index=True)
@@ -132,6 +154,18 @@ def _candidates(members: DataFrame, spanning: bool) -> DataFrame:
                     found.append((np.full(len(near), i), near))
 
             simhash.BKTree(fps.view(np.uint64)).search(fps.view(np.uint64), RADIUS, visit)
+            left = common > 0
+            for i in np.argsort(-common, kind="stable").tolist():
+                if not left[i]:
+                    continue
+                left[i] = False
+                near = np.flatnonzero(left & (roots != roots[i]) & (under * np.minimum(sizes, sizes[i]) >= over * np.maximum(sizes, sizes[i])))
+                if lo != hi:
+                    near = near[part[near] != part[i]]
+                near = near[like(i, near) >= maybe]
+                left[near] = False
+                if len(near):
+                    found.append((np.full(len(near), i), near))
             if found:
                 a, b = (names[np.concatenate(x)] for x in zip(*found))
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
@@ -158,14 +192,21 @@ def classes(rows: DataFrame, text: str = "text") -> DataFrame:
     members = cut(inside.join(one.drop("_row"), "_set"), "members")
 
     def make():
-        return lambda batch: [[shingles(t).view(np.int64) for t in texts(batch, text)]]
+        def work(batch):
+            own = [shingles(t) for t in texts(batch, text)]
+            return [[x.view(np.int64) for x in own], [long_sketch(x) if len(x) else b"" for x in own]]
+
+        return work
 
     # One row of each set that shares a band; texts are shuffled only if those rows are too many to broadcast.
     chosen = rows.select("_row", "_set", text).join(small(one.select("_row")), "_row", "left_semi")
-    sets = cut(add_columns(chosen, make, [T.StructField("_shingles", T.ArrayType(T.LongType()))], text).select("_set", "_shingles"), "sets")
+    sets = cut(add_columns(chosen, make, [T.StructField("_shingles", T.ArrayType(T.LongType())), T.StructField("_long", T.BinaryType())], text).select("_set", "_shingles", "_long"), "sets")
     tried = cut(_candidates(members.withColumn("root", F.col("_set")), True), "tried")
     links = _checked(tried, sets)
-    known = simhash.spread_join(members, simhash.classes(links).withColumnRenamed("fp", "_set"), "_set", "band").withColumn("root", F.coalesce("root", "_set"))
+    known = cut(simhash.spread_join(members.select("band", "_set", "_fp", "_size"), simhash.classes(links).withColumnRenamed("fp", "_set"), "_set", "band").withColumn("root", F.coalesce("root", "_set")), "known")
+    # Bands whose members are in several classes still.
+    split = known.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("band")
+    known = known.join(split, "band", "left_semi").join(sets.select("_set", F.col("_long").alias("_sketch")), "_set")
     open_ = _candidates(known, False).join(tried, ["a", "b"], "left_anti")
     links = links.union(_checked(open_, sets))
     return simhash.classes(links).withColumnRenamed("fp", "_set")
