@@ -137,7 +137,7 @@ def test_enforce(spark):
 
 def test_population_counts_first_actions_only(spark):
     df = spark.createDataFrame([(1, "UTG/2.5bb/CO/8bb/BTN/fold/UTG/fold")], "source_index long, l string").select("source_index", lines.events(F.col("l")).alias("events"))
-    got = {r["position"]: r for r in features.population(df).collect()}
+    got = {r["position"]: r for r in features.population(df, ("source_index",)).collect()}
     assert got["UTG"]["vpip"] == got["UTG"]["pfr"] == 1
     assert got["CO"]["three_bet_pct"] == 1 and got["BTN"]["fold_to_raise_pct"] == 1
 
