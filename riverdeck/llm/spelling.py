@@ -88,13 +88,10 @@ def deletion_keys(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return mix64(before + (whole - prefix) * INVERSE), mix64(whole[:, 0])
 
 
-def _digest(text: str) -> str:
-    return hashlib.md5(text.encode()).hexdigest()
-
-
 def name_of(word: str) -> str:
     """The word, or where it is long a digest that no word equals."""
-    return word if len(word.encode()) <= LONG else f"\0{_digest(word)}"
+    raw = word.encode()
+    return word if len(raw) <= LONG else f"\0{hashlib.md5(raw).hexdigest()}"
 
 
 def _keyed(vocabulary: DataFrame) -> DataFrame:
@@ -109,7 +106,7 @@ def _keyed(vocabulary: DataFrame) -> DataFrame:
         called = np.repeat(np.array([name_of(w) for w in words], object), length + 1)
         rest = None
         if any(len(w.encode()) > LONG for w in words):
-            rest = [None if len(w.encode()) <= LONG else _digest(w if i < 0 else w[:i] + w[i + 1 :]) for w in words for i in range(-1, length)]
+            rest = [None if len(w.encode()) <= LONG else name_of(w if i < 0 else w[:i] + w[i + 1 :]) for w in words for i in range(-1, length)]
         columns = [
             pa.array(key),
             pa.array(np.tile(np.arange(-1, length, dtype=np.int32), len(block))),
