@@ -60,6 +60,44 @@ def test_near_copies_equal_brute_force(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(want))
 
 
+def repeated_texts(times):
+    """Pairs of a text and the same with a passage of it repeated, nearly equal as sets of shingles."""
+    rng = random.Random(times)
+    out = []
+    for i in range(40):
+        words = [f"p{i}w{rng.randrange(5000)}" for _ in range(300)]
+        at = rng.randrange(280)
+        out += [" ".join(words), " ".join(words[:at] + words[at : at + 20] * (times + 1) + words[at + 20 :])]
+    return out
+
+
+@pytest.mark.parametrize("times", [1, 3, 10, 30, 100])
+def test_repeated_passages_are_near_copies(spark, times):
+    texts = repeated_texts(times)
+    want = brute_classes(texts)
+    assert len(set(want)) == 40
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, None).collect()) == sorted(set(want))
+
+
+def test_short_texts_and_long_families(spark):
+    rng = random.Random(9)
+    texts = []
+    for i in range(150):  # sets of four to twelve shingles
+        words = [f"s{i}x{j}" for j in range(rng.randrange(8, 17))]
+        texts += [" ".join(words), " ".join([*words, f"end{i}"]), " ".join([f"start{i}", *words])]
+    for i in range(4):  # 60 copies of a text, each with a few words of its own
+        base = [f"f{i}y{j}" for j in range(500)]
+        for _ in range(60):
+            words = list(base)
+            for _ in range(rng.randrange(1, 9)):
+                words[rng.randrange(500)] = f"new{rng.randrange(10**9)}"
+            texts.append(" ".join(words))
+    want = brute_classes(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, None).collect()) == sorted(set(want))
+
+
 def test_near_copies_of_nothing(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert jaccard.classes(jaccard.tagged(docs)).count() == 0
