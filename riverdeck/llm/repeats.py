@@ -21,6 +21,7 @@ table gives an empty result; a doc_id may be of any type that has an order; colu
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -206,8 +207,17 @@ def deep_nodes(groups: np.ndarray, suffixes: np.ndarray) -> tuple[np.ndarray, np
 
     ``suffixes`` has a row of numbered words for each suffix.  Leaves below one deep node are neighbours whose common prefix reaches the depth.
     """
-    order = np.lexsort([*suffixes.T[::-1], groups])
-    rows, group = suffixes[order], groups[order]
+    bits = max(1, int(suffixes.max(initial=0)).bit_length())
+    each = 63 // bits
+    # Neighbouring words as one number, as many as fit.
+    packed = []
+    for a in range(0, suffixes.shape[1], each):
+        number = np.zeros(len(suffixes), np.int64)
+        for column in suffixes.T[a : a + each]:
+            number = number << bits | column
+        packed.append(number)
+    order = np.lexsort([*packed[::-1], groups])
+    rows, group = np.stack(packed, axis=1)[order], groups[order]
     common = (rows[1:] == rows[:-1]).all(1) & (group[1:] == group[:-1])
     return order, np.flatnonzero(np.concatenate([[True], ~common])) if len(order) else np.zeros(0, np.int64)
 
@@ -216,10 +226,11 @@ def _answers(sent: DataFrame, kind: T.DataType, window: int) -> DataFrame:
     """(key, stretch_id, los): for each stretch that may lose words, the smallest doc_id with each of its windows."""
 
     def build(keys, stretches, lo, hi, ids):
-        number: dict[bytes, int] = {}
         split = [s.split(b" ") for s in stretches]
-        flat = np.fromiter((number.setdefault(w, len(number)) for s in split for w in s), np.int64)
-        sizes = np.array([len(s) for s in split])
+        number = dict.fromkeys(chain.from_iterable(split))
+        number = dict(zip(number, range(len(number))))
+        sizes = np.fromiter(map(len, split), np.int64, len(split))
+        flat = np.fromiter(map(number.__getitem__, chain.from_iterable(split)), np.int64, int(sizes.sum()))
         windows = sizes - window + 1
         owner = np.repeat(np.arange(len(split)), windows)
         ends = np.cumsum(windows)
@@ -266,7 +277,8 @@ def _answers(sent: DataFrame, kind: T.DataType, window: int) -> DataFrame:
 def _beside(docs: DataFrame, found: DataFrame, how: str) -> DataFrame:
     """Texts with what was found in them (two key columns, then an array); ``found`` is broadcast if its measured bytes allow it."""
     *keys, column = found.columns
-    size = found.agg(F.coalesce(F.sum(F.size(column) * 8 + 48), F.lit(0))).first()[0]
+    each = 4 if isinstance(found.schema[column].dataType.elementType, T.IntegerType) else 8
+    size = found.agg(F.coalesce(F.sum(F.size(column) * each + 48), F.lit(0))).first()[0]
     return docs.join(F.broadcast(found) if size <= BROADCAST else found, keys, how)
 
 
@@ -281,11 +293,11 @@ def cuts(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX, most: int
     shared = places.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n")).where("lo < hi")
     shared = cut(shared.select("key", (F.col("n") > most).cast("int").alias("wide")), "shared-prefixes")
     tag, number = F.col("at").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftright("at", 32)
-    found = places.join(shared.hint("merge"), "key").groupBy("doc_id", tag.alias("tag")).agg(F.collect_list((number * 2 + F.col("wide")).cast("int")).alias("found"))
+    found = places.join(shared.hint("shuffle_hash"), "key").groupBy("doc_id", tag.alias("tag")).agg(F.collect_list((number * 2 + F.col("wide")).cast("int")).alias("found"))
     chosen = _beside(docs, cut(found, "anchors"), "inner")
     answers = _answers(_sent(chosen, kind, window, prefix), kind, window)
     asked = _asked(chosen, kind, window, prefix)
-    both = asked.join(answers.hint("merge"), ["key", "stretch_id"])
+    both = asked.join(answers.hint("shuffle_hash"), ["key", "stretch_id"])
     bits = F.aggregate(F.reverse(F.transform("los", lambda x: (x < F.col("doc_id")).cast("long"))), F.lit(0).cast("long"), lambda acc, x: acc * 2 + x)
     hit = both.select("doc_id", tag.alias("tag"), number.alias("number"), bits.alias("bits")).where("bits > 0")
     return cut(hit.groupBy("doc_id", "tag").agg(F.collect_list(F.col("number") * (1 << 16) + F.col("bits")).alias("cuts")), "cuts")
