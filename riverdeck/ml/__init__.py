@@ -1,21 +1,32 @@
-"""Classifiers on MLlib: action head, villain head, calibration, stacking, success model, search."""
+"""Classifiers on MLlib and on boosted trees: action head, villain head, calibration, stacking, success model, search."""
 
 from __future__ import annotations
 
+import json
+import logging
+from multiprocessing.pool import ThreadPool
+
+import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..operators import metrics
 from ..operators.features import FEATURES
+from ..sources.shared import place
+from .boosting import Boosting
+from .calibration import CrossFitted, importances_of
 
 #: What a hand is known by.
 KEY = ("split", "source_index")
+log = logging.getLogger(__name__)
+
 #: The action classifiers by name, for a number of classes; each works on the column ``features``.
 CLASSIFIERS = {
+    "boosting": lambda classes: Boosting(),
     "random_forest": lambda classes: forest(),
     "logistic": lambda classes: LogisticRegression(labelCol="y", maxIter=60, standardization=True),
     "mlp": lambda classes: MultilayerPerceptronClassifier(labelCol="y", layers=[len(FEATURES), 64, 32, classes], maxIter=60, seed=7),
@@ -30,12 +41,17 @@ def assemble(df: DataFrame, columns: list[str] = FEATURES, to: str = "features")
     return VectorAssembler(inputCols=list(columns), outputCol=to).transform(df)
 
 
-def train_action(df: DataFrame, make=None, label: str = "label") -> PipelineModel:
-    """Labels are numbered in alphabetical order; rows without label are left out.  ``make``: number of classes -> classifier."""
+def train_action(df: DataFrame, make=None, label: str = "label", calibrate: str | None = "sigmoid") -> PipelineModel:
+    """Labels are numbered in alphabetical order; rows without label are left out.  ``make``: number of classes -> classifier.
+
+    From 200 rows on chances are calibrated over three folds (``calibrate``: sigmoid, isotonic or None).
+    """
     known = df.where(F.col(label).isNotNull())
     index = StringIndexer(inputCol=label, outputCol="y", stringOrderType="alphabetAsc").fit(known)
     assembler = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
     head = (make or CLASSIFIERS["random_forest"])(len(index.labels))
+    if calibrate:
+        head = CrossFitted(base=head, classes=len(index.labels), method=calibrate)
     return PipelineModel([index, assembler, head.fit(assembler.transform(index.transform(known)))])
 
 
@@ -51,9 +67,9 @@ def predict(model: PipelineModel, df: DataFrame) -> DataFrame:
     return scored.select(*df.columns, F.get(names, at).alias("predicted"), F.array_max("p").alias("p_max"), "p")
 
 
-def train_heads(df: DataFrame, make=None) -> dict[str, PipelineModel]:
+def train_heads(df: DataFrame, make=None, calibrate: str | None = "sigmoid") -> dict[str, PipelineModel]:
     """Action and villain heads by name; the villain's is left out where it can't be learnt."""
-    heads = {"action": train_action(df, make), "villain": train_villain(df)}
+    heads = {"action": train_action(df, make, calibrate=calibrate), "villain": train_villain(df, calibrate=calibrate)}
     return {k: m for k, m in heads.items() if m is not None}
 
 
@@ -66,6 +82,43 @@ def load_heads(names: list[str], folder: str) -> dict[str, PipelineModel]:
     return {name: PipelineModel.load(f"{folder}/{name}") for name in names}
 
 
+def save_bundle(heads: dict[str, PipelineModel], folder: str, thresholds: dict[str, float] | None = None) -> None:
+    """Heads with what scoring must agree on: the features in their order, the labels, and thresholds by name."""
+    save_heads(heads, f"{folder}/heads")
+    about = {"version": 1, "heads": sorted(heads), "features": list(FEATURES), "labels": classes(heads["action"]), "thresholds": thresholds or {}}
+    spark = SparkSession.active()
+    spark.createDataFrame([(json.dumps(about),)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/about")
+
+
+def load_bundle(folder: str) -> dict:
+    spark = SparkSession.active()
+    about = json.loads(spark.read.text(f"{folder}/about").first()["value"])
+    return {**about, "models": load_heads(about["heads"], f"{folder}/heads")}
+
+
+def apply_bundle(bundle: dict, df: DataFrame) -> DataFrame:
+    """``df`` with predicted, p_max, ``trusted`` (p_max is at least the threshold trust; all are where none is set) and villain_fold_p where the bundle has that head.
+
+    A bundle whose features are others than the library's, or in another order, is refused, as are rows that lack a feature or have one that is no number.
+    """
+    if bundle["features"] != list(FEATURES):
+        known, own = set(FEATURES), set(bundle["features"])
+        raise ValueError(f"the bundle's features differ: unknown {sorted(own - known)}, missing {sorted(known - own)}" if known != own else "the bundle's features are in another order")
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    if lacking := [c for c in FEATURES if c not in kinds]:
+        raise ValueError(f"rows lack the features {lacking}")
+    if odd := [c for c in FEATURES if not isinstance(kinds[c], (T.NumericType, T.BooleanType))]:
+        raise ValueError(f"features that are no numbers: {odd}")
+    if bundle["labels"] != classes(bundle["models"]["action"]):
+        raise ValueError("the bundle's labels are not those of its action head")
+    trust = bundle["thresholds"].get("trust", 0.0)
+    out = predict(bundle["models"]["action"], df).drop("p").withColumn("trusted", F.col("p_max") >= trust)
+    if "villain" in bundle["models"]:
+        names = out.columns
+        out = bundle["models"]["villain"].transform(out).select(*names, F.get(vector_to_array("probability"), F.lit(1)).alias("villain_fold_p"))
+    return out
+
+
 def evaluate(heads: dict[str, PipelineModel], df: DataFrame) -> DataFrame:
     """One row: accuracy, top-2 accuracy, log loss and macro F1 of the action head, Brier score of the villain head, and bluff figures where it is known."""
     scored = metrics.scored(probabilities(heads["action"], df))
@@ -82,13 +135,16 @@ def probabilities(model: PipelineModel, df: DataFrame, to: str = "p") -> DataFra
     return out.select(*df.columns, F.col("y").cast("int").alias("y"), vector_to_array("probability").alias(to))
 
 
-def train_villain(df: DataFrame, label: str = "villain_fold"):
-    """None with fewer than 100 known labels or only one class."""
+def train_villain(df: DataFrame, label: str = "villain_fold", calibrate: str | None = "sigmoid"):
+    """None with fewer than 100 known labels or only one class; calibrated like the action head."""
     known = df.where(F.col(label) >= 0)
     seen = known.groupBy(label).count().collect()  # two rows at most
     if sum(r[1] for r in seen) < 100 or len(seen) < 2:
         return None
-    return Pipeline(stages=[VectorAssembler(inputCols=list(FEATURES), outputCol="features"), GBTClassifier(labelCol=label, maxIter=20, maxBins=64, seed=7)]).fit(known)
+    head = GBTClassifier(labelCol=label, maxIter=20, maxBins=64, seed=7)
+    if calibrate:
+        head = CrossFitted(base=head, classes=2, method=calibrate)
+    return Pipeline(stages=[VectorAssembler(inputCols=list(FEATURES), outputCol="features"), head]).fit(known)
 
 
 def calibrate(df: DataFrame, p: str, y: str, method: str = "isotonic"):
@@ -99,20 +155,31 @@ def calibrate(df: DataFrame, p: str, y: str, method: str = "isotonic"):
 
 
 def stack(df: DataFrame, bases: dict, k: int = 5, seed: int = 7) -> tuple[dict, PipelineModel]:
-    """Out-of-fold probabilities of the base models, then a logistic model on them; the bases are fitted again on all rows."""
+    """Out-of-fold probabilities of the base models, then a logistic model on them; the bases are fitted again on all rows.
+
+    A base that can't be fitted is left out with a warning; only if all fail is that an error.
+    """
     rows = metrics.folds(df.where("label is not null"), "label", KEY, k, seed).persist()
-    parts = None
-    for fold in range(k):
-        held, rest = rows.where(F.col("fold") == fold), rows.where(F.col("fold") != fold)
+    try:
+        final = {}
         for name, make in bases.items():
-            held = probabilities(train_action(rest, make), held, f"p_{name}").drop("y")
-        parts = held if parts is None else parts.unionByName(held)
-    final = {name: train_action(rows, make) for name, make in bases.items()}
-    meta = _stacked(parts, list(bases), max(len(classes(m)) for m in final.values()))
-    stages = [StringIndexer(inputCol="label", outputCol="y", stringOrderType="alphabetAsc"), VectorAssembler(inputCols=[c for c in meta.columns if c.startswith("z_")], outputCol="z"), LogisticRegression(featuresCol="z", labelCol="y", maxIter=60)]
-    model = Pipeline(stages=stages).fit(meta)
-    rows.unpersist()
-    return final, model
+            try:
+                final[name] = train_action(rows, make, calibrate=None)
+            except Exception as e:  # whatever a library of models raises
+                log.warning("base %s is left out: %s", name, e)
+        if not final:
+            raise ValueError("no base could be fitted")
+        parts = None
+        for fold in range(k):
+            held, rest = rows.where(F.col("fold") == fold), rows.where(F.col("fold") != fold)
+            for name in final:
+                held = probabilities(train_action(rest, bases[name], calibrate=None), held, f"p_{name}").drop("y")
+            parts = held if parts is None else parts.unionByName(held)
+        meta = _stacked(parts, list(final), max(len(classes(m)) for m in final.values()))
+        stages = [StringIndexer(inputCol="label", outputCol="y", stringOrderType="alphabetAsc"), VectorAssembler(inputCols=[c for c in meta.columns if c.startswith("z_")], outputCol="z"), LogisticRegression(featuresCol="z", labelCol="y", maxIter=60)]
+        return final, Pipeline(stages=stages).fit(meta)
+    finally:
+        rows.unpersist()
 
 
 def _stacked(df: DataFrame, names: list[str], n: int) -> DataFrame:
@@ -132,16 +199,62 @@ def train_success(scored: DataFrame, trees: int = 400) -> PipelineModel:
     return Pipeline(stages=[VectorAssembler(inputCols=columns, outputCol="meta"), RandomForestClassifier(featuresCol="meta", labelCol="correct", numTrees=trees, minInstancesPerNode=5, seed=7)]).fit(scored)
 
 
-def search(df: DataFrame, grid: list[dict], k: int = 5, seed: int = 7) -> list[tuple[dict, float]]:
-    """Each setting of a random forest with its mean log loss over k folds, the least first."""
-    rows = metrics.folds(df.where("label is not null"), "label", KEY, k, seed).persist()
-    found = []
-    for setting in grid:
-        losses = [metrics.summary(probabilities(train_action(rows.where(F.col("fold") != f), lambda n, s=setting: forest(**s)), rows.where(F.col("fold") == f))).first()["log_loss"] for f in range(k)]
-        found.append((setting, sum(losses) / k))
-    rows.unpersist()
-    return sorted(found, key=lambda x: x[1])
+#: The ranges of a boosted head's settings: whole numbers, numbers, and numbers drawn by their logarithm.
+RANGES = {
+    "rounds": ("int", 200, 800),
+    "rate": ("log", 0.01, 0.2),
+    "depth": ("int", 4, 7),
+    "least": ("int", 1, 100),
+    "subsample": ("float", 0.6, 1.0),
+    "columns": ("float", 0.6, 1.0),
+    "l1": ("log", 1e-4, 10.0),
+    "l2": ("log", 1e-4, 10.0),
+}
+
+
+def sampled(trials: int, ranges: dict = RANGES, seed: int = 7) -> list[dict]:
+    """Settings drawn at random, the same for the same seed."""
+    rng = np.random.default_rng(seed)
+    out = []
+    for _ in range(trials):
+        setting = {}
+        for name, (kind, low, high) in ranges.items():
+            x = np.exp(rng.uniform(np.log(low), np.log(high))) if kind == "log" else rng.uniform(low, high + (kind == "int"))
+            setting[name] = min(high, int(x)) if kind == "int" else float(x)
+        out.append(setting)
+    return out
+
+
+def cross_loss(rows: DataFrame, make, k: int, share: float = 1.0, seed: int = 7) -> float:
+    """Mean log loss over the k folds of ``rows`` (column fold), learnt from a share of the other folds' rows, by hash."""
+    part = F.pmod(F.xxhash64(F.lit(seed), *KEY), F.lit(1 << 20)) < int(share * (1 << 20))
+    losses = [metrics.summary(probabilities(train_action(rows.where((F.col("fold") != f) & part), make, calibrate=None), rows.where(F.col("fold") == f))).first()["log_loss"] for f in range(k)]
+    return sum(losses) / k
+
+
+def tune(df: DataFrame, trials: int = 16, k: int = 5, rungs: int = 3, cut: int = 3, ranges: dict = RANGES, seed: int = 7, parallel: int = 4) -> list[dict]:
+    """Random search with successive halving over boosted heads: rows of setting, rung, share and log_loss, the best of the last rung first.
+
+    On each rung the best of ``cut`` settings go on, with ``cut`` times the rows and trees, all on the last; fits of a rung run side by side.
+    """
+    path = place(df.sparkSession, "tune")
+    metrics.folds(df.where("label is not null"), "label", KEY, k, seed).write.parquet(path)
+    rows = df.sparkSession.read.parquet(path)
+    left, found = list(enumerate(sampled(trials, ranges, seed))), []
+    for rung in range(rungs):
+        share = float(cut) ** (rung - rungs + 1)
+
+        def judged(one, share=share):
+            number, setting = one
+            own = {**setting, "rounds": max(1, round(setting["rounds"] * share))}
+            return cross_loss(rows, lambda classes: Boosting(**own), k, share, seed), number, setting
+
+        with ThreadPool(parallel) as pool:
+            results = sorted(pool.map(judged, left), key=lambda r: r[:2])
+        found = [{"trial": number, "rung": rung, "share": share, "log_loss": loss, **setting} for loss, number, setting in results] + found
+        left = [(number, setting) for _, number, setting in results[: max(1, len(results) // cut)]]
+    return found
 
 
 def importances(model: PipelineModel, most: int = 20) -> list[tuple[str, float]]:
-    return sorted(zip(FEATURES, model.stages[-1].featureImportances.toArray().tolist()), key=lambda x: (-x[1], x[0]))[:most]
+    return sorted(zip(FEATURES, importances_of(model.stages[-1]).tolist()), key=lambda x: (-x[1], x[0]))[:most]
