@@ -39,6 +39,8 @@ MAYBE = 0.69
 #: Bytes of the longer sketch by which the second round estimates, and its least estimate (deviation 0.0125).
 LONG_SKETCH = 1024
 LONG_MAYBE = 0.755
+#: Hashes whose bits are counted at once.
+BITS = 1 << 14
 #: Rows of a shard in one task; a larger shard is split, and each two parts meet.
 MOST = 4096
 FIELDS = [T.StructField("_set", T.LongType()), T.StructField("_bands", T.ArrayType(T.LongType())), T.StructField("_fp", T.LongType()), T.StructField("_size", T.IntegerType()), T.StructField("_sketch", T.BinaryType())]
@@ -77,14 +79,16 @@ def majorities(sets: list[np.ndarray]) -> np.ndarray:
 
     A passage that a text repeats counts once, as in the similarity.
     """
-    out = np.zeros(len(sets), np.uint64)
-    for a in range(0, len(sets), 256):
-        part = sets[a : a + 256]
-        sizes = np.array([len(s) for s in part])
-        bits = np.unpackbits(np.concatenate(part).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        ones = np.add.reduceat(bits, np.cumsum(sizes) - sizes, axis=0, dtype=np.int64)
-        out[a : a + 256] = np.packbits((2 * ones > sizes[:, None]).astype(np.uint8), axis=1, bitorder="little").view(np.uint64).ravel()
-    return out
+    sizes = np.array([len(x) for x in sets], np.int64)
+    ones = np.zeros((len(sets), 64), np.int64)
+    flat, ends = np.concatenate([np.zeros(0, np.uint64), *sets]), np.cumsum(sizes)
+    starts = ends - sizes
+    for a in range(0, len(flat), BITS):
+        part = flat[a : a + BITS]
+        bits = np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        lo, hi = np.searchsorted(ends, a, "right"), np.searchsorted(starts, a + len(part), "left")
+        ones[lo:hi] += np.add.reduceat(bits, np.maximum(starts[lo:hi] - a, 0), axis=0, dtype=np.int64)
+    return np.packbits((2 * ones > sizes[:, None]).astype(np.uint8), axis=1, bitorder="little").view(np.uint64).ravel()
 
 
 def long_sketch(own: np.ndarray) -> bytes:
