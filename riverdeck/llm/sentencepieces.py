@@ -396,13 +396,13 @@ def decode(table: Pieces, ids: list[int]) -> bytes:
     return out[1:] if table.prefix and out[:1] == b" " else out
 
 
-def encode(docs: DataFrame, table: Pieces, text: str = "text") -> DataFrame:
-    """``docs`` with n_pieces, ids, and round_trip: whether decoding the ids gives the text back."""
+def encode(docs: DataFrame, table: Pieces, text: str = "text", keep: int = 96 << 20) -> DataFrame:
+    """``docs`` with n_pieces, ids, and round_trip: whether decoding the ids gives the text back.  A task keeps encoded segments up to ``keep`` bytes."""
     shared = docs.sparkSession.sparkContext.broadcast(table)
     fields = [T.StructField("n_pieces", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("round_trip", T.BooleanType())]
 
     def make():
-        encoder = Encoder(shared.value)
+        encoder = Encoder(shared.value, keep)
 
         def work(batch):
             raw = texts(batch, text)
