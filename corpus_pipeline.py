@@ -70,7 +70,8 @@ def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     import public_tokenizers
 
     pieces = sentencepieces.load(public_tokenizers.path("piece_bpe_32k.model"))
-    return sentencepieces.encode(docs, pieces).drop("text")
+    # Workers of the stages before still hold memory, so segments are kept in less of it than by default.
+    return sentencepieces.encode(docs, pieces, keep=24 << 20).drop("text")
 
 
 STAGES = [("quality", quality), ("near_dedup", near_dedup), ("decontamination", decontamination), ("pii", pii), ("sentencepiece", sentencepiece)]
