@@ -60,28 +60,55 @@ def concise(instruction: Column, gold: Column) -> Column:
     return F.concat(F.concat_ws(" ", *parts), F.lit("\nDecision: "), F.trim(gold))
 
 
+#: What the structured text says of the action before, by the first expression that matches (fixed values).
+RANGES = (
+    (r"(?i)3[- ]?bet|reraise", "**Range vs Range**: Facing a 3-bet the pot is inflated and villain's range is tight."),
+    (r"(?i)\ball[- ]?in\b|jam|shove", "**Facing all-in**: This is a pot-odds vs equity decision — no future streets."),
+)
+STANDARD = "**Range vs Range**: Standard range asymmetry for this position and prior action."
+#: What the structured text says of the hand and of the line, by the decision's first word (fixed values).
+STRENGTH = {
+    "fold": ("Hero's holding is dominated by villain's continuing range.", "Folding is the maximum-EV line; calling burns chips."),
+    "call": ("Hero has enough equity to continue given position and stack depth.", "Call to realise equity; 3-betting over-inflates the pot with a marginal hand."),
+    "check": ("Medium — checking realises equity cheaply and keeps villain's range wide.", "Check to induce bluffs and control pot size."),
+    "raise": ("Strong equity + playability; the hand prefers a bigger pot.", "Bet / raise for value and to deny equity to villain's marginal continues."),
+    "allin": ("Enough equity to get stacks in; fold equity is a bonus.", "Jam to maximise fold equity while flipping or dominating villain's call range."),
+}
+#: What is said where a text names no number (fixed value).
+NO_NUMBERS = "* (No explicit stack / pot numbers were parsed from the prompt.)"
+
+
 def numbers(instruction: Column) -> Column:
     """The lines of pot, bet, required equity, stack-to-pot ratio and stack; one line that says so if there are none."""
     f = facts(F.coalesce(instruction, F.lit("")))
     pot, bet, stack = (f[k].cast("double") for k in ("pot", "bet", "stack"))
+    odds, ratio = F.try_divide(bet, pot + bet) * 100, F.try_divide(stack, pot)
     said = F.concat_ws(
         "\n",
         F.concat(F.lit("* Pot size: "), f["pot"], F.lit(" BB")),
         F.concat(F.lit("* Bet to call: "), f["bet"], F.lit(" BB")),
-        F.concat(F.lit("* Required equity: "), F.format_string("%.1f", F.try_divide(bet, pot + bet) * 100), F.lit("%")),
-        F.concat(F.lit("* SPR: "), F.format_string("%.2f", F.try_divide(stack, pot))),
+        F.when(odds.isNotNull(), F.concat(F.lit("* Required equity: "), F.format_string("%.1f", odds), F.lit("%"))),
+        F.when(ratio.isNotNull(), F.concat(F.lit("* SPR: "), F.format_string("%.2f", ratio))),
         F.concat(F.lit("* Effective stack: "), f["stack"], F.lit(" BB")),
     )
-    # format_string writes "null" for a null argument; those lines are left out.
-    said = F.array_join(F.filter(F.split(said, "\n"), lambda x: ~F.contains(x, F.lit("null"))), "\n")
-    return F.when(said != "", said).otherwise("* (No explicit stack / pot numbers were parsed from the prompt.)")
+    return F.when(said != "", said).otherwise(NO_NUMBERS)
 
 
 def structured(instruction: Column, gold: Column) -> Column:
-    """Three sections: analysis, numbers, action."""
-    f = facts(F.coalesce(instruction, F.lit("")))
+    """Three sections: a numbered analysis (hero, ranges, the hand's strength and the line, as far as they are known), the numbers, the action."""
+    text = F.coalesce(instruction, F.lit(""))
+    f = facts(text)
     who = F.concat_ws(", ", F.concat(F.lit("in "), f["position"]), F.concat(F.lit("holding "), f["hole"]))
-    analysis = F.concat_ws("\n", F.when(who != "", F.concat(F.lit("Hero is "), who, F.lit("."))), _by(F.coalesce(instruction, F.lit("")), SITUATIONS, UNOPENED))
+    word = F.lower(F.get(F.split(F.trim(gold), r"\s+"), F.lit(0)))
+    verb = F.when(word == "bet", "raise").when(word == "", "check").otherwise(word)
+    by_verb = lambda i: F.try_element_at(F.create_map(*[F.lit(x) for k, v in STRENGTH.items() for x in (k, v[i])]), verb)
+    said = F.array(
+        F.when(who != "", F.concat(F.lit("**Hero snapshot**: Hero is "), who, F.lit("."))),
+        _by(text, RANGES, STANDARD),
+        F.concat(F.lit("**Hand strength**: "), by_verb(0)),
+        F.concat(F.lit("**GTO strategy**: "), by_verb(1)),
+    )
+    analysis = F.array_join(F.transform(F.array_compact(said), lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), x)), "\n")
     return F.concat(F.lit("### Strategic Analysis\n"), analysis, F.lit("\n\n### Mathematical Calculations\n"), numbers(instruction), F.lit("\n\n### Action\n"), prompts.action_line(gold))
 
 

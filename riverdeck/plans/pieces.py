@@ -268,7 +268,19 @@ query("fil_loop_combo", duck.DECISION + "select decision_id from dec where rewar
 query("fil_nonempty_pair", RAW + "select source_index from raw where trim(coalesce(correct_decision, '')) <> '' and trim(instruction) <> ''")(lambda spark, sf: _raw(spark, sf).where("trim(correct_decision) <> '' and trim(instruction) <> ''").select("source_index"))
 query("sim_rewards", duck.DECISION + ", m as (select position, avg(reward_bb) as m from dec where reward_bb > 0 group by 1) select decision_id, round(reward_bb - m, 9) as advantage from dec join m using (position) where reward_bb > 0")(lambda spark, sf: rewards.advantage(rewards.winners(bridge.decisions(spark, sf))).select("decision_id", F.round("advantage", 9).alias("advantage")))
 query("sim_blinds", "select o_orderkey, least(1.0e0, (o_custkey % 3) * 0.5e0) as pay, (o_custkey % 3) * 0.5e0 - least(1.0e0, (o_custkey % 3) * 0.5e0) = 0 as all_in from orders")(lambda spark, sf: spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey", F.least(F.lit(1.0), (F.col("o_custkey") % 3) * 0.5).alias("pay"), ((F.col("o_custkey") % 3) * 0.5 - F.least(F.lit(1.0), (F.col("o_custkey") % 3) * 0.5) == 0).alias("all_in")))
-query("prj_decision_reward", duck.DECISION + "select decision_id, reward_bb > 0 as winner, action from dec")(lambda spark, sf: bridge.decisions(spark, sf).select("decision_id", (F.col("reward_bb") > 0).alias("winner"), "action"))
+_NETS = ", nets as (select hand_id, seat_id, sum(reward_bb) as net from dec where seat_id <> 4 group by 1, 2), tops as (select hand_id, arg_max(seat_id, (net, -seat_id)) as top from nets group by 1)"
+
+
+@query("prj_decision_reward", duck.DECISION + _NETS + " select decision_id, coalesce(net, 0) as reward_bb, coalesce(dec.seat_id = top, false) as winner, case when action = 'raise' then concat('raise ', rtrim(rtrim(printf('%.3f', amount_bb), '0'), '.'), 'bb') else action end as output from dec left join nets on nets.hand_id = dec.hand_id and nets.seat_id = dec.seat_id left join tops on tops.hand_id = dec.hand_id")
+def prj_decision_reward(spark, sf):
+    """Each decision with its seat's reward, whether the seat won the hand, and the decision as text; seat 4 is missing in the hands' maps and has 0."""
+    dec = bridge.decisions(spark, sf)
+    nets = dec.where("seat_id <> 4").groupBy("hand_id", "seat_id").agg(F.sum("reward_bb").alias("net"))
+    # At most six seats a hand, so the lists are bounded.
+    hands = nets.groupBy("hand_id").agg(F.map_from_entries(F.collect_list(F.struct("seat_id", "net"))).alias("net_deltas"), F.array(F.max(F.struct("net", (-F.col("seat_id")).alias("minus"), "seat_id"))["seat_id"]).alias("winners"))
+    return rewards.attach(dec, hands).select("decision_id", "reward_bb", "winner", "output")
+
+
 query("prj_label_col", duck.BASE + "select source_index, canonical_label as _label from sit")(lambda spark, sf: _raw(spark, sf).select("source_index", labels.canonical(F.col("correct_decision")).alias("_label")))
 query("prj_col_overwrite_merge", RAW + "select source_index, pot_size * 2 as pot_size, hero_pos from raw")(lambda spark, sf: features.overwrite_merge(_raw(spark, sf).select("source_index", "pot_size", "hero_pos"), {"pot_size": F.col("pot_size") * 2}))
 query("set_union_sft", RAW + ", d as (select distinct 1) select 'real' as kind, count(*) as n from raw group by 1 union all select 'synthetic', count(*) from events")(lambda spark, sf: _raw(spark, sf).select(F.lit("real").alias("kind")).unionByName(bridge.decisions(spark, sf).select(F.lit("synthetic").alias("kind"))).groupBy("kind").agg(F.count("*").alias("n")))

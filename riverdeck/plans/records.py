@@ -6,6 +6,7 @@ import functools
 
 from pyspark.sql import DataFrame, functions as F
 
+from .. import labeling
 from ..functions import labels, lines, prompts, reasoning
 from ..operators import features, promptdb, rewards
 from ..sources import bridge, readers, sinks
@@ -47,19 +48,34 @@ def fn_template_reasoning(spark, sf):
 
 
 #: What the texts say of the action before, in turns.
-_BEFORE = ("", " after a 3-bet", " after an all-in", " after a limp", " after a re-raise: 3bet")
-_SAID = ("The pot is un-opened relative to hero, so we lean on our opening range.", *[reasoning.SITUATIONS[i][1].replace("'", "''") for i in (0, 1, 2, 0)])
+_BEFORE = ("", " after a 3-bet", " after an all-in", " after a limp", " after a jam")
+_SECOND = [reasoning.STANDARD, reasoning.RANGES[0][1], reasoning.RANGES[1][1], reasoning.STANDARD, reasoning.RANGES[1][1]]
 
-_STRUCTURED = duck.RAW.join(["with ", ""]) + f"""select source_index, concat('### Strategic Analysis', chr(10), 'Hero is in BTN.', chr(10), [{', '.join(f"'{x}'" for x in _SAID)}][cast(source_index % 5 + 1 as int)], chr(10), chr(10), '### Mathematical Calculations', chr(10),
-  '* Pot size: ', cast(pot_size as varchar), ' BB', chr(10), '* Bet to call: 4 BB', chr(10), '* Required equity: ', printf('%.1f', 4 / (pot_size + 4) * 100), '%', chr(10), '* SPR: ', printf('%.2f', 100 / pot_size), chr(10), '* Effective stack: 100 BB', chr(10), chr(10), '### Action', chr(10),
-  case source_index % 13 when 0 then 'FOLD' when 1 then 'CALL' when 2 then '3.0BB' when 3 then 'RAISE 13.1 BB' when 4 then 'ALLIN' when 5 then 'CHECK' when 6 then 'BET 24 BB' when 7 then 'FOLD' when 8 then 'ALLIN' when 9 then 'WTF' when 10 then 'RAISE 7.5 BB' when 11 then 'CHECK' else 'GOING ALL-IN' end) as text from raw"""
+
+def _by_verb(i: int) -> str:
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    return "case verb " + " ".join(f"when '{k}' then {quoted(v[i])}" for k, v in {**reasoning.STRENGTH, "bet": reasoning.STRENGTH["raise"], "": reasoning.STRENGTH["check"]}.items()) + " end"
+
+
+# Rows by their number: every third names no position (but for the unit of a bet, which reads like one), every fourth no numbers.
+_STRUCTURED = duck.RAW.join(["with ", ""]) + f""", v as (
+  select *, lower(split_part(trim(coalesce(correct_decision, '')), ' ', 1)) as verb, source_index % 3 > 0 as named, source_index % 4 > 0 as numbered from raw
+), a as (
+  select *, list_filter([case when named then '**Hero snapshot**: Hero is in BTN, holding AhKd.' when numbered then '**Hero snapshot**: Hero is in BB.' end, [{', '.join("'" + x.replace("'", "''") + "'" for x in _SECOND)}][cast(source_index % 5 + 1 as int)],
+    '**Hand strength**: ' || {_by_verb(0)}, '**GTO strategy**: ' || {_by_verb(1)}], lambda x: x is not null) as said from v
+)
+select source_index, concat('### Strategic Analysis', chr(10), array_to_string(list_transform(said, lambda x, i: concat(i, '. ', x)), chr(10)), chr(10), chr(10), '### Mathematical Calculations', chr(10),
+  case when numbered then concat('* Pot size: ', cast(pot_size as varchar), ' BB', chr(10), '* Bet to call: 4 BB', chr(10), '* Required equity: ', printf('%.1f', 4 / (pot_size + 4) * 100), '%', chr(10), '* SPR: ', printf('%.2f', 100 / pot_size), chr(10), '* Effective stack: 100 BB')
+    else '{reasoning.NO_NUMBERS}' end, chr(10), chr(10), '### Action', chr(10),
+  case source_index % 13 when 0 then 'FOLD' when 1 then 'CALL' when 2 then '3.0BB' when 3 then 'RAISE 13.1 BB' when 4 then 'ALLIN' when 5 then 'CHECK' when 6 then 'BET 24 BB' when 7 then 'FOLD' when 8 then 'ALLIN' when 9 then 'WTF' when 10 then 'RAISE 7.5 BB' when 11 then 'CHECK' else 'GOING ALL-IN' end) as text from a"""
 
 
 @query("fn_template_structured", _STRUCTURED)
 def fn_template_structured(spark, sf):
     before = F.get(F.array(*[F.lit(x) for x in _BEFORE]), (F.col("source_index") % 5).cast("int"))
-    text = F.concat(F.lit("position: BTN, stack 100 bb, pot "), F.col("pot_size").cast("string"), F.lit(" bb, villain bets 4 BB"), before)
-    return bridge.scenarios(spark, sf).select("source_index", reasoning.structured(text, F.coalesce("correct_decision", F.lit(""))).alias("text"))
+    who = F.when(F.col("source_index") % 3 > 0, "position: BTN, AhKd, ").otherwise("nobody, ")
+    figures = F.when(F.col("source_index") % 4 > 0, F.concat(F.lit("stack 100 bb, pot "), F.col("pot_size").cast("string"), F.lit(" bb, he bets 4 BB"))).otherwise("no figures")
+    return bridge.scenarios(spark, sf).select("source_index", reasoning.structured(F.concat(who, figures, before), F.coalesce("correct_decision", F.lit(""))).alias("text"))
 
 
 @query("fn_row_id", "select doc_id, substr(sha1(text), 1, 16) as row_id from documents where text is not null")
@@ -192,11 +208,55 @@ def join_self_roster(spark, sf):
     return spark.range(9).select(F.col("id").cast("int").alias("seat_id"), F.get(roster, (F.col("id") % 4).cast("int")).alias("player"))
 
 
-@query("agg_augment_result", "select count(*) as n_input, count(*) filter (where event_id % 3 = 0) as skipped, count(*) filter (where event_id % 3 <> 0 and event_type <> 'error') as written, count(*) filter (where event_id % 3 <> 0 and event_type = 'error') as failed from events")
+class _Flaky:
+    """A client that fails as many times for a row as its id says."""
+
+    def __init__(self):
+        self.tried = {}
+
+    def __call__(self, row: dict) -> str:
+        self.tried[row["row_id"]] = n = self.tried.get(row["row_id"], 0) + 1
+        if n <= int(row["row_id"]) % 5:
+            raise ConnectionError("try again")
+        return f"Because {row['prompt'].strip()[:9]}"
+
+
+def _no_sleep(seconds: float) -> None:
+    pass
+
+
+def _flaky_rows(spark, sf):
+    rows = spark.read.parquet(f"{sf}/documents.parquet").select(F.col("doc_id").cast("string").alias("row_id"), F.coalesce("text", F.lit("")).alias("instruction"), F.lit("call").alias("output"), "doc_id")
+    return labeling.asked(rows)
+
+
+def _flaky(df):
+    return labeling.labelled(df, labeling.Labeler(_Flaky, "flaky"), retries=3, sleep=_no_sleep)
+
+
+@query("agg_augment_result", "select name, n from (select count(*) as n_input, count(*) filter (where doc_id < 50 and doc_id % 5 < 3) as n_skipped, count(*) filter (where doc_id >= 50 and doc_id % 5 < 3) as n_written, count(*) filter (where doc_id % 5 >= 3) as n_failed, count(*) filter (where doc_id % 5 >= 3) as failed_rows from documents) unpivot (n for name in (n_input, n_skipped, n_written, n_failed, failed_rows))")
 def agg_augment_result(spark, sf):
-    e = spark.read.parquet(f"{sf}/events.parquet").withColumn("done", F.col("event_id") % 3 == 0)
-    bad = F.col("event_type") == "error"
-    return e.agg(F.count("*").alias("n_input"), F.count_if("done").alias("skipped"), F.count_if(~F.col("done") & ~bad).alias("written"), F.count_if(~F.col("done") & bad).alias("failed"))
+    """What a resumed run says of itself, after one over the first fifty ids; failed rows stay in a table of their own."""
+    rows, out = _flaky_rows(spark, sf), _place(spark, "label-run")
+    labeling.run(rows.where("doc_id < 50"), _flaky, out)
+    result = labeling.run(rows, _flaky, out)
+    figures = spark.createDataFrame([(k, int(getattr(result, k))) for k in ("n_input", "n_skipped", "n_written", "n_failed")], "name string, n long")
+    return figures.union(labeling.failures(spark, out).agg(F.lit("failed_rows"), F.count_distinct("row_id")))
+
+
+@query("stm_retry_backoff", "select cast(doc_id as varchar) as row_id, cast(least(doc_id % 5 + 1, 3) as integer) as attempts, doc_id % 5 >= 3 as failed, case when doc_id % 5 < 3 then 'Because Situation' end as reasoning from documents")
+def stm_retry_backoff(spark, sf):
+    """Rows labelled by a client that fails: two retries, then the row is a failure."""
+    return _flaky(_flaky_rows(spark, sf)).select("row_id", "attempts", F.col("error").isNotNull().alias("failed"), "reasoning")
+
+
+@query("fn_system_prompt", "select conv_id, turn, turn % 2 = 0 as structured, true as asked from conversations where role = 'user'")
+def fn_system_prompt(spark, sf):
+    """The request for each user turn, by turns in either style."""
+    rows = spark.read.parquet(f"{sf}/conversations.parquet").where("role = 'user'").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("instruction"), F.lit("fold").alias("output"))
+    parts = [labeling.asked(rows.where(F.col("turn") % 2 == i), style) for i, style in enumerate(("structured", "concise"))]
+    both = parts[0].unionByName(parts[1])
+    return both.select("conv_id", "turn", F.contains("system", F.lit("### Action")).alias("structured"), (F.contains("prompt", F.trim("instruction")) & F.contains("prompt", F.lit("fold"))).alias("asked"))
 
 
 @query("agg_latency", "select event_type, count(*) as n, round(avg(value), 6) as mean_latency from events group by 1")

@@ -9,6 +9,7 @@ from ..functions import prompts
 from ..operators import features
 from ..sources import bridge
 from ..sources.shared import place as _place
+from ..streaming import hands
 from . import duck
 from .registry import query
 from .scenario import _POP
@@ -38,3 +39,15 @@ def stm_population_observe(spark, sf):
 
     counts.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{place}/out").select("position", "hands", "vpip_n", "pfr_n")
+
+
+@query("stm_population_events", duck.with_(duck.RAW, duck.EVENTS).rstrip() + _POP + "select position, hands, cast(round(vpip * hands) as bigint) as vpip_n, cast(round(pfr * hands) as bigint) as pfr_n from pop")
+def stm_population_events(spark, sf):
+    """The same counters from single actions that arrive out of order, in several batches, by state kept for each hand."""
+    place = _place(spark, "actions")
+    events = features.samples(bridge.scenarios(spark, sf)).select(F.col("source_index").alias("hand_id"), F.posexplode("events").alias("seq", "e")).select("hand_id", "seq", "e.position", "e.action", F.timestamp_seconds(F.col("seq") + 1_700_000_000).alias("at"))
+    for i in range(2):
+        events.where(F.pmod(F.xxhash64("hand_id", "seq"), F.lit(2)) == i).coalesce(8).write.mode("append").json(f"{place}/in")
+    stream = streaming.read_json(spark, f"{place}/in", "hand_id long, seq int, position string, action string, at timestamp", files=8)
+    hands.observe(stream, f"{place}/out", f"{place}/state").awaitTermination()
+    return hands.counters(spark.read.parquet(f"{place}/out")).select("position", "hands", "vpip_n", "pfr_n")

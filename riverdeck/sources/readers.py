@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import os
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
+from .shared import exists
 
 _KINDS = {"string": T.StringType(), "int": T.IntegerType(), "double": T.DoubleType()}
 
@@ -62,6 +62,48 @@ def coerce_rows(raw: DataFrame) -> DataFrame:
     return raw.where("instruction is not null and output is not null").select(F.coalesce(F.nullif(given, F.lit("")), prompts.row_id(F.col("instruction"))).alias("row_id"), "instruction", "output", meta.alias("meta"))
 
 
+def running(df: DataFrame, amount: Column, column: str, within: str = "_id") -> DataFrame:
+    """``column``: the sum of ``amount`` over all rows before, in the order of the rows in the files (``within``, a monotonically increasing id, which is added if it lacks).
+
+    Rows are added up within partitions; the partitions' sums, one row each, are added up before they are joined.
+    """
+    part = df if within in df.columns else df.withColumn(within, F.monotonically_increasing_id())
+    part = part.withColumns({"_part": F.shiftright(within, 33), "_amount": amount})
+    sums = part.groupBy("_part").agg(F.sum("_amount").alias("_sum"))
+    before = F.coalesce(F.sum("_sum").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    own = F.coalesce(F.sum("_amount").over(Window.partitionBy("_part").orderBy(within).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return part.join(F.broadcast(sums.select("_part", before.alias("_before"))), "_part").withColumn(column, F.col("_before") + own).drop("_part", "_amount", "_before")
+
+
+def read_array(spark: SparkSession, path: str, schema: T.StructType = PAIRS, column: str = "source_index") -> DataFrame:
+    """The objects of a JSON array, with their numbers from 0, read by as many tasks as the file has splits; anything but an array is an error.
+
+    The file is read as pieces that end in a closing brace, which splits anywhere.  Running sums of quotes tell which pieces start inside a string, those of braces
+    outside of strings which piece ends an object.
+    """
+    pieces = spark.read.option("lineSep", "}").text(path).withColumn("_id", F.monotonically_increasing_id())
+    start = pieces.first()
+    if start is None or not start["value"].lstrip("\ufeff \t\r\n").startswith("["):
+        raise ValueError(f"{path} does not hold a JSON array")
+    plain = F.regexp_replace("value", r"(?s)\\.", "")  # without escapes
+    pieces = running(pieces.withColumn("_plain", plain), F.length("_plain") - F.length(F.replace("_plain", F.lit('"'), F.lit(""))), "_quotes")
+    # What stands outside of strings, also if the piece starts or ends inside of one.
+    inside = F.col("_quotes") % 2 == 1
+    outside = F.regexp_replace(F.concat(F.when(inside, '"').otherwise(""), F.col("_plain")), '(?s)"[^"]*("|$)', "")
+    ends_inside = (F.col("_quotes") + F.length("_plain") - F.length(F.replace("_plain", F.lit('"'), F.lit("")))) % 2 == 1
+    opened = F.length(outside) - F.length(F.replace(outside, F.lit("{"), F.lit("")))
+    pieces = pieces.select("_id", "value", opened.alias("_open"), (~ends_inside).cast("int").alias("_close"))
+    pieces = running(pieces, F.col("_open") - F.col("_close"), "_depth")
+    # The first piece of an object is at depth 0 and opens one; the rest of the file after the last object opens none.
+    starts = ((F.col("_depth") == 0) & (F.col("_open") > 0)).cast("int")
+    pieces = running(pieces.withColumn("_starts", starts), F.col("_starts"), "_before_")
+    element = (F.col("_before_") + F.col("_starts") - 1).alias("element")
+    rows = pieces.where((F.col("_depth") > 0) | (F.col("_starts") == 1)).select(element, "_id", "value").groupBy("element").agg(F.array_sort(F.collect_list(F.struct("_id", "value"))).alias("p"))
+    text = F.concat(F.array_join(F.transform("p", lambda x: x["value"]), "}"), F.lit("}"))
+    parsed = F.from_json(F.regexp_replace(text, r"^[^{]*", ""), schema)
+    return rows.select(F.col("element").alias(column), parsed.alias("r")).select(column, "r.*")
+
+
 def with_index(df: DataFrame, column: str = "source_index") -> DataFrame:
     """Numbers from 0 in the order of the rows in the files, without one task for all: offsets of partitions are added up first."""
     part = df.withColumn("_id", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_id", 33))
@@ -76,23 +118,40 @@ def zip_rows(left: DataFrame, right: DataFrame) -> DataFrame:
     return with_index(left).join(with_index(right), "source_index")
 
 
-def split_files(folder: str) -> dict[str, tuple[str, str]]:
-    """Splits of which both the CSV and the JSON file are there."""
+SPLITS = ("train", "test")
+#: Folders that are tried one after the other where none is named.
+FOLDERS = ("data/raw/pokerbench", "data/raw")
+
+
+def resolve(spark: SparkSession, split: str, folders: tuple[str, ...] = FOLDERS) -> tuple[str, str]:
+    """The CSV and the JSON file of a split, from the first folder that has both, on any file system that Spark reads."""
+    if split not in SPLITS:
+        raise ValueError(f"unknown split {split!r}; one of {list(SPLITS)}")
+    for folder in folders:
+        names = tuple(f"{folder}/{split}.{kind}" for kind in ("csv", "json"))
+        if all(exists(spark, n) for n in names):
+            return names
+    raise FileNotFoundError(f"no {split}.csv with {split}.json in any of {list(folders)}")
+
+
+def split_files(spark: SparkSession, *folders: str) -> dict[str, tuple[str, str]]:
+    """Splits of which both the CSV and the JSON file are in one of the folders."""
     found = {}
-    for split in ("train", "test"):
-        names = [os.path.join(folder, f"{split}.{kind}") for kind in ("csv", "json")]
-        if all(map(os.path.exists, names)):
-            found[split] = tuple(names)
+    for split in SPLITS:
+        try:
+            found[split] = resolve(spark, split, folders or FOLDERS)
+        except FileNotFoundError:
+            continue
     if not found:
-        raise FileNotFoundError(f"no split with both files in {folder}")
+        raise FileNotFoundError(f"no split with both files in {list(folders or FOLDERS)}")
     return found
 
 
-def read_splits(spark: SparkSession, folder: str, limit: int | None = None) -> DataFrame:
+def read_splits(spark: SparkSession, *folders: str, limit: int | None = None) -> DataFrame:
     """Scenarios of all splits with their prompts; ``limit``: only the first so many of each."""
     parts = []
-    for split, (table, texts) in split_files(folder).items():
-        rows = zip_rows(read_preflop(spark, table), spark.read.schema(PAIRS).option("multiLine", True).json(texts))
+    for split, (table, texts) in split_files(spark, *folders).items():
+        rows = with_index(read_preflop(spark, table)).join(read_array(spark, texts), "source_index")
         parts.append((rows if limit is None else rows.where(F.col("source_index") < limit)).withColumn("split", F.lit(split)))
     out = parts[0]
     for p in parts[1:]:

@@ -21,3 +21,21 @@ def place(spark: SparkSession, name: str) -> str:
         folder = tempfile.mkdtemp(prefix="riverdeck-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return f"{folder}/{name}-{uuid.uuid4().hex}"
+
+
+def _file_system(spark: SparkSession, path: str):
+    """Hadoop's file system of a path, and the path."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder at a path of any file system that Spark reads."""
+    fs, at = _file_system(spark, path)
+    return fs.exists(at)
+
+
+def size_of(spark: SparkSession, path: str) -> int:
+    """Bytes of a file."""
+    fs, at = _file_system(spark, path)
+    return fs.getFileStatus(at).getLen()

@@ -49,13 +49,43 @@ def test_featurize_and_reason(spark, folder, monkeypatch):
     assert spark.read.parquet(str(folder / "more")).count() == 0
 
 
-def test_unknown_split_raises(tmp_path):
+def test_splits_are_looked_for_in_several_folders(spark, folder, tmp_path):
     with pytest.raises(FileNotFoundError):
-        readers.split_files(str(tmp_path))
+        readers.split_files(spark, str(tmp_path / "none"))
+    with pytest.raises(ValueError, match="unknown split 'dev'"):
+        readers.resolve(spark, "dev", (str(folder),))
+    assert readers.resolve(spark, "test", (str(tmp_path / "none"), f"file://{folder}"))[0] == f"file://{folder}/test.csv"
+    (folder / "test.json").rename(folder / "other.json")
+    assert set(readers.split_files(spark, str(folder))) == {"train"}
+
+
+@pytest.mark.parametrize("split_bytes", [64, 1000, 1 << 27])
+def test_arrays_are_read_by_several_tasks(spark, tmp_path, split_bytes):
+    said = ["plain", "a } brace", 'a \\" quote', "both \\\\", '} "{', "", "é\n€", "[{", '\\\\"}', "x" * 300]
+    rows = [{"instruction": f"{i} {said[i % len(said)]}", "output": said[(i * 3) % len(said)], "nested": {"a": [{"b": "}"}], "c": "{"}} for i in range(120)]
+    (tmp_path / "rows.json").write_text(json.dumps(rows, indent=3 if split_bytes > 100 else None, ensure_ascii=False), encoding="utf-8")
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", split_bytes)
+        spark.conf.set("spark.sql.files.openCostInBytes", 0)
+        got = readers.read_array(spark, str(tmp_path / "rows.json")).orderBy("source_index").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", was[1])
+    assert [tuple(r) for r in got] == [(i, r["instruction"], r["output"]) for i, r in enumerate(rows)]
+
+
+def test_only_arrays_are_taken(spark, tmp_path):
+    for i, text in enumerate(['{"instruction": "a", "output": "b"}', ""]):
+        (tmp_path / f"{i}.json").write_text(text)
+        with pytest.raises(ValueError, match="JSON array"):
+            readers.read_array(spark, str(tmp_path / f"{i}.json"))
+    (tmp_path / "none.json").write_text(" [ ]\n")
+    assert readers.read_array(spark, str(tmp_path / "none.json")).count() == 0
 
 
 def test_limit_counts_from_the_first_row(spark, folder):
-    got = readers.read_splits(spark, str(folder), 1)
+    got = readers.read_splits(spark, str(folder), limit=1)
     assert got.count() == 2 and got.select("source_index").distinct().count() == 1
 
 
