@@ -15,6 +15,12 @@ def remainder(n: int) -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % n, F.lit(0))
 
 
+def _first(df: DataFrame, names: str) -> DataFrame:
+    """These columns in their order, then all others."""
+    names = names.split()
+    return df.select(*names, *[c for c in df.columns if c not in names])
+
+
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.fit(spark, docs, table(spark, sf_dir, "labels"), remainder(4) != 2)
@@ -36,7 +42,7 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.report(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return _first(pii.report(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id n_email n_ip n_card n_phone base_sha256 spans")
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,7 +63,7 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.fit(spark, docs, table(spark, sf_dir, "labels"))
-    return quality.score(docs, model).drop("text")
+    return _first(quality.score(docs, model).drop("text"), "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept")
 
 
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
