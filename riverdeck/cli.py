@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import os
 
 from pyspark.sql import functions as F
 
@@ -10,7 +11,7 @@ from . import labeling
 from .functions import reasoning
 from .operators import features, metrics, promptdb, rewards
 from .session import session
-from .sources import readers, sinks
+from .sources import database, readers, sinks
 
 
 def _build(spark, args):
@@ -91,6 +92,12 @@ def _ensemble(spark, args):
     print(sinks.render(metrics.summary(ml.apply_stack(final, model, parts.where("part = 'holdout'"))), args.format))
 
 
+def _load(spark, args):
+    names = promptdb.LOAD_ORDER
+    counts = database.load({n: spark.read.parquet(f"{args.db}/{n}") for n in names}, args.url, {k: v for k, v in (("user", args.user), ("password", os.environ.get("PGPASSWORD"))) if v})
+    print("\n".join(f"{n}: {counts[n]} rows" for n in names))
+
+
 def _ingest(spark, args):
     sinks.samples_jsonl(features.samples(readers.read_splits(spark, args.raw, limit=args.limit)), args.out)
 
@@ -146,6 +153,7 @@ def parser() -> argparse.ArgumentParser:
     command("featurize", _featurize, "raw", "out", "limit")
     command("train", _train, "features", "out", "algo=random_forest")
     command("reason", _reason, "rows", "out", "style=concise", "done=-")
+    command("load", _load, "db", "url", "user=-")
     command("ingest", _ingest, "raw", "out", "limit")
     command("bundle", _bundle, "features", "out", "algo=random_forest", "trust=0.0")
     command("predict", _predict, "bundle", "features", "out")
