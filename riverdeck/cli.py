@@ -93,9 +93,8 @@ def _ensemble(spark, args):
 
 
 def _load(spark, args):
-    names = promptdb.LOAD_ORDER
-    counts = database.load({n: spark.read.parquet(f"{args.db}/{n}") for n in names}, args.url, {k: v for k, v in (("user", args.user), ("password", os.environ.get("PGPASSWORD"))) if v})
-    print("\n".join(f"{n}: {counts[n]} rows" for n in names))
+    counts = database.load(promptdb.load(spark, args.db), args.url, {k: v for k, v in (("user", args.user), ("password", os.environ.get("PGPASSWORD"))) if v})
+    print("\n".join(f"{n}: {counts[n]} rows" for n in promptdb.LOAD_ORDER))
 
 
 def _ingest(spark, args):

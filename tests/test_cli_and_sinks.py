@@ -32,6 +32,10 @@ def test_build_query_and_export(spark, folder, capsys, monkeypatch):
     assert "CREATE TABLE situations" in capsys.readouterr().out
     cli.main(["stats", "--db", db, "--format", "json"])
     assert {"kind": "table", "name": "situations", "n": 4} in json.loads(capsys.readouterr().out)
+    cli.main(["load", "--db", db, "--url", f"jdbc:derby:memory:{folder.name};create=true"])
+    assert "situations: 4 rows" in capsys.readouterr().out
+    cli.main(["ingest", "--raw", str(folder), "--out", str(folder / "samples")])
+    assert spark.read.json(str(folder / "samples")).count() == 4
     cli.main(["export-parquet", "--db", db, "--out", str(folder / "out")])
     assert spark.read.parquet(str(folder / "out" / "v_situation_summary")).count() == 4
 
