@@ -120,7 +120,7 @@ def zip_rows(left: DataFrame, right: DataFrame) -> DataFrame:
 
 SPLITS = ("train", "test")
 #: Folders that are tried one after the other where none is named.
-FOLDERS = ("data/raw/pokerbench", "data/raw")
+FOLDERS = ("data/raw/scenarios", "data/raw")
 
 
 def resolve(spark: SparkSession, split: str, folders: tuple[str, ...] = FOLDERS) -> tuple[str, str]:
