@@ -91,16 +91,29 @@ def _by_score(df: DataFrame, score: str, y: str) -> DataFrame:
 
 #: Into how many ranges rows are cut by value before they are ranked.
 RANGES = 256
+BLOCKS = 16
 
 
 def _bounds(value: str) -> Column:
-    """Approximate quantiles of a column: an aggregate."""
-    return F.percentile_approx(value, [i / RANGES for i in range(1, RANGES)], 10_000)
+    """Approximate quantiles of a column, in ``BLOCKS`` blocks, and the last one of each block but the last: an aggregate."""
+    bounds, size = F.percentile_approx(value, [i / RANGES for i in range(1, RANGES)], 10_000), RANGES // BLOCKS
+    blocks = F.array(*[F.slice(bounds, 1 + i * size, size) for i in range(BLOCKS)])
+    return F.struct(blocks.alias("blocks"), F.array(*[F.get(bounds, F.lit(i * size - 1)) for i in range(1, BLOCKS)]).alias("lasts"))
 
 
 def _range(value: Column, bounds: Column) -> Column:
-    """The number of the range that a value lies in, ascending: even between bounds, odd for a bound itself, so that a value that many rows share is a range alone."""
-    return F.size(F.filter(bounds, lambda e: e < value)) * 2 + F.array_contains(bounds, value).cast("int")
+    """The number of the range that a value lies in, ascending: even between bounds, odd for a bound itself, so that a value that many rows share is a range alone.
+
+    The value is compared with the blocks' last bounds first, then with those of one block.
+    """
+    smaller = lambda of: F.size(F.filter(of, lambda e: e < value))
+
+    def place(k: Column) -> Column:
+        block = F.get(bounds["blocks"], k)
+        at = smaller(block)
+        return (k * (RANGES // BLOCKS) + at) * 2 + F.coalesce(F.get(block, at) == value, F.lit(False)).cast("int")
+
+    return F.get(F.transform(F.array(smaller(bounds["lasts"])), place), F.lit(0))
 
 
 def _below(df: DataFrame, value: str, amounts: list[str]) -> DataFrame:
