@@ -49,6 +49,11 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def id_kind(df: DataFrame, column: str = "doc_id") -> T.DataType:
+    """How an operator carries ids inside its tasks: whole numbers as long, ids of any other type as text; results have the column's own type again."""
+    return T.LongType() if isinstance(df.schema[column].dataType, T.IntegralType) else T.StringType()
+
+
 def cut(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: its lineage ends there and survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"

@@ -10,7 +10,7 @@ each shard's automaton, and it is written to the shared folder as plain arrays.
 least; each pass adds to the findings of the last.
 
 Defined cases: a null text has no words, and no item is found in it; items that are null, empty or without id have no windows;
-repeated items and documents are each answered; an empty benchmark finds nothing; an empty table gives an empty result;
+item ids that are whole numbers come back as long, those of any other type as text; repeated items and documents are each answered; an empty benchmark finds nothing; an empty table gives an empty result;
 extra columns are carried and never read, but for those named like a result, which are replaced.
 """
 
@@ -28,7 +28,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import add_columns, alnum_words, cut, fresh, texts
+from .common import add_columns, alnum_words, cut, fresh, id_kind, texts
 
 WINDOW = 13
 #: A document is contaminated if hit words are at least this share of its words: 1 in 20.
@@ -36,6 +36,7 @@ COVERAGE = 20
 
 _WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 _LONGS = T.ArrayType(T.LongType())
+_KINDS = {"bigint": pa.int64(), "string": pa.string()}
 
 
 class SuffixAutomaton:
@@ -84,7 +85,8 @@ class SuffixAutomaton:
         flat = [np.array(sorted(here[s]), np.int32) for s in states]
         self.here = (np.array(states, np.int64), np.cumsum([0, *map(len, flat)]), np.concatenate(flat) if flat else np.zeros(0, np.int32))
         self.whole = np.array(sorted(whole), np.int64).reshape(-1, 3)
-        self.ids = (np.cumsum([0, *(len(i) for i, _ in items)]), np.array([x for i, _ in items for x in i], np.int64))
+        ids = [x for i, _ in items for x in i]
+        self.ids = (np.cumsum([0, *(len(i) for i, _ in items)]), np.array(ids, object if any(isinstance(x, str) for x in ids) else np.int64))
 
     def _set(self, window, shortest, words, keys, to, link, length, pairs):
         self.window, self.shortest, self.words, self.keys, self.to, self.link, self.length, self.pair_list = window, shortest, words, keys, to, link, length, pairs
@@ -110,7 +112,8 @@ class SuffixAutomaton:
     def nbytes(self) -> int:
         """About what it takes in a worker."""
         arrays = (self.keys, self.to, self.link, self.length, self.pair_list, *self.here, self.whole, *self.ids, self.pairs)
-        return sum(x.nbytes for x in arrays) + sum(map(len, self.words)) + 150 * len(self.words)
+        names = sum(60 + len(x) for x in self.ids[1]) if self.ids[1].dtype == object else 0
+        return names + sum(x.nbytes for x in arrays) + sum(map(len, self.words)) + 150 * len(self.words)
 
     @staticmethod
     def _extend(nxt: list[dict], link: list[int], length: list[int], last: int, w: int) -> int:
@@ -171,12 +174,12 @@ class SuffixAutomaton:
             state = up
         return found
 
-    def owners(self, texts_) -> list[int]:
+    def owners(self, texts_) -> list:
         """The ids of texts."""
         cuts, ids = self.ids
         return [x for t in texts_ for x in ids[cuts[t] : cuts[t + 1]].tolist()]
 
-    def scan(self, docs: list[list[bytes]]) -> tuple[list[list[tuple[int, int]]], list[set[int]]]:
+    def scan(self, docs: list[list[bytes]]) -> tuple[list[list[tuple[int, int]]], list[set]]:
         """For each document: the spans of hit words (merged, end exclusive), and the ids of the items found."""
         counts = np.fromiter(map(len, docs), np.int64, len(docs))
         get = self.vocabulary.get
@@ -220,7 +223,8 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def automata(benchmark: DataFrame, window: int, shard_bytes: int) -> DataFrame:
     """(shard, size, automaton): one row for each shard, built in the task that holds it and written to the shared folder."""
-    items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
+    kind = id_kind(benchmark, "item_id").simpleString()
+    items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast(kind).alias("item_id"), "text")
     different = items.groupBy("text").agg(F.sort_array(F.collect_set("item_id")).alias("ids"))
     most = max(4 * window, shard_bytes // 32)  # words of a piece; a word has eight bytes or so
 
@@ -231,9 +235,9 @@ def automata(benchmark: DataFrame, window: int, shard_bytes: int) -> DataFrame:
                 for a in range(0, max(1, len(words) - window + 1), most):
                     out[0].append(ids)
                     out[1].append(b" ".join(words[a : a + most + window - 1]))
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.list_(pa.int64())), pa.array(out[1], pa.binary())], names=["ids", "words"])
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.list_(_KINDS[kind])), pa.array(out[1], pa.binary())], names=["ids", "words"])
 
-    cut_up = cut(different.select("text", "ids").mapInArrow(pieces, "ids array<long>, words binary"), "items")
+    cut_up = cut(different.select("text", "ids").mapInArrow(pieces, f"ids array<{kind}>, words binary"), "items")
     total = cut_up.agg(F.sum(F.octet_length("words"))).first()[0] or 0
     many = max(1, math.ceil(total / shard_bytes))
 
@@ -264,7 +268,7 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_byte
     results = {"n_words", "n_hit", "n_items", "items", "spans", "contaminated"}
     docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in results])
     found = fresh(docs, "_found")
-    kind = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("spans", _LONGS), T.StructField("items", _LONGS)])
+    kind = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("spans", _LONGS), T.StructField("items", T.ArrayType(id_kind(benchmark, "item_id")))])
     for k, chosen in enumerate(_passes(built, pass_bytes)):
         # At most pass_bytes, or one automaton.
         machines = [pickle.loads(bytes(r[0])) for r in built.where(F.col("shard").isin(chosen)).sort("shard").select("automaton").toLocalIterator()] if chosen else []
@@ -298,7 +302,7 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_byte
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (COVERAGE * F.col("n_hit") >= F.col("n_words")))
 
 
-def digest(items: list[int]) -> str:
+def digest(items: list) -> str:
     return hashlib.sha256(",".join(sorted(map(str, items))).encode()).hexdigest()
 
 

@@ -35,10 +35,12 @@ PATTERNS = {
     "card": r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){11,18}+(?![ -]?[0-9])",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
     # A country's letters, and as many characters as its account numbers have, with single blanks between.
-    "iban": r"(?<![A-Za-z0-9])(?:" + "|".join(rf"(?:{c.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]){{{n - 4}}}" for n, c in IBAN_LENGTHS.items()) + r")(?![A-Za-z0-9])",
+    "iban": r"(?<![A-Za-z0-9])(?=[A-Z]{2}[0-9]{2})(?:" + "|".join(rf"(?:{c.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]){{{n - 4}}}" for n, c in IBAN_LENGTHS.items()) + r")(?![A-Za-z0-9])",
 }
 #: A text without this can hold no match.
 HINTS = {"email": "@", "phone": "+"}
+#: Nor can one in which this finds nothing; cheaper than the whole expression where that starts with many choices.
+FIRST = {"iban": "[A-Z]{2}[0-9]{2}"}
 CONTEXT = {
     "email": "mail|contact|write|address",
     "ip": "ip|host|server|address|login",
@@ -48,6 +50,13 @@ CONTEXT = {
 }
 #: Score of a confirmed span without and with a context word within ``NEAR`` code points on either side.
 PLAIN, WITH_CONTEXT, NEAR = 0.6, 0.9, 40
+#: Spans are added up in runs of ``RUN``, and a long text is read in pieces of ``PIECE`` code points, so that many spans in one text don't cost their square.
+RUN, PIECE = 256, 4096
+
+
+def _let(value: Column, use) -> Column:
+    """``use(value)``, with the value worked out once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def _digits(span: Column) -> Column:
@@ -80,7 +89,7 @@ def valid(kind: str, span: Column) -> Column:
 
 def _hinted(kind: str, text: Column) -> Column:
     """Whether the expression is worth applying; cheap where no match is possible."""
-    return F.contains(text, F.lit(HINTS[kind])) if kind in HINTS else F.rlike(text, F.lit(PATTERNS[kind]))
+    return F.contains(text, F.lit(HINTS[kind])) if kind in HINTS else F.rlike(text, F.lit(FIRST.get(kind, PATTERNS[kind])))
 
 
 def spans_of(kind: str, text: Column) -> Column:
@@ -88,6 +97,7 @@ def spans_of(kind: str, text: Column) -> Column:
     pattern = F.lit(PATTERNS[kind])
     gaps, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, pattern, F.lit(0))
     pairs = F.zip_with(gaps, hits, lambda g, h: F.struct(g.alias("gap"), h.alias("hit")))
+    runs = lambda p: F.transform(F.sequence(F.lit(1), F.size(p), F.lit(RUN)), lambda i: F.slice(p, i, RUN))
     none = F.from_json(F.lit("[]"), "array<struct<start:int,end:int,ok:boolean>>")
     start = F.struct(F.lit(0).alias("at"), none.alias("out"))
 
@@ -97,7 +107,13 @@ def spans_of(kind: str, text: Column) -> Column:
         one = F.struct(a.alias("start"), b.alias("end"), F.coalesce(valid(kind, p["hit"]), F.lit(False)).alias("ok"))
         return F.struct(F.coalesce(b, a).alias("at"), F.when(p["hit"].isNull(), s["out"]).otherwise(F.concat(s["out"], F.array(one))).alias("out"))
 
-    found = F.aggregate(pairs, start, step, lambda s: s["out"])
+    # Places within each run, then where each run begins.
+    parts = _let(pairs, lambda p: F.transform(runs(p), lambda r: F.aggregate(r, start, step)))
+    zero = F.struct(F.lit(0).alias("at"), F.from_json(F.lit("[]"), "array<int>").alias("out"))
+    begins = lambda ps: F.aggregate(ps, zero, lambda s, p: F.struct((s["at"] + p["at"]).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out")), lambda s: s["out"])
+    moved = lambda p, by: F.transform(p["out"], lambda x: F.struct((x["start"] + by).alias("start"), (x["end"] + by).alias("end"), x["ok"].alias("ok")))
+    whole = lambda ps: F.when(F.size(ps) == 1, F.get(ps, F.lit(0))["out"]).otherwise(F.flatten(F.zip_with(ps, begins(ps), moved)))
+    found = _let(parts, whole)
     return F.when(_hinted(kind, text), found).otherwise(none)
 
 
@@ -106,22 +122,30 @@ def find(docs: DataFrame, text: str = "text", to: str = "pii") -> DataFrame:
     t = F.coalesce(F.col(text), F.lit(""))
     held = {k: fresh(docs, f"_{k}") for k in KINDS}
     df = docs.withColumns({held[k]: spans_of(k, t) for k in KINDS})
+    any_found = sum((F.size(held[k]) for k in KINDS), F.lit(0)) > 0
+    pieces = fresh(docs, "_pieces")
+    df = df.withColumn(pieces, F.when(any_found & (F.length(t) > PIECE), F.regexp_extract_all(t, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))).otherwise(F.array(t)))
+
+    def between(a: Column, b: Column) -> Column:
+        """The text from a to b, at most ``NEAR`` code points, taken from the one or two pieces that hold it."""
+        k = F.floor(a / PIECE).cast("int")
+        two = F.concat(F.coalesce(F.get(pieces, k), F.lit("")), F.coalesce(F.get(pieces, k + 1), F.lit("")))
+        return F.substring(two, a - k * PIECE + 1, b - a)
 
     def confirmed(i: int, kind: str) -> Column:
         ok = F.filter(F.col(held[kind]), lambda x: x["ok"])
 
         def shaped(x: Column) -> Column:
             a = F.greatest(x["start"] - NEAR, F.lit(0))
-            around = F.lower(F.concat(F.substring(t, a + 1, x["start"] - a), F.lit(" "), F.substring(t, x["end"] + 1, F.lit(NEAR))))
+            around = F.lower(F.concat(between(a, x["start"]), F.lit(" "), between(x["end"], x["end"] + NEAR)))
             score = F.when(F.rlike(around, F.lit(rf"\b(?:{CONTEXT[kind]})")), WITH_CONTEXT).otherwise(PLAIN)
             return F.struct(x["start"].alias("start"), F.lit(i).alias("order"), F.lit(kind).alias("kind"), x["end"].alias("end"), score.alias("score"))
 
         return F.transform(ok, shaped)
 
     every = F.array_sort(F.concat(*[confirmed(i, k) for i, k in enumerate(KINDS)]))
-    any_found = sum((F.size(held[k]) for k in KINDS), F.lit(0)) > 0
     none = F.from_json(F.lit("[]"), "array<struct<start:int,order:int,kind:string,end:int,score:double>>")
-    return df.withColumn(to, F.when(any_found, every).otherwise(none)).drop(*held.values())
+    return df.withColumn(to, F.when(any_found, every).otherwise(none)).drop(pieces, *held.values())
 
 
 def listed(spans: Column) -> Column:

@@ -362,6 +362,15 @@ def test_decontamination_takes_anything(spark):
     assert out.select("text", "_found", "_stripped", "items").first() == ("", "b", "c", [1])
 
 
+def test_item_ids_of_any_type(spark):
+    bench = spark.createDataFrame([("q-1", "lorem ipsum"), ("q-2", "lorem ipsum"), ("q-3", "nothing of it"), (None, "dolor")], "item_id string, text string")
+    for pass_bytes in (1, 64 << 20):
+        out = decontaminate.find(awkward(spark), bench, shard_bytes=8, pass_bytes=pass_bytes)
+        assert {r["doc_id"]: r["items"] for r in out.collect() if r["n_items"]} == {5: ["q-1", "q-2"]}
+    numbers = bench.withColumn("item_id", F.substring("item_id", 3, 9).cast("int"))
+    assert decontaminate.find(awkward(spark), numbers).where("n_items > 0").first()["items"] == [1, 2]
+
+
 # Personal data
 
 
@@ -406,6 +415,17 @@ def test_pii_on_random_texts(spark, rows):
         assert r["base_sha256"] == hashlib.sha256(slow_pii(rows[r["doc_id"]]).encode()).hexdigest()
 
 
+def test_many_spans_in_a_long_text(spark):
+    """Over several runs of spans and pieces of text, with a context word at every third span."""
+    parts = [f"é{'mail ' if i % 3 == 0 else 'zzzz '}x{i}@b.co 1.2.3.{i % 300} {'y' * (60 + i % 50)}" for i in range(1500)]
+    long = " ".join(parts)
+    r = pii.report(spark.createDataFrame([(1, long)], "doc_id long, text string")).first()
+    assert r["spans"] == slow_pii(long) and r["n_email"] == 1500
+    spans = pii.find(spark.createDataFrame([(1, long)], "doc_id long, text string")).first()["pii"]
+    want = [pii.WITH_CONTEXT if re.search(rf"\b(?:{pii.CONTEXT[s['kind']]})", long[max(0, s["start"] - pii.NEAR) : s["start"]].lower() + " " + long[s["end"] : s["end"] + pii.NEAR].lower()) else pii.PLAIN for s in spans]
+    assert [s["score"] for s in spans] == want and set(want) == {pii.PLAIN, pii.WITH_CONTEXT}
+
+
 def test_iban_and_context(spark):
     docs = spark.createDataFrame([(1, "my bank account GB82 WEST 1234 5698 7654 32 ok"), (2, "GB82WEST12345698765433"), (3, "x 4111111111111111"), (4, "credit card 4111111111111111")], "doc_id long, text string")
     got = {r["doc_id"]: r for r in pii.report(docs).collect()}
