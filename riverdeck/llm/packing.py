@@ -10,7 +10,7 @@ A packed row: ``ids`` (little-endian, 16 bit if the vocabulary and the end token
 the segment ends its document).
 
 Defined cases: a null text is left out; an empty text is one end token; a document of any length is whole; repeated rows are each packed; a
-null doc_id stays null; an empty table gives an empty result; extra columns are ignored.
+null doc_id stays null; ids of any type are kept as they are; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,9 +21,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import slices
+from .common import id_kind, slices
 
-SCHEMA = "n_tokens int, ids binary, cu_seqlens array<int>, reset_at array<int>, doc_ids array<long>, chunks array<int>, doc_ends array<boolean>"
+NAMES = ("n_tokens", "ids", "cu_seqlens", "reset_at", "doc_ids", "chunks", "doc_ends")
+_KINDS = {"bigint": pa.int64(), "string": pa.string()}
 
 
 class Capacities:
@@ -100,6 +101,9 @@ def id_type(ids: int) -> str:
 def pack(docs: DataFrame, vocabulary: str, end: int | None = None, width: int = 2048, block: int = 1 << 21, text: str = "text") -> DataFrame:
     """Packed rows of all documents; ``vocabulary`` is a file of byte-pair ranks that every worker can read; ``end`` is the id after its last one unless given."""
 
+    carried = id_kind(docs).simpleString()
+    own = docs.schema["doc_id"].dataType.simpleString()
+
     def run(batches):
         encoding = _encoding(vocabulary)
         end_ = encoding.n_vocab if end is None else end
@@ -116,9 +120,8 @@ def pack(docs: DataFrame, vocabulary: str, end: int | None = None, width: int =
                 flat[: ends[-1]] = np.concatenate([p[2] for p in inside])
                 for column, value in zip(made, (ends[-1], flat.tobytes(), [0, *ends], [0, *ends[:-1]], [p[0] for p in inside], [p[1] for p in inside], [p[3] for p in inside])):
                     column.append(value)
-            kinds = (pa.int32(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.bool_()))
-            names = [c.split()[0] for c in SCHEMA.split(", ")]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(made, kinds)], names=names)
+            kinds = (pa.int32(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(_KINDS[carried]), pa.list_(pa.int32()), pa.list_(pa.bool_()))
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(made, kinds)], names=NAMES)
 
         for whole in batches:
             for batch in slices(whole, text):
@@ -134,12 +137,17 @@ def pack(docs: DataFrame, vocabulary: str, end: int | None = None, width: int =
         if held:
             yield flush()
 
-    return docs.select("doc_id", F.col(text)).mapInArrow(run, SCHEMA)
+    schema = f"n_tokens int, ids binary, cu_seqlens array<int>, reset_at array<int>, doc_ids array<{carried}>, chunks array<int>, doc_ends array<boolean>"
+    packed = docs.select(F.col("doc_id").cast(carried).alias("doc_id"), F.col(text)).mapInArrow(run, schema)
+    return packed if own == carried else packed.withColumn("doc_ids", F.col("doc_ids").cast(f"array<{own}>"))
 
 
 def unpack(packed: DataFrame, width: int = 2048) -> DataFrame:
     """The segments of rows of ``width`` ids again: doc_id, chunk, doc_end and ids (array<int>); those of a document in order of chunk are its ids."""
 
+    own = packed.schema["doc_ids"].dataType.elementType.simpleString()
+    carried = id_kind(packed.select(F.explode("doc_ids").alias("doc_id"))).simpleString()
+
     def run(batches):
         for batch in batches:
             out = [[], [], [], []]
@@ -148,7 +156,8 @@ def unpack(packed: DataFrame, width: int = 2048) -> DataFrame:
                 for a, b, doc, chunk, e in zip(cuts, cuts[1:], docs, chunks, ends):
                     for column, value in zip(out, (doc, chunk, e, flat[a:b].tolist())):
                         column.append(value)
-            kinds = (pa.int64(), pa.int32(), pa.bool_(), pa.list_(pa.int32()))
+            kinds = (_KINDS[carried], pa.int32(), pa.bool_(), pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=["doc_id", "chunk", "doc_end", "ids"])
 
-    return packed.select("ids", "cu_seqlens", "doc_ids", "chunks", "doc_ends").mapInArrow(run, "doc_id long, chunk int, doc_end boolean, ids array<int>")
+    rows = packed.select("ids", "cu_seqlens", F.col("doc_ids").cast(f"array<{carried}>").alias("doc_ids"), "chunks", "doc_ends")
+    return rows.mapInArrow(run, f"doc_id {carried}, chunk int, doc_end boolean, ids array<int>").withColumn("doc_id", F.col("doc_id").cast(own))

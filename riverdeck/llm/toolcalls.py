@@ -7,17 +7,17 @@ of their needs pick again, until none does.  The first pick is the need of the l
 Arguments are parsed as JSON objects and checked against schemas (field, type, required), those given and those that a conversation declares; records are canonical
 JSON: keys sorted, no blanks.
 
-Defined cases: calls without result have a null result; results without call are left out; a call whose arguments are no
+Defined cases: the record of a call without result has no ``result``; results without call are left out; a call whose arguments are no
 JSON object, or whose name has no schema, is invalid; a dependency on an unknown call of the conversation is ignored; calls on or behind a cycle have a null level;
 repeated calls each keep their row; identifiers count within their conversation, and a null identifier or conversation links to nothing and has a null level; empty tables
-give an empty result; extra columns are ignored.
+give an empty result; extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import cut
+from .common import cut, fresh
 
 CALLS = "conv_id long, turn long, call_id string, name string, arguments string, depends_on array<string>"
 #: The name and fields of the call that an ordinary exchange stands for: (field, types, required).
@@ -130,21 +130,22 @@ def validated(calls: DataFrame, schemas: list[tuple[str, list[tuple[str, list[st
 
     A given schema goes before one that the conversation declares.
     """
+    kinds_, types_, required_ = (fresh(calls, f"_{x}") for x in ("kinds", "types", "required"))
     kinds = F.transform_values(F.from_json("arguments", "map<string,variant>"), lambda _, v: F.schema_of_variant(v))
-    df = calls.withColumn("_kinds", F.when(F.schema_of_variant(F.try_parse_json("arguments")).startswith("OBJECT"), kinds))
+    df = calls.withColumn(kinds_, F.when(F.schema_of_variant(F.try_parse_json("arguments")).startswith("OBJECT"), kinds))
     ok = F.lit(False)
     if declared is not None:
-        df = df.join(declared.withColumnsRenamed({"types": "_types", "required": "_required"}), ["conv_id", "name"], "left")
+        df = df.join(declared.select("conv_id", "name", F.col("types").alias(types_), F.col("required").alias(required_)), ["conv_id", "name"], "left")
         known = F.create_map(*[F.lit(x) for kv in KINDS.items() for x in kv])
-        right = lambda field, type_: F.try_element_at("_kinds", field).isNull() | F.coalesce(F.rlike(F.try_element_at("_kinds", field), F.concat(F.lit("^("), F.try_element_at(known, type_), F.lit(")"))), F.lit(True))
-        ok = F.forall("_required", lambda f: F.map_contains_key("_kinds", f)) & F.forall(F.map_entries("_types"), lambda e: right(e["key"], e["value"]))
+        right = lambda field, type_: F.try_element_at(kinds_, field).isNull() | F.coalesce(F.rlike(F.try_element_at(kinds_, field), F.concat(F.lit("^("), F.try_element_at(known, type_), F.lit(")"))), F.lit(True))
+        ok = F.forall(required_, lambda f: F.map_contains_key(kinds_, f)) & F.forall(F.map_entries(types_), lambda e: right(e["key"], e["value"]))
     for name, fields in schemas:
-        checks = F.col("_kinds").isNotNull()
-        for field, types_, required in fields:
-            kind = F.try_element_at("_kinds", F.lit(field))
-            checks = checks & (F.coalesce(kind.isin(types_), F.lit(False)) if required else (kind.isNull() | kind.isin(types_)))
+        checks = F.col(kinds_).isNotNull()
+        for field, allowed, required in fields:
+            kind = F.try_element_at(kinds_, F.lit(field))
+            checks = checks & (F.coalesce(kind.isin(allowed), F.lit(False)) if required else (kind.isNull() | kind.isin(allowed)))
         ok = F.when(F.col("name") == name, checks).otherwise(ok)
-    return df.withColumn("valid", F.coalesce(ok, F.lit(False))).drop("_kinds", "_types", "_required")
+    return df.withColumn("valid", F.coalesce(ok, F.lit(False))).drop(kinds_, types_, required_)
 
 
 def link(calls: DataFrame, results: DataFrame, schemas, declared: DataFrame | None = None) -> DataFrame:
@@ -152,7 +153,7 @@ def link(calls: DataFrame, results: DataFrame, schemas, declared: DataFrame | No
     both = ["conv_id", "call_id"]
     one = results.where("call_id is not null and conv_id is not null").groupBy(*both).agg(F.min(F.struct("result_turn", "result")).alias("r"))
     name = lambda call: F.concat(F.col("conv_id").cast("string"), F.lit("\u001f"), call)
-    named = calls.withColumn("_call", name(F.col("call_id")))
+    named = calls.select("conv_id", "turn", "call_id", "name", "arguments", "depends_on", name(F.col("call_id")).alias("_call"))
     ordered = levels(named.select(F.col("_call").alias("call_id"), F.transform("depends_on", name).alias("depends_on"), "turn")).withColumnRenamed("call_id", "_call")
     joined = validated(named, schemas, declared).join(one.hint("shuffle_hash"), both, "left").join(ordered, "_call", "left")
     record = F.struct(
