@@ -22,7 +22,7 @@ no result.  Which contexts are hot is judged by every n-th token.  In the end co
 All counts cover all training documents.  Words are named by 48 bits of a hash in the model; the base score counts words by their text.
 
 Defined cases: a null or empty text is one end token; texts of any length are scored whole; repeated rows are each scored and each counted; a null doc_id stays
-null; an empty table gives an empty result; without any training document every word is unknown; extra columns are ignored.
+null, and ids of any type stay as they are; an empty table gives an empty result; without any training document every word is unknown; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -40,7 +40,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .common import Numbering, cut, mix64, shared_dir, slices, texts
+from .common import Numbering, cut, id_kind, mix64, shared_dir, slices, texts
 
 _BITS = 48
 _GOLDEN = 0x9E3779B97F4A7C15
@@ -243,6 +243,9 @@ def _long(x: np.ndarray) -> np.ndarray:
 def blocks(docs: DataFrame, block: int, text: str = "text") -> DataFrame:
     """Documents as word numbers: block, doc_ids, held_out, counts, seq, vocabulary (blank-joined; the end token is empty and first)."""
 
+    carried = id_kind(docs).simpleString()
+    ids_kind = pa.list_(pa.int64() if carried == "bigint" else pa.string())
+
     def run(batches):
         part = TaskContext.get().partitionId()
         number = 0
@@ -259,7 +262,7 @@ def blocks(docs: DataFrame, block: int, text: str = "text") -> DataFrame:
             seq = np.concatenate(seqs)
             names = b" ".join(seen)
             return pa.RecordBatch.from_arrays(
-                [pa.array([(part << 32) + number]), pa.array([ids], pa.list_(pa.int64())), pa.array([held], pa.list_(pa.bool_())), pa.array([counts], pa.list_(pa.int32())), pa.array([_pack(seq)], pa.binary()), pa.array([zstandard.compress(names, 3)], pa.binary()), pa.array([len(seq)]), pa.array([len(seen)])],
+                [pa.array([(part << 32) + number]), pa.array([ids], ids_kind), pa.array([held], pa.list_(pa.bool_())), pa.array([counts], pa.list_(pa.int32())), pa.array([_pack(seq)], pa.binary()), pa.array([zstandard.compress(names, 3)], pa.binary()), pa.array([len(seq)]), pa.array([len(seen)])],
                 names=["block", "doc_ids", "held_out", "counts", "seq", "vocabulary", "n_tokens", "n_words"],
             )
 
@@ -279,8 +282,8 @@ def blocks(docs: DataFrame, block: int, text: str = "text") -> DataFrame:
         if ids:
             yield row()
 
-    schema = "block long, doc_ids array<long>, held_out array<boolean>, counts array<int>, seq binary, vocabulary binary, n_tokens long, n_words long"
-    return docs.select("doc_id", "held_out", text).mapInArrow(run, schema)
+    schema = f"block long, doc_ids array<{carried}>, held_out array<boolean>, counts array<int>, seq binary, vocabulary binary, n_tokens long, n_words long"
+    return docs.select(F.col("doc_id").cast(carried).alias("doc_id"), "held_out", text).mapInArrow(run, schema)
 
 
 class _Block:
@@ -349,7 +352,7 @@ def _bucketed(df: DataFrame, buckets: int, label: str, by: str = "at") -> DataFr
 def fit_and_score(docs: DataFrame, params: HpyParams = HpyParams()) -> DataFrame:
     """docs (doc_id, text, held_out) -> doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity."""
     spark = docs.sparkSession
-    p, S = params, params.samples
+    p, S, carried = params, params.samples, id_kind(docs).simpleString()
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     table = _bucketed(blocks(docs, p.block), least, "lm_blocks", "block")
     tokens, words = (x or 0 for x in table.agg(F.sum("n_tokens"), F.sum("n_words")).first())
@@ -563,12 +566,12 @@ def fit_and_score(docs: DataFrame, params: HpyParams = HpyParams()) -> DataFrame
             log_p = np.log10(prob)[at]
             log_base = np.log10((c + 1) / (n_train + n_types + 1))[b.seq]
             starts = np.cumsum(b.counts) - b.counts
-            outs.append(pd.DataFrame({"doc_id": pd.array(b.doc_ids, "Int64"), "held_out": b.held, "n_tokens": b.counts, "n_known": np.add.reduceat((c[b.seq] > 0).astype(np.int64), starts), "base_score": np.add.reduceat(log_base, starts), "score": np.add.reduceat(log_p, starts)}))
+            outs.append(pd.DataFrame({"doc_id": pd.array(b.doc_ids, "Int64" if carried == "bigint" else object), "held_out": b.held, "n_tokens": b.counts, "n_known": np.add.reduceat((c[b.seq] > 0).astype(np.int64), starts), "base_score": np.add.reduceat(log_base, starts), "score": np.add.reduceat(log_p, starts)}))
         return pd.concat(outs) if outs else pd.DataFrame([], columns=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
     values = children.where("kind = 2").select(F.lit(0).alias("kind"), *_FRAME).union(met.where("at >= 0").select(F.lit(1).alias("kind"), *_FRAME))
-    scored = table.groupBy("block").cogroup(values.groupBy("at")).applyInPandas(score, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
-    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n_train).cast("long").alias("train_tokens"), F.round("base_score", 6).alias("base_score"), F.round("score", 6).alias("score"), F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"))
+    scored = table.groupBy("block").cogroup(values.groupBy("at")).applyInPandas(score, f"doc_id {carried}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    return scored.select(F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id"), "held_out", "n_tokens", "n_known", F.lit(n_train).cast("long").alias("train_tokens"), F.round("base_score", 6).alias("base_score"), F.round("score", 6).alias("score"), F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"))
 
 
 def _hot(table: DataFrame, p: HpyParams) -> tuple[np.ndarray, np.ndarray]:

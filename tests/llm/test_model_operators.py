@@ -1,4 +1,5 @@
 import itertools
+import decimal
 import json
 import math
 import random
@@ -397,6 +398,20 @@ def test_tables_follow_their_conditional():
     assert (hpylm.draw_tables(keys[:2], np.array([0, 1]), np.array([1.0, 1.0]), 0.8) == [0, 1]).all()
 
 
+def test_lm_and_packing_take_ids_of_any_type(spark):
+    rows = [(f"d{i}", t, held) for i, t, held in _corpus(n=20)] + [(None, "w1", False)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, held_out boolean")
+    got = hpylm.fit_and_score(docs)
+    assert got.schema["doc_id"].dataType.simpleString() == "string" and Counter(r["doc_id"] for r in got.collect()) == Counter(r[0] for r in rows)
+    by_number = {r["doc_id"]: r["score"] for r in hpylm.fit_and_score(spark.createDataFrame(_corpus(n=20) + [(None, "w1", False)], "doc_id int, text string, held_out boolean")).collect()}
+    assert {r["doc_id"]: r["score"] for r in got.collect()} == {None if d is None else f"d{d}": s for d, s in by_number.items()}
+    path = vocabularies.path("byte_bpe_50k.tiktoken")
+    for kind, value in (("string", lambda i: f"d{i}"), ("int", int), ("decimal(9,1)", lambda i: decimal.Decimal(i))):
+        packed = packing.pack(spark.createDataFrame([(value(i), f"text {i}") for i in range(5)] + [(None, "x")], f"doc_id {kind}, text string"), path, width=64)
+        assert packed.schema["doc_ids"].dataType.elementType.simpleString() == kind
+        assert {r["doc_id"] for r in packing.unpack(packed, 64).collect()} == {None, *(value(i) for i in range(5))}
+
+
 def test_keyed_random_numbers():
     keys = hpylm._key(1, 2, 3, np.arange(40000, dtype=np.uint64))
     for shape in (0.2, 0.8, 1.0, 3.5, 200.0):
@@ -626,6 +641,18 @@ def test_declared_schemas(spark):
     assert {r["call_id"]: r["valid"] for r in out.collect()} == {"1": True, "2": False, "3": False, "4": False, "5": True, "6": False, "7": False}
 
 
+def test_tool_calls_with_columns_of_any_name(spark):
+    df = spark.createDataFrame([(1, 0, "assistant", _asked(("c", "add", {"a": 1}, []))), (1, 1, "tool", json.dumps({"tool_call_id": "c", "content": "2"}))], "conv_id long, turn long, role string, text string")
+    names = ["level", "r", "valid", "linked", "record", "_call", "_kinds", "_types", "_required", "types", "required", "result", "result_turn"]
+    more = lambda x, own=(): x.select("*", *[F.lit("z").alias(n) for n in names if n not in own])
+    parts = toolcalls.messages_to_calls(df), toolcalls.messages_to_results(df), toolcalls.messages_to_schemas(df)
+    plain = toolcalls.link(parts[0], parts[1], CALL_SCHEMAS, parts[2])
+    got = toolcalls.link(more(parts[0]), more(parts[1], ("result", "result_turn")), CALL_SCHEMAS, more(parts[2], ("types", "required")))
+    assert got.columns == plain.columns and got.collect() == plain.collect()
+    checked = toolcalls.validated(more(parts[0]), CALL_SCHEMAS, more(parts[2], ("types", "required"))).first()
+    assert checked["valid"] is True and all(checked[n] == "z" for n in names if n != "valid")
+
+
 def test_tool_calls_take_anything_and_stay_native(spark):
     df = spark.createDataFrame([(1, 0, "user", None), (1, 0, "user", None), (1, 1, "assistant", None), (2, None, "user", "x"), (None, 1, "user", "y"), (3, 0, None, "z")], "conv_id long, turn long, role string, text string")
     out = toolcalls.link(toolcalls.messages_to_calls(df), toolcalls.messages_to_results(df), [toolcalls.REPLY], toolcalls.messages_to_schemas(df))
