@@ -108,12 +108,14 @@ def _range(value: Column, bounds: Column) -> Column:
     """
     smaller = lambda of: F.size(F.filter(of, lambda e: e < value))
 
-    def place(k: Column) -> Column:
-        block = F.get(bounds["blocks"], k)
+    one = lambda v, use: F.get(F.transform(F.array(v), use), F.lit(0))
+
+    def place(b: Column, k: Column) -> Column:
+        block = F.get(b["blocks"], k)
         at = smaller(block)
         return (k * (RANGES // BLOCKS) + at) * 2 + F.coalesce(F.get(block, at) == value, F.lit(False)).cast("int")
 
-    return F.get(F.transform(F.array(smaller(bounds["lasts"])), place), F.lit(0))
+    return one(bounds, lambda b: one(smaller(b["lasts"]), lambda k: place(b, k)))
 
 
 def _below(df: DataFrame, value: str, amounts: list[str]) -> DataFrame:
