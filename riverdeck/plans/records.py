@@ -106,7 +106,7 @@ def snk_instruction_json(spark, sf):
 def snk_parquet_mirror(spark, sf):
     """The six tables are written and read again, and counted."""
     place = _place(spark, "mirror")
-    promptdb.write(promptdb.build(bridge.scenarios(spark, sf)), place)
+    promptdb.write(promptdb.build(bridge.scenarios(spark, sf), once=True), place)
     parts = [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n") for name, df in promptdb.load(spark, place).items()]
     return functools.reduce(DataFrame.union, parts)
 
@@ -114,7 +114,7 @@ def snk_parquet_mirror(spark, sf):
 @query("snk_build_db", "select 'situations: split, source_index repeated' as rule, cast(0 as bigint) as n union all select 'prompt_templates: template_hash repeated', 0 union all select 'label_taxonomy: raw_label repeated', 0 union all select 'situation_positions: situation_id, position repeated', 0 union all select 'situation_actions: situation_id, seq_index repeated', 0 union all select 'situation_available_moves: situation_id, move repeated', 0 union all select 'situation_positions: no situation', 0 union all select 'situation_actions: no situation', 0 union all select 'situation_available_moves: no situation', 0")
 def snk_build_db(spark, sf):
     place = _place(spark, "db")
-    promptdb.write(promptdb.build(bridge.scenarios(spark, sf)), place)
+    promptdb.write(promptdb.build(bridge.scenarios(spark, sf), once=True), place)
     return promptdb.violations(promptdb.load(spark, place))
 
 
