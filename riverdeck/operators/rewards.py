@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions import cards, prompts
+from ..functions import cards, let, prompts
 
 
 def attach(decisions: DataFrame, hands: DataFrame) -> DataFrame:
@@ -50,29 +50,41 @@ def summary(df: DataFrame) -> DataFrame:
     return df.agg(F.countDistinct("hand_id").alias("hands"), F.count("*").alias("decisions"), F.avg(F.col("showdown").cast("int")).alias("showdown_share"), F.sum("reward_bb").alias("total"), F.abs(F.sum("reward_bb")).alias("leak"))
 
 
+def _hands(seats: DataFrame) -> DataFrame:
+    """One row a hand with its seats, of which there are a few."""
+    return seats.groupBy("hand_id").agg(F.collect_list(F.struct("seat_id", F.col("paid").cast("double").alias("paid"), "folded", "score")).alias("seats"))
+
+
+def _pots(seats: Column) -> Column:
+    """array<struct<tier, amount, n_eligible, best>> of a hand's seats, the lowest tier first."""
+
+    def pot(tier: Column, below: Column) -> Column:
+        may = F.filter(seats, lambda x: (x["paid"] >= tier) & ~x["folded"])
+        amount = F.aggregate(seats, F.lit(0.0), lambda a, x: a + F.greatest(F.least(x["paid"], tier) - below, F.lit(0.0)))
+        return F.struct(tier.alias("tier"), amount.alias("amount"), F.size(may).cast("long").alias("n_eligible"), F.array_max(F.transform(may, lambda x: x["score"])).alias("best"))
+
+    tiers = F.array_sort(F.array_distinct(F.filter(F.transform(seats, lambda x: x["paid"]), lambda p: p > 0)))
+    pots = let(tiers, lambda t: F.transform(t, lambda tier, i: pot(tier, F.coalesce(F.get(t, i - 1), F.lit(0.0)))))
+    return F.filter(pots, lambda p: (p["amount"] > 1e-9) & (p["n_eligible"] > 0))
+
+
 def side_pots(seats: DataFrame) -> DataFrame:
-    """(hand_id, tier, amount, n_eligible, share, best): pots of hands whose seats (hand_id, seat_id, paid, folded, score array<int>) paid unlike amounts.
+    """(hand_id, tier, amount, n_eligible, best): pots of hands whose seats (hand_id, seat_id, paid, folded, score array<int>) paid unlike amounts.
 
     A tier is a distinct positive payment; its pot takes from each seat what it paid between the tier before and this one; seats that
     paid the tier and have not folded may win it, and the best scores share it.  A pot nobody may win is left out.
     """
-    tiers = seats.where("paid > 0").select("hand_id", F.col("paid").alias("tier")).distinct()
-    below = F.coalesce(F.lag("tier").over(Window.partitionBy("hand_id").orderBy("tier")), F.lit(0.0))
-    tiers = tiers.withColumn("below", below)
-    each = tiers.join(seats, "hand_id")
-    may = (F.col("paid") >= F.col("tier")) & ~F.col("folded")
-    layer = F.greatest(F.least("paid", "tier") - F.col("below"), F.lit(0.0))
-    pots = each.groupBy("hand_id", "tier").agg(F.sum(layer).alias("amount"), F.sum(may.cast("int")).alias("n_eligible"), F.max(F.when(may, F.col("score"))).alias("best"))
-    return pots.where("amount > 1e-9 and n_eligible > 0")
+    return _hands(seats).select("hand_id", F.inline(_pots(F.col("seats"))))
 
 
 def settle(seats: DataFrame) -> DataFrame:
     """(hand_id, seat_id, delta): what each seat wins from the side pots less what it paid."""
-    pots = side_pots(seats)
-    won = pots.join(seats, "hand_id").where("paid >= tier and not folded and score = best").select("hand_id", "tier", "amount", "seat_id")
-    won = won.withColumn("share", F.col("amount") / F.count("*").over(Window.partitionBy("hand_id", "tier")))
-    gains = won.groupBy("hand_id", "seat_id").agg(F.sum("share").alias("gain"))
-    return seats.join(gains, ["hand_id", "seat_id"], "left").select("hand_id", "seat_id", (F.coalesce("gain", F.lit(0.0)) - F.col("paid")).alias("delta"))
+    s = F.col("seats")
+    wins = lambda x, p: (x["paid"] >= p["tier"]) & ~x["folded"] & (x["score"] == p["best"])
+    shared = F.transform(_pots(s), lambda p: F.struct(p["tier"].alias("tier"), p["best"].alias("best"), (p["amount"] / F.size(F.filter(s, lambda x: wins(x, p)))).alias("share")))
+    gain = lambda x, pots: F.aggregate(pots, F.lit(0.0), lambda a, p: a + F.when(wins(x, p), p["share"]).otherwise(0.0))
+    each = let(shared, lambda pots: F.transform(s, lambda x: F.struct(x["seat_id"].alias("seat_id"), (gain(x, pots) - x["paid"]).alias("delta"))))
+    return _hands(seats).select("hand_id", F.inline(each))
 
 
 def fold_win(seats: DataFrame) -> DataFrame:

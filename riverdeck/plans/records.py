@@ -10,7 +10,7 @@ from .. import labeling
 from ..functions import labels, lines, prompts, reasoning
 from ..operators import features, promptdb, rewards
 from ..sources import bridge, readers, sinks
-from ..sources.shared import place as _place
+from ..sources.shared import place as _place, tasks_for
 from . import duck, scenario
 from .registry import ORACLES, query
 
@@ -327,23 +327,30 @@ def snk_query_render(spark, sf):
     return spark.createDataFrame(list(enumerate(text.split("\n"))), "i long, line string")
 
 
-def _array_file(rows, path: str) -> None:
-    """(instruction, output) in the order of source_index as one JSON array."""
+def _array_file(rows, path: str, tasks: int) -> None:
+    """(instruction, output) in the order of source_index as one JSON array in a folder of files."""
     lines = rows.select("source_index", F.to_json(F.struct("instruction", "output")).alias("j"))
     first = lines.agg(F.min("source_index").alias("least"))
     lines = lines.crossJoin(F.broadcast(first)).select("source_index", F.concat(F.when(F.col("source_index") == F.col("least"), "[").otherwise(","), F.col("j")).alias("value"))
     end = lines.agg((F.max("source_index") + 1).alias("source_index")).withColumn("value", F.lit("]"))
-    lines.union(end).repartitionByRange(1, "source_index").sortWithinPartitions("source_index").select("value").write.text(path)
+    _in_order(lines.union(end), tasks).select("value").write.text(path)
+
+
+def _in_order(rows, tasks: int):
+    """Rows dealt to ``tasks`` by ranges of source_index, so that the files written by them are in its order by name."""
+    return rows.repartitionByRange(tasks, "source_index").sortWithinPartitions("source_index")
 
 
 @query("src_split_resolve", duck.RAW.join(["with ", ""]) + "select row_number() over (partition by split order by source_index) - 1 as source_index, split, hero_pos, round(pot_size, 6) as pot_size, length(instruction) as n_chars, correct_decision as output from raw where instruction is not null and correct_decision is not null")
 def src_split_resolve(spark, sf):
     """Splits as pairs of a CSV and a JSON array, looked for in two folders and read side by side."""
     place = _place(spark, "splits")
-    raw = bridge.scenarios(spark, sf).where("instruction is not null and correct_decision is not null")
+    bridge.scenarios(spark, sf).where("instruction is not null and correct_decision is not null").write.parquet(f"{place}/rows")
+    raw = spark.read.parquet(f"{place}/rows")
+    tasks = tasks_for(raw)
     for split in readers.SPLITS:
         rows = raw.where(F.col("split") == split)
-        rows.select(*readers.PREFLOP.names, "source_index").repartitionByRange(1, "source_index").sortWithinPartitions("source_index").drop("source_index").write.option("header", True).option("escape", '"').csv(f"{place}/{split}.csv")
-        _array_file(rows.select("source_index", "instruction", F.col("correct_decision").alias("output")), f"{place}/{split}.json")
+        _in_order(rows.select(*readers.PREFLOP.names, "source_index"), tasks).drop("source_index").write.option("header", True).option("escape", '"').csv(f"{place}/{split}.csv")
+        _array_file(rows.select("source_index", "instruction", F.col("correct_decision").alias("output")), f"{place}/{split}.json", tasks)
     back = readers.read_splits(spark, f"{place}/none", place)
     return back.select("source_index", "split", "hero_pos", F.round("pot_size", 6).alias("pot_size"), F.length("instruction").alias("n_chars"), "output")

@@ -62,55 +62,66 @@ def coerce_rows(raw: DataFrame) -> DataFrame:
     return raw.where("instruction is not null and output is not null").select(F.coalesce(F.nullif(given, F.lit("")), prompts.row_id(F.col("instruction"))).alias("row_id"), "instruction", "output", meta.alias("meta"))
 
 
-def running(df: DataFrame, amount: Column, column: str, within: str = "_id") -> DataFrame:
-    """``column``: the sum of ``amount`` over all rows before, in the order of the rows in the files (``within``, a monotonically increasing id, which is added if it lacks).
+#: Where a row stands: its file, the start of its split in the file, the task that reads it.
+_CHUNK = ("_file", "_block", "_part")
 
-    Rows are added up within partitions; the partitions' sums, one row each, are added up before they are joined.
+
+def placed(df: DataFrame) -> DataFrame:
+    """Rows of files with the place of each.  Tasks take splits by size and not in the order of files, so the number of a task says nothing about that order."""
+    return df.withColumns({"_file": F.input_file_name(), "_block": F.input_file_block_start(), "_id": F.monotonically_increasing_id()}).withColumn("_part", F.shiftright("_id", 33))
+
+
+def running(df: DataFrame, amount: Column, column: str, by_file: bool = False) -> DataFrame:
+    """``column``: the sum of ``amount`` over all rows of ``placed`` before (``by_file``: in the same file), in the order of the rows in the files, these by name.
+
+    Rows are added up within splits; the splits' sums, one row each, are added up before they are joined.
     """
-    part = df if within in df.columns else df.withColumn(within, F.monotonically_increasing_id())
-    part = part.withColumns({"_part": F.shiftright(within, 33), "_amount": amount})
-    sums = part.groupBy("_part").agg(F.sum("_amount").alias("_sum"))
-    before = F.coalesce(F.sum("_sum").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    own = F.coalesce(F.sum("_amount").over(Window.partitionBy("_part").orderBy(within).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return part.join(F.broadcast(sums.select("_part", before.alias("_before"))), "_part").withColumn(column, F.col("_before") + own).drop("_part", "_amount", "_before")
+    part = df.withColumn("_amount", amount)
+    sums = part.groupBy(*_CHUNK).agg(F.sum("_amount").alias("_sum"))
+    order = Window.partitionBy("_file").orderBy("_block", "_part") if by_file else Window.orderBy(*_CHUNK)
+    before = F.coalesce(F.sum("_sum").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    own = F.coalesce(F.sum("_amount").over(Window.partitionBy(*_CHUNK).orderBy("_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return part.join(F.broadcast(sums.select(*_CHUNK, before.alias("_before"))), list(_CHUNK)).withColumn(column, F.col("_before") + own).drop("_amount", "_before")
 
 
 def read_array(spark: SparkSession, path: str, schema: T.StructType = PAIRS, column: str = "source_index") -> DataFrame:
     """The objects of a JSON array, with their numbers from 0, read by as many tasks as the file has splits; anything but an array is an error.
 
+    The path may be a folder: its files by name, one after the other, are the array, and each of them holds whole objects.
     The file is read as pieces that end in a closing brace, which splits anywhere.  Running sums of quotes tell which pieces start inside a string, those of braces
     outside of strings which piece ends an object.
     """
-    pieces = spark.read.option("lineSep", "}").text(path).withColumn("_id", F.monotonically_increasing_id())
-    start = pieces.first()
+    text = spark.read.option("lineSep", "}").text(path)
+    firsts = (spark.read.option("lineSep", "}").text(f).first() for f in sorted(text.inputFiles()))
+    start = next((row for row in firsts if row is not None), None)
     if start is None or not start["value"].lstrip("\ufeff \t\r\n").startswith("["):
         raise ValueError(f"{path} does not hold a JSON array")
     plain = F.regexp_replace("value", r"(?s)\\.", "")  # without escapes
-    pieces = running(pieces.withColumn("_plain", plain), F.length("_plain") - F.length(F.replace("_plain", F.lit('"'), F.lit(""))), "_quotes")
+    pieces = running(placed(text).withColumn("_plain", plain), F.length("_plain") - F.length(F.replace("_plain", F.lit('"'), F.lit(""))), "_quotes", by_file=True)
     # What stands outside of strings, also if the piece starts or ends inside of one.
     inside = F.col("_quotes") % 2 == 1
     outside = F.regexp_replace(F.concat(F.when(inside, '"').otherwise(""), F.col("_plain")), '(?s)"[^"]*("|$)', "")
     ends_inside = (F.col("_quotes") + F.length("_plain") - F.length(F.replace("_plain", F.lit('"'), F.lit("")))) % 2 == 1
     opened = F.length(outside) - F.length(F.replace(outside, F.lit("{"), F.lit("")))
-    pieces = pieces.select("_id", "value", opened.alias("_open"), (~ends_inside).cast("int").alias("_close"))
-    pieces = running(pieces, F.col("_open") - F.col("_close"), "_depth")
+    pieces = pieces.select(*_CHUNK, "_id", "value", opened.alias("_open"), (~ends_inside).cast("int").alias("_close"))
+    pieces = running(pieces, F.col("_open") - F.col("_close"), "_depth", by_file=True)
     # The first piece of an object is at depth 0 and opens one; the rest of the file after the last object opens none.
     starts = ((F.col("_depth") == 0) & (F.col("_open") > 0)).cast("int")
     pieces = running(pieces.withColumn("_starts", starts), F.col("_starts"), "_before_")
     element = (F.col("_before_") + F.col("_starts") - 1).alias("element")
-    rows = pieces.where((F.col("_depth") > 0) | (F.col("_starts") == 1)).select(element, "_id", "value").groupBy("element").agg(F.array_sort(F.collect_list(F.struct("_id", "value"))).alias("p"))
+    rows = pieces.where((F.col("_depth") > 0) | (F.col("_starts") == 1)).select(element, "_block", "_id", "value").groupBy("element").agg(F.array_sort(F.collect_list(F.struct("_block", "_id", "value"))).alias("p"))
     text = F.concat(F.array_join(F.transform("p", lambda x: x["value"]), "}"), F.lit("}"))
     parsed = F.from_json(F.regexp_replace(text, r"^[^{]*", ""), schema)
     return rows.select(F.col("element").alias(column), parsed.alias("r")).select(column, "r.*")
 
 
 def with_index(df: DataFrame, column: str = "source_index") -> DataFrame:
-    """Numbers from 0 in the order of the rows in the files, without one task for all: offsets of partitions are added up first."""
-    part = df.withColumn("_id", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_id", 33))
-    sizes = part.groupBy("_part").agg(F.count("*").alias("_n"))  # one row a partition
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = sizes.select("_part", before.alias("_before"))
-    return part.join(F.broadcast(offsets), "_part").withColumn(column, F.col("_before") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))).drop("_id", "_part", "_before", "_n")
+    """Numbers from 0 in the order of the rows in the files, these by name, without one task for all: offsets of the files' splits are added up first."""
+    part = placed(df)
+    sizes = part.groupBy(*_CHUNK).agg(F.count("*").alias("_n"), F.min("_id").alias("_first"))  # one row a split
+    before = F.coalesce(F.sum("_n").over(Window.orderBy(*_CHUNK).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = sizes.select(*_CHUNK, (before - F.col("_first")).alias("_before"))
+    return part.join(F.broadcast(offsets), list(_CHUNK)).withColumn(column, F.col("_before") + F.col("_id")).drop(*_CHUNK, "_id", "_before")
 
 
 def zip_rows(left: DataFrame, right: DataFrame) -> DataFrame:

@@ -33,3 +33,40 @@ def test_violations_are_found(spark):
     spoilt = {**t, "situation_actions": t["situation_actions"].union(first).union(first.withColumn("situation_id", F.lit(10**9).cast("long")))}
     found = {r["rule"]: r["n"] for r in promptdb.violations(spoilt).where("n > 0").collect()}
     assert found == {"situation_actions: situation_id, seq_index repeated": 1, "situation_actions: no situation": 1}
+
+
+def test_rows_are_numbered_in_the_order_of_files(spark, tmp_path):
+    """Larger files are read first, whatever their names are."""
+    from riverdeck.sources import readers
+
+    parts = [(0, 3), (3, 4000), (4003, 40), (4043, 900)]
+    for i, (start, n) in enumerate(parts):
+        rows = spark.range(start, start + n, numPartitions=1).select("id", F.concat(F.lit('{"instruction":"}'), F.repeat(F.sha2(F.col("id").cast("string"), 512), F.lit(20)), F.lit('{\\""')).alias("t"))
+        rows.select("id").write.parquet(str(tmp_path / f"p{i}"))
+        rows.select("id").write.csv(str(tmp_path / f"c{i}"))
+        value = F.concat(F.when(F.col("id") == 0, "[").otherwise(","), "t", F.lit(', "output":"'), F.col("id").cast("string"), F.lit('"}'))
+        rows.select(value).write.text(str(tmp_path / f"j{i}"))
+    import shutil
+
+    for kind, ending in (("p", "parquet"), ("c", "csv"), ("j", "txt")):
+        (tmp_path / kind).mkdir()
+        for i in range(len(parts)):
+            (f,) = (tmp_path / f"{kind}{i}").glob(f"part-*.{ending}")
+            shutil.copy(f, tmp_path / kind / f"part-{i}.{ending}")
+    for df in (spark.read.parquet(str(tmp_path / "p")), spark.read.schema("id long").csv(str(tmp_path / "c"))):
+        got = readers.with_index(df)
+        assert got.count() == 4943 and got.where("id <> source_index").count() == 0
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300000")
+    try:
+        got = readers.read_array(spark, str(tmp_path / "j"))
+        assert got.count() == 4943 and got.where("output <> source_index or output is null").count() == 0
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_side_pots_are_worked_out_within_hands(spark):
+    from riverdeck import catalog
+
+    for name in ("sim_side_pots", "sim_settle"):
+        plan = _plan(catalog.QUERIES[name](spark, SF))
+        assert "Join" not in plan and "Window" not in plan and plan.count("Repartition") == 1
