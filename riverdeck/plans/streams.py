@@ -46,8 +46,12 @@ def stm_population_events(spark, sf):
     """The same counters from single actions that arrive out of order, in several batches, by state kept for each hand."""
     place = _place(spark, "actions")
     events = features.samples(bridge.scenarios(spark, sf)).select(F.col("source_index").alias("hand_id"), F.posexplode("events").alias("seq", "e")).select("hand_id", "seq", "e.position", "e.action", F.timestamp_seconds(F.col("seq") + 1_700_000_000).alias("at"))
+    events.write.parquet(f"{place}/events")
+    events = spark.read.parquet(f"{place}/events")
     for i in range(2):
-        events.where(F.pmod(F.xxhash64("hand_id", "seq"), F.lit(2)) == i).coalesce(8).write.mode("append").json(f"{place}/in")
-    stream = streaming.read_json(spark, f"{place}/in", "hand_id long, seq int, position string, action string, at timestamp", files=8)
+        events.where(F.pmod(F.xxhash64("hand_id", "seq"), F.lit(2)) == i).write.mode("append").json(f"{place}/in")
+    # A go's files make a batch.
+    files = -(-len(spark.read.text(f"{place}/in").inputFiles()) // 2)
+    stream = streaming.read_json(spark, f"{place}/in", "hand_id long, seq int, position string, action string, at timestamp", files=files)
     hands.observe(stream, f"{place}/out", f"{place}/state").awaitTermination()
     return hands.counters(spark.read.parquet(f"{place}/out")).select("position", "hands", "vpip_n", "pfr_n")

@@ -70,3 +70,37 @@ def test_side_pots_are_worked_out_within_hands(spark):
     for name in ("sim_side_pots", "sim_settle"):
         plan = _plan(catalog.QUERIES[name](spark, SF))
         assert "Join" not in plan and "Window" not in plan and plan.count("Repartition") == 1
+
+
+def test_a_bundle_tells_what_its_hands_tell_alone():
+    import random
+
+    import pandas as pd
+
+    from riverdeck.streaming import hands
+    from tests.test_labeling import Handle, Times
+
+    rng = random.Random(5)
+    events = [(h, s, rng.choice(["UTG", "CO", "BTN"]), rng.choice(["fold", "call", "raise", "allin"]), pd.Timestamp(100 * h + s, unit="s")) for h in range(40) for s in range(rng.randrange(1, 9)) if rng.random() < 0.9]
+    rng.shuffle(events)
+    batches = [pd.DataFrame(events[i::3], columns=["hand_id", "seq", "position", "action", "at"]) for i in range(3)]
+    rows = lambda parts: [tuple(r) for p in parts for r in p.itertuples(index=False)]
+    bundle, handle = hands.BundledFirstActions(quiet_ms=1000), Handle()
+    bundle.init(handle)
+    reads = []
+    get = handle.state.get
+    handle.state.get = lambda: reads.append(1) or get()
+    got = [sorted(rows(bundle.handleInputRows((0,), iter([b]), Times(0)))) for b in batches]
+    assert len(reads) == 3  # once a batch for forty hands
+    got += [sorted(rows(bundle.handleExpiredTimer((0,), Times(2_000_000), None))), sorted(rows(bundle.handleExpiredTimer((0,), Times(10_000_000), None)))]
+    assert handle.state.value is None and min(handle.timers) <= 8000
+    want = [[] for _ in range(5)]
+    for h in range(40):
+        one, own = hands.FirstActions(quiet_ms=1000), Handle()
+        one.init(own)
+        for i, b in enumerate(batches):
+            if len(part := b[b["hand_id"] == h]):
+                want[i] += rows(one.handleInputRows((h,), iter([part]), Times(0)))
+        for i, now in enumerate((2_000_000, 10_000_000)):
+            want[3 + i] += rows(one.handleExpiredTimer((h,), Times(now), None))
+    assert got == [sorted(w) for w in want]
