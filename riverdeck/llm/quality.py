@@ -1,7 +1,7 @@
 """Quality rules: hashed n-gram log-likelihood ratio between a trusted target and the raw corpus.
 
 Two multinomials over hashed n-gram buckets are estimated: one from all documents (raw), one from
-documents labelled good (target; one half of a bounded labelled sample, parameter ``sample``).  A
+documents labelled good (target; one half of all labelled documents, by a hash of the id).  A
 document's score is the mean over its n-grams of ``log(p_target / p_raw)``.  The threshold is set on
 the other half, which the target has not seen: the low quantile of the good documents' scores or, where the documents labelled bad score lower still,
 half-way down to their high quantile.  So each document gets one deterministic verdict.
@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from .common import Numbering, add_columns, labelled_sample, mix64, slices, texts
+from .common import Numbering, add_columns, cut, mix64, slices, texts
 
 FIELDS = [
     *[T.StructField(n, T.LongType()) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
@@ -41,12 +41,11 @@ _RUNS = re.compile(rb"(.)\1+", re.DOTALL)
 
 @dataclass(frozen=True)
 class QualityParams:
-    """buckets: n-gram hash buckets.  sample: most labelled documents used for the target and the threshold.
+    """buckets: n-gram hash buckets.
     quantile: share of good labelled documents left aside at the low end.  junk_quantile: share of bad ones below the high end.  prior: pseudo-count mass of the raw multinomial given to the target.
     """
 
     buckets: int = 1 << 16
-    sample: int = 65536
     quantile: float = 0.002
     junk_quantile: float = 0.95
     prior: float = 1.0
@@ -133,41 +132,64 @@ def base_counts(raw: list[bytes], ids: np.ndarray, row: np.ndarray) -> list[np.n
     return [count(chars), count(_SYMBOL[buffer]), dup, _repeats(ids, row, len(raw))]
 
 
-def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, params: QualityParams = QualityParams()) -> QualityModel:
-    """Both multinomials in one pass over all documents, then the threshold from the trusted sample's scores."""
-    labelled = labelled_sample(spark, labels, "quality", params.sample).withColumn("half", F.pmod(F.xxhash64(F.lit("half"), "doc_id"), F.lit(2)))
-    sample = F.broadcast(labelled.where("half = 0").select("doc_id", F.col("label").alias("_good")))
-    rows = docs.select("doc_id", "text").join(sample, "doc_id", "left").select("text", "_good")
-    n = params.buckets
+def _gram_counts(rows: DataFrame, n: int) -> np.ndarray:
+    """How often each bucket occurs in the texts of all rows."""
 
     def count(batches):
-        grams, raw, target = _Grams(n), np.zeros(n, np.int64), np.zeros(n, np.int64)
+        grams, total = _Grams(n), np.zeros(n, np.int64)
         for whole in batches:
             for batch in slices(whole, "text"):
-                good = np.array([x == 1 for x in batch.column(1).to_pylist()], bool)
-                _, row, buckets = grams([x.split() for x in texts(batch)])
-                for b in buckets:
-                    raw += np.bincount(b, minlength=n)
-                    target += np.bincount(b[good[row]], minlength=n)
-        at = np.flatnonzero(raw)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(raw[at]), pa.array(target[at])], names=["bucket", "raw", "target"])
-
-    counts = rows.mapInArrow(count, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw"), F.sum("target"))
-    raw, target = np.zeros(n), np.zeros(n)
-    for b, x, y in counts.collect():  # one row a bucket at most
-        raw[b], target[b] = x, y
+                for b in grams([x.split() for x in texts(batch)])[2]:
+                    total += np.bincount(b, minlength=n)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["bucket", "n"])
+
+    out = np.zeros(n)
+    for b, x in rows.select("text").mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n")).collect():  # one row a bucket at most
+        out[b] = x
+    return out
+
+
+def ranked(df: DataFrame, column: str, rank: int, most: int = 10_000) -> float:
+    """The value at a place (from 0) of the column's values in order, exactly: ranges of values are counted and narrowed until few different values are left."""
+    while True:
+        low, high, values = df.agg(F.min(column), F.max(column), F.approx_count_distinct(column)).first()
+        if values <= most or low == high:
+            break
+        bin_ = F.least(F.floor((F.col(column) - low) / (high - low) * 1024), F.lit(1023)).cast("int")
+        for b, n in sorted(df.groupBy(bin_.alias("b")).count().collect()):  # 1,024 rows at most
+            if rank < n:
+                df = df.where(bin_ == b)
+                break
+            rank -= n
+    for value, n in sorted(df.groupBy(column).count().collect()):
+        if rank < n:
+            return float(value)
+        rank -= n
+    raise IndexError("fewer values than the rank")
+
+
+def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, params: QualityParams = QualityParams()) -> QualityModel:
+    """The raw multinomial from all documents, the target from all good ones of one half of the labels, the threshold from the scores of all documents of the other half.
+
+    Each labelled text is joined to its label once; with few labels the join moves no text.
+    """
+    known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.max("quality").cast("int").alias("label"))
+    half = F.pmod(F.xxhash64(F.lit("half"), "doc_id"), F.lit(2))
+    rows, n = docs.select("doc_id", "text"), params.buckets
+    raw = _gram_counts(rows, n)
+    target = _gram_counts(rows.join(known.where((half == 0) & (F.col("label") == 1)), "doc_id"), n)
     p_raw = (raw + 1) / (raw.sum() + n)
     p_target = (target + params.prior * n * p_raw) / (target.sum() + params.prior * n)
     weights = np.log(p_target / p_raw).astype(np.float32)
     model = QualityModel(params, weights, -np.inf)
-    # Again a broadcast join on a bounded sample: one double for each of its documents.
-    other = F.broadcast(labelled.where("half = 1").select("doc_id", "label"))
-    scores = score(docs.select("doc_id", "text").join(other, "doc_id"), model).where("not base_failed").select("label", "llr").collect()
-    good, bad = (np.sort([x[1] for x in scores if x[0] == k]) for k in (1, 0))
+    scores = cut(score(rows.join(known.where(half == 1), "doc_id"), model).where("not base_failed").select("label", "llr"), "quality-scores")
+    counts = dict(scores.groupBy("label").count().collect())  # a row a label
+    good, bad = counts.get(1, 0), counts.get(0, 0)
     threshold = -np.inf
-    if len(good):
-        threshold = low = float(good[int(params.quantile * len(good))])
-        if len(bad) and (high := float(bad[min(len(bad) - 1, int(params.junk_quantile * len(bad)))])) < low:
+    if good:
+        threshold = low = ranked(scores.where("label = 1"), "llr", int(params.quantile * good))
+        if bad and (high := ranked(scores.where("label = 0"), "llr", min(bad - 1, int(params.junk_quantile * bad)))) < low:
             threshold = (low + high) / 2
     return QualityModel(params, weights, threshold)
 
