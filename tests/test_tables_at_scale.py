@@ -104,3 +104,39 @@ def test_a_bundle_tells_what_its_hands_tell_alone():
         for i, now in enumerate((2_000_000, 10_000_000)):
             want[3 + i] += rows(one.handleExpiredTimer((h,), Times(now), None))
     assert got == [sorted(w) for w in want]
+
+
+def test_card_features_come_from_a_dimension_or_from_the_hand(spark):
+    from riverdeck.operators import features
+
+    raw = bridge.scenarios(spark, SF).where("source_index < 200").withColumn("hero_holding", F.when(F.col("source_index") % 5 == 0, "AhX").when(F.col("source_index") % 5 == 1, "ahKD").when(F.col("source_index") % 5 == 2, F.lit(None).cast("string")).otherwise(F.col("hero_holding")))
+    s = features.samples(raw)
+    direct = s.select("source_index", *[F.coalesce(c, F.lit(0.0)).alias(n) for n, c in features._by_hole(F.col("hero_hole")).items()])
+    made = features.features(s)
+    assert sorted(map(tuple, direct.collect())) == sorted(map(tuple, made.select(*direct.columns).collect()))
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("52 * 52") == 0 and features.hole_dimension(spark).select("hole").distinct().count() == 2704
+
+
+def test_calibrations_share_their_bases(spark):
+    from pyspark.ml.classification import LogisticRegression
+
+    from riverdeck.ml.calibration import CrossFitted
+
+    fits = []
+
+    class Counted(LogisticRegression):
+        def _fit(self, df):
+            fits.append(1)
+            return super()._fit(df)
+
+    rows = spark.range(600).selectExpr("'train' as split", "id as source_index", "cast(id % 3 = 0 as int) * 1.0 as y", "array(cast(id % 7 as double), cast(id % 3 as double) + cast(id % 11 as double)) as x")
+    from pyspark.ml.functions import array_to_vector
+
+    rows = rows.select("split", "source_index", "y", array_to_vector("x").alias("features"))
+    base = Counted(labelCol="y", maxIter=5)
+    both = CrossFitted(base=base, classes=2).fit_methods(rows, ["sigmoid", "isotonic"])
+    assert len(fits) == 3
+    for method, model in both.items():
+        alone = CrossFitted(base=base, classes=2, method=method).fit(rows)
+        p = lambda m: [list(r[0]) for r in m.transform(rows).orderBy("source_index").select("probability").collect()]
+        assert max(abs(a - b) for x, y in zip(p(model), p(alone)) for a, b in zip(x, y)) < 1e-9
