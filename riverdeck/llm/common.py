@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -90,6 +91,19 @@ def texts(batch: pa.RecordBatch, text: str = "text") -> list[bytes]:
     return [x or b"" for x in column.to_pylist()]
 
 
+def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, and at its end the memory it used goes back to the machine: Spark keeps workers for later tasks, and what the C library holds counts against the executor."""
+
+    def to_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+        if trim:
+            trim(0)
+
+    return to_end
+
+
 def add_columns(
     df: DataFrame,
     make: Callable[[], Callable[[pa.RecordBatch], list]],
@@ -120,7 +134,7 @@ def add_columns(
                 ]
                 yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=names)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(released(run), schema)
 
 
 def labelled_sample(spark: SparkSession, labels: DataFrame, column: str, limit: int, where=None) -> DataFrame:

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from . import simhash
-from .common import add_columns, cut, mix64, texts
+from .common import add_columns, cut, mix64, released, texts
 
 SIZE = 5
 #: The least similarity, as a fraction, so that the check is in whole numbers.
@@ -194,7 +194,7 @@ def _candidates(members: DataFrame, spanning: bool) -> DataFrame:
 
         yield from simhash.shards(batches, 3, done)
 
-    return simhash.dealt(members, ["band"], "_set", MOST).select("band", "lo", "hi", "part", "_set", "_fp", "_size", "_sketch", "root").mapInArrow(run, "a long, b long").distinct()
+    return simhash.dealt(members, ["band"], "_set", MOST).select("band", "lo", "hi", "part", "_set", "_fp", "_size", "_sketch", "root").mapInArrow(released(run), "a long, b long").distinct()
 
 
 def small(df: DataFrame, most: int = 1 << 22) -> DataFrame:

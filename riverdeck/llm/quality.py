@@ -14,15 +14,17 @@ other columns are carried along and never read, but for those named like a resul
 
 from __future__ import annotations
 
+import functools
 import re
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from .common import Numbering, add_columns, cut, mix64, slices, texts
+from .common import Numbering, add_columns, cut, mix64, released, slices, texts
 
 FIELDS = [
     *[T.StructField(n, T.LongType()) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
@@ -36,6 +38,10 @@ _SYMBOL[list(b"#*$%&|<>")] = True
 _SPACE = np.zeros(256, bool)
 _SPACE[list(b" \t\n\r\x0b\x0c")] = True
 _SHAPE = bytes(97 if 97 <= c <= 122 or c >= 128 else 65 if 65 <= c <= 90 else 48 if 48 <= c <= 57 else c for c in range(256))
+#: Different words whose hashes a task keeps, of some 300 bytes each.
+SEEN = 1 << 18
+#: Labelled ids that are broadcast at once, of some 50 bytes each.
+IDS = 1 << 20
 _RUNS = re.compile(rb"(.)\1+", re.DOTALL)
 
 
@@ -75,7 +81,7 @@ class _Grams:
 
     def __call__(self, docs: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Word numbers, their rows, and the buckets as rows of three (words, pairs, shape pairs)."""
-        if len(self.seen) > 1 << 19:
+        if len(self.seen) > SEEN:
             self.__init__(self.buckets)
         counts = np.fromiter(map(len, docs), np.int64, len(docs))
         ids = np.fromiter((n for d in docs for n in map(self.seen.__getitem__, d)), np.int64, int(counts.sum()))
@@ -145,7 +151,7 @@ def _gram_counts(rows: DataFrame, n: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["bucket", "n"])
 
     out = np.zeros(n)
-    for b, x in rows.select("text").mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n")).collect():  # one row a bucket at most
+    for b, x in rows.select("text").mapInArrow(released(count), "bucket long, n long").groupBy("bucket").agg(F.sum("n")).collect():  # one row a bucket at most
         out[b] = x
     return out
 
@@ -169,21 +175,30 @@ def ranked(df: DataFrame, column: str, rank: int, most: int = 10_000) -> float:
     raise IndexError("fewer values than the rank")
 
 
-def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, params: QualityParams = QualityParams()) -> QualityModel:
+def labelled(rows: DataFrame, known: DataFrame, each: int = IDS) -> Iterator[DataFrame]:
+    """``rows`` joined to their labels, one after another in parts of about ``each`` ids, which are broadcast: no text moves, and each labelled row is in one part."""
+    parts = max(1, -(-known.count() // each))
+    part = F.pmod(F.xxhash64(F.lit("part"), "doc_id"), F.lit(parts))
+    for i in range(parts):
+        yield rows.join(F.broadcast(known.where(part == i)), "doc_id")
+
+
+def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, params: QualityParams = QualityParams(), each: int = IDS) -> QualityModel:
     """The raw multinomial from all documents, the target from all good ones of one half of the labels, the threshold from the scores of all documents of the other half.
 
-    Each labelled text is joined to its label once; with few labels the join moves no text.
+    Each labelled text is joined to its label once, where it lies; more labels than ``each`` take several passes, each over texts that no other pass works on.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.max("quality").cast("int").alias("label"))
-    half = F.pmod(F.xxhash64(F.lit("half"), "doc_id"), F.lit(2))
+    known = cut(known.withColumn("half", F.pmod(F.xxhash64(F.lit("half"), "doc_id"), F.lit(2))), "quality-labels")
     rows, n = docs.select("doc_id", "text"), params.buckets
     raw = _gram_counts(rows, n)
-    target = _gram_counts(rows.join(known.where((half == 0) & (F.col("label") == 1)), "doc_id"), n)
+    target = sum(_gram_counts(part, n) for part in labelled(rows, known.where("half = 0 and label = 1").select("doc_id"), each))
     p_raw = (raw + 1) / (raw.sum() + n)
     p_target = (target + params.prior * n * p_raw) / (target.sum() + params.prior * n)
     weights = np.log(p_target / p_raw).astype(np.float32)
     model = QualityModel(params, weights, -np.inf)
-    scores = cut(score(rows.join(known.where(half == 1), "doc_id"), model).where("not base_failed").select("label", "llr"), "quality-scores")
+    parts = [cut(score(part, model).where("not base_failed").select("label", "llr"), "quality-scores") for part in labelled(rows, known.where("half = 1").select("doc_id", "label"), each)]
+    scores = functools.reduce(DataFrame.union, parts)
     counts = dict(scores.groupBy("label").count().collect())  # a row a label
     good, bad = counts.get(1, 0), counts.get(0, 0)
     threshold = -np.inf
