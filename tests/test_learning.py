@@ -334,3 +334,12 @@ FIGURES = {
 @pytest.mark.parametrize("name", FIGURES)
 def test_learning_queries(spark, name):
     assert FIGURES[name](catalog.QUERIES[name](spark, SF).collect())
+
+
+def test_forests_keep_the_nodes_of_rows(spark):
+    """A forest doesn't walk rows down its trees at each level; it grows the trees of one that does."""
+    rows = ml.assemble(spark.range(600).selectExpr(*[f"cast((id * {7 + i}) % {11 + i} as double) as {c}" for i, c in enumerate(FEATURES)], "cast(id * 37 % 3 as double) as y").repartition(2))
+    head = ml.forest(trees=4, depth=6)
+    assert head.getCacheNodeIds()
+    trees = lambda m: m.toDebugString.split("\n", 1)[1]
+    assert trees(head.fit(rows)) == trees(head.copy({head.cacheNodeIds: False}).fit(rows))
