@@ -28,16 +28,18 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import add_columns, cut, fresh, mix64, slices, texts
+from .common import add_columns, cut, fresh, mix64, released, slices, texts
 
 WINDOW = 13
 PREFIX = 6
 #: Occurrences of a prefix beyond which it is lengthened.
 MOST = 1 << 16
-#: Bytes of stretches that a task holds to put equal ones together.
-HELD = 32 << 20
+#: Bytes of text that a task turns into numbers at once; these take some 80 times as many.
+SLICE = 1 << 19
+#: Bytes of stretches that a task holds to put equal ones together, and of what Python keeps beside each.
+HELD, BESIDE = 32 << 20, 400
 #: Stretches whose trees are built at once, whole groups.
-BUILT = 1 << 15
+BUILT = 1 << 14
 #: Bytes of found places up to which they are broadcast to the texts; beyond, both are shuffled.
 BROADCAST = 64 << 20
 BASE = 0x9E3779B97F4A7C15
@@ -110,7 +112,7 @@ class Words:
 def _slices(batches, text: str) -> Iterator[tuple[pa.RecordBatch, Words]]:
     powers = _Powers()
     for whole in batches:
-        for batch in slices(whole, text):
+        for batch in slices(whole, text, SLICE):
             yield batch, Words(texts(batch, text), powers)
 
 
@@ -131,7 +133,7 @@ def _places(docs: DataFrame, kind: T.DataType, window: int, prefix: int) -> Data
             yield pa.RecordBatch.from_arrays([pa.array(grams[at].view(np.int64)), batch.column(0).take(pa.array(doc)), pa.array(place)], names=["key", "doc_id", "at"])
 
     schema = T.StructType([T.StructField("key", T.LongType()), T.StructField("doc_id", kind), T.StructField("at", T.LongType())])
-    return docs.select("doc_id", "tag", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "tag", "text").mapInArrow(released(run), schema)
 
 
 def _stretches(words: Words, found: list, window: int, prefix: int):
@@ -175,7 +177,7 @@ def _sent(chosen: DataFrame, kind: T.DataType, window: int, prefix: int) -> Data
                 was = held.get(name)
                 if was is None:
                     held[name] = (doc, doc)
-                    size += len(name[1]) + 200
+                    size += len(name[1]) + BESIDE
                 elif doc < was[0] or doc > was[1]:
                     held[name] = (min(doc, was[0]), max(doc, was[1]))
             if size > HELD:
@@ -184,7 +186,7 @@ def _sent(chosen: DataFrame, kind: T.DataType, window: int, prefix: int) -> Data
         yield from out()
 
     schema = T.StructType([T.StructField("key", T.LongType()), T.StructField("stretch", T.BinaryType()), T.StructField("lo", kind), T.StructField("hi", kind)])
-    return chosen.select("doc_id", "found", "text").mapInArrow(run, schema)
+    return chosen.select("doc_id", "found", "text").mapInArrow(released(run), schema)
 
 
 def _asked(chosen: DataFrame, kind: T.DataType, window: int, prefix: int) -> DataFrame:
@@ -199,7 +201,7 @@ def _asked(chosen: DataFrame, kind: T.DataType, window: int, prefix: int) -> Dat
             yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.array(names, np.uint64).view(np.int64)), batch.column(0).take(pa.array(doc)), pa.array(place)], names=["key", "stretch_id", "doc_id", "at"])
 
     schema = T.StructType([T.StructField("key", T.LongType()), T.StructField("stretch_id", T.LongType()), T.StructField("doc_id", kind), T.StructField("at", T.LongType())])
-    return chosen.select("doc_id", "tag", "found", "text").mapInArrow(run, schema)
+    return chosen.select("doc_id", "tag", "found", "text").mapInArrow(released(run), schema)
 
 
 def deep_nodes(groups: np.ndarray, suffixes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -271,7 +273,7 @@ def _answers(sent: DataFrame, kind: T.DataType, window: int) -> DataFrame:
             yield build(*held, ids)
 
     schema = T.StructType([T.StructField("key", T.LongType()), T.StructField("stretch_id", T.LongType()), T.StructField("los", T.ArrayType(kind))])
-    return sent.repartition("key").sortWithinPartitions("key").mapInArrow(run, schema)
+    return sent.repartition("key").sortWithinPartitions("key").mapInArrow(released(run), schema)
 
 
 def _beside(docs: DataFrame, found: DataFrame, how: str) -> DataFrame:

@@ -1,9 +1,11 @@
 """Periodic runs, spelling variants and substring dedup against plain loops."""
 
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
@@ -293,3 +295,12 @@ def test_deep_nodes():
     order, first = repeats.deep_nodes(np.array([7, 7, 7, 7, 8]), suffixes)
     parts = [sorted(x.tolist()) for x in np.split(order, first[1:])]
     assert sorted(parts) == [[0, 2], [1], [3], [4]]
+
+
+def test_a_task_turns_few_bytes_of_text_into_numbers_at_once():
+    batch = pa.RecordBatch.from_arrays([pa.array([" ".join(f"w{i % 977}" for i in range(j, j + 500)) for j in range(2500)])], names=["text"])
+    tracemalloc.start()
+    windows = sum(len(words.anchors(13, 6)[0]) for _, words in repeats._slices([batch], "text"))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert windows == 2500 * 488 and peak < 64 << 20
