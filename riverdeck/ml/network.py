@@ -22,6 +22,8 @@ HANDS, POSITIONS = 169, 6
 VILLAIN = 0.5
 #: Validation loss must fall by this to count as better.
 BETTER = 1e-4
+#: Rows whose inputs become bytes at once, and rows that go through the network at once.
+SLICE, ROWS = 1 << 13, 1 << 10
 
 
 def initial(inputs: int, actions: int, hand: int = 16, position: int = 4, hidden: tuple[int, ...] = (128, 64), seed: int = 7) -> dict[str, np.ndarray]:
@@ -58,33 +60,49 @@ def softmax(scores: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
-def loss_and_gradient(weights: dict, batch: tuple, masks: list | None = None) -> tuple[np.ndarray, dict]:
-    """(rows, known rows, action loss, villain loss), all sums, and two gradients of sums: of the action's loss and the villain's, by weight."""
-    x, hand, position, y, fold = batch
-    action, villain, kept = forward(weights, x, hand, position, masks)
+def losses(batch: tuple, action: np.ndarray, villain: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rows, known rows, action loss, villain loss), all sums, and the chances of both heads."""
+    y, fold = batch[3:]
     p, known = softmax(action), fold >= 0
     q = 1 / (1 + np.exp(-villain))
-    n = np.arange(len(y))
-    sums = np.array([len(y), known.sum(), -np.log(np.maximum(p[n, y], 1e-300)).sum(), (np.logaddexp(0, villain) - np.where(known, fold, 0) * villain)[known].sum()])
-    errors = p.copy()
+    return np.array([len(y), known.sum(), -np.log(np.maximum(p[np.arange(len(y)), y], 1e-300)).sum(), (np.logaddexp(0, villain) - np.where(known, fold, 0) * villain)[known].sum()]), p, q
+
+
+def loss_and_gradient(weights: dict, batch: tuple, masks: list | None = None, each: tuple[float, float] | None = None) -> tuple[np.ndarray, dict]:
+    """(rows, known rows, action loss, villain loss), all sums, and two gradients of sums: of the action's loss and the villain's, by weight.
+
+    ``each``: what a row's loss counts in either head; then one gradient, of both losses weighed so.
+    """
+    x, hand, position, y, fold = batch
+    action, villain, kept = forward(weights, x, hand, position, masks)
+    sums, p, q = losses(batch, action, villain)
+    n, known = np.arange(len(y)), fold >= 0
+    errors = p
     errors[n, y] -= 1
-    out = {}
-    for part, head, error in (("action", "action", errors), ("villain", "villain", np.where(known, q - fold, 0.0)[:, None])):
-        g = {name: np.zeros_like(w) for name, w in weights.items()}
-        g[f"w{head}"], g[f"b{head}"] = kept[-1].T @ error, error.sum(0)
-        back = error @ weights[f"w{head}"].T
-        for i in reversed(range(_layers(weights))):
-            if masks is not None:
-                back = back * masks[i]
-            back = back * (kept[i + 1] > 0)
-            g[f"w{i}"], g[f"b{i}"] = kept[i].T @ back, back.sum(0)
-            back = back @ weights[f"w{i}"].T
-        at = x.shape[1]
-        size = weights["hand"].shape[1]
-        np.add.at(g["hand"], hand, back[:, at : at + size])
-        np.add.at(g["position"], position, back[:, at + size :])
-        out[part] = g
-    return sums, out
+    wrong = np.where(known, q - fold, 0.0)
+    if each is not None:
+        return sums, _back(weights, batch, kept, masks, errors * each[0], wrong * each[1])
+    return sums, {"action": _back(weights, batch, kept, masks, errors, 0 * wrong), "villain": _back(weights, batch, kept, masks, 0 * errors, wrong)}
+
+
+def _back(weights: dict, batch: tuple, kept: list, masks: list | None, action: np.ndarray, villain: np.ndarray) -> dict:
+    """The gradient by weight from the errors of both heads, in one way back; of the inputs only the embeddings have one."""
+    x, hand, position = batch[:3]
+    villain = villain[:, None]
+    out = {"waction": kept[-1].T @ action, "baction": action.sum(0), "wvillain": kept[-1].T @ villain, "bvillain": villain.sum(0)}
+    last = _layers(weights)
+    top = lambda name: weights[name][x.shape[1] :] if not last else weights[name]
+    back = action @ top("waction").T + villain @ top("wvillain").T
+    for i in reversed(range(last)):
+        if masks is not None:
+            back *= masks[i]
+        back *= kept[i + 1] > 0
+        out[f"w{i}"], out[f"b{i}"] = kept[i].T @ back, back.sum(0)
+        back = back @ (weights[f"w{i}"] if i else weights["w0"][x.shape[1] :]).T
+    size = weights["hand"].shape[1]
+    for name, at, own in (("hand", hand, back[:, :size]), ("position", position, back[:, size:])):
+        out[name] = np.stack([np.bincount(at, column, len(weights[name])) for column in own.T], axis=1)
+    return out
 
 
 def _flat(g: dict) -> np.ndarray:
@@ -117,13 +135,32 @@ def scales(df: DataFrame, columns: list[str]) -> list[tuple[float, float]]:
     return [(row[f"m{i}"] or 0.0, row[f"s{i}"] or 1.0) for i in range(len(columns))]
 
 
+def packed(rows: DataFrame) -> DataFrame:
+    """Prepared rows with ``x`` as bytes, which files and tasks hand on as one value and not number by number."""
+    names = rows.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, SLICE):
+                batch = whole.slice(at, SLICE)
+                x = np.ascontiguousarray(batch.column(0).flatten().to_numpy(zero_copy_only=False))
+                ends = np.linspace(0, x.nbytes, batch.num_rows + 1).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer(ends), pa.py_buffer(x)]), *batch.columns[1:]], names=names)
+
+    return rows.mapInArrow(run, T.StructType([T.StructField("x", T.BinaryType()), *rows.schema.fields[1:]]))
+
+
 def _batch(batch: pa.RecordBatch, inputs: int) -> tuple:
-    x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, inputs)
-    return x, *(batch.column(i).to_numpy().astype(np.int64) for i in range(1, 5))
+    x = batch.column(0)
+    x = np.frombuffer(b"".join(x.to_pylist())) if pa.types.is_binary(x.type) else x.flatten().to_numpy(zero_copy_only=False)
+    return x.reshape(-1, inputs), *(batch.column(i).to_numpy().astype(np.int64) for i in range(1, 5))
 
 
-def summed(rows: DataFrame, weights: dict, inputs: int, dropout: float = 0.0, seed: int = 0, gradient: bool = True) -> tuple[np.ndarray, dict | None]:
-    """``loss_and_gradient`` added up over all rows; the two parts of the gradient come already weighed by their numbers of rows."""
+def summed(rows: DataFrame, weights: dict, inputs: int, dropout: float = 0.0, seed: int = 0, gradient: bool = True, counted: tuple[int, int] | None = None) -> tuple[np.ndarray, dict | None]:
+    """``loss_and_gradient`` added up over all rows, as one gradient of both losses' means; ``counted``: how many rows there are, and with a known fold, where that is at hand."""
+    if gradient and counted is None:
+        counted = tuple(rows.agg(F.count("*"), F.count_if(F.col("fold") >= 0)).first())
+    each = (1 / max(counted[0], 1), VILLAIN / max(counted[1], 1)) if gradient else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
@@ -131,10 +168,18 @@ def summed(rows: DataFrame, weights: dict, inputs: int, dropout: float = 0.0, se
         total = None
         for batch in batches:
             if batch.num_rows:
-                masks = [(rng.random((batch.num_rows, weights[f"w{i}"].shape[1])) >= dropout) / (1 - dropout) for i in range(_layers(weights))] if dropout else None
-                sums, g = loss_and_gradient(weights, _batch(batch, inputs), masks)
-                flat = np.concatenate([sums, _flat(g["action"]), _flat(g["villain"])] if gradient else [sums])
-                total = flat if total is None else total + flat
+                masks = [rng.random((batch.num_rows, weights[f"w{i}"].shape[1])) >= dropout for i in range(_layers(weights))] if dropout else None
+                whole = _batch(batch, inputs)
+                # A few rows at a time, so that what lies between the layers stays near the processor.
+                for at in range(0, batch.num_rows, ROWS):
+                    here = slice(at, at + ROWS)
+                    few = tuple(c[here] for c in whole)
+                    if gradient:
+                        sums, g = loss_and_gradient(weights, few, masks and [m[here] / (1 - dropout) for m in masks], each)
+                        flat = np.concatenate([sums, _flat(g)])
+                    else:
+                        flat = losses(few, *forward(weights, *few[:3])[:2])[0]
+                    total = flat if total is None else total + flat
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["part", "sums"])
 
@@ -156,11 +201,7 @@ def summed(rows: DataFrame, weights: dict, inputs: int, dropout: float = 0.0, se
     if not found:
         return np.zeros(4), None
     total = np.sum(found, axis=0)
-    sums = total[:4]
-    if not gradient:
-        return sums, None
-    half = (len(total) - 4) // 2
-    return sums, _unflat(total[4 : 4 + half] / sums[0] + VILLAIN * total[4 + half :] / max(sums[1], 1), weights)
+    return total[:4], _unflat(total[4:], weights) if gradient else None
 
 
 def loss(sums: np.ndarray) -> float:
@@ -177,8 +218,11 @@ def fit(train: DataFrame, valid: DataFrame, columns: list[str], actions: int, ep
     scale = scales(train, columns)
     paths = place(spark, "network-train"), place(spark, "network-valid")
     for df, path in zip((train, valid), paths):
-        prepared(df, columns, scale).write.parquet(path)
+        packed(prepared(df, columns, scale)).write.parquet(path)
     rows, held = (spark.read.parquet(p) for p in paths)
+    # Each epoch deals the rows to mini-batches anew; how many each gets is counted first, so that a step goes back through the network once for both losses.
+    dealt = [F.pmod(F.xxhash64("slot", F.lit(seed), F.lit(epoch)), F.lit(batches)) for epoch in range(epochs)]
+    counts = rows.agg(*[F.count_if(c) for deal in dealt for b in range(batches) for c in (deal == b, (deal == b) & (F.col("fold") >= 0))]).first()
     weights = initial(len(columns), actions, seed=seed, **shape)
     first, second = ({k: np.zeros_like(w) for k, w in weights.items()} for _ in range(2))
     best, best_loss, stale, step, history = weights, math.inf, 0, 0, []
@@ -186,9 +230,8 @@ def fit(train: DataFrame, valid: DataFrame, columns: list[str], actions: int, ep
         seen = np.zeros(4)
         for b in range(batches):
             step += 1
-            # Each epoch deals the rows to mini-batches anew.
-            own = rows.where(F.pmod(F.xxhash64("slot", F.lit(seed), F.lit(epoch)), F.lit(batches)) == b).select("x", "hand", "position", "y", "fold")
-            sums, g = summed(own, weights, len(columns), dropout, seed * 1_000_003 + step)
+            own = rows.where(dealt[epoch] == b).select("x", "hand", "position", "y", "fold")
+            sums, g = summed(own, weights, len(columns), dropout, seed * 1_000_003 + step, counted=tuple(counts[2 * step - 2 : 2 * step]))
             seen += sums
             if g is None:
                 continue

@@ -175,6 +175,35 @@ def test_network_learns_and_reruns_alike(spark):
     assert network.predict(model, held.limit(0)).count() == 0
 
 
+def test_a_step_goes_back_once_for_both_losses(spark, monkeypatch):
+    """A gradient of a batch is one pass back over it, and inputs that are packed as bytes give the same figures."""
+    df = decisions(spark, 300)
+    rows = network.prepared(df, ["a", "b"], network.scales(df, ["a", "b"])).select("x", "hand", "position", "y", "fold").cache()
+    assert network.packed(rows).schema["x"].dataType.simpleString() == "binary"
+    weights = network.initial(2, 3, hand=2, position=2, hidden=(5, 4), seed=3)
+    counts = (300, rows.where("fold >= 0").count())
+    one, two = network.summed(rows, weights, 2, 0.2, 5), network.summed(network.packed(rows), weights, 2, 0.2, 5, counted=counts)
+    assert np.allclose(one[0], two[0]) and all(np.allclose(one[1][k], two[1][k]) for k in weights)
+    batch, passes, back = small_batch(), [], network._back
+    monkeypatch.setattr(network, "_back", lambda *a: passes.append(1) or back(*a))
+    weights = network.initial(3, 4, hand=2, position=2, hidden=(5, 4), seed=3)
+    _, both = network.loss_and_gradient(weights, batch, each=(0.5, 0.25))
+    assert len(passes) == 1
+    _, parts = network.loss_and_gradient(weights, batch)
+    assert all(np.allclose(both[k], 0.5 * parts["action"][k] + 0.25 * parts["villain"][k]) for k in weights)
+
+
+@pytest.mark.parametrize("share", [0.1, 0.0, 1.0, 0.37])
+def test_holdout_is_that_of_the_split_and_moves_no_rows(spark, share):
+    df = decisions(spark, 900).withColumn("y", F.when(F.col("source_index") % 50 > 0, F.col("y")))
+    got = metrics.holdout(df, "y", ("split", "source_index"), share)
+    want = metrics.stratified_split(df, "y", ("split", "source_index"), share)
+    assert {r[:] for r in got.select("source_index", "part").collect()} == {r[:] for r in want.select("source_index", "part").collect()}
+    assert got.columns == [*df.columns, "part"]
+    plan = got._jdf.queryExecution().executedPlan().toString().split("BroadcastExchange")[0]
+    assert "Exchange hash" not in plan and "SortMergeJoin" not in plan
+
+
 # Calibration, search, stacking
 
 
