@@ -172,3 +172,14 @@ def test_advantage(spark):
 def test_heads_up_button_is_small_blind(spark):
     df = spark.range(2).select(rewards.seat_position(F.col("id"), F.lit(1), 2).alias("p"))
     assert [r["p"] for r in df.collect()] == ["BB", "SB"]
+
+
+def test_prompts_are_scanned_once_for_the_cards(spark):
+    """Cards in English, in any case, with the regular expression over the whole prompt written once; sizes as six significant digits say."""
+    df = spark.createDataFrame([("so [Ace of Heart and TWO of clubs] x",), ("[King of spades and Foo of heart]",), ("none",), (None,)], "t string")
+    out = df.select(prompts.holding(F.col("t")).alias("h"))
+    assert [r.h for r in out.collect()] == ["Ah2c", None, None, None]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract(t#") == 1
+    sizes = [1.0, 2.5, -3.25, 13.1, 99.9999, 99.99999, 100000.0, 999999.0, 12345.5, 12345.67, 0.5, 0.0, 1.00001, 1.000001, 20.0, 0.1234567]
+    got = [r.s for r in spark.createDataFrame([(x,) for x in sizes], "x double").select(lines.format_g(F.col("x")).alias("s")).collect()]
+    assert got == [f"{x:.6g}" for x in sizes]
