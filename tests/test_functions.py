@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from riverdeck.functions import cards, labels, lines, prompts
+from riverdeck.functions import cards, labels, lines, prompts, reasoning
 from riverdeck.operators import features, rewards
 
 
@@ -183,3 +183,20 @@ def test_prompts_are_scanned_once_for_the_cards(spark):
     sizes = [1.0, 2.5, -3.25, 13.1, 99.9999, 99.99999, 100000.0, 999999.0, 12345.5, 12345.67, 0.5, 0.0, 1.00001, 1.000001, 20.0, 0.1234567]
     got = [r.s for r in spark.createDataFrame([(x,) for x in sizes], "x double").select(lines.format_g(F.col("x")).alias("s")).collect()]
     assert got == [f"{x:.6g}" for x in sizes]
+
+
+def test_reasoning_scans_only_texts_that_may_match(spark):
+    """Guards by plain words change nothing, in any case of the letters; the expressions that need a word stand behind it."""
+    import re
+
+    texts = ["A 3-BET here", "3 bet", "reRaise", "all-IN now", "ball in", "ALL IN", "ShoVe", "caller", "a Call", "LIMP", "blimp", "Stack of 40.5BB, POT 7 bb", "position= btn", "Position: sb", "in CO with AhKd", "pot 5 chips", "", None]
+    cases = [*reasoning.SITUATIONS, *reasoning.RANGES]
+    out = spark.createDataFrame([(t,) for t in texts], "t string").select("t", *[reasoning._by(F.col("t"), (c,), "no").alias(f"c{i}") for i, c in enumerate(cases)], *[v.alias(k) for k, v in reasoning.facts(F.col("t")).items()])
+    for r in out.collect():
+        t = r.t or ""
+        assert [r[f"c{i}"] for i in range(len(cases))] == [said if re.search(p, t) else "no" for p, said in cases]
+        for name, p in (("stack", r"(?i)stack[^0-9]*([0-9]+(?:\.[0-9]+)?)\s*bb"), ("pot", r"(?i)pot[^0-9]*([0-9]+(?:\.[0-9]+)?)\s*bb"), ("hole", r"\b([2-9TJQKA][shdc][2-9TJQKA][shdc])\b")):
+            found = re.search(p, t)
+            assert r[name] == (found.group(1) if found else None)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lower().count("contains(lower(t") >= 10
