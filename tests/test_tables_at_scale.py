@@ -140,3 +140,21 @@ def test_calibrations_share_their_bases(spark):
         alone = CrossFitted(base=base, classes=2, method=method).fit(rows)
         p = lambda m: [list(r[0]) for r in m.transform(rows).orderBy("source_index").select("probability").collect()]
         assert max(abs(a - b) for x, y in zip(p(model), p(alone)) for a, b in zip(x, y)) < 1e-9
+
+
+def test_situations_are_whole(spark):
+    """Every column of a situation, and the number of its own template."""
+    raw = bridge.scenarios(spark, SF).where("source_index < 40")
+    other = F.when(F.col("source_index") == 7, F.concat(F.lit("Hello. "), "instruction")).otherwise(F.col("instruction"))
+    tables = promptdb.build(raw.withColumn("instruction", other), once=True)
+    rows = {r["source_index"]: r.asDict() for r in promptdb.full(tables).collect()}
+    assert len(rows) == 40 and set(rows[7]) == set(promptdb.FULL) and len(promptdb.FULL) == 27
+    assert {i: r["prompt_template_id"] for i, r in rows.items()} == {i: 1 + (i == 7) for i in range(40)}
+    assert all(r["table_size"] == 2 + i % 5 and r["starting_stack_chips"] == 50 + i % 51 and r["pot_size_chips"] == 3.5 + i % 40 and "your holding is" in r["prompt_text"] for i, r in rows.items())
+    assert _catalog("prj_situation", spark).columns == promptdb.FULL
+
+
+def _catalog(name: str, spark):
+    from riverdeck import catalog
+
+    return catalog.QUERIES[name](spark, SF)
