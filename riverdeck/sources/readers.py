@@ -125,8 +125,11 @@ def with_index(df: DataFrame, column: str = "source_index") -> DataFrame:
 
 
 def zip_rows(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Row i of one beside row i of the other, as far as the shorter goes."""
-    return with_index(left).join(with_index(right), "source_index")
+    """Row i of one beside row i of the other, as far as the shorter goes.
+
+    Files of few bytes may hold very many rows, so neither side is broadcast.
+    """
+    return with_index(left).join(with_index(right).hint("merge"), "source_index")
 
 
 SPLITS = ("train", "test")

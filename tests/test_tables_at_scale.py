@@ -154,6 +154,15 @@ def test_situations_are_whole(spark):
     assert _catalog("prj_situation", spark).columns == promptdb.FULL
 
 
+def test_zipped_rows_are_not_broadcast(spark):
+    """The files of two columns are small, their rows are as many as the orders: only the splits' offsets are broadcast."""
+    df = _catalog("join_positional", spark)
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    plan = plan[plan.index("Final Plan") : plan.index("Initial Plan")]
+    assert plan.count("SortMergeJoin") == 1 and plan.count("BroadcastHashJoin") == 2
+
+
 def _catalog(name: str, spark):
     from riverdeck import catalog
 
