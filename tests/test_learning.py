@@ -372,3 +372,19 @@ def test_forests_keep_the_nodes_of_rows(spark):
     assert head.getCacheNodeIds()
     trees = lambda m: m.toDebugString.split("\n", 1)[1]
     assert trees(head.fit(rows)) == trees(head.copy({head.cacheNodeIds: False}).fit(rows))
+
+
+def test_feature_rows_parse_their_lines_once(spark, monkeypatch):
+    """Features and the holdout start from written samples: neither derives the scenarios again."""
+    from riverdeck.plans import learning
+
+    seen, real = [], metrics.holdout
+
+    def holdout(df, *a, of=None, **k):
+        seen.extend([df, of])
+        return real(df, *a, of=of, **k)
+
+    monkeypatch.setattr(metrics, "holdout", holdout)
+    assert learning._rows(spark, SF).count() > 1000
+    plans = [d._jdf.queryExecution().optimizedPlan().toString() for d in seen]
+    assert len(plans) == 2 and not any("listagg" in p or "o_orderkey" in p for p in plans)
