@@ -388,3 +388,30 @@ def test_feature_rows_parse_their_lines_once(spark, monkeypatch):
     assert learning._rows(spark, SF).count() > 1000
     plans = [d._jdf.queryExecution().optimizedPlan().toString() for d in seen]
     assert len(plans) == 2 and not any("listagg" in p or "o_orderkey" in p for p in plans)
+
+
+def test_folds_grow_together_as_they_do_alone(spark):
+    """Models of several parts of the rows are those of each part by itself, where bins are the same."""
+    df = ml.assemble(spark.range(300).selectExpr("id", *[f"cast(pmod(hash(id, {i}), {3 + i % 5}) as double) as {c}" for i, c in enumerate(FEATURES)], "cast(pmod(hash(id, 1), 3) as double) as y").repartition(2, "id"))
+    head = ml.Boosting(rounds=12, depth=3, subsample=1.0, least=2)
+    fold = F.pmod(F.col("id"), F.lit(3))
+    together = head.fit_parts(df, [fold != f for f in range(3)])
+    for f, model in enumerate(together):
+        edges, prior, rounds = model.parts()
+        alone, own, trees = head.fit(df.where(fold != f)).parts()
+        assert [e.tolist() for e in edges] == [e.tolist() for e in alone] and prior.tolist() == own.tolist()
+        for a, b in zip((t for r in rounds for t in r), (t for r in trees for t in r)):
+            assert a["feature"] == b["feature"] and a["bin"] == b["bin"] and np.allclose(a["value"], b["value"])
+
+
+def test_queries_do_the_whole_search(spark, monkeypatch):
+    """The tuned heads have 200 to 800 rounds and the compared ones 400 rounds, 400 trees and up to 2,000 iterations."""
+    from riverdeck.plans import learning
+
+    seen = {}
+    monkeypatch.setattr(learning, "_parts", lambda spark, sf: (None, None))
+    monkeypatch.setattr(ml, "tune", lambda train, ranges=ml.RANGES, **k: seen.update(ranges=ranges) or [{"a": 1}])
+    monkeypatch.setattr(learning, "_compare", lambda train, held, makers, **k: seen.update({n: make(5) for n, make in makers.items()}))
+    learning.ml_tune(spark, SF), learning.ml_multi_algo(spark, SF)
+    assert seen["ranges"] == ml.RANGES and seen["ranges"]["rounds"] == ("int", 200, 800)
+    assert seen["boosting"].getOrDefault("rounds") == 400 and seen["random_forest"].getNumTrees() == 400 and seen["logistic"].getMaxIter() == 2000
