@@ -415,3 +415,21 @@ def test_queries_do_the_whole_search(spark, monkeypatch):
     learning.ml_tune(spark, SF), learning.ml_multi_algo(spark, SF)
     assert seen["ranges"] == ml.RANGES and seen["ranges"]["rounds"] == ("int", 200, 800)
     assert seen["boosting"].getOrDefault("rounds") == 400 and seen["random_forest"].getNumTrees() == 400 and seen["logistic"].getMaxIter() == 2000
+
+
+def test_folds_are_fitted_side_by_side(spark):
+    """The three fits of a cross-fitted head meet at a barrier: one after the other they would wait for ever."""
+    import threading
+
+    from pyspark.ml.classification import LogisticRegression
+
+    barrier = threading.Barrier(3)
+
+    class Meeting(LogisticRegression):
+        def _fit(self, df):
+            barrier.wait(60)
+            return super()._fit(df)
+
+    rows = ml.assemble(spark.range(300).selectExpr("'train' as split", "id as source_index", *[f"cast(pmod(hash(id, {i}), 5) as double) as {c}" for i, c in enumerate(FEATURES)], "cast(id % 2 as double) as y"))
+    model = calibration.CrossFitted(base=Meeting(labelCol="y", maxIter=3), classes=2).fit(rows)
+    assert len(model.bases) == 3
